@@ -1,0 +1,10 @@
+"""All queries of the graph engine by name, with SQL for each that SQL can express."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
