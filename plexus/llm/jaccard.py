@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from plexus.llm.common import components, ordered, saved, small
 from plexus.llm.kernel import U, Block, blocks, mix, windows
 
-#: At most so many frequent shingles are told apart in the global order (8 B each on every executor).
-HEAVY = 200_000
+#: At most so many shared shingles are told apart in the global order (16 B each on every executor).
+HEAVY = 2_000_000
 #: Sets in one block; a task holds two blocks.
 BLOCK = 1024
 _BAND = U(1) << U(62)
@@ -277,7 +277,7 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     counted = (
         reps.select(F.explode("head").alias("token"))
         .where(F.col("token").between(0, band - 1))
-        .groupBy("token").count().where("count > 8")
+        .groupBy("token").count().where("count > 1")
         .orderBy(F.desc("count"), "token").limit(HEAVY).toPandas()
     )
     frequent = counted["token"].to_numpy().astype(np.int64).view(U), counted["count"].to_numpy().astype(np.int64)

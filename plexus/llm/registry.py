@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("jaccard",)
+MODULES = ("decontaminate", "mix", "jaccard", "shard")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
