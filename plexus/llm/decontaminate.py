@@ -17,7 +17,9 @@ empty tables give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plexus.llm.common import saved, small, words
@@ -26,26 +28,30 @@ NGRAM = 5
 PERCENT = 80
 
 
+def _runs(items: Column, n: int, join: Callable[[Column, Column], Column]) -> Column:
+    """All runs of ``n`` neighbours of an array, as ``join(array, start)``; a shorter array is one run.
+
+    The array is bound once as a lambda variable: a plain column would be computed anew per element.
+    """
+
+    def of(w: Column) -> Column:
+        run = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: join(w, i))
+        return F.when(F.size(w) > 0, run)
+
+    return F.get(F.transform(F.array(items), of), F.lit(0))
+
+
 def shingle_hashes(df: DataFrame, n: int = NGRAM) -> DataFrame:
-    """``df(id, text)`` as ``(id, s)``: 64-bit hashes, with repeats, of ``n`` words each."""
-    df = df.withColumn("w", F.transform(words(F.lower("text")), lambda w: F.xxhash64(w)))
-    last = F.size("w") - n
-    w = F.col("w")
-    run = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
-    short = F.array(F.xxhash64(F.to_json("w")))
-    return df.select(
-        "id", F.when(last >= 0, run).when(F.size("w") > 0, short).otherwise(F.array().cast("array<long>")).alias("s")
-    )
+    """``df(id, text)`` as one row ``(id, s)`` per position: the 64-bit hash of its ``n`` words."""
+    hashed = F.transform(words(F.lower("text")), lambda w: F.xxhash64(w))
+    run = _runs(hashed, n, lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+    return df.select("id", F.explode(run).alias("s"))
 
 
 def shingle_texts(df: DataFrame, n: int = NGRAM) -> DataFrame:
-    """``df(id, text)`` as one row ``(id, g)`` per shingle, as text."""
-    df = df.withColumn("w", words(F.lower("text")))
-    last = F.size("w") - n
-    run = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
-    short = F.array(F.array_join("w", " "))
-    all_runs = F.when(last >= 0, run).when(F.size("w") > 0, short)
-    return df.select("id", F.explode(F.array_distinct(all_runs)).alias("g")).distinct()
+    """``df(id, text)`` as the distinct rows ``(id, g)`` of its shingles as text."""
+    run = _runs(words(F.lower("text")), n, lambda w, i: F.array_join(F.slice(w, i + 1, n), " "))
+    return df.select("id", F.explode(run).alias("g")).distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n: int = NGRAM) -> DataFrame:
@@ -58,7 +64,7 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n: int = NG
 
     goal = saved(shingle_texts(items, n).withColumnRenamed("id", "item_id"))
     sizes = goal.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_shingles"))
-    hashed = shingle_hashes(items, n).select(F.col("id").alias("item_id"), F.explode("s").alias("s")).distinct()
+    hashed = shingle_hashes(items, n).withColumnRenamed("id", "item_id").distinct()
     largest = F.pow(F.lit(2), F.floor(F.log2("n_shingles")) + 1) - 1  # of the size partition
     by_hash = Window.partitionBy("item_id").orderBy(F.xxhash64("s", F.lit(17)), "s")
     sketch = saved(
@@ -68,10 +74,8 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n: int = NG
         .where("at <= k")
         .groupBy("s").agg(F.collect_list("item_id").alias("items"))
     )
-    probes = shingle_hashes(docs, n).select("id", F.explode("s").alias("s"))
-    found = saved(
-        probes.join(small(sketch), "s").select("id", F.explode("items").alias("item_id")).distinct()
-    )
+    probes = shingle_hashes(docs, n).join(small(sketch), "s")
+    found = saved(probes.select("id", F.explode("items").alias("item_id")).distinct())
     held = saved(found.select("id").distinct())
     inside = shingle_texts(docs.join(small(held), "id", "left_semi"), n)
     shared = (
