@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "mix", "jaccard", "shard")
+MODULES = ("decontaminate", "mix", "jaccard", "shard", "tokens", "urls")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
