@@ -1,7 +1,7 @@
 """Operator 7: token ids as Parquet list columns, read back selectively.
 
-Texts are encoded whole in Arrow batches by the tokenizers library; distinct words are encoded once
-per batch (the tokenizer drops white space and never joins across it, so a text's ids are the ids of
+Texts are encoded whole in Arrow batches by the tokenizers library; words are encoded once while a
+task remembers them, at most ``REMEMBERED`` at a time (the tokenizer drops white space and never joins across it, so a text's ids are the ids of
 its words in order).  Documents are range-partitioned and sorted by id, one file per partition.  A
 file holds ``doc_id, part, local_start, n_tokens, ids``: dictionary encoding packs the ids (delta
 encoding on request), row groups and pages have set sizes, and the page index with the small columns
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from plexus.llm.common import scratch
 
 END = 1
+#: A task forgets all words once it remembers more than this (about 200 B each).
+REMEMBERED = 500_000
 _SPLIT = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
@@ -35,23 +37,36 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(texts: list[str | None], tokenizer) -> tuple[np.ndarray, np.ndarray]:
-    """``(ids, counts)`` of all texts, each with the end id; every distinct word is encoded once."""
-    known: dict[bytes, int] = {}
+class WordIds:
+    """Ids of the words met so far, flat, with the end id at place 0."""
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.flat, self.first, self.size = np.array([END], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def learn(self, words: list[str], tokenizer) -> None:
+        pieces = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(pieces), np.int32, int(size.sum()))])
+
+
+def encode(texts: list[str | None], tokenizer, known: WordIds | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(ids, counts)`` of all texts, each with the end id."""
+    known = known or WordIds()
+    place, before = known.place, len(known.place)
     counts, places = np.zeros(len(texts), np.int64), []
     for i, text in enumerate(texts):
         parts = text.encode().translate(_SPLIT).split() if text else ()
         counts[i] = len(parts) + 1
-        places.append([known.setdefault(w, len(known) + 1) for w in parts])
+        places.append([place.setdefault(w, len(place) + 1) for w in parts])
     at = np.fromiter(chain.from_iterable(chain(p, (0,)) for p in places), np.int64, int(counts.sum()))
-    encoded = tokenizer.encode_batch_fast([w.decode() for w in known], add_special_tokens=False)
-    pieces = [[END], *[e.ids for e in encoded]]
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    flat = np.fromiter(chain.from_iterable(pieces), np.int32, int(size.sum()))
-    first = np.cumsum(size) - size
-    length = size[at]
+    if len(place) > before:
+        known.learn([w.decode() for w in islice(place, before, None)], tokenizer)
+    length = known.size[at]
     out_first = np.cumsum(length) - length
-    ids = flat[np.repeat(first[at] - out_first, length) + np.arange(int(length.sum()))]
+    ids = known.flat[np.repeat(known.first[at] - out_first, length) + np.arange(int(length.sum()))]
     return ids, np.add.reduceat(length, np.cumsum(counts) - counts) if len(counts) else counts
 
 
@@ -64,6 +79,7 @@ def _encoded(tokenizer_path: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         tokenizer, start, part = Tokenizer.from_file(tokenizer_path), 0, TaskContext.get().partitionId()
+        known = WordIds()
         for batch in batches:
             texts, lo = batch.column(1).to_pylist(), 0
             while lo < len(texts):
@@ -71,7 +87,9 @@ def _encoded(tokenizer_path: str):
                 while hi < len(texts) and (hi == lo or room > 0):
                     room -= len(texts[hi] or "")
                     hi += 1
-                ids, counts = encode(texts[lo:hi], tokenizer)
+                if len(known.place) > REMEMBERED:
+                    known = WordIds()
+                ids, counts = encode(texts[lo:hi], tokenizer, known)
                 ends = np.cumsum(counts)
                 off = np.concatenate([[0], ends]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
