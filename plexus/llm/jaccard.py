@@ -9,9 +9,8 @@ How it runs:
 1. One Arrow pass gives each document's set size, a 128-bit set fingerprint and the part of its set
    that can hold its prefix: the shingles in the lowest quarter of the hash space.  Equal sets fold
    into one representative (their smallest doc_id).
-2. The global order is: shingles of that quarter by document frequency class (the ``HEAVY`` most
-   frequent ones last), then by hash.  Any such order is exact; this one keeps shared passages out of
-   the prefixes.  Two sets that link share one of their first ``n - ceil(percent * n / 100) + 1``
+2. The global order is: shingles of that quarter by document frequency, then by hash.  Any such order
+   is exact; this one keeps shared passages out of the prefixes.  Two sets that link share one of their first ``n - ceil(percent * n / 100) + 1``
    shingles, so reps that share a prefix shingle form candidate clusters (connected components).
 3. Each cluster is cut into blocks of ``BLOCK`` sets in size order; every pair of blocks whose sizes
    can link is one group, so no cluster lands whole in one task.  Inside a group sets sit in a
@@ -37,8 +36,8 @@ from pyspark.sql import functions as F
 from plexus.llm.common import components, ordered, saved, small
 from plexus.llm.kernel import U, Block, blocks, mix, windows
 
-#: At most so many shared shingles are told apart in the global order (16 B each on every executor).
-HEAVY = 2_000_000
+#: Document frequencies of at most so many shared shingles are broadcast (16 B each); more are joined.
+FREQUENT = 2_000_000
 #: Sets in one block; a task holds two blocks.
 BLOCK = 1024
 _BAND = U(1) << U(62)
@@ -99,9 +98,9 @@ def _heads(n: int, percent: int):
     return run
 
 
-def _prefixes(percent: int, heavy):
+def _prefixes(percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = heavy.value
+        frequent = shared.value
         for batch in batches:
             lists = batch.column(2)
             s = lists.flatten().to_numpy(zero_copy_only=False).view(U)
@@ -273,17 +272,23 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     copies = saved(member.where("doc_id <> rep").select("doc_id").distinct())
     reps = heads.where("n > 0 and doc_id is not null").join(small(copies), "doc_id", "left_anti")
 
-    band = int(_BAND)
-    counted = (
-        reps.select(F.explode("head").alias("token"))
-        .where(F.col("token").between(0, band - 1))
-        .groupBy("token").count().where("count > 1")
-        .orderBy(F.desc("count"), "token").limit(HEAVY).toPandas()
+    band = F.col("token").between(0, int(_BAND) - 1)
+    counted = saved(
+        reps.select(F.explode("head").alias("token")).where(band).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        .where("df > 1")
     )
-    frequent = counted["token"].to_numpy().astype(np.int64).view(U), counted["count"].to_numpy().astype(np.int64)
-    order = np.argsort(frequent[0])
-    heavy = spark.sparkContext.broadcast((frequent[0][order], frequent[1][order]))
-    prefix = reps.select("doc_id", "n", "head").mapInArrow(_prefixes(percent, heavy), "token long, rep long")
+    if counted.count() <= FREQUENT:
+        told = counted.toArrow()
+        token = told["token"].to_numpy().view(U)
+        order = np.argsort(token)
+        frequent = spark.sparkContext.broadcast((token[order], told["df"].to_numpy()[order]))
+        prefix = reps.select("doc_id", "n", "head").mapInArrow(_prefixes(percent, frequent), "token long, rep long")
+    else:  # the same order by a shuffled join
+        late = F.when(band, F.coalesce("df", F.lit(0))).otherwise(F.lit(1 << 62))
+        tokens = reps.select("doc_id", "n", F.explode("head").alias("token")).join(counted, "token", "left")
+        lists = tokens.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct(late.alias("late"), "token"))).alias("t"))
+        length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        prefix = lists.select(F.explode(F.slice("t.token", F.lit(1), length.cast("int"))).alias("token"), F.col("doc_id").alias("rep"))
     shared = saved(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("first")).where("c > 1"))
     touching = prefix.join(small(shared.select("token", "first")), "token").select("rep", "first")
     cluster = saved(components(touching).toDF("rep", "cluster"))
