@@ -72,7 +72,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], budget: float, cap: floa
         (F.sum("source_size").over(all_rows) * (budget - floor) - F.coalesce(F.sum("room").over(before), F.lit(0.0)))
         / F.sum("weight").over(after),
     )
-    fits = F.min(F.when(F.col("room") / F.col("weight") > F.col("level"), F.col("level"))).over(all_rows)
+    fits = F.max(F.when(F.col("room") / F.col("weight") > F.col("level"), F.col("level"))).over(all_rows)
     share = F.least(F.col("room"), F.coalesce(fits * F.col("weight"), F.col("room")))
     return df.withColumn("target", F.col("source_size") * floor + share).select(
         "source", "source_size", "place", "weight", "target"
@@ -147,7 +147,7 @@ w as (select *, cast([3, 1, 2][place % 3 + 1] as double) as weight, cast(source_
 l as (select *, (cast(sum(source_size) over () as double) * 1.5::double - coalesce(sum(room) over (order by room / weight, place
     rows between unbounded preceding and 1 preceding), 0::double))
   / sum(weight) over (order by room / weight, place rows between current row and unbounded following) as level from w),
-t as (select *, least(room, coalesce(min(case when room / weight > level then level end) over () * weight, room)) as target from l),
+t as (select *, least(room, coalesce(max(case when room / weight > level then level end) over () * weight, room)) as target from l),
 c as (select doc_id, size, source_size, target, place,
   coalesce(sum(size) over (partition by d.source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as a
   from d join t on d.source is not distinct from t.source),
