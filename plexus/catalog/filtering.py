@@ -1 +1,113 @@
+"""Filter queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plexus.catalog.base import query
+from plexus.operators import filters as X
+from plexus.sources import lens
+from plexus.sources.lens import PropertyGraph, edges_of, nodes_of
+
+AT = "av as (select id, amount as value from edges where predicate = 'placed')"
+
+
+def attrs(spark, d, name="order_value"):
+    return edges_of(spark, d, "placed").select("id", F.lit(name).alias("name"), F.col("amount").alias("value"))
+
+
+def kept(spark, d, bad):
+    return edges_of(spark, d, "placed").join(bad, "id", "left_anti").select("id")
+
+
+@query("f1_remove_by_predicate", "select id from edges where predicate <> 'supplies'")
+def f1(spark, d):
+    g = lens.graph(spark, d)
+    return X.drop_edges(g, X.by_predicate(g.edges, "supplies")).edges.select("id")
+
+
+@query("f1_remove_by_predicate_connected", """
+select id from edges e where predicate not in ('part_of') and predicate in ('located_in', 'placed') and object not in (select subject from edges where predicate = 'part_of' union select object from edges where predicate = 'part_of')
+  and subject not in (select subject from edges where predicate = 'part_of' union select object from edges where predicate = 'part_of')""")
+def f1c(spark, d):
+    g = lens.graph(spark, d, ("placed", "located_in", "part_of"))
+    return X.drop_edges(g, X.by_predicate(g.edges, "part_of"), connected=True).edges.select("id")
+
+
+@query("f1_strip_tags", """
+select id, case when predicate = 'located_in' and amount < 0 then 'e2' else 'e1,e2' end as tags from edges where predicate = 'located_in'
+union all select id, 'e1' from edges where predicate = 'part_of'""")
+def f1s(spark, d):
+    two, one = F.array(F.lit("e1"), F.lit("e2")), F.array(F.lit("e1"))
+    e = edges_of(spark, d, "located_in").withColumn("qedge_keys", two).union(edges_of(spark, d, "part_of").withColumn("qedge_keys", one))
+    bad = e.where("predicate = 'located_in' and amount < 0").select("id")
+    return X.strip_tags(e, bad, ["e1"]).select("id", F.array_join(F.array_sort("qedge_keys"), ",").alias("tags"))
+
+
+@query("f2_remove_by_continuous", "select id from av where not value > 250000", AT)
+def f2(spark, d):
+    return kept(spark, d, X.by_continuous(attrs(spark, d), "order_value", "above", 250000.0))
+
+
+@query("f3_remove_by_discrete", "select id from edges where source <> 'orders' and predicate <> 'contains' and predicate <> 'supplies'")
+def f3(spark, d):
+    g = lens.graph(spark, d, ("placed", "located_in", "part_of"))
+    return X.drop_edges(g, X.by_discrete(g.edges, "source", "orders")).edges.select("id")
+
+
+@query("f4_remove_by_std_dev", "select id from av where not value > (select round(avg(value) + 1.5 * stddev_pop(value), 6) from av)", AT)
+def f4(spark, d):
+    return kept(spark, d, X.by_std_dev(attrs(spark, d), "order_value", 1.5, "above", True))
+
+
+@query("f4_std_dev_defaults", "select id from av where not value < (select avg(value) + stddev_pop(value) from av)", AT)
+def f4d(spark, d):
+    return kept(spark, d, X.by_std_dev(attrs(spark, d), "order_value"))
+
+
+@query("f5_remove_by_percentile", "select id from av where not value < (select quantile_cont(value, 0.95::double) from av)", AT)
+def f5(spark, d):
+    return kept(spark, d, X.by_percentile(attrs(spark, d), "order_value"))
+
+
+@query("f5_percentile_low_is_good", "select id from av where not value > (select quantile_cont(value, 0.05::double) from av)", AT)
+def f5l(spark, d):
+    return kept(spark, d, X.by_percentile(attrs(spark, d, "ngd"), "ngd"))
+
+
+@query("f6_remove_by_top_n", "select id from av order by value desc, id limit 50", AT)
+def f6(spark, d):
+    return kept(spark, d, X.by_top_n(attrs(spark, d), "order_value"))
+
+
+@query("f7_remove_nodes_by_category", "select id from edges where predicate in ('placed', 'located_in') and subject not in (select id from nodes where list_contains(categories, 'BUILDING'))")
+def f7(spark, d):
+    g = lens.graph(spark, d, ("placed", "located_in"))
+    return X.drop_nodes(g, X.nodes_by_category(g.nodes, "BUILDING")).edges.select("id")
+
+
+@query("f8_remove_nodes_by_property", "select id from nodes where coalesce(name, '') <> (select n_name from nation where n_nationkey = 3)")
+def f8(spark, d):
+    name = lens.table(spark, d, "nation").where("n_nationkey = 3").first()["n_name"]
+    g = PropertyGraph(nodes_of(spark, d), edges_of(spark, d, "part_of"))
+    return X.drop_nodes(g, X.nodes_by_property(g.nodes, "name", name)).nodes.select("id")
+
+
+@query("f9_remove_orphans", "select id from nodes where id in (select subject from edges where predicate = 'placed' union select object from edges where predicate = 'placed') or id in (select id from nodes where prefix = 'R')")
+def f9(spark, d):
+    g = PropertyGraph(nodes_of(spark, d), edges_of(spark, d, "placed"))
+    return X.remove_orphans(g, keep=g.nodes.where("prefix = 'R'")).nodes.select("id")
+
+
+@query("f9_remove_orphans_of_category", "select id from nodes where not (prefix = 'C' and id not in (select subject from edges where predicate = 'placed'))")
+def f9c(spark, d):
+    g = PropertyGraph(nodes_of(spark, d), edges_of(spark, d, "placed"))
+    return X.remove_orphans(g, category="Customer").nodes.select("id")
+
+
+@query("f10_remove_general_concepts", """
+select id from nodes where not (lower(id) in ('c:1', 'p:2') or lower(name) in (select lower(n_name) from nation where n_nationkey = 1) or regexp_matches(name, '(?i)^(?:.*0$|supplier#0*7)'))""")
+def f10(spark, d):
+    name = lens.table(spark, d, "nation").where("n_nationkey = 1").first()["n_name"]
+    g = PropertyGraph(nodes_of(spark, d), edges_of(spark, d, "located_in"))
+    return X.drop_nodes(g, X.general_concepts(g.nodes, ["c:1", "P:2"], [name.upper()], [".*0$", "supplier#0*7"])).nodes.select("id")

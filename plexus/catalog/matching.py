@@ -1 +1,213 @@
+"""Matching queries (R1-R15, X1-X5) and the flagship."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plexus.catalog.base import query
+from plexus.operators import expand, match, overlay, paths, rank
+from plexus.plans.pattern import Pattern, QEdge, QNode
+from plexus.sources import lens
+from plexus.sources.lens import edges_of, nodes_of
+
+#: customer - order - parts (a set)
+CHAIN = Pattern((QNode("c", categories=("Customer",)), QNode("o"), QNode("p", is_set=True)), (QEdge("e0", "c", "o"), QEdge("e1", "o", "p")))
+
+
+def chain_kg(spark, d, segment="BUILDING"):
+    nodes = nodes_of(spark, d)
+    some = nodes.where(F.array_contains("categories", segment)).select(F.col("id").alias("subject"))
+    e0 = edges_of(spark, d, "placed").join(some, "subject", "left_semi")
+    e1 = edges_of(spark, d, "contains").join(e0.select(F.col("object").alias("subject")), "subject", "left_semi")
+    cols = ("id", "subject", "object", "amount")
+    kg_edges = e0.select(F.lit("e0").alias("qedge_key"), *cols).union(e1.select(F.lit("e1").alias("qedge_key"), *cols))
+    ids = [(e0, "subject", "c"), (e0, "object", "o"), (e1, "object", "p")]
+    kg_nodes = None
+    for df, col, key in ids:
+        part = df.select(F.lit(key).alias("qnode_key"), F.col(col).alias("node_id")).distinct()
+        kg_nodes = part if kg_nodes is None else kg_nodes.union(part)
+    return kg_nodes, kg_edges
+
+
+KG = """
+e0 as (select * from edges where predicate = 'placed' and subject in (select id from nodes where list_contains(categories, 'BUILDING'))),
+e1 as (select * from edges where predicate = 'contains' and subject in (select object from e0)),
+r as (select e0.subject as c, e0.object as o, string_agg(distinct e1.object, ',' order by e1.object) as p, count(distinct e1.object) as n from e0 join e1 on e1.subject = e0.object group by e0.subject, e0.object)"""
+
+
+@query("r3_match_chain_set", "select c, o, p from r", KG)
+def r3(spark, d):
+    return match.match(CHAIN, *chain_kg(spark, d)).select("c", "o", F.array_join("p", ",").alias("p"))
+
+
+@query("r3_match_chain_no_set", "select e0.subject as c, e0.object as o, e1.object as p from e0 join e1 on e1.subject = e0.object", KG)
+def r3b(spark, d):
+    plain = Pattern((QNode("c"), QNode("o"), QNode("p")), CHAIN.edges)
+    return match.match(plain, *chain_kg(spark, d))
+
+
+@query("r5_match_middle_set", """
+select e0.subject as c, e1.object as p, string_agg(distinct e0.object, ',' order by e0.object) as o from e0 join e1 on e1.subject = e0.object group by e0.subject, e1.object""", KG)
+def r5(spark, d):
+    middle = Pattern((QNode("c"), QNode("o", is_set=True), QNode("p")), CHAIN.edges)
+    return match.match(middle, *chain_kg(spark, d)).select("c", "p", F.array_join("o", ",").alias("o"))
+
+
+@query("r4_parallel_edges", """
+select a.subject as s, string_agg(a.object, ',' order by a.object) as p from edges a where a.predicate = 'supplies' and a.amount >= 50 and a.evidence >= 2 group by a.subject""")
+def r4(spark, d):
+    s = edges_of(spark, d, "supplies")
+    pattern = Pattern((QNode("s"), QNode("p", is_set=True)), (QEdge("e0", "s", "p"), QEdge("e1", "p", "s")))
+    e = s.where("amount >= 50").withColumn("qedge_key", F.lit("e0")).union(s.where("evidence >= 2").withColumn("qedge_key", F.lit("e1")))
+    n = s.select(F.lit("s").alias("qnode_key"), F.col("subject").alias("node_id")).union(s.select(F.lit("p"), "object")).distinct()
+    return match.match(pattern, n, e).select("s", F.array_join("p", ",").alias("p"))
+
+
+@query("r6_directed_match", "select subject as s, object as p from edges where predicate = 'supplies' and amount >= 80")
+def r6(spark, d):
+    s = edges_of(spark, d, "supplies").where("amount >= 80").withColumn("qedge_key", F.lit("e0"))
+    n = s.select(F.lit("s").alias("qnode_key"), F.col("subject").alias("node_id")).union(s.select(F.lit("p"), "object")).distinct()
+    return match.match(Pattern((QNode("s"), QNode("p")), (QEdge("e0", "s", "p"),)), n, s, ignore_direction=False)
+
+
+@query("r7_edge_bindings", """
+select c || '|' || o as result_id, 'e0' as qedge_key, c || '--placed--' || o as edge_id from r
+union all select r.c || '|' || r.o, 'e1', e1.id from r join e1 on e1.subject = r.o""", KG)
+def r7(spark, d):
+    kg_nodes, kg_edges = chain_kg(spark, d)
+    results = match.result_id(match.match(CHAIN, kg_nodes, kg_edges), CHAIN).persist()
+    return match.bound_edges(match.bound_nodes(results, CHAIN), CHAIN, kg_edges)
+
+
+OPTION = Pattern(
+    (QNode("c"), QNode("o"), QNode("p", is_set=True, option_group="g")), (QEdge("e0", "c", "o"), QEdge("e1", "o", "p", option_group="g")))
+
+
+@query("r8_option_groups", """
+select e0.subject as c, e0.object as o, string_agg(distinct x.object, ',' order by x.object) as p from e0 left join (select * from e1 where amount >= 45) x on x.subject = e0.object group by e0.subject, e0.object""", KG)
+def r8(spark, d):
+    kg_nodes, kg_edges = chain_kg(spark, d)
+    out = match.with_options(OPTION, kg_nodes, kg_edges.where("qedge_key = 'e0' or amount >= 45"))
+    return out.select("c", "o", F.array_join("p", ",").alias("p"))
+
+
+@query("r9_subclass_collapse", """
+select id, subject, 'N:' || least(cast(substr(object, 3) as int), cast(substr(object, 3) as int) // 5 * 5) as object, object as real_object from edges where predicate = 'located_in'""")
+def r9(spark, d):
+    n = nodes_of(spark, d).where("prefix = 'N'").select("id", F.substring("id", 3, 9).cast("int").alias("k"))
+    sub = n.where("k % 5 <> 0").select(F.col("id").alias("child"), F.concat(F.lit("N:"), (F.floor(F.col("k") / 5) * 5).cast("string")).alias("parent"))
+    return match.collapse_subclasses(edges_of(spark, d, "located_in"), sub).select("id", "subject", "object", "real_object")
+
+
+@query("r10_edgeless_pattern", "select (select string_agg(id, ',' order by id) from nodes where prefix = 'N') as a, (select string_agg(id, ',' order by id) from nodes where prefix = 'R') as b")
+def r10(spark, d):
+    n = nodes_of(spark, d).where("prefix in ('N', 'R')").select(F.when(F.col("prefix") == "N", "a").otherwise("b").alias("qnode_key"), F.col("id").alias("node_id"))
+    out = match.match(Pattern((QNode("a"), QNode("b"))), n, n)
+    return out.select(F.array_join("a", ",").alias("a"), F.array_join("b", ",").alias("b"))
+
+
+@query("r11_essence", "select r.c, r.o, nodes.name as essence from r join nodes on nodes.id = r.o", KG)
+def r11(spark, d):
+    pattern = Pattern((QNode("c", ids=("C:1",)), QNode("o"), QNode("p", is_set=True)), CHAIN.edges)
+    return match.essences(match.match(CHAIN, *chain_kg(spark, d)), pattern, nodes_of(spark, d)).select("c", "o", "essence")
+
+
+@query("r2_integrity", """
+select 'MissingQNodeKeys' as error, 0 as n union all select 'MissingQEdgeKeys', 0 union all select 'UnknownQNodeKey', (select count(distinct object) from e1)
+union all select 'UnknownQEdgeKey', (select count(*) from e1) union all select 'OrphanEdges', 0""", KG)
+def r2(spark, d):
+    return match.integrity(Pattern(CHAIN.nodes[:2], CHAIN.edges[:1]), *chain_kg(spark, d))
+
+
+@query("r13_query_ids", "select o as node_id, case when substr(c, 3) <> substr(o, 3) then c end as query_id from r", KG)
+def r13(spark, d):
+    m = match.match(CHAIN, *chain_kg(spark, d))
+    alias = F.when(F.substring("c", 3, 9) == F.substring("o", 3, 9), F.col("o")).otherwise(F.col("c"))
+    asked = m.select(F.col("o").alias("node_id"), F.array(alias, F.lit("Z:0")).alias("query_ids"))
+    return match.query_ids(m.select(F.col("o").alias("node_id")), asked)
+
+
+@query("r14_prune_graph", """
+select distinct e.id from edges e where (e.predicate = 'placed' and e.object in (select o from t) and e.subject in (select c from t))
+or (e.predicate = 'contains' and e.subject in (select o from t) and e.object in (select object from e1 where subject in (select o from t)))""",
+       KG + ", t as (select c, o from r where n >= 7)")
+def r14(spark, d):
+    kg_nodes, kg_edges = chain_kg(spark, d)
+    results = match.result_id(match.match(CHAIN, kg_nodes, kg_edges).where(F.size("p") >= 7), CHAIN).persist()
+    bound = match.bound_nodes(results, CHAIN)
+    g = lens.graph(spark, d, ("placed", "contains"))
+    return match.prune_graph(g.nodes, g.edges, bound, match.bound_edges(bound, CHAIN, kg_edges))[1].select("id")
+
+
+@query("r15_recompute_keys", "select c as node_id, 'c' as qnode_keys from r group by c union all select o, 'o' from r union all select distinct object, 'p' from e1", KG)
+def r15(spark, d):
+    results = match.result_id(match.match(CHAIN, *chain_kg(spark, d)), CHAIN)
+    return match.recompute_keys(match.bound_nodes(results, CHAIN)).select("node_id", F.array_join("qnode_keys", ",").alias("qnode_keys"))
+
+
+@query("flagship", """
+select c, o, p, jaccard, row_number() over (order by jaccard desc, c, o) as place from (
+  select r.c, r.o, r.p, round(r.n / cast(t.n as double), 6) as jaccard from r join (select e0.subject as c, count(distinct e1.object) as n from e0 join e1 on e1.subject = e0.object group by e0.subject) t on t.c = r.c)
+order by jaccard desc, c, o limit 500""", KG)
+def flagship(spark, d):
+    kg_nodes, kg_edges = chain_kg(spark, d)
+    results = match.result_id(match.match(CHAIN, kg_nodes, kg_edges), CHAIN).persist()
+    bound = match.bound_nodes(results, CHAIN)
+    part_of_customer = overlay.result_pairs(bound, "c", "p").groupBy(F.col("subject").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    scored = results.join(part_of_customer, "c").withColumn("jaccard", F.round(F.size("p") / F.col("n"), 6))
+    top = rank.limit_results(scored, [F.desc("jaccard"), F.asc("c"), F.asc("o")], 500)
+    return top.select("c", "o", F.array_join("p", ",").alias("p"), "jaccard", "place")
+
+
+@query("x1_connect_paths", """
+select array_to_string(path, '>') as path, length from walk where last = 'R:1'""", """
+ed as (select subject as a, object as b from edges where predicate in ('located_in', 'part_of') and (source <> 'customer' or subject in ('C:1', 'C:2', 'C:4', 'C:5', 'C:7'))),
+un as (select a, b from ed union select b, a from ed),
+walk(path, last, length) as (select ['C:1'], 'C:1', cast(0 as bigint) union all select list_append(path, b), b, length + 1 from walk join un on un.a = last
+  where length < 3 and not list_contains(path, b) and last <> 'R:1')""", recursive=True)
+def x1(spark, d):
+    e = edges_of(spark, d, "located_in").where("source <> 'customer' or subject in ('C:1', 'C:2', 'C:4', 'C:5', 'C:7')").union(edges_of(spark, d, "part_of"))
+    return paths.connect(e, "C:1", "R:1", 3).select(F.array_join("path", ">").alias("path"), "length")
+
+
+@query("x3_path_analyses", """
+select row_number() over (order by p) as analysis, p as path, 2 as length from (select c || '>' || o || '>' || b as p from (select a.subject as c, a.object as o, b.object as b from edges a join edges b on a.object = b.subject
+where a.predicate = 'located_in' and a.source = 'supplier' and b.predicate = 'part_of' and a.subject = 'S:1'))""")
+def x3(spark, d):
+    e = edges_of(spark, d, "located_in").where("source = 'supplier'").union(edges_of(spark, d, "part_of"))
+    nation = e.where("subject = 'S:1'").first()["object"]
+    region = e.where(F.col("subject") == nation).first()["object"]
+    return paths.analyses(paths.connect(e, "S:1", region, 2)).select("analysis", F.array_join("path", ">").alias("path"), "length")
+
+
+@query("x4_support_graphs", """
+select r.c || '|' || r.o as result_id, 'aux_' || string_agg(e1.id, ';' order by e1.id) as aux_id, count(*) as n_edges from r join e1 on e1.subject = r.o where e1.amount >= 20 group by r.c, r.o""", KG)
+def x4(spark, d):
+    kg_nodes, kg_edges = chain_kg(spark, d)
+    results = match.result_id(match.match(CHAIN, kg_nodes, kg_edges), CHAIN).persist()
+    bound = match.bound_edges(match.bound_nodes(results, CHAIN), CHAIN, kg_edges)
+    virtual = bound.where("qedge_key = 'e1'").join(kg_edges.where("amount >= 20").select(F.col("id").alias("edge_id")), "edge_id", "left_semi")
+    return paths.support_graphs(virtual.withColumn("option_group", F.lit("g"))).select("result_id", "aux_id", F.size("edge_ids").cast("long").alias("n_edges"))
+
+
+@query("x5_supported_edges", """
+select e.id from edges e where e.predicate = 'placed' and e.object in (select subject from edges where predicate = 'contains' and amount >= 30)""")
+def x5(spark, d):
+    placed = edges_of(spark, d, "placed").select("id", "subject", "object")
+    support = placed.select(F.col("id").alias("edge_id"), F.col("object").alias("aux_id"), F.col("subject").alias("from_id"), F.col("object").alias("to_id"))
+    # each order's aux graph joins customer and order through a part of enough quantity
+    c = edges_of(spark, d, "contains").select(F.col("subject").alias("aux_id"), F.col("object").alias("part"), "amount")
+    hop = support.join(c, "aux_id")
+    value = F.when(F.col("amount") >= 30, 0.5).otherwise(float("inf"))
+    aux = hop.select("aux_id", F.col("from_id").alias("subject"), F.col("part").alias("object"), value.alias("ngd"))
+    aux = aux.union(hop.select("aux_id", "part", "to_id", F.lit(0.1)))
+    return paths.supported(support, aux, 2).select(F.col("edge_id").alias("id"))
+
+
+@query("e11_kryptonite_pattern", """
+select c, o, p from r where o not in (select subject from e1 where amount = 50)""", KG)
+def kryptonite(spark, d):
+    kg_nodes, kg_edges = chain_kg(spark, d)
+    bad = kg_edges.where("qedge_key = 'e1' and amount = 50").select(F.col("subject").alias("o"))
+    kept = expand.kryptonite(kg_edges.where("qedge_key = 'e0'").withColumn("o", F.col("object")), bad, ["o"]).drop("o")
+    return match.match(CHAIN, kg_nodes, kept.union(kg_edges.where("qedge_key = 'e1'"))).select("c", "o", F.array_join("p", ",").alias("p"))
