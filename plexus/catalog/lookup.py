@@ -1 +1,202 @@
+"""Inference and lookup queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plexus.catalog.base import query
+from plexus.catalog.batch import SYN, syn_nodes
+from plexus.functions.text import prefix_of, to_snake
+from plexus.operators import infer as I
+from plexus.services import lookups as V
+from plexus.sources import lens
+from plexus.sources.lens import edges_of, nodes_of, ontology
+
+#: Scores of (supplier, part) pairs stand in for a prediction table.
+SCORES = """
+sc as (select subject as drug, object as disease, round(amount / 200, 6) as score from edges where predicate = 'supplies'),
+tp as (select drug, disease, score from (select *, row_number() over (partition by drug order by score desc, disease) as r from sc where drug in ('S:1', 'S:2', 'S:3')) where r <= 20),
+pa as (select tp.drug, tp.disease, tp.drug || '->supplies->' || tp.disease as path, tp.score as path_score from tp
+  union all select tp.drug, tp.disease, tp.drug || '->located_in->' || e.object || '->part_of->' || tp.disease, 0.5 from tp join edges e on e.subject = tp.drug and e.predicate = 'located_in')"""
+
+
+def scores(spark, d):
+    return edges_of(spark, d, "supplies").select(F.col("subject").alias("drug"), F.col("object").alias("disease"), F.round(F.col("amount") / 200, 6).alias("score"))
+
+
+def top(spark, d):
+    return I.top_scored(scores(spark, d), "drug", spark.createDataFrame([("S:1",), ("S:2",), ("S:3",)], "id string"), 20)
+
+
+def paths(spark, d):
+    t = top(spark, d)
+    one = t.select("drug", "disease", F.concat_ws("->", "drug", F.lit("supplies"), "disease").alias("path"), F.col("score").alias("path_score"))
+    n = edges_of(spark, d, "located_in").select(F.col("subject").alias("drug"), F.col("object").alias("n"))
+    two = t.join(n, "drug").select("drug", "disease", F.concat_ws("->", "drug", F.lit("located_in"), "n", F.lit("part_of"), "disease").alias("path"), F.lit(0.5).alias("path_score"))
+    return one.union(two)
+
+
+@query("i1_top_predictions", "select drug, disease, score from tp", SCORES)
+def i1(spark, d):
+    return top(spark, d)
+
+
+@query("i1_surviving_paths", "select drug, disease, path, cast(1 as bigint) as length from pa where path like '%->supplies->%'", SCORES)
+def i1p(spark, d):
+    return I.surviving_paths(paths(spark, d), lens.graph(spark, d, ("supplies", "located_in", "part_of")).edges)
+
+
+@query("i1_predicted_edges", "select drug || '--predicted_treats--' || disease as id, score, cast(1 as bigint) as n_paths from tp", SCORES)
+def i1e(spark, d):
+    found = I.surviving_paths(paths(spark, d), lens.graph(spark, d, ("supplies", "located_in", "part_of")).edges)
+    return I.predicted_edges(top(spark, d), found).select("id", "score", "n_paths")
+
+
+@query("i2_path_length", "select path, cast(len(string_split(path, '->')) // 2 as bigint) as length from pa", SCORES)
+def i2(spark, d):
+    return paths(spark, d).select("path", I.path_length("path").alias("length"))
+
+
+@query("i3_sort_by_prediction", "select object as result_id, coalesce(score, 0) as score from (select object from edges where predicate = 'supplies' group by object) left join (select disease, max(score) as score from tp group by disease) on disease = object", SCORES)
+def i3(spark, d):
+    r = edges_of(spark, d, "supplies").select(F.col("object").alias("result_id")).distinct()
+    return I.by_prediction(r, top(spark, d).groupBy(F.col("disease").alias("result_id")).agg(F.max("score").alias("score")))
+
+
+@query("i5_nearest_embeddings", """
+select query_id, vec_id, probability, place from (select q.vec_id as query_id, e.vec_id,
+  round(1 / (1 + exp(-5 * (list_dot_product(cast(e.embedding as double[]), cast(q.embedding as double[])) / (sqrt(list_dot_product(cast(e.embedding as double[]), cast(e.embedding as double[]))) * sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[]))))))), 6) as probability,
+  row_number() over (partition by q.vec_id order by probability desc, e.vec_id) as place
+  from embeddings e join (select * from embeddings where vec_id < 5) q on q.vec_id <> e.vec_id) where probability >= 0.5 and place <= 30""")
+def i5(spark, d):
+    e = lens.table(spark, d, "embeddings").select("vec_id", "embedding")
+    return I.nearest(e, e.where("vec_id < 5").toDF("query_id", "query"))
+
+
+HUBS = """
+hb as (select id from nodes where prefix = 'S'), an as (select distinct 'P:' || p_partkey as answer, 'N:' || (p_partkey % 25) as target from part where p_partkey <= 200),
+bt as (select object as node, subject as hub, id from edges where predicate in ('supplies', 'located_in') and substr(subject, 1, 1) = 'S'),
+fd as (select answer, target, x.hub, x.id as edge_1, y.id as edge_2, row_number() over (partition by answer, target order by x.hub) as place from an join bt x on x.node = answer join bt y on y.node = target and y.hub = x.hub),
+ff as (select * from fd where place <= 10)"""
+
+
+def hub_paths(spark, d):
+    p = lens.table(spark, d, "part").where("p_partkey <= 200")
+    answers = p.select(lens.curie("P", "p_partkey").alias("answer"), F.concat(F.lit("N:"), (F.col("p_partkey") % 25).cast("string")).alias("target"))
+    depth = spark.createDataFrame([("supplies", 2), ("located_in", 1)], "predicate string, depth int")
+    hubs = nodes_of(spark, d).where("prefix = 'S'").select("id")
+    return I.via_hubs(answers, edges_of(spark, d, "supplies").union(edges_of(spark, d, "located_in")), hubs, depth)
+
+
+@query("i6_hub_paths", "select answer, target, hub, edge_1, edge_2, place from ff", HUBS)
+def i6(spark, d):
+    return hub_paths(spark, d).select("answer", "target", "hub", "edge_1", "edge_2", "place")
+
+
+@query("i7_path_graph", "select 'e0' as qedge_key, edge_1 as edge_id from ff union select 'e1', edge_2 from ff", HUBS)
+def i7(spark, d):
+    return I.path_graph(hub_paths(spark, d))[1]
+
+
+@query("markov_transitions", """
+select from_type, to_type, round(count(*) / cast(sum(count(*)) over (partition by from_type) as double), 6) as chance from (
+  select event_type as from_type, lead(event_type) over (partition by user_id order by ts, event_id) as to_type from events) where to_type is not null group by from_type, to_type""")
+def markov(spark, d):
+    from pyspark.sql import Window
+
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    steps = lens.table(spark, d, "events").select(F.col("event_type").alias("from_type"), after.alias("to_type")).where("to_type is not null")
+    return I.transitions(steps).withColumn("chance", F.round("chance", 6))
+
+
+CLUSTERS = SYN + """, cu as (select 'B:' || name as cluster_id, name, branch as category, id as member_id, name || ' ' || substr(id, 3) as member_name from sn)"""
+
+
+def cluster_table(spark, d):
+    n = syn_nodes(spark, d)
+    return n.select(F.concat(F.lit("B:"), "name").alias("cluster_id"), "name", F.col("branch").alias("category"), F.col("id").alias("member_id"), F.concat_ws(" ", "name", F.substring("id", 3, 9)).alias("member_name"))
+
+
+@query("v1_canonical_lookup", """
+select t.term, c.cluster_id, c.name, c.category from (values ('P:7'), ('P:11'), ('nothing')) t(term) left join cu c on c.member_id = t.term
+union all select upper(member_name), cluster_id, name, category from cu where member_id in ('P:3', 'P:4')""", CLUSTERS)
+def v1(spark, d):
+    c = cluster_table(spark, d)
+    terms = spark.createDataFrame([("P:7",), ("P:11",), ("nothing",)], "term string")
+    named = c.where("member_id in ('P:3', 'P:4')").select(F.upper("member_name").alias("term"))
+    return V.canonical(terms.union(named), c)
+
+
+@query("v2_equivalents", "select a.member_id as id, string_agg(distinct b.member_id, ',' order by b.member_id) as equivalents from cu a join cu b on a.cluster_id = b.cluster_id group by a.member_id", CLUSTERS)
+def v2(spark, d):
+    c = cluster_table(spark, d)
+    return V.equivalents(c.select(F.col("member_id").alias("id")), c).select("id", F.array_join("equivalents", ",").alias("equivalents"))
+
+
+@query("v2_deepest_category", "select id, categories[1] as category from nodes")
+def v2d(spark, d):
+    c = nodes_of(spark, d).select("id", F.explode("categories").alias("category"))
+    return V.deepest_category(c.join(ontology(spark).select(F.col("child").alias("category")).distinct(), "category", "left_semi"), ontology(spark))
+
+
+@query("v3_names_match", """
+select a, b, coalesce(x = y or (contains(l, s) and length(s) / cast(length(l) as double) >= 0.6)
+  or len(list_filter(ta, lambda p: len(list_filter(tb, lambda q: p = q or starts_with(p, q) or starts_with(q, p))) > 0)) / cast(greatest(len(ta), len(tb)) as double) > 0.5, false) as matches
+from (select *, case when length(x) <= length(y) then x else y end as s, case when length(x) <= length(y) then y else x end as l from (
+  select p_name as a, p_type || ' ' || p_name as b, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') as x, regexp_replace(lower(p_type || ' ' || p_name), '[^a-z0-9]', '', 'g') as y,
+    list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda t: t <> '') as ta, list_filter(string_split_regex(lower(p_type || ' ' || p_name), '[^a-z0-9]+'), lambda t: t <> '') as tb from part where p_partkey % 2 = 0))""")
+def v3(spark, d):
+    p = lens.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_name").alias("a"), F.concat_ws(" ", "p_type", "p_name").alias("b"))
+    return p.select("a", "b", V.names_match(F.col("a"), F.col("b")).alias("matches"))
+
+
+@query("v4_autocomplete", """
+select term, case when starts_with(low, 'cust') then 0 else 1 end as kind, cast(length(term) as int) as length from (select lower(term) as low, min(term) as term from (select c_name as term from customer union all select p_name from part) group by 1)
+where contains(low, 'cust') order by 2, 3, 1 limit 40""")
+def v4(spark, d):
+    t = lens.table(spark, d, "customer").select(F.col("c_name").alias("term")).union(lens.table(spark, d, "part").select("p_name"))
+    return V.complete(t, "cust", 40)
+
+
+@query("v5_cache_key", "select n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}') as key from nation")
+def v5(spark, d):
+    n = lens.table(spark, d, "nation")
+    return n.select("n_nationkey", V.cache_key(["n_regionkey", "n_name"]).alias("key"))
+
+
+@query("v6_denied_clients", "select user_id as client, count(*) as n from events where event_type = 'purchase' group by user_id having count(*) > 10")
+def v6(spark, d):
+    return V.denied_clients(lens.table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("client")))
+
+
+@query("v6_recent_queries", "select event_type as status, count(*) as n, max(value) as longest_s from events where epoch(date_trunc('second', (select max(ts) from events))) - epoch(date_trunc('second', ts)) <= 48 * 3600 group by event_type")
+def v6r(spark, d):
+    e = lens.table(spark, d, "events").select(F.col("event_type").alias("status"), F.col("ts").alias("started"), F.col("value").alias("elapsed"))
+    return V.recent_queries(e, 48)
+
+
+@query("v7_meta_graph", "select distinct e.source, s.categories[1] as subject_category, e.predicate, o.categories[1] as object_category from edges e join nodes s on s.id = e.subject join nodes o on o.id = e.object")
+def v7(spark, d):
+    return V.meta_graph(lens.graph(spark, d))
+
+
+@query("v8_provenance", """
+select predicate, provided_by, n, cast(sum(n) over (partition by predicate) as bigint) as n_predicate, count(*) over (partition by predicate) as n_sources from (
+  select predicate, case when amount < 0 then 'no provenance' else source end as provided_by, count(*) as n from edges group by 1, 2)""")
+def v8(spark, d):
+    e = lens.graph(spark, d).edges.withColumn("source", F.when(F.col("amount") >= 0, F.col("source")))
+    return V.provenance(e)
+
+
+@query("v10_expansive_categories", """
+select distinct category, expanded from (select child as category, ancestor as expanded from ontology where child in ('Customer', 'Part') and ancestor <> 'Thing'
+  union all select child, case ancestor when 'Customer' then 'Supplier' when 'Supplier' then 'Customer' when 'Item' then 'Place' end from ontology where child in ('Customer', 'Part') and ancestor in ('Customer', 'Item'))""")
+def v10(spark, d):
+    c = spark.createDataFrame([("Customer",), ("Part",)], "category string")
+    same = spark.createDataFrame([("Supplier", "Customer"), ("Item", "Place")], "a string, b string")
+    return V.expansive_categories(c, ontology(spark), same, "Thing")
+
+
+@query("text_prefix_and_case", "select distinct upper(split_part(id, ':', 1)) as prefix, 'has_part_of' as snake from nodes")
+def text(spark, d):
+    return nodes_of(spark, d).select(prefix_of(F.col("id")).alias("prefix"), to_snake(F.lit("hasPart of")).alias("snake")).distinct()

@@ -82,7 +82,7 @@ def denied_clients(ongoing: DataFrame, limit: int = 10) -> DataFrame:
 def recent_queries(tracked: DataFrame, hours: float) -> DataFrame:
     """V6: per status, the queries of the last ``hours`` before the newest: ``(status, n, longest_s)``."""
     newest = tracked.agg(F.max("started").alias("newest"))
-    recent = tracked.join(F.broadcast(newest)).where(F.unix_seconds("newest") - F.unix_seconds("started") <= hours * 3600)  # one row
+    recent = tracked.join(F.broadcast(newest)).where(F.unix_seconds(F.col("newest").cast("timestamp")) - F.unix_seconds(F.col("started").cast("timestamp")) <= hours * 3600)  # one row
     return recent.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("elapsed").alias("longest_s"))
 
 
