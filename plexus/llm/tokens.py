@@ -1,7 +1,7 @@
 """Operator 7: token ids as Parquet list columns, read back selectively.
 
 Texts are encoded whole in Arrow batches by the tokenizers library; words are encoded once while a
-task remembers them, at most ``REMEMBERED`` at a time (the tokenizer drops white space and never joins across it, so a text's ids are the ids of
+worker remembers them, about ``REMEMBERED`` at a time (the tokenizer drops white space and never joins across it, so a text's ids are the ids of
 its words in order).  Documents are range-partitioned and sorted by id, one file per partition.  A
 file holds ``doc_id, part, local_start, n_tokens, ids``: dictionary encoding packs the ids (delta
 encoding on request), row groups and pages have set sizes, and the page index with the small columns
@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plexus.llm.common import scratch
+from plexus.llm.kernel import _LOWER, Block, blocks
 
 END = 1
-#: A task forgets all words once it remembers more than this (about 200 B each).
-REMEMBERED = 500_000
-_SPLIT = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+#: A worker forgets all words once it remembers more than this (about 50 B each).
+REMEMBERED = 1_000_000
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?|%*&$#")] = True
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 
 
 def default_tokenizer() -> str:
@@ -38,36 +42,107 @@ def default_tokenizer() -> str:
 
 
 class WordIds:
-    """Ids of the words met so far, flat, with the end id at place 0."""
-
-    def __init__(self):
-        self.place: dict[bytes, int] = {}
-        self.flat, self.first, self.size = np.array([END], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def learn(self, words: list[str], tokenizer) -> None:
-        pieces = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    """Ids of the word parts met so far, by 64-bit hash; place 0 is the end id, place 1 is empty."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.hash, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.first, self.size = np.array([END], np.int32), np.zeros(2, np.int64), np.array([1, 0])
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a letter run
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def places(self, h: np.ndarray, b: Block, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of byte ranges of the block with hashes ``h``; new ones are encoded."""
+        h, one, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        new = np.flatnonzero(self.hash[at] != h) if len(self.hash) else np.arange(len(h))
+        if len(new):
+            data, i, j = b.buf.tobytes(), start[one[new]].tolist(), end[one[new]].tolist()
+            self.learn(h[new], [data[x:y].decode() for x, y in zip(i, j, strict=True)])
+            at = np.searchsorted(self.hash, h)
+        return self.place[at][inverse] if len(h) else np.zeros(0, np.int64)
+
+    def learn(self, h: np.ndarray, parts: list[str]) -> None:
+        """Add parts with new, sorted hashes.
+
+        Letter runs are encoded many to a text and told apart by the ids that end one; others each by itself.
+        """
+        run = [x.isalpha() and (x.isascii() or normalize("NFC", x).lower().isalpha()) for x in parts]
+        runs = [i for i, yes in enumerate(run) if yes]
+        alone = [i for i, yes in enumerate(run) if not yes]
+        groups = [runs[i : i + 500] for i in range(0, len(runs), 500)]
+        size, flat, order = [], [], []
+        joined = self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in g]) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, joined, strict=True):
+            ids = np.array(e.ids, np.int32)
+            ends = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
+            if len(ends) == len(g):
+                size.append(np.diff(ends, prepend=0))
+                flat.append(ids)
+                order += g
+            else:
+                alone += g
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([parts[i] for i in alone], add_special_tokens=False)]
+        size.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+        flat.append(np.fromiter(chain.from_iterable(encoded), np.int32, int(size[-1].sum())))
+        size, order = np.concatenate(size), np.array(order + alone)
+        at, place = np.searchsorted(self.hash, h), np.empty(len(h), np.int64)
+        place[order] = len(self.size) + np.arange(len(h))
+        self.hash = np.insert(self.hash, at, h)
+        self.place = np.insert(self.place, at, place)
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(pieces), np.int32, int(size.sum()))])
-
-
-def encode(texts: list[str | None], tokenizer, known: WordIds | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """``(ids, counts)`` of all texts, each with the end id."""
-    known = known or WordIds()
-    place, before = known.place, len(known.place)
-    counts, places = np.zeros(len(texts), np.int64), []
-    for i, text in enumerate(texts):
-        parts = text.encode().translate(_SPLIT).split() if text else ()
-        counts[i] = len(parts) + 1
-        places.append([place.setdefault(w, len(place) + 1) for w in parts])
-    at = np.fromiter(chain.from_iterable(chain(p, (0,)) for p in places), np.int64, int(counts.sum()))
-    if len(place) > before:
-        known.learn([w.decode() for w in islice(place, before, None)], tokenizer)
-    length = known.size[at]
-    out_first = np.cumsum(length) - length
-    ids = known.flat[np.repeat(known.first[at] - out_first, length) + np.arange(int(length.sum()))]
-    return ids, np.add.reduceat(length, np.cumsum(counts) - counts) if len(counts) else counts
+        self.flat = np.concatenate([self.flat, *flat])
+
+
+def split_words(b: Block) -> np.ndarray:
+    """Where the marks at the end of each word begin (its end if they cannot be split off); lower-cases ``b.buf``.
+
+    The tokenizer always cuts between a letter or digit and a mark.  Words of ASCII and Latin-1 letters,
+    digits and signs are lower-cased A-Z, as it does; others may compose with marks or hold special tokens
+    and stay as they are, whole.
+    """
+    raw = b.raw
+    latin = np.zeros(len(raw) + 1, bool)
+    latin[:-1] = raw == 0xC3
+    odd = (raw >= 0x80) & ~latin[:-1]
+    odd[1:] &= ~latin[:-2]
+    odd |= raw == ord("<")
+    count = np.concatenate([[0], np.cumsum(odd)])
+    plain = count[b.we] == count[b.ws]
+    step = np.zeros(len(raw) + 1, np.int8)
+    step[b.ws[plain]] += 1
+    step[b.we[plain]] -= 1
+    b.buf = np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, _LOWER[raw], raw)
+    if not len(b.ws):
+        return b.we
+    solid = np.maximum.accumulate(np.where(_MARK[raw], -1, np.arange(len(raw))))
+    cut = solid[b.we - 1] + 1
+    last = raw[np.maximum(cut - 1, 0)]
+    latin_letter = (raw[np.maximum(cut - 2, 0)] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (cut - 2 >= b.ws)
+    return np.where(plain & (cut > b.ws) & (_ALNUM[last] | latin_letter), cut, b.we)
+
+
+def encode(b: Block, known: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """``(ids, counts)`` of all texts of the block, each with the end id."""
+    cut = split_words(b)
+    marked = cut < b.we
+    core = known.places(b.hashes(b.ws, cut), b, b.ws, cut)
+    marks = np.ones(len(b.ws), np.int64)
+    marks[marked] = known.places(b.hashes(cut[marked], b.we[marked]), b, cut[marked], b.we[marked])
+    counts = 2 * b.wn + 1
+    at = np.zeros(int(counts.sum()), np.int64)
+    spot = 2 * np.arange(len(b.ws)) + b.wdoc  # an end id follows the words of each text
+    at[spot], at[spot + 1] = core, marks
+    size = known.size[at]
+    ends = np.cumsum(size)
+    ids = known.flat[np.repeat(known.first[at] - (ends - size), size) + np.arange(int(ends[-1]))]
+    return ids, np.add.reduceat(size, np.cumsum(counts) - counts)
+
+
+#: Kept between the tasks of a Python worker.
+_workers: dict[str, WordIds] = {}
 
 
 def _encoded(tokenizer_path: str):
@@ -78,18 +153,13 @@ def _encoded(tokenizer_path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        tokenizer, start, part = Tokenizer.from_file(tokenizer_path), 0, TaskContext.get().partitionId()
-        known = WordIds()
+        known = _workers.pop(tokenizer_path, None) or WordIds(Tokenizer.from_file(tokenizer_path))
+        start, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            texts, lo = batch.column(1).to_pylist(), 0
-            while lo < len(texts):
-                hi, room = lo, 1 << 23
-                while hi < len(texts) and (hi == lo or room > 0):
-                    room -= len(texts[hi] or "")
-                    hi += 1
-                if len(known.place) > REMEMBERED:
-                    known = WordIds()
-                ids, counts = encode(texts[lo:hi], tokenizer, known)
+            for lo, hi, b in blocks(batch.column(1), 1 << 21):
+                if len(known.hash) > REMEMBERED:
+                    known = WordIds(known.tokenizer)
+                ids, counts = encode(b, known)
                 ends = np.cumsum(counts)
                 off = np.concatenate([[0], ends]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -103,7 +173,7 @@ def _encoded(tokenizer_path: str):
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
                 start += int(ends[-1])
-                lo = hi
+        _workers[tokenizer_path] = known
 
     return run
 
