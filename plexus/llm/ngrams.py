@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
+import pyarrow as pa
 
 from plexus.llm.kernel import U, Block, mix, windows
 
@@ -103,5 +102,10 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def rows_of(pairs: Iterable) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.asarray(i, np.int64), np.asarray(v, np.float64)) for i, v in pairs]
+def rows_of(index: pa.ChunkedArray, value: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sparse rows from two list columns, without a Python object per entry."""
+    out = []
+    for i, v in zip(index.chunks, value.chunks, strict=True):
+        flat, weight, cut = i.flatten().to_numpy(), v.flatten().to_numpy(), np.cumsum(i.value_lengths().to_numpy())
+        out += list(zip(np.split(flat.astype(np.int64), cut[:-1]), np.split(weight, cut[:-1]), strict=True))
+    return out

@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         texts.select("doc_id", "text").mapInArrow(_sample_features, "doc_id long, index array<int>, value array<float>")
         .join(F.broadcast(chosen), "doc_id").toArrow()
     )
-    rows = rows_of(zip(found["index"].to_pylist(), found["value"].to_pylist(), strict=True))
+    rows = rows_of(found["index"], found["value"])
     y = found["y"].to_numpy().astype(np.int64)
     held = np.array([(i * 2654435761 >> 7) % 5 == 0 for i in found["doc_id"].to_pylist()], bool)
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
