@@ -1,7 +1,7 @@
 """Operator 10: URL filters with redirect equivalence (native).
 
 A rule names a host and a path prefix and fits the host and its subdomains; the longest rule that fits
-decides.  Pages that are the same resource -- by URL (scheme, fragment and default ports aside), by a
+decides.  Pages that are the same resource -- by URL (scheme and fragment aside), by a
 canonical link, an ``og:url`` or a refresh redirect in the page, or by a given redirect table -- form
 classes by distributed connected components.  A class with a page blocked by rule is blocked: its
 pages without a rule of their own get the verdict block.  A page's own rule comes first, so an
@@ -88,11 +88,9 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def node_of(url: Column) -> Column:
-    """One name for a resource: host without a default port, path and query; null without a host."""
-    host = F.regexp_replace(host_of(url), r":(80|443)$", "")
+    """One name for a resource: host, path and query; null without a host."""
     query = F.coalesce(F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1), F.lit(""))
-    path = path_of(url)
-    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), query))
+    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -132,8 +130,7 @@ r(verdict, h, q) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en
   ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 f as (select page_id, url, max_by(h || q, length(h || q)) as rule, max_by(verdict, length(h || q)) as own
   from p join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, q) group by page_id, url),
-j as (select p.*, f.rule, f.own, case when host <> '' then regexp_replace(host, ':(80|443)$', '')
-    || case when path = '' then '/' else path end || coalesce(regexp_extract(p.url, '^[^?#]*(\?[^#]*)', 1), '') end as node
+j as (select p.*, f.rule, f.own, case when host <> '' then host || path || coalesce(regexp_extract(p.url, '^[^?#]*(\?[^#]*)', 1), '') end as node
   from p left join f on f.page_id = p.page_id and f.url = p.url),
 c as (select node as a, host, unnest([
     regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1),
@@ -144,7 +141,7 @@ g as (select a, case when link like '%://%' then link when starts_with(link, '//
     when starts_with(link, '/') then 'http://' || host || link end as link from c where link <> ''),
 h as (select a, lower(regexp_extract(link, '^(?s:.*?)://([^/?#]*)', 1)) as host, regexp_extract(link, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) as path,
     coalesce(regexp_extract(link, '^[^?#]*(\?[^#]*)', 1), '') as query from g where link is not null),
-e as (select a, regexp_replace(host, ':(80|443)$', '') || case when path = '' then '/' else path end || query as b from h where host <> ''),
+e as (select a, host || path || query as b from h where host <> ''),
 u as (select a, b from e union select b, a from e),
 bad(node) as (select node from j where own = 'block' and node is not null union select u.b from bad join u on u.a = bad.node)
 select page_id, host, path, rule, coalesce(own, case when node in (select node from bad) then 'block' else 'allow' end) as verdict from j
