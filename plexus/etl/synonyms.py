@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexus.functions.text import simple_name
+from plexus.sources.scratch import saved
 
 
 def match_graph(edges: DataFrame, predicates: tuple[str, ...] = ("same_as", "close_match")) -> DataFrame:
@@ -65,15 +66,14 @@ def label_propagation(nodes: DataFrame, pairs: DataFrame, fixed: DataFrame | Non
 
     A node keeps its label unless another is strictly heavier, and only half of the nodes (by hash) move in a
     round, so two-cycles die out.  ``fixed(id, label)`` never move.  Each round is a join and two combinable
-    aggregations; lineage is cut by a checkpoint every few rounds where a checkpoint folder is set.
+    aggregations, and is written to the shared folder to cut the lineage.
     """
-    spark = nodes.sparkSession
-    both = pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight")).toDF("id", "near", "weight").persist()
+    pairs = saved(pairs)
+    both = pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight")).toDF("id", "near", "weight")
     label = nodes.select("id", F.col("id").alias("label"), F.lit(False).alias("pin"))
     if fixed is not None:
         f = fixed.select("id", F.col("label").alias("__f"))
         label = label.join(f, "id", "left").select("id", F.coalesce("__f", "label").alias("label"), F.col("__f").isNotNull().alias("pin"))
-    can_cut = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     still = 0
     for i in range(rounds):
         votes = both.join(label.select(F.col("id").alias("near"), "label"), "near").groupBy("id", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
@@ -84,7 +84,7 @@ def label_propagation(nodes: DataFrame, pairs: DataFrame, fixed: DataFrame | Non
         turn = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
         move = ~F.col("pin") & turn & F.col("lead").isNotNull() & (F.col("top") > F.coalesce("own", F.lit(0.0)))
         step = step.select("id", F.when(move, F.col("lead")).otherwise(F.col("label")).alias("label"), "pin", move.alias("moved"))
-        step = step.checkpoint() if can_cut else step.persist()
+        step = saved(step)
         still = 0 if step.where("moved").limit(1).count() else still + 1
         label = step.select("id", "label", "pin")
         if still == 2:
