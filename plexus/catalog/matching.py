@@ -9,6 +9,7 @@ from plexus.operators import expand, match, overlay, paths, rank
 from plexus.plans.pattern import Pattern, QEdge, QNode
 from plexus.sources import lens
 from plexus.sources.lens import edges_of, nodes_of
+from plexus.sources.scratch import saved
 
 #: customer - order - parts (a set)
 CHAIN = Pattern((QNode("c", categories=("Customer",)), QNode("o"), QNode("p", is_set=True)), (QEdge("e0", "c", "o"), QEdge("e1", "o", "p")))
@@ -26,7 +27,7 @@ def chain_kg(spark, d, segment="BUILDING"):
     for df, col, key in ids:
         part = df.select(F.lit(key).alias("qnode_key"), F.col(col).alias("node_id")).distinct()
         kg_nodes = part if kg_nodes is None else kg_nodes.union(part)
-    return kg_nodes, kg_edges
+    return saved(kg_nodes), saved(kg_edges)  # the answer graph is read many times
 
 
 KG = """
@@ -75,7 +76,7 @@ select c || '|' || o as result_id, 'e0' as qedge_key, c || '--placed--' || o as
 union all select r.c || '|' || r.o, 'e1', e1.id from r join e1 on e1.subject = r.o""", KG)
 def r7(spark, d):
     kg_nodes, kg_edges = chain_kg(spark, d)
-    results = match.result_id(match.match(CHAIN, kg_nodes, kg_edges), CHAIN).persist()
+    results = saved(match.result_id(match.match(CHAIN, kg_nodes, kg_edges), CHAIN))
     return match.bound_edges(match.bound_nodes(results, CHAIN), CHAIN, kg_edges)
 
 
@@ -133,7 +134,7 @@ or (e.predicate = 'contains' and e.subject in (select o from t) and e.object in
        KG + ", t as (select c, o from r where n >= 7)")
 def r14(spark, d):
     kg_nodes, kg_edges = chain_kg(spark, d)
-    results = match.result_id(match.match(CHAIN, kg_nodes, kg_edges).where(F.size("p") >= 7), CHAIN).persist()
+    results = saved(match.result_id(match.match(CHAIN, kg_nodes, kg_edges).where(F.size("p") >= 7), CHAIN))
     bound = match.bound_nodes(results, CHAIN)
     g = lens.graph(spark, d, ("placed", "contains"))
     return match.prune_graph(g.nodes, g.edges, bound, match.bound_edges(bound, CHAIN, kg_edges))[1].select("id")
@@ -151,7 +152,7 @@ select c, o, p, jaccard, row_number() over (order by jaccard desc, c, o) as plac
 order by jaccard desc, c, o limit 500""", KG)
 def flagship(spark, d):
     kg_nodes, kg_edges = chain_kg(spark, d)
-    results = match.result_id(match.match(CHAIN, kg_nodes, kg_edges), CHAIN).persist()
+    results = saved(match.result_id(match.match(CHAIN, kg_nodes, kg_edges), CHAIN))
     bound = match.bound_nodes(results, CHAIN)
     part_of_customer = overlay.result_pairs(bound, "c", "p").groupBy(F.col("subject").alias("c")).agg(F.count(F.lit(1)).alias("n"))
     scored = results.join(part_of_customer, "c").withColumn("jaccard", F.round(F.size("p") / F.col("n"), 6))
@@ -184,7 +185,7 @@ def x3(spark, d):
 select r.c || '|' || r.o as result_id, 'aux_' || string_agg(e1.id, ';' order by e1.id) as aux_id, count(*) as n_edges from r join e1 on e1.subject = r.o where e1.amount >= 20 group by r.c, r.o""", KG)
 def x4(spark, d):
     kg_nodes, kg_edges = chain_kg(spark, d)
-    results = match.result_id(match.match(CHAIN, kg_nodes, kg_edges), CHAIN).persist()
+    results = saved(match.result_id(match.match(CHAIN, kg_nodes, kg_edges), CHAIN))
     bound = match.bound_edges(match.bound_nodes(results, CHAIN), CHAIN, kg_edges)
     virtual = bound.where("qedge_key = 'e1'").join(kg_edges.where("amount >= 20").select(F.col("id").alias("edge_id")), "edge_id", "left_semi")
     return paths.support_graphs(virtual.withColumn("option_group", F.lit("g"))).select("result_id", "aux_id", F.size("edge_ids").cast("long").alias("n_edges"))

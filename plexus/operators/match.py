@@ -4,6 +4,7 @@
 pair tables, one per linked pair of query nodes; Catalyst and AQE choose the strategies.  Set-valued
 nodes fold to sorted arrays: leaves before they are joined, others after, so independent sets never
 multiply.  For acyclic patterns this is exact; in cyclic patterns a set holds the nodes of joint matches.
+Inputs are read once for every query edge: hand in written tables (``sources.scratch.saved``), not long plans.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexus.plans.pattern import Pattern
+from plexus.sources.scratch import saved
 
 
 def pair_table(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, a: str, b: str, ignore_direction: bool = True) -> DataFrame:
@@ -152,7 +154,8 @@ def prune_graph(nodes: DataFrame, edges: DataFrame, bound: DataFrame, result_edg
     if aux is not None:
         wanted = wanted.union(aux.select(F.col("edge_id").alias("id")))
     named = edges.join(wanted.distinct(), "id", "left_semi")
-    ids = bound.select(F.col("node_id").alias("id")).union(named.select(F.explode(F.array("subject", "object")).alias("id"))).distinct()
+    ids = bound.select(F.col("node_id").alias("id")).union(named.select(F.explode(F.array("subject", "object")).alias("id")))
+    ids = saved(ids.distinct())  # read three times
     kept = edges
     for end in ("subject", "object"):
         kept = kept.join(ids.select(F.col("id").alias(end)), end, "left_semi")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexus.sources.scratch import saved
+
 #: Base confidence of edges by source.
 SOURCE_WEIGHT = {"semmeddb": 0.5, "text-mining": 0.85, "drugcentral": 0.93, "drugbank": 0.99, "virtual": 0.0}
 OTHER_SOURCE = 0.5
@@ -137,7 +139,7 @@ def quantile_ranks(scores: DataFrame, names: Sequence[str] = ("max_flow", "longe
 
     The distribution comes from counts per distinct score: the window runs over distinct values, not rows.
     """
-    out = scores
+    out = scores = saved(scores)  # read once for each scorer
     for name in names:
         counts = scores.groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
         upto = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
@@ -153,6 +155,7 @@ def break_ties(scored: DataFrame, order: Sequence[Column], most: int = 1000) ->
 
     The running rule ``s[i] = min(s[i], s[i-1] - 0.001)`` is a running minimum of ``s[i] + 0.001 i``.
     """
+    scored = saved(scored)
     place = F.row_number().over(Window.orderBy(*order)) - 1
     top = scored.orderBy(*order).limit(most).withColumn("place", place)
     upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from plexus.etl import synonyms
 from plexus.functions.scores import fisher_p
@@ -32,7 +33,7 @@ def test_max_flow_by_cuts():
 
 def test_ties_are_broken_downwards(spark):
     df = spark.createDataFrame([(f"r{i}", s) for i, s in enumerate([1.0, 1.0, 1.0, 0.5, 0.5])], "result_id string, score double")
-    got = {r["result_id"]: r["score"] for r in rank.break_ties(df, [df["score"].desc(), df["result_id"]]).collect()}
+    got = {r["result_id"]: r["score"] for r in rank.break_ties(df, [F.desc("score"), F.asc("result_id")]).collect()}
     assert got == {"r0": 1.0, "r1": 0.999, "r2": 0.998, "r3": 0.5, "r4": 0.499}
 
 
