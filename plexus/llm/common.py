@@ -6,12 +6,13 @@ the folder the cluster names in ``spark.checkpoint.dir`` so that a lost executor
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexus.sources.scratch import saved, scratch
+
+__all__ = ["components", "ordered", "saved", "scratch", "small", "words"]
+
 #: Words everywhere in this package: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -19,22 +20,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.gettempdir() + "/plexus-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/plexus-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; cuts the lineage."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count proves it small; else as it is, for a shuffled join.
 
