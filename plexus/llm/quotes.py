@@ -143,4 +143,36 @@ def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_quotation_linking": op8_quotation_linking}
-ORACLES: dict = {}
+ORACLES = {
+    # (conv_id, turn) tells messages apart in the tables this runs on
+    "op8_quotation_linking": r"""
+with recursive m as (select row_number() over () as rid, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) as ls from conversations),
+x as (select *, unnest(range(1, len(ls) + 1)) as i from m),
+y as (select rid, conv_id, turn, role, i, ls[i] as t, length(regexp_replace(regexp_extract(ls[i], '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) as level,
+  lower(trim(regexp_replace(regexp_replace(ls[i], '^[ \t]*(?:>[ \t]?)+', ''), '[\x20\x09-\x0D]+', ' ', 'g'))) as normal from x),
+l as (select *, case when level = 0 and lead(level) over (partition by rid order by i) > 0 and regexp_matches(t, '(?i)^\s*on\b.*\bwrote:\s*$')
+  then -1 else level end as lv from y),
+k as (select * from l where normal <> '' and conv_id is not null and turn is not null),
+quoted as (select conv_id, turn, normal, min(lv) as lv from k where lv > 0 group by conv_id, turn, normal),
+near as (select conv_id, normal, min(turn) as near_turn from k where lv = 0 and normal in (select normal from quoted) group by conv_id, normal),
+far as (select normal, arg_min(conv_id, (conv_id, near_turn)) as far_conv, arg_min(near_turn, (conv_id, near_turn)) as far_turn from near group by normal),
+found as (select q.conv_id, q.turn, q.lv, case when n.near_turn < q.turn then q.conv_id else f.far_conv end as parent_conv,
+  case when n.near_turn < q.turn then n.near_turn else f.far_turn end as parent_turn
+  from quoted q left join near n on n.conv_id = q.conv_id and n.normal = q.normal left join far f on f.normal = q.normal),
+votes as (select conv_id, turn, parent_conv, parent_turn, count(*) as n, min(lv) as lv from found
+  where parent_conv is not null and not (parent_conv = conv_id and parent_turn >= turn) group by conv_id, turn, parent_conv, parent_turn),
+links as (select conv_id, turn, parent_conv, parent_turn, sum(n) over (partition by conv_id, turn) as linked, row_number() over (partition by conv_id, turn
+  order by cast(parent_conv = conv_id as int) desc, lv, n desc, parent_conv, parent_turn) as r from votes),
+up as (select conv_id, turn, parent_turn from links where r = 1 and parent_conv = conv_id),
+walk(conv_id, turn, root) as (select conv_id, turn, parent_turn from up union all select w.conv_id, w.turn, u.parent_turn from walk w join up u on u.conv_id = w.conv_id and u.turn = w.root),
+roots as (select conv_id, turn, min(root) as root from walk group by conv_id, turn),
+msg as (select rid, any_value(conv_id) as conv_id, any_value(turn) as turn, any_value(role) as role,
+  trim(coalesce(string_agg(t, chr(10) order by i) filter (where lv = 0), ''), ' ' || chr(9) || chr(10) || chr(13)) as content,
+  count(*) filter (where lv > 0 and normal <> '') as n_quoted from l group by rid),
+placed as (select msg.*, coalesce(k.linked, 0) as linked, row_number() over (partition by msg.conv_id order by coalesce(r.root, msg.turn), msg.turn) - 1 as place
+  from msg left join (select * from links where r = 1) k on k.conv_id = msg.conv_id and k.turn = msg.turn left join roots r on r.conv_id = msg.conv_id and r.turn = msg.turn)
+select conv_id, place // 256 as segment, count(*) as n_messages, cast(sum(n_quoted) as bigint) as n_quoted, cast(sum(linked) as bigint) as n_linked,
+  '[' || string_agg(cast(to_json(struct_pack(role := role, content := content)) as varchar), ',' order by place) || ']' as chat
+from placed group by conv_id, place // 256
+""",
+}

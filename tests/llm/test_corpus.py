@@ -366,7 +366,7 @@ def test_queries_against_sql(spark, name):
 
     sf_dir = "/root/testdata/sf0.001"
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         path = f"{sf_dir}/{t}.parquet"
         duck.execute(f"create view {t} as select * from '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     frame = registry.QUERIES[name](spark, sf_dir)
@@ -374,3 +374,28 @@ def test_queries_against_sql(spark, name):
     mine = Counter(tuple(map(str, r)) for r in frame.select(*columns).collect())
     quoted = ", ".join(f'"{c}"' for c in columns)
     assert mine == Counter(tuple(map(str, r)) for r in duck.sql(f"select {quoted} from ({registry.ORACLES[name]})").fetchall())
+
+
+def test_quotes_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng, rows = random.Random(8), []
+    for conv in range(6):
+        said = []
+        for turn in range(7):
+            lines = [f"line {rng.randrange(30)} of {rng.randrange(3)}" for _ in range(rng.randint(0, 3))]
+            if said and rng.random() < 0.7:
+                quoted = [f"{'>' * rng.randint(1, 2)} {rng.choice(said).upper()}" for _ in range(rng.randint(1, 3))]
+                lines = ["On Friday someone wrote:", *quoted, *lines, "> nobody said this"]
+            said += [x for x in lines if not x.startswith((">", "On "))]
+            rows.append((conv, turn, "user" if turn % 2 else "assistant", "\n".join(lines)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = quotes.formatted(df)
+    columns = sorted(out.columns)
+    duck = duckdb.connect()
+    duck.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    mine = Counter(tuple(map(str, r)) for r in out.select(*columns).collect())
+    assert sum(int(r[columns.index("n_linked")]) for r in mine) > 10
+    theirs = duck.sql(f"select {', '.join(columns)} from ({registry.ORACLES['op8_quotation_linking']})").fetchall()
+    assert mine == Counter(tuple(map(str, r)) for r in theirs)
