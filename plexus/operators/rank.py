@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexus.functions.order import ordered
 from plexus.sources.scratch import saved
 
 #: Base confidence of edges by source.
@@ -137,14 +138,14 @@ def pattern_scores(weights: DataFrame, arcs: dict[str, tuple[str, str]]) -> Data
 def quantile_ranks(scores: DataFrame, names: Sequence[str] = ("max_flow", "longest_path", "frobenius")) -> DataFrame:
     """The mean of each scorer's cumulative distribution, rounded, as ``score``.
 
-    The distribution comes from counts per distinct score: the window runs over distinct values, not rows.
+    Counts per distinct score get running totals from a global range sort, so no window holds all results.
     """
     out = scores = saved(scores)  # read once for each scorer
+    total = scores.agg(F.count(F.lit(1)).alias("__total"))
     for name in names:
-        counts = scores.groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
-        upto = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-        every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        share = counts.select(F.col(name).alias("__v"), (F.sum("__n").over(upto) / F.sum("__n").over(every)).alias(f"{name}_rank"))
+        counts = scores.groupBy(F.col(name).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+        share = ordered(counts, ["__v"], "__n").join(F.broadcast(total))  # one row
+        share = share.select("__v", ((F.col("__cum") + F.col("__n")) / F.col("__total")).alias(f"{name}_rank"))
         out = out.join(share, F.col(name) == F.col("__v")).drop("__v")
     mean = sum((F.col(f"{n}_rank") for n in names), F.lit(0.0)) / len(names)
     return out.withColumn("score", F.round(F.when(mean < 0.001, mean + 0.001).otherwise(mean), 3))
