@@ -36,8 +36,6 @@ from pyspark.sql import functions as F
 from plexus.llm.common import components, ordered, saved, small
 from plexus.llm.kernel import U, Block, blocks, mix, windows
 
-#: Document frequencies of at most so many shared shingles are broadcast (16 B each); more are joined.
-FREQUENT = 2_000_000
 #: Sets in one block; a task holds two blocks.
 BLOCK = 1024
 _BAND = U(1) << U(62)
@@ -98,30 +96,6 @@ def _heads(n: int, percent: int):
     return run
 
 
-def _prefixes(percent: int, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
-        for batch in batches:
-            lists = batch.column(2)
-            s = lists.flatten().to_numpy(zero_copy_only=False).view(U)
-            count = np.diff(lists.offsets.to_numpy())
-            doc = np.repeat(np.arange(len(count)), count)
-            size = batch.column(1).to_numpy()
-            late = np.zeros(len(s), np.int64)
-            if len(frequent[0]):
-                at = np.minimum(np.searchsorted(frequent[0], s), len(frequent[0]) - 1)
-                late = np.where(frequent[0][at] == s, frequent[1][at], 0)
-            late[s >= _BAND] = 1 << 62
-            order = np.lexsort((s, late, doc))
-            rank = np.arange(len(s)) - np.concatenate([[0], np.cumsum(count)])[doc]
-            pick = order[rank < (size - _least_overlap(size, percent) + 1)[doc]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s[pick].view(np.int64)), batch.column(0).take(pa.array(doc[pick]))], names=["token", "rep"]
-            )
-
-    return run
-
-
 def _whole(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,6 +234,28 @@ def _verify(percent: int):
     return run
 
 
+def shared_prefixes(reps: DataFrame, percent: int) -> DataFrame:
+    """``(token, rep)``: the shingles of each set's prefix that other sets hold, from ``reps(doc_id, n, head)``.
+
+    Shingles of the band come in the order (document frequency, hash).  Those of one set only come first
+    and link nothing, so of a set with ``m`` shingles in the band, ``c`` of them shared, the prefix of
+    length p holds the first ``p - m + c`` shared ones; and of the shingles past the band, which are in
+    hash order, those before place p.
+    """
+    band = F.size(F.filter("head", lambda t: t.between(0, int(_BAND) - 1)))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    sized = reps.select("doc_id", "n", "head", band.alias("m")).withColumn("room", (length - F.col("m")).cast("int"))
+    tokens = sized.select("doc_id", "room", "m", F.posexplode("head").alias("pos", "token"))
+    tokens = tokens.where("pos < m or pos < m + room").select("doc_id", "token", F.when(F.col("pos") < F.col("m"), F.col("room")).alias("room"))
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    inside = F.col("room").isNotNull()
+    lists = tokens.join(counted, "token").groupBy("doc_id").agg(
+        F.max("room").alias("room"), F.sort_array(F.collect_list(F.when(inside, F.struct("df", "token")))).alias("inside"),
+        F.collect_list(F.when(~inside, F.col("token"))).alias("past"))
+    taken = F.slice("inside.token", F.lit(1), F.greatest(F.coalesce("room", F.lit(0)) + F.size("inside"), F.lit(0)))
+    return lists.select(F.explode(F.concat(taken, "past")).alias("token"), F.col("doc_id").alias("rep")).distinct()
+
+
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``; see the module text."""
     spark = docs.sparkSession
@@ -267,28 +263,15 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     heads = saved(docs.mapInArrow(_heads(n, percent), "doc_id long, n long, fa long, fb long, head array<long>"))
     key = ["n", "fa", "fb"]
     sets = heads.select("doc_id", *key)
-    folded = sets.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    member = saved(sets.join(folded, key, "left"))
+    real = F.expr("n > 0 and doc_id is not null")
+    folded = sets.where(real).groupBy(*key).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    folded = saved(folded.where("copies > 1").drop("copies"))
+    rep = F.when(real, F.coalesce("first", "doc_id"))
+    member = saved(sets.join(small(folded), key, "left").select("doc_id", *key, rep.alias("rep")))
     copies = saved(member.where("doc_id <> rep").select("doc_id").distinct())
     reps = heads.where("n > 0 and doc_id is not null").join(small(copies), "doc_id", "left_anti")
 
-    band = F.col("token").between(0, int(_BAND) - 1)
-    counted = saved(
-        reps.select(F.explode("head").alias("token")).where(band).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        .where("df > 1")
-    )
-    if counted.count() <= FREQUENT:
-        told = counted.toArrow()
-        token = told["token"].to_numpy().view(U)
-        order = np.argsort(token)
-        frequent = spark.sparkContext.broadcast((token[order], told["df"].to_numpy()[order]))
-        prefix = reps.select("doc_id", "n", "head").mapInArrow(_prefixes(percent, frequent), "token long, rep long")
-    else:  # the same order by a shuffled join
-        late = F.when(band, F.coalesce("df", F.lit(0))).otherwise(F.lit(1 << 62))
-        tokens = reps.select("doc_id", "n", F.explode("head").alias("token")).join(counted, "token", "left")
-        lists = tokens.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct(late.alias("late"), "token"))).alias("t"))
-        length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-        prefix = lists.select(F.explode(F.slice("t.token", F.lit(1), length.cast("int"))).alias("token"), F.col("doc_id").alias("rep"))
+    prefix = saved(shared_prefixes(reps, percent))
     shared = saved(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("first")).where("c > 1"))
     touching = prefix.join(small(shared.select("token", "first")), "token").select("rep", "first")
     cluster = saved(components(touching).toDF("rep", "cluster"))
@@ -324,8 +307,8 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
         .sortWithinPartitions(*group)
         .mapInArrow(_verify(percent), "a long, b long")
     )
-    classes = components(links).toDF("rep", "component")
-    return member.join(classes, "rep", "left").select(
+    classes = saved(components(links).toDF("rep", "component"))
+    return member.join(small(classes), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")
     )
 

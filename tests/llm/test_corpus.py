@@ -64,9 +64,8 @@ def classes(texts, n, percent):
     return {i: (len(x), find(i)) for i, x in enumerate(s)}
 
 
-@pytest.mark.parametrize(("n", "percent", "frequent", "block"), [(4, 85, 10**6, 1024), (5, 80, 0, 4), (2, 60, 10**6, 3)])
-def test_jaccard_classes(spark, monkeypatch, n, percent, frequent, block):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+@pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 1024), (5, 80, 4), (2, 60, 3)])
+def test_jaccard_classes(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     texts = corpus()
     out = jaccard.jaccard_classes(documents(spark, texts), n, percent).collect()
