@@ -1,16 +1,19 @@
 """Operator 9: licence scans by a trained paragraph classifier with template confirmation.
 
-Every line of every text is a paragraph.  A multinomial logistic regression over sparse hashed word
-unigrams and bigrams (A-Z lower-cased, punctuation split off) names a licence family or ``unknown``.
-It is trained on statements built from public licence names and grant phrases against unknown
-paragraphs: hash-sampled lines of the corpus and sentences that mention licences without granting one.
-The probability of each family is calibrated on held-out statements, and below ``CERTAIN`` the verdict
-is unknown.  A prediction counts only when a template of the family confirms it: at least ``CONFIRM``
-of a template's words, in order and weight, occur in the paragraph.
-
-Lines are scored in Arrow batches; only lines with a word of the licence vocabulary reach the model
-(other lines share no feature with any family, so their verdict is unknown).  The training sample is
-bounded by ``SAMPLE`` corpus lines.
+Every line of every text is a paragraph, and so is every block of lines between blank ones (lines
+without a letter or digit); a block counts for the families that none of its lines has.  A multinomial
+logistic regression over sparse hashed word unigrams and bigrams (A-Z lower-cased, punctuation split
+off) names a licence family or ``unknown``.  It is trained on statements built from public licence
+names, short names, SPDX ids and grant phrases, and on the body paragraphs of the licences, against
+unknown paragraphs: hash-sampled lines of the corpus and sentences that mention licences without
+granting one.  The probability of each family is calibrated on held-out statements, and below
+``CERTAIN`` the verdict is unknown.  A prediction counts only when the nearest template of the family
+confirms it: at least ``CONFIRM`` of the words and word pairs of a full name, of a short name and the
+grant around it, or of a body paragraph occur in the paragraph.
+
+Paragraphs are scored in Arrow batches; only those with a word of the licence vocabulary (``CUE``, of
+which every template has one) reach the model.  The training sample is bounded by ``SAMPLE`` corpus
+lines, none of which a template confirms.
 
 Defined cases: null and blank texts have no paragraph; a text with several families gives a row for
 each; rows that share a doc_id are summed; a null doc_id is grouped as one; texts without a licence
@@ -36,6 +39,13 @@ CERTAIN = 0.6
 CONFIRM = 0.75
 _TOKEN = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 _CUE = r"(?i)licen[sc]e|copyright|all rights reserved|public domain|creative commons|warranty|\bspdx\b|redistribut"
+#: Every template has one of these; version numbers may follow a name (GPLv3, LGPL2.1, CC0).
+CUE = _CUE + (
+    r"|licensing|warranties|\bpermission\b|free software|source code form|\bcc0|\bcc[ -]by|\b[al]?gpl(?:v?[0-9]|\b)|\bmplv?[0-9]?"
+    r"|\bmit\b|\bapache|\basl\b|\bbsd|\bgnu\b|\bmozilla\b|\bexpat\b|liable for any|attribution"
+)
+_FAMILY = re.compile(r"\b(?:general|lesser|affero|mozilla|apache|noncommercial|sharealike|noderivatives)\b|\bcc(?=0)")
+_BLANK = re.compile(r"\n(?:[^\w\n]*\n)+")
 
 #: Names of each family, as its licences call themselves.
 NAMES = {
@@ -45,11 +55,90 @@ NAMES = {
     "lgpl": ("GNU Lesser General Public License, version 2.1", "LGPL-3.0 license"),
     "bsd": ("BSD 3-Clause License", "BSD 2-Clause License", "modified BSD license"),
     "mpl": ("Mozilla Public License, version 2.0", "MPL 2.0 license"),
+    "agpl": ("GNU Affero General Public License, version 3", "AGPL-3.0 license"),
     "cc-by": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
     "cc-by-sa": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
     "cc-by-nc": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "cc-by-nd": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "cc-by-nc-sa": ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "cc-by-nc-nd": ("CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     "cc0": ("CC0 1.0", "Creative Commons Zero v1.0 Universal public domain dedication"),
 }
+_CC = {
+    "cc-by": "Attribution", "cc-by-sa": "Attribution-ShareAlike", "cc-by-nc": "Attribution-NonCommercial", "cc-by-nd": "Attribution-NoDerivatives",
+    "cc-by-nc-sa": "Attribution-NonCommercial-ShareAlike", "cc-by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+#: Short names and SPDX ids of each family.  They are words of other texts as well, so a grant must stand around them.
+SHORT = {
+    "mit": ("MIT", "Expat", "X11 MIT"),
+    "apache": ("Apache 2.0", "Apache-2.0", "Apache License", "Apache 2", "ASL 2.0"),
+    "gpl": ("GPL", "GPLv2", "GPLv3", "GPL 2", "GPL 3", "GPL v2", "GPL v3", "GPL-2.0", "GPL-3.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GNU GPL", "GNU GPLv3", "GNU General Public License"),
+    "lgpl": ("LGPL", "LGPLv2.1", "LGPLv3", "LGPL v2.1", "LGPL v3", "LGPL-2.1", "LGPL-3.0", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "GNU LGPL", "GNU Lesser General Public License", "GNU Library General Public License"),
+    "bsd": ("BSD", "BSD license", "BSD-3-Clause", "BSD-2-Clause", "New BSD", "BSD-style license", "3-clause BSD", "2-clause BSD"),
+    "mpl": ("MPL", "MPL 2.0", "MPLv2", "MPL-2.0", "Mozilla Public License"),
+    "agpl": ("AGPL", "AGPLv3", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "GNU AGPL", "GNU Affero General Public License"),
+    "cc0": ("CC0", "CC0-1.0", "CC0 1.0 Universal"),
+} | {
+    name: (name.replace("-", " ", 1).upper(), name.upper(), *(f"{name.replace('-', ' ', 1).upper()} {v}" for v in ("2.0", "2.5", "3.0")), f"{name.upper()}-3.0", f"{name.upper()}-4.0",
+           f"Creative Commons {title}", f"Creative Commons {title} 3.0", f"Creative Commons {title} License")
+    for name, title in _CC.items()
+}
+_DISCLAIMER = (
+    "This software is provided by the {} \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability "
+    "and fitness for a particular purpose are disclaimed. In no event shall the {} be liable for any direct, indirect, incidental, special, exemplary, or "
+    "consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) "
+    "however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of "
+    "the use of this software, even if advised of the possibility of such damage."
+)
+_GNU = (
+    "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.",
+    "{0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details.",
+    "You should have received a copy of the GNU {1} along with {0}. If not, see <https://www.gnu.org/licenses/>.",
+)
+#: Paragraphs of the licences and their notices.
+BODIES = {
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a "
+        "particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action "
+        "of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    ),
+    "apache": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS "
+        "OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership.",
+    ),
+    "gpl": tuple(b.format(w, "General Public License", v) for w, v in (("This program", "3"), ("This program", "2")) for b in _GNU),
+    "lgpl": tuple(b.format(w, "Lesser General Public License", v) for w, v in (("This program", "3"), ("This library", "2.1")) for b in _GNU),
+    "agpl": tuple(b.format("This program", "Affero General Public License", "3") for b in _GNU),
+    "bsd": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        _DISCLAIMER.format("copyright holders and contributors", "copyright holder or contributors"),
+        _DISCLAIMER.format("regents and contributors", "regents or contributors"),
+    ),
+    "mpl": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+    ),
+    "cc0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+        "You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see <http://creativecommons.org/publicdomain/zero/1.0/>.",
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    ),
+} | {
+    name: (
+        f"This work is licensed under the Creative Commons {title} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{name[3:]}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+        f"Except where otherwise noted, content on this site is licensed under a Creative Commons {title} 4.0 International license.",
+    )
+    for name, title in _CC.items()
+}
 #: How works say that they are under a licence.
 GRANTS = (
     "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under {}.",
@@ -57,6 +146,12 @@ GRANTS = (
     "Distributed under the {}, see the file for details.", "Code is available under the {}.",
     "You may use this file under the {}.", "Permission is granted under the {}.", "{}", "License: {}",
 )
+#: What stands around short names.
+SHORT_GRANTS = (
+    "Licensed under {}.", "Licensed under the {}.", "Licensed under a {} license.", "Released under {}.", "Released under the {}.", "Released under a {} license.",
+    "This work is licensed under {}.", "This file is under the {}.", "This project is under the {} license.", "Distributed under the {}.", "Available under the {}.",
+    "Published under {}.", "SPDX-License-Identifier: {}", "License: {}", "Licence: {}", "{} license", "{} licence", "{} licensed", "Under the terms of the {}.", "Distributed under the terms of {}.",
+)
 #: Sentences about licences that grant none.
 OTHER = (
     "All rights reserved.", "Copyright 2020 the authors.", "The license plate was missing.", "He lost his driving license.",
@@ -64,6 +159,10 @@ OTHER = (
     "The poet took some license with the facts.", "Public domain names are resolved first.", "Released in version 2.0 for the general public.",
     "The Apache helicopter was released in 1986.", "A student at MIT wrote this.", "Under the terms of the contract the work is done.",
     "A general license to trade was granted by the crown.", "Proprietary license: redistribution is forbidden.",
+    "Licensed under the contract.", "Released under the name of the band.", "License: none", "Distributed under the terms of a sales contract.", "Published under a pen name.",
+    "This file is under the desk.", "She asked for permission to leave.", "The patient was released under the care of a doctor.", "Available under the counter.",
+    "He studied at MIT and liked the apache helicopter.", "He went to MIT.", "The GNU project began in 1983.", "FreeBSD and other BSD systems run here.", "Apache served the pages.",
+    "Das Haus mit Garten.", "The GPL was written by Stallman.", "Mozilla makes a browser.", "Attribution of the painting is disputed.",
 )
 
 
@@ -80,18 +179,37 @@ def _hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return index.astype(np.int64), value.astype(float)
 
 
+def _grams(words: list[str]) -> tuple[set, set]:
+    return set(words), set(zip(words, words[1:], strict=False))
+
+
 class LicenseModel:
     """One calibrated logistic regression per family against all else, and the family's templates."""
 
     def __init__(self, unknown_lines: list[str]):
         lines, family, held = [], [], []
+
+        def learn(name: str, line: str, hold: bool) -> None:
+            lines.append(line)
+            family.append(name)
+            held.append(hold)
+
+        self.templates = {name: [(*_grams(tokens(t)), set()) for t in titles] for name, titles in NAMES.items()}
         for name, titles in NAMES.items():
-            for i, title in enumerate(titles):
-                for j, grant in enumerate(GRANTS):
-                    lines.append(grant.format(title))
-                    family.append(name)
-                    held.append((i + j) % 4 == 3)
-        other = [*OTHER, *unknown_lines]
+            for names, grants in ((titles, GRANTS), (SHORT[name], SHORT_GRANTS)):
+                for i, title in enumerate(names):
+                    for j, grant in enumerate(grants):
+                        learn(name, grant.format(title), (i + j) % 4 == 3)
+                        if grants is SHORT_GRANTS:
+                            have = _grams(tokens(grant.format(title)))
+                            self.templates[name].append((*have, set.union(*_grams(tokens(title)))))
+            for i, body in enumerate(BODIES[name]):
+                self.templates[name].append((*_grams(tokens(body)), set(_FAMILY.findall(body.lower()))))
+                words = body.split()
+                learn(name, body, False)
+                for half in (words[: len(words) // 2], words[len(words) // 2 :]):
+                    learn(name, " ".join(half), i % 4 == 3)
+        other = [*OTHER, *(x for x in unknown_lines if not self.confirmed(x))]
         lines += other
         family += ["unknown"] * len(other)
         held += [i % 4 == 3 for i in range(len(other))]
@@ -106,14 +224,20 @@ class LicenseModel:
             self.weights[k], self.bias[k] = w, b
             z = np.array([w[i] @ v + b for (i, v), h in zip(rows, held, strict=True) if h])
             self.scale[k] = calibrate(z, y[held])
-        self.templates = {
-            name: [(set(t), set(zip(t, t[1:], strict=False))) for t in map(tokens, titles)] for name, titles in NAMES.items()
-        }
 
     def similarity(self, name: str, words: list[str]) -> float:
-        """The largest share of a template's words and neighbouring word pairs that the paragraph has."""
-        have, pairs = set(words), set(zip(words, words[1:], strict=False))
-        return max((len(t & have) + len(p & pairs)) / (len(t) + len(p)) for t, p in self.templates[name])
+        """The share of the nearest template's words and neighbouring word pairs that the paragraph has.
+
+        A short name, and the words that tell a body from a like body of another family, must be there as well.
+        """
+        have, pairs = _grams(words)
+        both = have | pairs
+        return max((len(t & have) + len(p & pairs)) / (len(t) + len(p)) if own <= both else 0.0 for t, p, own in self.templates[name])
+
+    def confirmed(self, line: str) -> bool:
+        """Whether a template of any family confirms the line."""
+        words = tokens(line)
+        return any(self.similarity(name, words) >= CONFIRM for name in self.templates)
 
     def judge(self, line: str) -> tuple[str, float, float] | None:
         """``(family, probability, similarity)``; None where unknown or not confirmed."""
@@ -136,20 +260,32 @@ class LicenseModel:
 def _scan(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple | None] = {}
+        cue = re.compile(CUE, re.ASCII)
+
+        def judged(paragraph: str) -> tuple | None:
+            if paragraph not in known:
+                if len(known) > 100_000 or len(paragraph) > 10_000:
+                    known.clear()
+                known[paragraph] = model.value.judge(paragraph)
+            return known[paragraph]
+
         for batch in batches:
-            texts = batch.column(1)
-            lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
-            flat, parent = pc.list_flatten(lines), pc.list_parent_indices(lines)
-            hit = pc.match_substring_regex(flat, _CUE + r"|\bcc0\b|\bcc[ -]by\b|\bgpl\b|\blgpl\b|\bmpl\b|\bmit\b|\bapache\b|\bbsd\b|\bgnu\b|\bmozilla\b|\bexpat\b")
+            texts = pc.fill_null(batch.column(1), "")
+            hit = pc.match_substring_regex(texts, CUE)
             out = []
-            ids = batch.column(0).take(parent.filter(hit)).to_pylist()
-            for doc, line in zip(ids, flat.filter(hit).to_pylist(), strict=True):
-                if line not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[line] = model.value.judge(line)
-                if known[line]:
-                    out.append((doc, *known[line]))
+            for doc, text in zip(batch.column(0).filter(hit).to_pylist(), texts.filter(hit).to_pylist(), strict=True):
+                for block in _BLANK.split(text):
+                    if not cue.search(block):
+                        continue
+                    lines = block.split("\n")
+                    own = [judged(line) if cue.search(line) else None for line in lines]
+                    for i in range(len(lines) - 1):  # a name that goes on in the next line
+                        if own[i] and (x := judged(f"{lines[i]}\n{lines[i + 1]}")) and x[0] not in {o[0] for o in own[i : i + 2] if o}:
+                            own[i] = x
+                    found = [x for x in own if x]
+                    out += ((doc, *x) for x in found)
+                    if "\n" in block and (x := judged(block)) and x[0] not in {f[0] for f in found}:
+                        out.append((doc, *x))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(

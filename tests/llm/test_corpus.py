@@ -320,6 +320,29 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_licenses_by_short_names_ids_and_body_paragraphs(spark):
+    import textwrap
+
+    short = [
+        ("SPDX-License-Identifier: MIT", "mit"), ("License: MIT", "mit"), ("Released under the MIT.", "mit"), ("This file is under the GNU General Public License.", "gpl"),
+        ("BSD license", "bsd"), ("Licensed under Apache 2.0", "apache"), ("CC BY 3.0 licensed", "cc-by"), ("Licensed under GPLv3", "gpl"), ("Licensed under LGPLv2.1", "lgpl"),
+        ("SPDX-License-Identifier: AGPL-3.0-or-later", "agpl"), ("Licensed under CC BY-NC-SA 3.0.", "cc-by-nc-sa"),
+    ]
+    bodies = [(body, family) for family, paragraphs in licenses.BODIES.items() for body in paragraphs]
+    wrapped = [(textwrap.fill(body, 70, initial_indent=" * ", subsequent_indent=" * "), family) for body, family in bodies]
+    none = ["Das Haus mit Garten.", "He studied at MIT.", "Released under the name of the band."]
+    mit = "MIT License\n\n" + "\n\n".join(textwrap.fill(body, 70) for body in licenses.BODIES["mit"])
+    statements = [*short, *bodies, *wrapped]
+    texts = [text for text, _ in statements] + none + ["some words\n#\n" + statements[0][0] + "\n", mit] + corpus()[:20]
+    out = defaultdict(dict)
+    for r in licenses.scan(documents(spark, texts)).collect():
+        out[r["doc_id"]][r["family"]] = r["n_paragraphs"]
+    n = len(statements)
+    assert {i: set(out[i]) for i in range(n)} == {i: {family} for i, (_, family) in enumerate(statements)}
+    assert not any(i in out for i in range(n, n + len(none)))
+    assert out[n + len(none)] == {"mit": 1} and out[n + len(none) + 1] == {"mit": 4}
+
+
 def brute_rule(host, path):
     fits = [(len(h + p), v, h + p) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)
