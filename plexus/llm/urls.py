@@ -8,9 +8,11 @@ pages without a rule of their own get the verdict block.  A page's own rule come
 explicitly allowed alias stays allowed.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no rule and no aliases,
-and is allowed; null html has no links; relative links resolve against the page's site; rows that
-share a page_id are judged each by its own url; empty tables give an empty result; other columns are
-ignored.
+and is allowed; null html has no links; attribute values are read with their character references
+(numeric ones, ``&amp;``, ``&lt;``, ``&gt;``, ``&quot;``, ``&apos;``); relative links resolve against the
+page's ``base`` or else its url, with dot segments removed; links of schemes without ``//`` are none;
+rows that share a page_id are judged each by its own url; empty tables give an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,26 +67,92 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(value, r"^[^=]*=\s*[\"']?|[\"']$", "")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once: plans do not grow with the number of its uses."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def unescaped(text: Column) -> Column:
+    """The text with numeric and the five common named character references replaced, each once."""
+
+    def replaced(piece: Column) -> Column:
+        code = F.coalesce(
+            F.conv(F.nullif(F.regexp_extract(piece, r"^#[xX]0*([0-9A-Fa-f]{1,6})(?![0-9A-Fa-f])", 1), F.lit("")), 16, 10),
+            F.nullif(F.regexp_extract(piece, r"^#0*([0-9]{1,7})(?![0-9])", 1), F.lit("")),
+        ).cast("int")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        out = F.when(piece.rlike(r"^#(?:[0-9]|[xX][0-9A-Fa-f])"), F.concat(char, F.regexp_replace(piece, r"^#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", "")))
+        for name, c in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+            end = ";" if name == "apos" else "(?:;|(?![0-9A-Za-z=]))"
+            out = out.when(piece.rlike(f"^{name}{end}"), F.concat(F.lit(c), F.regexp_replace(piece, f"^{name};?", "")))
+        return out.otherwise(F.concat(F.lit("&"), piece))
+
+    def joined(parts: Column) -> Column:
+        rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), replaced)
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+
+    return _let(F.split(text, "&", -1), joined)
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path with its ``.`` and ``..`` segments removed."""
+    one, two = (".", "%2e"), ("..", ".%2e", "%2e.", "%2e%2e")
+
+    def step(done: Column, x: Column) -> Column:
+        return (
+            F.when(F.lower(x).isin(*two), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+            .when(F.lower(x).isin(*one), done).otherwise(F.concat(done, F.array(x)))
+        )
+
+    def joined(parts: Column) -> Column:
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        end = F.when(F.lower(F.element_at(parts, -1)).isin(*one, *two), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+    return _let(F.split(F.substring(path, 2, 1 << 30), "/", -1), joined)
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """``link`` as a full url, read on a page whose url is ``base``; null for other schemes, as ``mailto:``."""
+
+    def full(base: Column, link: Column) -> Column:
+        site, path = F.regexp_extract(base, r"^((?s:.*?)://[^/?#]*)", 1), F.regexp_extract(link, r"^([^?#]*)", 1)
+        after = F.regexp_extract(link, r"^[^?#]*((?s:.*))$", 1)
+        folder = F.regexp_extract(path_of(base), r"^((?s:.*)/)", 1)
+        return (
+            F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+            .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(F.startswith(link, F.lit("//")), F.concat(F.lit("http:"), link))
+            .when(F.startswith(link, F.lit("?")), F.concat(site, path_of(base), link))
+            .when(path == "", F.regexp_extract(base, "^([^#]*)", 1))
+            .otherwise(F.concat(site, without_dots(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))), after))
+        )
+
+    clean = F.regexp_replace(link, r"^\s+|\s+$|[\t\r\n]+", "")
+    return _let(base, lambda b: _let(clean, lambda x: full(b, x)))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """``(url, link)``: canonical, og:url and refresh targets of each page, resolved."""
     html = F.col("html")
-    tags = F.array(
-        _attribute(F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), "href"),
-        _attribute(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bproperty\s*=\s*[\"']?og:url\b[^>]*>", 0), "content"),
-        F.regexp_extract(
-            _attribute(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), "content"),
-            r"(?i)url\s*=\s*['\"]?([^'\"]*)", 1,
-        ),
-    )
     wanted = html.isNotNull() & (F.col("host") != "") & html.rlike(r"(?i)canonical|og:url|refresh")
-    out = pages.where(wanted).select("url", "host", F.explode(F.array_distinct(tags)).alias("link")).where("link <> ''")
-    link = F.col("link")
-    full = (
-        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(F.startswith(link, F.lit("//")), F.concat(F.lit("http:"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(F.lit("http://"), "host", link))
+    read = pages.where(wanted).select(
+        "url",
+        _attribute(F.regexp_extract(html, r"(?i)<base\b[^>]*\bhref\s*=[^>]*>", 0), "href").alias("base"),
+        F.array(
+            _attribute(F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), "href"),
+            _attribute(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bproperty\s*=\s*[\"']?og:url\b[^>]*>", 0), "content"),
+            _attribute(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), "content"),
+        ).alias("tags"),
     )
-    return out.select("url", full.alias("link")).where("link is not null")
+    links = read.select("url", "base", F.posexplode("tags").alias("tag", "link")).where("link <> ''")
+    links = links.select("url", "tag", unescaped(F.col("base")).alias("base"), unescaped(F.col("link")).alias("link"))
+    target = F.regexp_extract("link", r"(?i)url\s*=\s*['\"]?([^'\"]*)", 1)
+    links = links.select("url", resolved(F.col("url"), F.col("base")).alias("base"), F.when(F.col("tag") == 2, target).otherwise(F.col("link")).alias("link"))
+    base = _let(F.col("base"), lambda b: F.when(host_of(b) != "", b).otherwise(F.col("url")))
+    links = links.where("link <> ''").select("url", base.alias("base"), "link")
+    return links.select("url", resolved(F.col("base"), F.col("link")).alias("link")).where("link is not null").distinct()
 
 
 def node_of(url: Column) -> Column:

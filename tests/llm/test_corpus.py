@@ -348,6 +348,33 @@ def brute_rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
+def test_relative_and_escaped_links(spark):
+    import html
+    from urllib.parse import urljoin
+
+    bases = ["http://h.info/a/b/page.html?x=1#f", "http://h.info/a/b/", "http://h.info"]
+    links = ["next.html", "../x", "../../../x/./y", "./", "..", ".", "?id=3", "?a=1&amp;b=2", "sub/q?u=/../v", "/r/../s/.", "#top", "//o.info/p", "https://o.info/?a=1&#38;b=2",
+             "caf&#xe9;", "&amp;amp;x", "a&#x26;#38;x", "x&lt;&gt;&quot;&apos;", "&#128512;", "&#0;", "&", " padded "]
+    rows = [(b, x) for b in bases for x in links]
+    df = spark.createDataFrame(rows, "base string, link string").withColumn("plain", urls.unescaped(urls.F.col("link")))
+    df = df.withColumn("full", urls.resolved(urls.F.col("base"), urls.F.col("plain")))
+    for r in df.collect():
+        want = urljoin(r["base"], html.unescape(r["link"]).strip())
+        if r["link"] == "?id=3" or r["link"].startswith("?a"):
+            want = r["base"].split("?")[0].split("#")[0] + html.unescape(r["link"])
+        assert r["full"].split("#")[0].split("://")[1] == want.split("#")[0].split("://")[1], (r["base"], r["link"])
+    none = spark.createDataFrame([("mailto:a@b.c",), ("javascript:void(0)",)], "link string")
+    assert none.select(urls.resolved(urls.F.lit("http://h.info/"), urls.F.col("link")).alias("x")).where("x is not null").count() == 0
+    pages = [
+        (1, "http://a.example.com/de/x", '<link rel=canonical href="http://m.info/d/p?a=1&amp;b=2">'), (2, "http://m.info/d/p?a=1&b=2", None),
+        (3, "http://m.info/d/q", '<link rel="canonical" href="p?a=1&#38;b=2">'), (4, "http://m.info/d/e/r", '<meta http-equiv="refresh" content="0; url=../q">'),
+        (5, "http://m.info/d/q?id=3", '<meta property="og:url" content="?id=4">'), (6, "http://m.info/d/q?id=4", '<link rel="canonical" href="./z/../q">'),
+        (7, "http://other.info/", '<base href="http://m.info/d/e/"><link rel="canonical" href="r">'), (8, "http://m.info/q", '<link rel="canonical" href="s">'), (9, "http://other.info/r", None),
+    ]
+    out = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == {**dict.fromkeys(range(1, 8), "block"), 8: "allow", 9: "allow"}
+
+
 def test_url_filters(spark):
     canonical = '<html><link href="{}" rel=canonical>'
     pages = [
