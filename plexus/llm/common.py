@@ -1,4 +1,4 @@
-"""Pieces shared by the corpus operators: scratch tables, global order, connected components.
+"""Pieces shared by the corpus operators: scratch tables, global order, row keys, connected components.
 
 Everything here is lazy DataFrame work apart from the writes that cut lineage.  Cut tables go to
 the folder the cluster names in ``spark.checkpoint.dir`` so that a lost executor loses nothing.
@@ -12,21 +12,37 @@ from pyspark.sql import functions as F
 from plexus.functions.order import ordered
 from plexus.sources.scratch import saved, scratch
 
-__all__ = ["components", "ordered", "saved", "scratch", "small", "words"]
+__all__ = ["components", "keyed", "once", "ordered", "saved", "scratch", "small", "without", "words"]
 
 #: Words everywhere in this package: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
-#: A table is broadcast only after a count shows at most this many narrow rows (<= 32 B each).
-BROADCAST_ROWS = 1_000_000
+#: A table is broadcast only if it measures at most this many bytes (as rows in memory).
+BROADCAST_BYTES = 32 << 20
+#: A node with more links than one in ``HUB_SHARE`` of them all, and than ``HUB``, is a hub: there are at most 20 000.
+HUB, HUB_SHARE = 256, 10_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves it small; else as it is, for a shuffled join.
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size allows it; else as it is, for a shuffled join.
 
-    Pass a saved table: it is counted (Parquet footers only) before it is joined.
+    Pass a saved table.  Columns of fixed width need a count (Parquet footers only); the lengths of
+    strings and arrays are summed.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    wide = []
+    for name, kind in df.dtypes:
+        if kind == "string":
+            wide.append(F.octet_length(name))
+        elif kind in ("array<bigint>", "array<double>"):
+            wide.append(F.size(name) * 8)
+        elif kind.startswith(("array", "map", "struct")):
+            raise TypeError(f"{name}: the size of a {kind} is not measured")
+    fixed = 48 + 16 * len(df.columns)
+    if not wide:
+        rows = most // fixed
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(fixed).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(size).alias("n")).first()["n"] or 0) <= most else df
 
 
 def words(text: Column) -> Column:
@@ -34,6 +50,36 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``__id`` and ``__h``, a hash of the text: rows equal in both hold one text under one id."""
+    return docs.withColumns({"__id": F.col(id_col).cast("long"), "__h": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+
+
+def without(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (``keyed``) whose ``__id, __h`` are not in ``out``; null ids are equal."""
+    gone = out.select(F.col("__id").alias("__i"), F.col("__h").alias("__k"))
+    return docs.join(gone, (docs["__h"] == F.col("__k")) & docs["__id"].eqNullSafe(F.col("__i")), "left_anti")
+
+
+def once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` (``keyed``) with one row of each ``repeated(__id, __h)``: the one whose columns hash least."""
+    same = repeated.select(F.col("__id").alias("__i"), F.col("__h").alias("__k"))
+    match = (docs["__h"] == F.col("__k")) & docs["__id"].eqNullSafe(F.col("__i"))
+    one = docs.join(same, match, "left_semi").groupBy("__id", "__h").agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])).alias("row"))
+    return without(docs, repeated).unionByName(one.select("row.*"))
+
+
+def _joined(edges: DataFrame, least: DataFrame, key: str, hub: int | None) -> DataFrame:
+    """``edges`` with ``m`` of ``least(key, m, n)``; keys of over ``hub`` rows, of a bounded number, meet by broadcast, not in one task."""
+    if hub is None:
+        return edges.join(least.drop("n"), key)
+    hubs = F.broadcast(least.where(F.col("n") > hub).select(F.col(key).alias("__hub"), F.col("m").alias("__m")))
+    one = edges.join(hubs, F.col(key) == F.col("__hub"), "left")
+    rest = one.where("__hub is null").drop("__hub", "__m").join(least.drop("n"), key)
+    return one.where("__hub is not null").select(*edges.columns, F.col("__m").alias("m")).unionByName(rest.select(*edges.columns, "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as ``(node, component)``.
 
@@ -44,23 +90,22 @@ def components(edges: DataFrame) -> DataFrame:
     kind = edges.schema[edges.columns[0]].dataType
     edges = edges.toDF("a", "b").where("a <> b")
     now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    count = F.count(F.lit(1)).alias("n")
     for _ in range(60):
-        state = now.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if state == mark or not state["n"]:
+        ends = now.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.union(now.select("b", F.lit(0), F.lit(1))).groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        state = ends.agg(F.count_if("up > 1 or up > 0 and down > 0").alias("bad"), F.max(F.col("up") + F.col("down")).alias("top"), F.sum("up").alias("n")).first()
+        if not state["bad"]:  # every node has one smaller neighbour, or none
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 now.select("b", "b").distinct()
             ).select(F.col("node").cast(kind), F.col("component").cast(kind))
-        mark = state
+        hub = max(HUB, state["n"] // HUB_SHARE)
+        hub = hub if state["top"] > hub else None
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), count).select("u", F.least("u", "m").alias("m"), "n")
+        large = _joined(both, least, "u", hub).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = saved(large.where("a <> b").distinct())
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
-        small_star = (
-            large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(root)
-        )
-        now = saved(small_star.toDF("a", "b").distinct())
+        root = large.groupBy("a").agg(F.min("b").alias("m"), count)
+        small_star = _joined(large, root, "a", hub).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        now = saved(small_star.union(root.select("a", "m")).toDF("a", "b").distinct())
     raise RuntimeError("connected components did not settle")

@@ -6,43 +6,109 @@ documents link when ``100 * |intersection| >= percent * |union|``.
 
 How it runs:
 
-1. One Arrow pass gives each document's set size, a 128-bit set fingerprint and the part of its set
-   that can hold its prefix: the shingles in the lowest quarter of the hash space.  Equal sets fold
-   into one representative (their smallest doc_id).
-2. The global order is: shingles of that quarter by document frequency, then by hash.  Any such order
-   is exact; this one keeps shared passages out of the prefixes.  Two sets that link share one of their first ``n - ceil(percent * n / 100) + 1``
-   shingles, so reps that share a prefix shingle form candidate clusters (connected components).
-3. Each cluster is cut into blocks of ``BLOCK`` sets in size order; every pair of blocks whose sizes
-   can link is one group, so no cluster lands whole in one task.  Inside a group sets sit in a
-   radix trie; a probe walks it carrying the overlap of the shared path, and leaves a subtree when
-   the remaining lengths cannot reach the threshold or when all of it is in its own class already
-   (the links left out join documents that are connected, so classes stay exact).
+1. One Arrow pass gives each row its set size, a 128-bit set fingerprint and signatures.  Equal sets
+   fold into one representative row.
+2. Sets of like size share a level, which cuts the hash space into more parts than two linked sets may
+   differ in (``levels``).  So linked sets have at least one part in common, whole: its hash is a
+   signature.  Sets with a common signature form candidate clusters.  A range sort of the signatures
+   makes them, so that a signature of any number of sets is many tasks and never a group in memory.
+   A signature stands for several shingles from all over a text: a shared passage makes no candidates.
+3. Inside a cluster sets sit in a radix trie, most frequent shingles first; a probe walks it carrying
+   the overlap of the shared path, and leaves a subtree when the remaining lengths cannot reach the
+   threshold or when all of it is in its own class already (the links left out join documents that are
+   connected, so classes stay exact).  Clusters over ``BLOCK`` sets are cut into blocks in size order:
+   first each block is joined in itself, then one set of each class of each block with the others, and
+   last the pairs of blocks that may still hold a link between two classes.
 4. Links go through connected components; copies take the class of their representative.
 
-Defined cases: null or blank text has n_shingles 0 and its own doc_id as class; a null doc_id keeps
-its row with a null class and links nothing; rows that share a doc_id are one node; an empty table
-gives an empty result; other columns are ignored.
+Defined cases: null or blank text has n_shingles 0 and links nothing by its text; rows that share a
+doc_id are one document, whatever their texts; a row with a null doc_id is a document of its own, whose
+component_id is the smallest doc_id it reaches (null if none); an empty table gives an empty result;
+very long texts are one set each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexus.llm.common import components, ordered, saved, small
+from plexus.llm.common import components, keyed, once, ordered, saved, small, without
 from plexus.llm.kernel import U, Block, blocks, mix, windows
 
 #: Sets in one block; a task holds two blocks.
 BLOCK = 1024
-_BAND = U(1) << U(62)
+#: Hash orders that a set tries until one leaves it enough parts that are not empty.
+TRIES = 8
 
 
-def _least_overlap(n, percent: int):
-    return -(-percent * n // 100)
+@cache
+def levels(percent: int, largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(least size, most differences, parts)`` of each level.
+
+    A set whose size is from ``least[i]`` to below ``least[i + 1]`` belongs to levels i and i - 1.  Of two linked
+    sets the larger is in the same level as the smaller or in the next, and they differ in at most
+    ``(a + b) * (100 - percent) / (100 + percent)`` shingles.
+    """
+    least = [1]
+    while least[-1] <= largest:
+        least.append(max(least[-1] + 1, 100 * (least[-1] - 1) // percent + 1))
+    least = np.array(least, np.int64)
+    differ = (least[1:-1] + least[2:] - 2) * (100 - percent) // (100 + percent)
+    return least, differ, differ + 1 + differ // 8 + (differ > 2)
+
+
+def _parts(s: np.ndarray, doc: np.ndarray, m: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of all parts that are not empty, with their document: ``s`` sorted by document and value."""
+    part = ((s >> U(32)) * m[doc].astype(U)) >> U(32)
+    start = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]))
+    total = np.add.reduceat(mix(s ^ U(0x2545F4914F6CDD1D)), start)
+    doc, part = doc[start], part[start]
+    return mix(total + mix(tag[doc] + part)), doc
+
+
+def signatures(s: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(signature, document)`` of sets ``(s, doc)``, sorted by document and value; see the module text.
+
+    Two sets may agree only in parts that are empty; both then have no more filled parts than differences,
+    and both turn to the next hash order.  After the last one they give their empty parts.
+    """
+    least, differ, parts = levels(percent)
+    own = np.searchsorted(least, size, "right") - 1
+    out, docs = [], []
+    for level in (own, own - 1):
+        use = (level >= 0) & (size > 0)
+        level = np.where(use, level, 0)
+        keep = use[doc]
+        left, left_doc = s[keep], doc[keep]
+        for turn in range(TRIES):
+            if not len(left):
+                break
+            tag = mix((level * TRIES + turn).astype(U))
+            sig, at = _parts(left, left_doc, parts[level], tag)
+            out.append(sig)
+            docs.append(at)
+            filled = np.bincount(at, minlength=len(size))
+            poor = (filled > 0) & (filled <= differ[level])
+            if turn == TRIES - 1:
+                for i in np.flatnonzero(poor):
+                    have = np.unique(((left[left_doc == i] >> U(32)) * U(parts[level[i]])) >> U(32))
+                    empty = np.setdiff1d(np.arange(parts[level[i]], dtype=U), have)
+                    out.append(mix(mix(tag[i] + empty) + U(1)))
+                    docs.append(np.full(len(empty), i))
+            keep = poor[left_doc]
+            left, left_doc = mix(left[keep] + U(turn + 1)), left_doc[keep]
+            order = np.lexsort((left, left_doc))
+            left, left_doc = left[order], left_doc[order]
+    if not out:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    sig, at = np.concatenate(out), np.concatenate(docs)
+    order = np.argsort(at, kind="stable")
+    return sig[order], at[order]
 
 
 def doc_sets(b: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +138,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 def _heads(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, b in blocks(batch.column(1), lower=True):
+            for lo, hi, b in blocks(batch.column(2), lower=True):
                 s, doc = doc_sets(b, n)
                 size = np.bincount(doc, minlength=b.n)
                 first = np.concatenate([[0], np.cumsum(size)])
@@ -80,30 +146,68 @@ def _heads(n: int, percent: int):
                 for seed in (U(0), U(0x5851F42D4C957F2D)):
                     total = np.concatenate([[U(0)], np.cumsum(mix(s ^ seed))])
                     sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-                rank = np.arange(len(s)) - first[doc]
-                keep = (s < _BAND) | (rank < (size - _least_overlap(size, percent) + 1)[doc])
+                sig, at = signatures(s, doc, size, percent)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(1).slice(lo, hi - lo),
                         pa.array(size.astype(np.int64)),
                         pa.array(sums[0]),
                         pa.array(sums[1]),
-                        _lists(s[keep], np.bincount(doc[keep], minlength=b.n)),
+                        _lists(sig, np.bincount(at, minlength=b.n)),
                     ],
-                    names=["doc_id", "n", "fa", "fb", "head"],
+                    names=["__id", "__h", "n", "fa", "fb", "sigs"],
                 )
 
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(a, b)`` for each row of sorted ``(sig, rep)`` and the first row of its signature in this partition.
+
+    The partition's first and last rows are given as well, as ``(pid, last, sig, a)``.
+    """
+    from pyspark import TaskContext
+
+    pid = TaskContext.get().partitionId()
+    now = first = ends = None
+
+    def rows(a, b, sig, last):
+        k = len(a)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.full(k, pid, np.int32)),
+             pa.array(np.asarray(sig, np.int64)), pa.array(np.asarray(last, np.int32))], names=["a", "b", "pid", "sig", "last"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        start = np.concatenate([[True], sig[1:] != sig[:-1]])
+        if now is None:
+            ends = (sig[0], rep[0])
+        elif sig[0] == now:
+            start[0] = False
+        run = np.cumsum(start)
+        heads = np.concatenate([[rep[0] if first is None else first], rep[start]])
+        of = heads[run]
+        now, first, tail = sig[-1], of[-1], rep[-1]
+        link = of != rep
+        if link.any():
+            pair = np.unique(np.stack([rep[link], of[link]]), axis=1)
+            zero = np.zeros(pair.shape[1], np.int64)
+            yield rows(pair[0], pair[1], zero, zero)
+    if ends is not None:
+        yield rows([ends[1], tail], [ends[1], tail], [ends[0], now], [1, 2])
+
+
 def _whole(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, b in blocks(batch.column(1), lower=True):
+            for lo, hi, b in blocks(batch.column(0), lower=True):
                 s, doc = doc_sets(b, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3)] + [_lists(s, np.bincount(doc, minlength=b.n))],
-                    names=["rep", "cluster", "block", "set"],
+                    [batch.column(i).slice(lo, hi - lo) for i in (1, 2, 3, 4)] + [_lists(s, np.bincount(doc, minlength=b.n))],
+                    names=["rep", "cluster", "block", "cls", "set"],
                 )
 
     return run
@@ -119,8 +223,11 @@ class _Node:
 class PrefixTree:
     """A radix trie of sets in one global order, with union-find classes over the stored sets."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        """``sets``: arrays of distinct hashes.  Their order here: most frequent first, so paths are shared."""
+    def __init__(self, sets: list[np.ndarray], percent: int, known: list[int] | None = None):
+        """``sets``: arrays of distinct hashes.  Their order here: most frequent first, so paths are shared.
+
+        ``known``: a class of each set; sets of one class are not looked for.
+        """
         self.percent = percent
         flat = np.concatenate(sets) if sets else np.zeros(0, U)
         _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -129,7 +236,8 @@ class PrefixTree:
         cuts = np.cumsum([len(x) for x in sets])[:-1]
         self.sets = [np.sort(x) for x in np.split(rank[inverse], cuts)] if sets else []
         self.inside = np.zeros(len(count), bool)
-        self.up = list(range(len(sets)))
+        first: dict = {}
+        self.up = [first.setdefault(k, i) for i, k in enumerate(known)] if known else list(range(len(sets)))
         self.root = _Node(np.zeros(0, np.int64), 0, -1)
         self.root.one, self.root.lo = False, 1 << 60
 
@@ -193,10 +301,13 @@ class PrefixTree:
         return out
 
 
-def group_links(ids: list[int], side: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of one group: among all (one block), or between sides 0 and 1 (a pair of blocks)."""
+def group_links(ids: list[int], side: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of one group: among all (one block), or between sides 0 and 1 (a pair of blocks).
+
+    ``known`` are classes found before; only links between two of them are given.
+    """
     order = sorted(range(len(ids)), key=lambda i: (side[i], len(sets[i]), ids[i]))
-    tree = PrefixTree([sets[i] for i in order], percent)
+    tree = PrefixTree([sets[i] for i in order], percent, [known[i] for i in order] if known else None)
     two, out = len(set(side)) > 1, []
     for k, i in enumerate(order):
         if not two or side[i]:
@@ -208,25 +319,26 @@ def group_links(ids: list[int], side: list[int], sets: list[np.ndarray], percent
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, side, sets = None, [], [], []
+        key, ids, side, known, sets = None, [], [], [], []
 
         def done():
-            found = group_links(ids, side, sets, percent) if len(ids) > 1 else []
+            found = group_links(ids, side, sets, percent, known) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"]
             )
 
         for batch in batches:
-            cluster, b1, b2, block, rep = (batch.column(i).to_pylist() for i in range(5))
-            lists = batch.column(5)
+            cluster, b1, b2, block, rep, cls = (batch.column(i).to_pylist() for i in range(6))
+            lists = batch.column(6)
             flat, off = lists.values.to_numpy(zero_copy_only=False).view(U), lists.offsets.to_numpy()
             for i in range(len(rep)):
                 if (now := (cluster[i], b1[i], b2[i])) != key:
                     if ids:
                         yield done()
-                    key, ids, side, sets = now, [], [], []
+                    key, ids, side, known, sets = now, [], [], [], []
                 ids.append(rep[i])
                 side.append(int(block[i] != b1[i]))
+                known.append(cls[i])
                 sets.append(flat[off[i] : off[i + 1]].copy())
         if ids:
             yield done()
@@ -234,83 +346,139 @@ def _verify(percent: int):
     return run
 
 
-def shared_prefixes(reps: DataFrame, percent: int) -> DataFrame:
-    """``(token, rep)``: the shingles of each set's prefix that other sets hold, from ``reps(doc_id, n, head)``.
+def candidates(reps: DataFrame) -> DataFrame:
+    """``(rep, cluster)`` of the sets ``reps(rep, sigs)`` that share a signature, directly or through others."""
+    sigs = reps.select(F.explode("sigs").alias("sig"), "rep")
+    order = [F.col("sig"), F.col("rep")]
+    found = saved(sigs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, "a long, b long, pid int, sig long, last int"))
+    ends = found.where("last > 0")  # two rows of each partition
+    before = Window.orderBy("pid", "last")
+    over = ends.select("a", F.lag("a").over(before).alias("b"), (F.lag("sig").over(before) == F.col("sig")).alias("same")).where("same")
+    return components(found.where("last = 0").select("a", "b").union(over.select("a", "b"))).toDF("rep", "cluster")
+
 
-    Shingles of the band come in the order (document frequency, hash).  Those of one set only come first
-    and link nothing, so of a set with ``m`` shingles in the band, ``c`` of them shared, the prefix of
-    length p holds the first ``p - m + c`` shared ones; and of the shingles past the band, which are in
-    hash order, those before place p.
+def verified(texts: DataFrame, members: DataFrame, groups: DataFrame | None, n: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` inside groups: ``members(rep, __id, __h, cluster, block, cls)``, ``groups(cluster, b1, b2, block)``.
+
+    Without ``groups`` every block is one.
     """
-    band = F.size(F.filter("head", lambda t: t.between(0, int(_BAND) - 1)))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    sized = reps.select("doc_id", "n", "head", band.alias("m")).withColumn("room", (length - F.col("m")).cast("int"))
-    tokens = sized.select("doc_id", "room", "m", F.posexplode("head").alias("pos", "token"))
-    tokens = tokens.where("pos < m or pos < m + room").select("doc_id", "token", F.when(F.col("pos") < F.col("m"), F.col("room")).alias("room"))
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    inside = F.col("room").isNotNull()
-    lists = tokens.join(counted, "token").groupBy("doc_id").agg(
-        F.max("room").alias("room"), F.sort_array(F.collect_list(F.when(inside, F.struct("df", "token")))).alias("inside"),
-        F.collect_list(F.when(~inside, F.col("token"))).alias("past"))
-    taken = F.slice("inside.token", F.lit(1), F.greatest(F.coalesce("room", F.lit(0)) + F.size("inside"), F.lit(0)))
-    return lists.select(F.explode(F.concat(taken, "past")).alias("token"), F.col("doc_id").alias("rep")).distinct()
+    keys = members.select(F.col("__id").alias("__i"), F.col("__h").alias("__k"), "rep", "cluster", "block", "cls")
+    match = (texts["__h"] == F.col("__k")) & texts["__id"].eqNullSafe(F.col("__i"))
+    whole = texts.join(small(keys), match).select("text", "rep", "cluster", "block", "cls").mapInArrow(
+        _whole(n), "rep long, cluster long, block long, cls long, set array<long>")
+    group = ["cluster", "b1", "b2"]
+    if groups is None:
+        dealt = whole.withColumns({"b1": F.col("block"), "b2": F.col("block")})
+    else:
+        dealt = whole.join(groups, ["cluster", "block"])
+    dealt = dealt.select(*group, "block", "rep", "cls", "set").repartition(*[F.col(c) for c in group])
+    return dealt.sortWithinPartitions(*group).mapInArrow(_verify(percent), "a long, b long")
+
+
+def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with ``cls`` moved to the component of the links between its sets."""
+    classes = members.select(F.col("rep"), F.col("cls")).where("rep <> cls").union(links.toDF("rep", "cls"))
+    found = components(classes).toDF("rep", "__c")
+    return members.join(found, "rep", "left").withColumn("cls", F.coalesce("__c", "cls")).drop("__c").select(*members.columns)
+
+
+def _blocks(members: DataFrame, order: list[str]) -> DataFrame:
+    """``members`` with ``block``: ``BLOCK`` rows of a cluster each, in the given order."""
+    at = saved(ordered(members, ["cluster", *order]))
+    start = at.groupBy("cluster").agg(F.min("__ix").alias("__start"))
+    block = F.floor((F.col("__ix") - F.col("__start")) / BLOCK).cast("long")
+    return at.join(start, "cluster").withColumn("block", block).select(*members.columns)
+
+
+def large_clusters(texts: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """``(rep, cls)`` of clusters over ``BLOCK`` sets: ``members(rep, __id, __h, n, cluster, block, cls)``."""
+    members = saved(_blocks(members, ["n", "rep"]))
+    members = saved(_relabelled(members, verified(texts, members, None, n, percent)))
+    # one set of each class of each block meets those of other blocks
+    heads = members.groupBy("cluster", "block", "cls").agg(F.min("rep").alias("rep")).select("rep")
+    heads = saved(_blocks(members.join(heads, "rep", "left_semi"), ["n", "rep"]))
+    if heads.limit(2).count() > 1:
+        links = saved(verified(texts, heads, None, n, percent))
+        members = saved(_relabelled(members, links))
+    # pairs of blocks of like sizes, unless both are of one class
+    span = members.groupBy("cluster", "block").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("cls").alias("c1"), F.max("cls").alias("c2"))
+    span = saved(span)
+    left, right = (span.select("cluster", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "lo", "hi", "c1", "c2")]) for k in (1, 2))
+    pairs = left.join(right, "cluster").where(
+        f"block_1 < block_2 and 100 * hi_1 >= {percent} * lo_2 and not (c1_1 = c2_1 and c1_2 = c2_2 and c1_1 = c1_2)")
+    groups = saved(pairs.select("cluster", F.col("block_1").alias("b1"), F.col("block_2").alias("b2")).withColumn("block", F.explode(F.array("b1", "b2"))))
+    if groups.limit(1).count():
+        asked = members.join(groups.select("cluster", "block").distinct(), ["cluster", "block"], "left_semi").select(*members.columns)
+        members = saved(_relabelled(members, verified(texts, saved(asked), groups, n, percent)))
+    return members.select("rep", "cls")
+
+
+def row_classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table with a row for each row of ``docs``: ``(__id, __h, n, node, first, shared)``.
+
+    Rows have one ``node`` if their sets are in one class; empty sets have a node of their own.  ``first`` is the
+    ``(none, id, h)`` of the class's first row: the smallest doc_id, null last.  ``shared``: another row has an equal set.
+    """
+    texts = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    heads = texts.select("__id", "__h", "text").mapInArrow(_heads(n, percent), "__id long, __h long, n long, fa long, fb long, sigs array<long>")
+    heads = saved(heads.withColumn("row", F.monotonically_increasing_id()))
+    key = ["n", "fa", "fb"]
+    sets = heads.select("row", "__id", "__h", *key, F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h")).alias("first"))
+    folded = sets.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("first").alias("__f"), F.count(F.lit(1)).alias("copies"))
+    folded = saved(folded.where("copies > 1").drop("copies"))
+    member = saved(sets.join(folded, key, "left").select(
+        "row", "__id", "__h", "n", F.coalesce("rep", "row").alias("rep"), F.coalesce("__f", "first").alias("first"), F.col("rep").isNotNull().alias("shared")))
+    copies = saved(member.where("row <> rep").select("row"))
+    reps = heads.where("n > 0").select(F.col("row"), F.col("row").alias("rep"), "sigs").join(small(copies), "row", "left_anti")
+
+    cluster = saved(candidates(reps))
+    spot = cluster.join(member.where("row = rep").select("rep", "__id", "__h", "n"), "rep")
+    spot = saved(spot.withColumns({"block": F.lit(0).cast("long"), "cls": F.col("rep")}).select("rep", "__id", "__h", "n", "cluster", "block", "cls"))
+    large = saved(spot.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK).select("cluster"))
+    twice = member.where("shared").groupBy("__id", "__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id", "__h")
+    twice = saved(twice)
+    if twice.limit(1).count():
+        texts = once(texts, twice)
+    few = spot.join(large, "cluster", "left_anti").select(*spot.columns)
+    links = components(verified(texts, saved(few), None, n, percent)).toDF("rep", "cls")
+    if large.limit(1).count():
+        links = links.unionByName(large_clusters(texts, spot.join(large, "cluster", "left_semi").select(*spot.columns), n, percent))
+    classes = saved(links)
+    named = classes.join(member.where("row = rep").select("rep", "first"), "rep")
+    first = named.groupBy("cls").agg(F.min("first").alias("__f"))
+    found = named.join(first, "cls").select("rep", "cls", "__f")
+    return saved(member.join(found, "rep", "left").select(
+        "__id", "__h", "n", F.coalesce("cls", "rep").alias("node"), F.coalesce("__f", "first").alias("first"), "shared"))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``; see the module text."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    heads = saved(docs.mapInArrow(_heads(n, percent), "doc_id long, n long, fa long, fb long, head array<long>"))
-    key = ["n", "fa", "fb"]
-    sets = heads.select("doc_id", *key)
-    real = F.expr("n > 0 and doc_id is not null")
-    folded = sets.where(real).groupBy(*key).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    folded = saved(folded.where("copies > 1").drop("copies"))
-    rep = F.when(real, F.coalesce("first", "doc_id"))
-    member = saved(sets.join(small(folded), key, "left").select("doc_id", *key, rep.alias("rep")))
-    copies = saved(member.where("doc_id <> rep").select("doc_id").distinct())
-    reps = heads.where("n > 0 and doc_id is not null").join(small(copies), "doc_id", "left_anti")
-
-    prefix = saved(shared_prefixes(reps, percent))
-    shared = saved(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("first")).where("c > 1"))
-    touching = prefix.join(small(shared.select("token", "first")), "token").select("rep", "first")
-    cluster = saved(components(touching).toDF("rep", "cluster"))
-
-    sized = ordered(
-        cluster.join(member.where("doc_id = rep").select("rep", "n").distinct(), "rep"), ["cluster", "n", "rep"]
-    )
-    sized = saved(sized)
-    start = sized.groupBy("cluster").agg(F.min("__ix").alias("__start"))
-    cut = saved(
-        sized.join(start, "cluster").select(
-            "rep", "cluster", "n", F.floor((F.col("__ix") - F.col("__start")) / BLOCK).cast("long").alias("block")
-        )
-    )
-    span = saved(cut.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
-    right = span.select("cluster", F.col("block").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = (
-        span.select("cluster", F.col("block").alias("b1"), "lo", "hi").join(right, "cluster")
-        .where(f"b1 <= b2 and 100 * hi >= {percent} * lo2").select("cluster", "b1", "b2")
-    )
-    sides = saved(
-        pairs.select("cluster", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
-    )
-    text = docs.join(small(cut.select(F.col("rep").alias("doc_id"), "cluster", "block")), "doc_id")
-    whole = text.select("doc_id", "text", "cluster", "block").mapInArrow(
-        _whole(n), "rep long, cluster long, block long, set array<long>"
-    )
-    group = ["cluster", "b1", "b2"]
-    links = (
-        whole.join(small(sides), ["cluster", "block"])
-        .select(*group, "block", "rep", "set")
-        .repartition(*[F.col(c) for c in group])
-        .sortWithinPartitions(*group)
-        .mapInArrow(_verify(percent), "a long, b long")
-    )
-    classes = saved(components(links).toDF("rep", "component"))
-    return member.join(small(classes), "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")
-    )
+    rows = row_classes(docs, n, percent, id_col, text_col)
+    both = rows.where("__id is not null").groupBy("__id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    both = saved(both.select("__id", "a"))
+    if both.limit(1).count():  # doc_ids with several texts join the classes of these
+        joined = saved(components(rows.join(both, "__id").select("node", "a")).toDF("node", "__c"))
+        first = rows.join(joined, "node").groupBy("__c").agg(F.min("first").alias("__f"))
+        rows = rows.join(joined.join(first, "__c").select("node", "__f"), "node", "left").withColumn("first", F.coalesce("__f", "first"))
+    return rows.select(F.col("__id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"))
+
+
+def distinct_rows(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, but for rows whose text is in the class of an earlier row.
+
+    Rows are taken by ``doc_id``, null last; of rows that share doc_id and text the one whose columns hash least stays.
+    Rows of one doc_id with texts that are not alike all stay, and so do texts without words.
+    """
+    rows = row_classes(docs, n, percent)
+    mine = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h"))
+    out = saved(rows.where(F.col("n") > 0).where(mine != F.col("first")).select("__id", "__h").distinct())
+    twice = rows.where("n > 0 and shared").where(mine == F.col("first")).groupBy("__id", "__h").agg(F.count(F.lit(1)).alias("__n"))
+    twice = saved(twice.where("__n > 1").select("__id", "__h"))
+    kept = without(keyed(docs), small(out))
+    if twice.limit(1).count():
+        kept = once(kept, twice)
+    return kept.select(*docs.columns)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

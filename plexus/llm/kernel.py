@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Byte ranges longer than this are hashed one by one: in a polynomial modulo 2^64 long patterned words can meet.
+_LONG = 64
 _tables = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -59,7 +62,10 @@ class Block:
         if self._sum is None:
             self._sum = np.zeros(len(self.buf) + 1, U)
             np.cumsum((self.buf.astype(U) + U(1)) * power[: len(self.buf)], out=self._sum[1:])
-        return mix((self._sum[end] - self._sum[start]) * inverse[start] + (end - start).astype(U))
+        h = mix((self._sum[end] - self._sum[start]) * inverse[start] + (end - start).astype(U))
+        for i in np.flatnonzero(end - start > _LONG).tolist():
+            h[i] = int.from_bytes(blake2b(self.buf[start[i] : end[i]], digest_size=8).digest(), "little")
+        return h
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.ws, self.we)
@@ -78,7 +84,7 @@ def windows(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :])
     out = np.full(len(at), n, U)
     for k in range(n):
-        out = out * U(0xD6E8FEB86659FD93) + h[at + k]
+        out = (out ^ (out >> U(32))) * U(0xD6E8FEB86659FD93) + h[at + k]
     return mix(out), at
 
 

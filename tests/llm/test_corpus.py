@@ -93,12 +93,93 @@ def test_prefix_tree_finds_every_class():
             assert [find(i) for i in range(14)] == [root(i) for i in range(14)]
 
 
-def test_repeated_ids_and_null_ids_in_jaccard(spark):
-    text = "the same words in every one of these rows"
-    df = spark.createDataFrame([(3, text), (3, text), (1, text), (None, text), (None, None)], "doc_id long, text string")
-    out = Counter((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_classes(df).collect())
-    assert out[(3, 1)] == 2 and out[(1, 1)] == 1 and sum(out.values()) == 5
+def row_groups(rows, n, percent):
+    """Brute force over ``(doc_id, text)`` rows: the classes of rows, and of documents (rows that share an id are one)."""
+    kinds = classes([t for _, t in rows], n, percent)
+    row_class = [kinds[i][1] for i in range(len(rows))]
+    up = {i: i for i in range(len(rows))}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    first = {}
+    for i, (doc, _) in enumerate(rows):
+        for j in (row_class[i], i if doc is None else first.setdefault(doc, i)):
+            a, b = sorted((find(i), find(j)))
+            up[b] = a
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[find(i)] = min(doc, least.get(find(i), doc))
+    return row_class, [(doc, kinds[i][0], least.get(find(i))) for i, (doc, _) in enumerate(rows)]
+
+
+def edited(text, k, rng):
+    w = text.split(" ")
+    for _ in range(k):
+        w[rng.randrange(len(w))] = f"e{rng.randrange(1000)}"
+    return " ".join(w)
+
+
+def repeated_rows():
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{k}{rng.randrange(90)}" for _ in range(120)) for k in "abc")
+    return [
+        (1, a), (3, a), (3, b), (7, b), (5, edited(b, 1, rng)), (None, edited(c, 1, rng)), (9, c), (None, None), (None, ""), (11, None), (11, c), (12, ""), (12, ""),
+        (4, "the same words in every one of these rows"), (4, "the same words in every one of these rows"), (None, "alone here with words"), (None, "alone here with words"),
+        (20, "x " * 30_000), (21, "x " * 29_000), (22, " ".join(map(str, range(40_000)))), (23, " ".join(map(str, range(1, 40_001)))), (24, "short one"), (24, "other text entirely"),
+    ]
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_repeated_ids_and_null_ids_in_jaccard(spark, n, percent):
+    rows = repeated_rows()
+    names = "n long, rep long, cls long, node long, cluster long, block long, first string, sig long"  # names used inside
+    df = spark.createDataFrame([(*r, *[None] * 8) for r in rows], f"doc_id long, text string, {names}")
+    out = Counter(tuple(r) for r in jaccard.jaccard_classes(df, n, percent).collect())
+    row_class, want = row_groups(rows, n, percent)
+    assert out == Counter(want)
     assert jaccard.jaccard_classes(df.limit(0)).count() == 0
+    kept = jaccard.distinct_rows(df, n, percent)
+    assert kept.columns == df.columns and jaccard.distinct_rows(df.limit(0)).count() == 0
+    best = {}
+    for i, (doc, text) in enumerate(rows):
+        if sets(text, n):
+            best.setdefault(row_class[i], []).append((doc is None, doc or 0, i))
+    stay = [rows[min(v)[2]] for v in best.values()] + [r for r in rows if not sets(r[1], n)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, stay))
+
+
+def test_signatures_meet_for_every_link():
+    """Sets that link share a signature, also where nearly all parts are empty."""
+    rng = random.Random(10)
+    for percent in (60, 80, 85, 90):
+        for _ in range(60):
+            size = rng.choice([1, 2, 3, 5, 8, 13, 40, 150])
+            narrow = rng.random() < 0.3  # all shingles in few parts
+            draw = lambda: rng.randrange(1 << 40) if narrow else rng.randrange(1 << 64)  # noqa: E731, B023
+            a = {draw() for _ in range(size)}
+            b = set(a)
+            for _ in range(rng.randrange(0, 1 + size // 4)):
+                if rng.random() < 0.6 and len(b) > 1:
+                    b.discard(rng.choice(sorted(b)))
+                if rng.random() < 0.6:
+                    b.add(draw())
+            s = np.array(sorted(a) + sorted(b), np.uint64)
+            doc = np.array([0] * len(a) + [1] * len(b))
+            sig, at = jaccard.signatures(s, doc, np.array([len(a), len(b)]), percent)
+            if 100 * len(a & b) >= percent * len(a | b):
+                assert set(sig[at == 0].tolist()) & set(sig[at == 1].tolist()), (percent, size, narrow)
+
+
+def test_patterned_words_hash_apart():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    (_, _, block), = kernel.blocks(pa.array([f"{a} {b}"]))
+    assert len(set(block.word_hashes().tolist())) == 2
 
 
 def test_components(spark):
