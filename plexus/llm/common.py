@@ -94,7 +94,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(60):
         ends = now.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down"))
         ends = ends.union(now.select("b", F.lit(0), F.lit(1))).groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-        state = ends.agg(F.count_if("up > 1 or up > 0 and down > 0").alias("bad"), F.max(F.col("up") + F.col("down")).alias("top"), F.sum("up").alias("n")).first()
+        state = ends.agg(F.count_if(F.expr("up > 1 or up > 0 and down > 0")).alias("bad"), F.max(F.col("up") + F.col("down")).alias("top"), F.sum("up").alias("n")).first()
         if not state["bad"]:  # every node has one smaller neighbour, or none
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 now.select("b", "b").distinct()
