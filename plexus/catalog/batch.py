@@ -39,14 +39,39 @@ def b1(spark, d):
                       F.size("equivalent_ids").cast("long").alias("n"), F.length("description").cast("long").alias("longest"))
 
 
-@query("b2_canonicalize_edges", """
-select coalesce(m.canonical_id, e.subject) as subject, e.object, count(*) as n_raw, array_to_string(list(distinct 'PMID:' || evidence || '.' || (cast(floor(amount) as bigint) % 30) order by 'PMID:' || evidence || '.' || (cast(floor(amount) as bigint) % 30))[1:5], ',') as pubs
-from edges e left join mp m on m.id = e.subject where e.predicate = 'located_in' and e.source = 'customer' and not e.amount < 0 group by 1, 2""", MAP)
-def b2(spark, d):
-    e = edges_of(spark, d, "located_in").where("source = 'customer'")
+#: Edges with qualifiers: the direction asks for the patched predicate, the aspect tells edges apart.
+RAW = MAP + """,
+re as (select e.id, coalesce(m.canonical_id, e.subject) as subject, e.object, case when amount > 5000 then 'increased' else '' end as dir, case when cast(substr(e.subject, 3) as int) % 2 = 0 then 'activity' else '' end as asp,
+    'PMID:' || evidence || '.' || (cast(floor(amount) as bigint) % 30) as pub
+  from edges e left join mp m on m.id = e.subject where e.predicate = 'located_in' and e.source = 'customer' and not e.amount < 0),
+rc as (select subject || '--regulates--' || case when dir <> '' then 'causes' else '' end || '--' || case when dir <> '' then 'activity_or_abundance' else asp end || '--' || dir || '--' || object || '--customer' as id,
+  count(*) as n_raw, array_to_string(list(distinct pub order by pub)[1:5], ',') as pubs, string_agg(distinct pub, ',' order by pub) as all_pubs, max(id) as last_raw from re group by 1)"""
+
+
+def canonical_edges(spark, d):
+    e = edges_of(spark, d, "located_in").where("source = 'customer'").withColumn("predicate", F.lit("regulates"))
     pub = F.concat(F.lit("PMID:"), F.col("evidence").cast("string"), F.lit("."), (F.floor("amount") % 30).cast("string"))
-    out = C.canonicalize_edges(e.withColumn("publications", F.array(pub)), mapping(spark, d), F.col("amount") < 0, 5)
-    return out.select("subject", "object", "n_raw", F.array_join("publications", ",").alias("pubs"))
+    e = e.withColumn("qualified_object_direction", F.when(F.col("amount") > 5000, "increased"))
+    e = e.withColumn("qualified_object_aspect", F.when(F.substring("subject", 3, 9).cast("int") % 2 == 0, "activity"))
+    e = e.withColumn("publications", F.array(pub)).withColumn("publications_info", F.create_map(pub, F.col("id")))
+    gone = e.limit(1).withColumn("predicate", F.lit("applied_to_treat")).withColumn("source", F.lit("chembl"))
+    return C.canonicalize_edges(e.unionByName(gone), mapping(spark, d), F.col("amount") < 0, 5)
+
+
+@query("b2_canonicalize_edges", "select id, n_raw, pubs from rc", RAW)
+def b2(spark, d):
+    return canonical_edges(spark, d).select("id", "n_raw", F.array_join("publications", ",").alias("pubs"))
+
+
+@query("b2_publications_info", "select id, array_to_string(list(p || '=' || i order by p)[1:5], ',') as info from (select r.subject || '--regulates--' || case when dir <> '' then 'causes' else '' end || '--' || case when dir <> '' then 'activity_or_abundance' else asp end || '--' || dir || '--' || object || '--customer' as id, pub as p, max(r.id) as i from re r group by 1, 2) group by id", RAW)
+def b2i(spark, d):
+    entries = F.array_join(F.transform(F.map_entries("publications_info"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return canonical_edges(spark, d).select("id", entries.alias("info"))
+
+
+@query("b4_number_edges", "select id, row_number() over (order by id) as number from rc", RAW)
+def b4(spark, d):
+    return C.number_edges(canonical_edges(spark, d).select("id"))
 
 
 @query("b3_best_description", "select cid as id, max(length(description)) as n from rn where length(description) < 10000 group by cid", MAP)

@@ -105,9 +105,37 @@ def f9c(spark, d):
     return X.remove_orphans(g, category="Customer").nodes.select("id")
 
 
-@query("f10_remove_general_concepts", """
-select id from nodes where not (lower(id) in ('c:1', 'p:2') or lower(name) in (select lower(n_name) from nation where n_nationkey = 1) or regexp_matches(name, '(?i)^(?:.*0$|supplier#0*7)'))""")
+#: Customers and suppliers have synonyms and equivalent ids; nations and regions have neither and are not judged.
+GENERAL = """
+gn as (select *, cast(substr(id, 3) as int) as k from nodes where prefix in ('C', 'S', 'N', 'R')),
+ge as (select * from edges where predicate in ('located_in', 'part_of')),
+gb as (select id from gn where prefix in ('C', 'S') and ('eq:' || (k % 500) in ('eq:1', 'eq:77') or 'syn ' || (k % 300) = 'syn 7' or lower(name) = 'customer#000000012' or regexp_matches('syn ' || (k % 300), '(?i)^(?:SYN 1[0-3]$|yn)'))),
+gk as (select * from ge where subject not in (select id from gb) and object not in (select id from gb))"""
+
+
+@query("f10_remove_general_concepts", "select id from gn where id in (select subject from gk union select object from gk)", GENERAL)
 def f10(spark, d):
-    name = lens.table(spark, d, "nation").where("n_nationkey = 1").first()["n_name"]
-    g = PropertyGraph(nodes_of(spark, d), edges_of(spark, d, "located_in"))
-    return X.drop_nodes(g, X.general_concepts(g.nodes, ["c:1", "P:2"], [name.upper()], [".*0$", "supplier#0*7"])).nodes.select("id")
+    k = F.substring("id", 3, 9).cast("int")
+    named = F.col("prefix").isin("C", "S")
+    n = nodes_of(spark, d).where("prefix in ('C', 'S', 'N', 'R')")
+    n = n.withColumn("equivalent_ids", F.when(named, F.array("id", F.concat(F.lit("Eq:"), (k % 500).cast("string")))))
+    n = n.withColumn("synonyms", F.when(named, F.array(F.lit("other"), F.concat(F.lit("Syn "), (k % 300).cast("string")))))
+    g = PropertyGraph(n, edges_of(spark, d, "located_in").union(edges_of(spark, d, "part_of")))
+    return X.remove_general_concepts(g, ["EQ:1", "eq:77", "N:1"], ["SYN 7", "Customer#000000012"], ["SYN 1[0-3]$", "yn"]).nodes.select("id")
+
+
+@query("f3_provenance_names", """
+select id from edges where predicate in ('placed', 'located_in', 'part_of') and source <> 'nation' and not (predicate = 'located_in' and amount < 0)""")
+def f3p(spark, d):
+    g = lens.graph(spark, d, ("placed", "located_in", "part_of"))
+    minus = g.edges.where("predicate = 'located_in' and amount < 0")
+    listed = minus.select("id", F.lit("aggregator_knowledge_source").alias("name"), F.when(F.col("source") == "customer", "original_source").alias("type_id"), F.lit("nation").alias("value"))
+    other = g.edges.select("id", F.lit("note").alias("name"), F.lit("text").alias("type_id"), F.lit("nation").alias("value"))
+    sources = g.edges.select("id", F.col("source").alias("resource_id"))
+    return X.drop_edges(g, X.by_discrete(g.edges, "provided_by", "nation", listed.union(other), sources)).edges.select("id")
+
+
+@query("f2_remove_by_type_id", "select id from av where not value < 50000", AT)
+def f2t(spark, d):
+    a = attrs(spark, d, "some name").withColumn("type_id", F.lit("order_value"))
+    return kept(spark, d, X.by_continuous(a.union(attrs(spark, d, "other").selectExpr("id", "name", "0.0", "'x'")), "order_value", "below", 50000.0))

@@ -107,17 +107,38 @@ def r10(spark, d):
     return out.select(F.array_join("a", ",").alias("a"), F.array_join("b", ",").alias("b"))
 
 
-@query("r11_essence", "select r.c, r.o, nodes.name as essence from r join nodes on nodes.id = r.o", KG)
+@query("r11_essence", "select r.c, r.o, nodes.name || case when cast(substr(r.o, 3) as int) % 2 = 0 then ' (' || nodes.categories[2] || ')' else '' end as essence from r join nodes on nodes.id = r.o", KG)
 def r11(spark, d):
     pattern = Pattern((QNode("c", ids=("C:1",)), QNode("o"), QNode("p", is_set=True)), CHAIN.edges)
-    return match.essences(match.match(CHAIN, *chain_kg(spark, d)), pattern, nodes_of(spark, d)).select("c", "o", "essence")
+    even = F.substring("id", 3, 9).cast("int") % 2 == 0
+    nodes = nodes_of(spark, d).where("prefix = 'O'").withColumn("symbol", F.when(even, F.get("categories", F.lit(1))).otherwise(F.col("name")))
+    return match.essences(match.match(CHAIN, *chain_kg(spark, d)), pattern, nodes).select("c", "o", "essence")
 
 
 @query("r2_integrity", """
 select 'MissingQNodeKeys' as error, 0 as n union all select 'MissingQEdgeKeys', 0 union all select 'UnknownQNodeKey', (select count(distinct object) from e1)
-union all select 'UnknownQEdgeKey', (select count(*) from e1) union all select 'OrphanEdges', 0""", KG)
+union all select 'UnknownQEdgeKey', (select count(*) from e1) union all select 'OrphanEdges', (select count(*) from e1 where amount >= 49)
+union all select 'MissingIds', 0 union all select 'MissingEnds', (select count(*) from e1 where amount < 2) union all select 'RepeatedEdgeIds', (select count(*) from e0)
+union all select 'BoundNodesNotInGraph', 0""", KG)
 def r2(spark, d):
-    return match.integrity(Pattern(CHAIN.nodes[:2], CHAIN.edges[:1]), *chain_kg(spark, d))
+    kg_nodes, kg_edges = chain_kg(spark, d)
+    far = F.when((F.col("qedge_key") == "e1") & (F.col("amount") >= 49), F.concat(F.lit("X"), "object")).when((F.col("qedge_key") != "e1") | (F.col("amount") >= 2), F.col("object"))
+    broken = kg_edges.withColumn("object", far).union(kg_edges.where("qedge_key = 'e0'"))
+    return match.integrity(Pattern(CHAIN.nodes[:2], CHAIN.edges[:1]), kg_nodes, broken.withColumn("id", F.col("id")))
+
+
+PARENTS = """
+lc as (select subject as c, object as n, 'N:' || (cast(substr(object, 3) as int) // 5 * 5) as p from edges where predicate = 'located_in' and source = 'customer')"""
+
+
+@query("r9_match_on_parents", """
+select c || '|' || p as result_id, 'c' as qnode_key, c as node_id from lc union select c || '|' || p, 'n', p from lc union select c || '|' || p, 'n', n from lc""", PARENTS)
+def r9m(spark, d):
+    n = nodes_of(spark, d).where("prefix = 'N'").select("id", F.substring("id", 3, 9).cast("int").alias("k"))
+    sub = n.where("k % 5 <> 0").select(F.col("id").alias("child"), F.concat(F.lit("N:"), (F.floor(F.col("k") / 5) * 5).cast("string")).alias("parent"))
+    e = edges_of(spark, d, "located_in").where("source = 'customer'").select(F.lit("e").alias("qedge_key"), "id", "subject", "object")
+    kg = nodes_of(spark, d).where("prefix in ('C', 'N')").select(F.lower("prefix").alias("qnode_key"), F.col("id").alias("node_id"))
+    return match.match_collapsed(Pattern((QNode("c"), QNode("n")), (QEdge("e", "c", "n"),)), kg, e, sub)[1]
 
 
 @query("r13_query_ids", "select o as node_id, case when substr(c, 3) <> substr(o, 3) then c end as query_id from r", KG)
@@ -160,15 +181,35 @@ def flagship(spark, d):
     return top.select("c", "o", F.array_join("p", ",").alias("p"), "jaccard", "place")
 
 
-@query("x1_connect_paths", """
-select array_to_string(path, '>') as path, length from walk where last = 'R:1'""", """
-ed as (select subject as a, object as b from edges where predicate in ('located_in', 'part_of') and (source <> 'customer' or subject in ('C:1', 'C:2', 'C:4', 'C:5', 'C:7'))),
+#: The nearest other customer, by id, of C:1's region and another nation.
+ENDS = """
+cn as (select subject as c, object as n from edges where predicate = 'located_in' and source = 'customer'),
+cr as (select cn.c, cn.n, r.object as r from cn join edges r on r.subject = cn.n and r.predicate = 'part_of'),
+goal as (select min(x.c) as c from cr x join cr y on y.c = 'C:1' and x.r = y.r and x.n <> y.n),
+ed as (select subject as a, object as b from edges where predicate in ('located_in', 'part_of')),
 un as (select a, b from ed union select b, a from ed),
 walk(path, last, length) as (select ['C:1'], 'C:1', cast(0 as bigint) union all select list_append(path, b), b, length + 1 from walk join un on un.a = last
-  where length < 3 and not list_contains(path, b) and last <> 'R:1')""", recursive=True)
+  where length < 4 and not list_contains(path, b) and last <> (select c from goal))"""
+
+
+def ends(spark, d):
+    home = edges_of(spark, d, "located_in").where("source = 'customer'").select(F.col("subject").alias("c"), F.col("object").alias("n"))
+    home = home.join(edges_of(spark, d, "part_of").select(F.col("subject").alias("n"), F.col("object").alias("r")), "n")
+    one = home.where("c = 'C:1'").select(F.col("n").alias("n1"), F.col("r").alias("r1"))
+    goal = home.join(F.broadcast(one)).where("r = r1 and n <> n1").agg(F.min("c").alias("c")).first()["c"]  # one row
+    return edges_of(spark, d, "located_in").union(edges_of(spark, d, "part_of")), "C:1", goal
+
+
+@query("x1_connect_paths", "select array_to_string(path, '>') as path, length from walk where last = (select c from goal)", ENDS, recursive=True)
 def x1(spark, d):
-    e = edges_of(spark, d, "located_in").where("source <> 'customer' or subject in ('C:1', 'C:2', 'C:4', 'C:5', 'C:7')").union(edges_of(spark, d, "part_of"))
-    return paths.connect(e, "C:1", "R:1", 3).select(F.array_join("path", ">").alias("path"), "length")
+    return paths.connect(*ends(spark, d), 4).select(F.array_join("path", ">").alias("path"), "length")
+
+
+@query("x1_connect_through", """
+select array_to_string(path, '>') as path, length from walk where last = (select c from goal) and len(list_filter(path, lambda x: x[1:1] = 'R')) > 0""", ENDS, recursive=True)
+def x1t(spark, d):
+    regions = nodes_of(spark, d).where("prefix = 'R'").select("id")
+    return paths.connect(*ends(spark, d), 4, through=regions).select(F.array_join("path", ">").alias("path"), "length")
 
 
 @query("x3_path_analyses", """
@@ -182,27 +223,55 @@ def x3(spark, d):
 
 
 @query("x4_support_graphs", """
-select r.c || '|' || r.o as result_id, 'aux_' || string_agg(e1.id, ';' order by e1.id) as aux_id, count(*) as n_edges from r join e1 on e1.subject = r.o where e1.amount >= 20 group by r.c, r.o""", KG)
+select result_id, case when n <= 4 then 'aux_' || ids || '_g' else 'aux_' || (row_number() over (order by result_id) - 1) || '_g' end as aux_id, n as n_edges from (
+  select r.c || '|' || r.o as result_id, string_agg(e1.id, ';' order by e1.id) as ids, count(*) as n from r join e1 on e1.subject = r.o where e1.amount >= 10 group by r.c, r.o)""", KG)
 def x4(spark, d):
     kg_nodes, kg_edges = chain_kg(spark, d)
     results = saved(match.result_id(match.match(CHAIN, kg_nodes, kg_edges), CHAIN))
     bound = match.bound_edges(match.bound_nodes(results, CHAIN), CHAIN, kg_edges)
-    virtual = bound.where("qedge_key = 'e1'").join(kg_edges.where("amount >= 20").select(F.col("id").alias("edge_id")), "edge_id", "left_semi")
+    virtual = bound.where("qedge_key = 'e1'").join(kg_edges.where("amount >= 10").select(F.col("id").alias("edge_id")), "edge_id", "left_semi")
     return paths.support_graphs(virtual.withColumn("option_group", F.lit("g"))).select("result_id", "aux_id", F.size("edge_ids").cast("long").alias("n_edges"))
 
 
-@query("x5_supported_edges", """
-select e.id from edges e where e.predicate = 'placed' and e.object in (select subject from edges where predicate = 'contains' and amount >= 30)""")
-def x5(spark, d):
+@query("x4_unbind_virtual", "select c || '|' || o as result_id, 'c' as qnode_key, c as node_id from r union all select c || '|' || o, 'o', o from r", KG)
+def x4u(spark, d):
+    kg_nodes, kg_edges = chain_kg(spark, d)
+    results = saved(match.result_id(match.match(CHAIN, kg_nodes, kg_edges), CHAIN))
+    bound = match.bound_nodes(results, CHAIN)
+    lost = results.select("result_id", F.lit("o").alias("qnode_key"), F.lit("O:parent").alias("node_id"))  # at no edge
+    return paths.unbind_virtual(match.bound_edges(bound, CHAIN, kg_edges), bound.union(lost), kg_edges, ["e0"], ["c", "o"])[1]
+
+
+def support(spark, d):
+    """Each order's aux graph joins customer and order through its parts; the edges of parts of little quantity are infinite."""
     placed = edges_of(spark, d, "placed").select("id", "subject", "object")
-    support = placed.select(F.col("id").alias("edge_id"), F.col("object").alias("aux_id"), F.col("subject").alias("from_id"), F.col("object").alias("to_id"))
-    # each order's aux graph joins customer and order through a part of enough quantity
+    asked = saved(placed.select(F.col("id").alias("edge_id"), F.col("object").alias("aux_id"), F.col("subject").alias("from_id"), F.col("object").alias("to_id")))
     c = edges_of(spark, d, "contains").select(F.col("subject").alias("aux_id"), F.col("object").alias("part"), "amount")
-    hop = support.join(c, "aux_id")
+    hop = saved(asked.join(c, "aux_id"))
     value = F.when(F.col("amount") >= 30, 0.5).otherwise(float("inf"))
     aux = hop.select("aux_id", F.col("from_id").alias("subject"), F.col("part").alias("object"), value.alias("ngd"))
-    aux = aux.union(hop.select("aux_id", "part", "to_id", F.lit(0.1)))
-    return paths.supported(support, aux, 2).select(F.col("edge_id").alias("id"))
+    return asked, aux.union(hop.select("aux_id", "part", "to_id", F.lit(0.1)))
+
+
+@query("x5_supported_edges", """
+select e.id from edges e where e.predicate = 'placed' and (e.object in (select subject from edges where predicate = 'contains' and amount >= 30)
+  or e.object not in (select subject from edges where predicate = 'contains'))""")
+def x5(spark, d):
+    return paths.supported(*support(spark, d)).select(F.col("edge_id").alias("id"))
+
+
+@query("x5_creative_filter", """
+select e.subject || '|' || e.object as result_id, case x when 1 then 'c' else 'o' end as qnode_key, case x when 1 then e.subject else e.object end as node_id
+from edges e, (values (1), (2)) v(x) where e.predicate = 'placed' and e.object in (select subject from edges where predicate = 'contains' and amount >= 30)""")
+def x5c(spark, d):
+    placed, contains = saved(edges_of(spark, d, "placed").select("id", "subject", "object")), saved(edges_of(spark, d, "contains").select("id", "subject", "object"))
+    name = placed.select(F.concat_ws("|", "subject", "object").alias("result_id"), "id", "subject", "object")
+    e1 = contains.join(name.select("result_id", F.col("object").alias("subject")), "subject")
+    bound = name.select("result_id", F.lit("e0").alias("qedge_key"), F.col("id").alias("edge_id")).union(e1.select("result_id", F.lit("e1"), "id"))
+    nodes = name.select("result_id", F.lit("c").alias("qnode_key"), F.col("subject").alias("node_id")).union(name.select("result_id", F.lit("o"), "object"))
+    nodes = nodes.union(name.select("result_id", F.lit("o"), F.lit("O:orphan")))
+    ok = saved(paths.supported(*support(spark, d)))
+    return paths.creative_filter(saved(bound), nodes, placed.union(contains), ok, ["e0"], ["e0", "e1"])[1]
 
 
 @query("e11_kryptonite_pattern", """

@@ -100,7 +100,7 @@ def similar(spark, d):
 
 def _fisher_sql(degree: str) -> str:
     return f"""
-l as (select subject, object from edges where predicate = 'supplies' and subject in (select id from nodes where prefix = 'S' and cast(substr(id, 3) as int) % 5 = 0)),
+l as (select subject, object from edges where predicate = 'supplies' and subject in (select subject from edges where predicate = 'located_in' and source = 'supplier' and amount > 5000)),
 deg as ({degree}), pop as (select count(*) as n from nodes where prefix = 'S'), nn as (select count(distinct subject) as n from l),
 t as (select l.object, count(*) as a, any_value(deg.g) - count(*) as b, any_value(nn.n) - count(*) as c, any_value(pop.n) - any_value(deg.g) - (any_value(nn.n) - count(*)) as d
   from l join deg on deg.object = l.object, pop, nn group by l.object),
@@ -108,11 +108,12 @@ u as (select distinct a, b, c, d, unnest(range(greatest(0, a + b + a + c - (a +
 v as (select *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) as base from u),
 w as (select *, base - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1) as lp,
   base - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1) as lo from v),
-fp as (select t.object, t.a, t.b, t.c, t.d, round(least(sum(case when lp <= lo + 1e-7 then exp(lp) else 0 end), 1.0), 6) as p from t join w using (a, b, c, d) group by all)"""
+fr as (select t.object, t.a, t.b, t.c, t.d, least(sum(case when lp <= lo + 1e-7 then exp(lp) else 0 end), 1.0) as raw from t join w using (a, b, c, d) group by all),
+fp as (select *, round(raw, 6) as p from fr)"""
 
 
 def _some_suppliers(spark, d):
-    few = nodes_of(spark, d).where("prefix = 'S'").where(F.substring("id", 3, 9).cast("int") % 5 == 0).select(F.col("id").alias("subject"))
+    few = edges_of(spark, d, "located_in").where("source = 'supplier' and amount > 5000").select("subject")
     return edges_of(spark, d, "supplies").join(few, "subject", "left_semi")
 
 
@@ -126,11 +127,10 @@ def o3(spark, d):
     return O.fisher(_some_suppliers(spark, d), degree, _population(spark, d)).withColumn("p", F.round("p", 6))
 
 
-@query("o3_fisher_cutoff_top_n", "select object, p from fp where p < 0.5 order by p, object limit 25", _fisher_sql("select object, count(distinct subject) as g from edges where predicate = 'supplies' group by object"))
+@query("o3_fisher_cutoff_top_n", "select object, p from fp where raw < 0.45 order by round(raw, 9), object limit 25", _fisher_sql("select object, count(distinct subject) as g from edges where predicate = 'supplies' group by object"))
 def o3t(spark, d):
     degree = O.category_degree(edges_of(spark, d, "supplies"), nodes_of(spark, d), "Supplier")
-    out = O.fisher(_some_suppliers(spark, d), degree, _population(spark, d)).withColumn("p", F.round("p", 6))
-    return out.where("p < 0.5").orderBy("p", "object").limit(25).select("object", "p")
+    return O.fisher(_some_suppliers(spark, d), degree, _population(spark, d), cutoff=0.45, top_n=25).select("object", F.round("p", 6).alias("p"))
 
 
 @query("o3b_fisher_by_predicate", "select object, a, b, p from fp", _fisher_sql("select object, count(*) as g from edges where predicate = 'supplies' group by object"))
@@ -187,16 +187,24 @@ def c2(spark, d):
     return O.concept_frequency(clinic(spark, d)).withColumn("concept_frequency", F.round("concept_frequency", 6))
 
 
-@query("c3_associated_frequency", "select concept_2 as concept, split_part(concept_2, ':', 1) as domain, round(concept_frequency, 6) as concept_frequency from sy where concept_1 = 'click:1' and split_part(concept_2, ':', 1) = 'view'", CLINIC)
+@query("c3_associated_frequency", """
+select concept_2 as concept, round(concept_frequency, 6) as concept_frequency, row_number() over (order by round(concept_frequency, 9) desc, concept_2) as rank
+from sy where concept_1 = 'click:1' and split_part(concept_2, ':', 1) = 'view'""", CLINIC)
 def c3(spark, d):
-    rows = O.clinical_lookup(O.pair_statistics(clinic(spark, d)), "click:1", "concept_frequency")
-    domain = F.substring_index("concept_2", ":", 1)
-    return rows.where(domain == "view").select(F.col("concept_2").alias("concept"), domain.alias("domain"), F.round("concept_frequency", 6).alias("concept_frequency"))
+    table = O.pair_statistics(clinic(spark, d)).withColumn("concept_frequency", F.round("concept_frequency", 9))
+    rows = O.clinical_lookup(table, "click:1", "concept_frequency", domain="view")
+    return rows.select(F.col("concept_2").alias("concept"), F.round("concept_frequency", 6).alias("concept_frequency"), "rank")
 
 
-@query("c4_vocabularies", "select distinct event_type as vocabulary from events")
+@query("c4_vocabularies", "select split_part(concept, ':', 1) as vocabulary, count(*) as n from sg group by 1", CLINIC)
 def c4(spark, d):
-    return lens.table(spark, d, "events").select(F.col("event_type").alias("vocabulary")).distinct()
+    return O.vocabularies(clinic(spark, d).select("concept"))
+
+
+@query("c4_get_concepts", "select concept, split_part(concept, ':', 1) as vocabulary, split_part(concept, ':', 2) as code from sg where concept in ('click:1', 'view:3', 'view:99')", CLINIC)
+def c4g(spark, d):
+    ids = spark.createDataFrame([("click:1",), ("view:3",), ("view:99",)], "concept string")
+    return O.get_concepts(clinic(spark, d).select("concept"), ids)
 
 
 @query("c5_most_frequent_concepts", "select concept, count(*) as concept_count from ev group by concept order by 2 desc, 1 limit 10", CLINIC)
@@ -206,14 +214,25 @@ def c5(spark, d):
 
 @query("c9_domain_counts", "select event_type as domain, count(distinct user_id) as patients, count(*) as records from events group by event_type")
 def c9(spark, d):
-    return lens.table(spark, d, "events").groupBy(F.col("event_type").alias("domain")).agg(F.countDistinct("user_id").alias("patients"), F.count(F.lit(1)).alias("records"))
+    return O.domain_counts(lens.table(spark, d, "events").select(F.col("user_id").alias("patient"), F.col("event_type").alias("domain")))
 
 
 @query("c9_domain_pair_counts", "select a.t as domain_1, b.t as domain_2, count(*) as patients from (select distinct user_id as u, event_type as t from events) a join (select distinct user_id as u, event_type as t from events) b on a.u = b.u and a.t < b.t group by a.t, b.t")
 def c9b(spark, d):
-    e = lens.table(spark, d, "events").select("user_id", "event_type").distinct()
-    both = e.toDF("u", "domain_1").join(e.toDF("u", "domain_2"), "u").where("domain_1 < domain_2")
-    return both.groupBy("domain_1", "domain_2").agg(F.count(F.lit(1)).alias("patients"))
+    return O.domain_pair_counts(lens.table(spark, d, "events").select(F.col("user_id").alias("patient"), F.col("event_type").alias("domain")))
+
+
+@query("c9_patient_count", "select count(distinct user_id) as patients, count(distinct event_type || ':' || (cast(floor(value) as bigint) % 7)) as concepts, count(*) as records from events", CLINIC)
+def c9p(spark, d):
+    return O.patient_count(clinic(spark, d))
+
+
+@query("c10_concept_ids", """
+select id, concept, min(distance) as distance from (select 'X:' || split_part(concept, ':', 1) as id, concept, cast(split_part(concept, ':', 2) as int) as distance from sg) where id in ('X:click', 'X:view') and distance <= 3 group by id, concept""", CLINIC)
+def c10(spark, d):
+    c = clinic(spark, d).select("concept").distinct()
+    mapping = c.select(F.concat(F.lit("X:"), F.substring_index("concept", ":", 1)).alias("id"), "concept", F.substring_index("concept", ":", -1).cast("int").alias("distance"))
+    return O.map_ids(spark.createDataFrame([("X:click",), ("X:view",)], "id string"), mapping, 3)
 
 
 _MAP = "mp as (select 'X:' || split_part(concept, ':', 1) as id, concept from sg), pr as (select a.id as subject, b.id as object from (select distinct id from mp) a, (select distinct id from mp) b where a.id < b.id)"
@@ -252,12 +271,24 @@ def o6(spark, d):
     return O.attach(part_pairs(spark, d), part_pairs(spark, d).join(p, "object"), "p_value", 1.0).withColumn("p_value", F.round("p_value", 6))
 
 
-@query("o7_result_pairs", "select distinct a.subject, c.object from edges a join edges c on c.subject = a.object where a.predicate = 'placed' and c.predicate = 'contains' and a.subject in ('C:1', 'C:2', 'C:4')")
+@query("o7_result_pairs", "select distinct a.subject, c.object from edges a join edges c on c.subject = a.object where a.predicate = 'placed' and c.predicate = 'contains'")
 def o7(spark, d):
-    a = edges_of(spark, d, "placed").where("subject in ('C:1', 'C:2', 'C:4')")
+    a = edges_of(spark, d, "placed")
     r = a.select(F.col("object").alias("result_id"), F.lit("n0").alias("qnode_key"), F.col("subject").alias("node_id"))
     c = edges_of(spark, d, "contains").select(F.col("subject").alias("result_id"), F.lit("n2").alias("qnode_key"), F.col("object").alias("node_id"))
-    return O.result_pairs(r.union(c.join(r.select("result_id"), "result_id", "left_semi")), "n0", "n2")
+    return O.result_pairs(r.union(c), "n0", "n2")
+
+
+@query("o8_inherited_groups", "select * from (values ('', ''), ('a', 'a'), ('a,b', 'error')) t(groups, inherited)")
+def o8(spark, d):
+    rows = []
+    for groups in (set(), {"a", None}, {"a", "b"}):
+        try:
+            found = O.inherited_group(groups) or ""
+        except ValueError:
+            found = "error"
+        rows.append((",".join(sorted(g for g in groups if g)), found))
+    return spark.createDataFrame(rows, "groups string, inherited string")
 
 
 @query("o9_rebind_virtual", """

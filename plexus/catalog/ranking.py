@@ -8,14 +8,17 @@ from plexus.catalog.base import query
 from plexus.functions import scores as N
 from plexus.operators import rank as R
 from plexus.sources.lens import edges_of
+from plexus.sources.scratch import saved
 
 #: A result is an order of a customer; its query edges are e0 (placed) and e1 (contains).
 RES = """
 b as (select object as result_id, 'e0' as qedge_key, id as edge_id from edges where predicate = 'placed'
   union all select subject, 'e1', id from edges where predicate = 'contains'),
 cf as (select id, case when source = 'lineitem' then 1 - (1 - 0.5::double) * (1 - 0.9::double * (1 / (1 + exp(-0.1::double * (amount - 25)))))
-  else 1 - (1 - 0.93::double) * (1 - 0.5::double * (1 / (1 + exp(-0.1::double * (evidence - 25))))) end as confidence from edges where predicate in ('placed', 'contains')),
-w as (select result_id, qedge_key, 1 - product(1 - confidence) as weight from b join cf on cf.id = b.edge_id group by result_id, qedge_key),
+  when amount > 250000 then 0.9 else 1 - (1 - 0.93::double) * (1 - 0.5::double * (1 / (1 + exp(-0.1::double * (evidence - 25))))) end as confidence,
+  case when source = 'lineitem' then cast(cast(floor(amount / 10) as bigint) as varchar) else source end as kind from edges where predicate in ('placed', 'contains')),
+wk as (select result_id, qedge_key, kind, avg(confidence) as confidence from b join cf on cf.id = b.edge_id group by result_id, qedge_key, kind),
+w as (select result_id, qedge_key, 1 - product(1 - confidence) as weight from wk group by result_id, qedge_key),
 s as (select result_id, min(weight) as max_flow, product(weight) / 2 as longest_path, sqrt(sum(weight * weight)) as frobenius from w group by result_id),
 q as (select *, round((cume_dist() over (order by round(max_flow, 9)) + cume_dist() over (order by round(longest_path, 9)) + cume_dist() over (order by round(frobenius, 9))) / 3, 3) as score from s)"""
 
@@ -30,8 +33,10 @@ def confidences(spark, d):
     x = F.when(F.col("source") == "lineitem", F.col("amount")).otherwise(F.col("evidence").cast("double"))
     weight = F.when(F.col("source") == "lineitem", 0.9).otherwise(0.5)
     s = e.select("id", weight.alias("weight"), N.logistic(x, 0.1, 25.0).alias("score"))
-    e = e.select("id", "source", F.lit(False).alias("manual"))
-    return R.edge_confidence(e, s, {"orders": 0.93}).select("id", F.col("id").alias("kind"), "confidence")
+    manual = (F.col("source") == "orders") & (F.col("amount") > 250000)
+    kind = F.when(F.col("source") == "lineitem", F.floor(F.col("amount") / 10).cast("string")).otherwise(F.col("source"))
+    e = e.select("id", "source", manual.alias("manual"), kind.alias("kind"))
+    return R.edge_confidence(e, s, {"orders": 0.93}).select("id", "kind", "confidence")
 
 
 def chain(spark, d):
@@ -150,6 +155,28 @@ def s2(spark, d):
     return R.sorted_by(R.attribute_sums(nodes, size, "size", "node_id"), False, 300)
 
 
+@query("s2_category_attribute", """
+select result_id, key, row_number() over (order by key nulls last, result_id) as place from (
+  select e.subject as result_id, cast(sum(case when p_brand = 'Brand#13' then p_size end) as double) as key from edges e join part on e.object = 'P:' || p_partkey where e.predicate = 'contains' group by e.subject)
+order by key nulls last, result_id limit 300""")
+def s2c(spark, d):
+    from plexus.sources import lens
+
+    nodes = edges_of(spark, d, "contains").select(F.col("subject").alias("result_id"), F.col("object").alias("node_id"))
+    size = lens.table(spark, d, "part").select(lens.curie("P", "p_partkey").alias("id"), F.lit("size").alias("name"), F.col("p_size").cast("double").alias("value"))
+    return R.sorted_by(R.attribute_sums(nodes, size, "size", "node_id", category="Brand#13", nodes=lens.nodes_of(spark, d)), False, 300)
+
+
+@query("s2_document_counts", """
+select result_id, key, row_number() over (order by key desc nulls last, result_id) as place from (
+  select e.subject as result_id, count(distinct s.subject) as key from edges e join edges s on s.object = e.object and s.predicate = 'supplies' where e.predicate = 'contains' group by e.subject)
+order by key desc nulls last, result_id limit 300""")
+def s2d(spark, d):
+    nodes = edges_of(spark, d, "contains").select(F.col("subject").alias("result_id"), F.col("object").alias("node_id"))
+    docs = edges_of(spark, d, "supplies").select(F.col("object").alias("id"), F.col("subject").alias("doc"))
+    return R.sorted_by(R.document_counts(nodes, docs), True, 300)
+
+
 @query("s3_sort_by_score", "select result_id, score as key, row_number() over (order by score, result_id) as place from q order by score, result_id limit 100", RES)
 def s3(spark, d):
     return R.sorted_by(scored(spark, d).select("result_id", F.col("score").alias("key")), False, 100)
@@ -177,7 +204,8 @@ def s7(spark, d):
     from plexus.sources import lens
 
     g = lens.graph(spark, d, ("placed", "contains"))
-    b = bound(spark, d)
+    g = lens.PropertyGraph(g.nodes, saved(g.edges))  # read four times
+    b = saved(bound(spark, d))
     top = R.limit_results(b.select("result_id").distinct(), [F.asc("result_id")], 50)
     kept = b.join(top.select("result_id"), "result_id", "left_semi")
     nodes = kept.join(g.edges.select(F.col("id").alias("edge_id"), "subject", "object"), "edge_id")

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plexus.functions.order import ordered
+
 
 def union_sets(column: str) -> Column:
-    """All elements of an array column over a group, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column))))
+    """All elements of an array column over a group, distinct and sorted; equal arrays are held once."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(column))))
 
 
 def canonicalize_nodes(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -29,18 +31,45 @@ def canonicalize_nodes(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("id")).alias("equivalent_ids"))
 
 
+#: What tells canonical edges apart (B2); columns that a table lacks count as empty.
+EDGE_KEY = ("subject", "predicate", "qualified_predicate", "qualified_object_aspect", "qualified_object_direction", "object", "source")
+
+
 def canonicalize_edges(edges: DataFrame, mapping: DataFrame, dropped: Column | None = None, most_publications: int = 20) -> DataFrame:
-    """Ends remapped, self edges and ``dropped`` ones gone, equal ``(subject, predicate, object, source)`` merged."""
+    """B2: ends remapped, self edges and ``dropped`` ones gone, edges equal in ``EDGE_KEY`` merged.
+
+    ``publications`` are the first ``most_publications`` of all; so is the map ``publications_info``, where there
+    is one (of several entries of a publication the one of the greatest raw id).  Edges that regulate in a direction
+    without a qualified predicate get ``causes`` and ``activity_or_abundance``; applied_to_treat edges of chembl go.
+    """
     e = edges
     for end in ("subject", "object"):
         m = mapping.select(F.col("id").alias(end), F.col("canonical_id").alias("__c"))
         e = e.join(m, end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
     e = e.where("subject <> object")
     e = e.where(~dropped) if dropped is not None else e
-    merged = e.groupBy("subject", "predicate", "object", "source").agg(
-        union_sets("publications").alias("__p"), F.array_sort(F.collect_set("id")).alias("raw_ids"), F.count(F.lit(1)).alias("n_raw"))
-    key = F.concat_ws("--", "subject", "predicate", "object", "source")
-    return merged.withColumn("id", key).withColumn("publications", F.slice("__p", 1, most_publications)).drop("__p")
+    for c in EDGE_KEY:
+        e = e.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("")) if c in e.columns else F.lit(""))
+    e = e.where("not (predicate = 'applied_to_treat' and source = 'chembl')")
+    patch = (F.col("predicate") == "regulates") & (F.col("qualified_object_direction") != "") & (F.col("qualified_predicate") == "")
+    e = e.withColumns({
+        "qualified_predicate": F.when(patch, "causes").otherwise(F.col("qualified_predicate")),
+        "qualified_object_aspect": F.when(patch, "activity_or_abundance").otherwise(F.col("qualified_object_aspect"))})
+    e = e.withColumn("__key", F.concat_ws("--", *EDGE_KEY))
+    merged = e.groupBy("__key", *EDGE_KEY).agg(F.array_sort(F.collect_set("id")).alias("raw_ids"), F.count(F.lit(1)).alias("n_raw"))
+    pubs = e.select("__key", F.explode("publications").alias("p")).distinct()
+    merged = merged.join(pubs.groupBy("__key").agg(F.slice(F.array_sort(F.collect_list("p")), 1, most_publications).alias("publications")), "__key", "left")
+    merged = merged.withColumn("publications", F.coalesce("publications", F.array().cast("array<string>")))
+    if "publications_info" in edges.columns:
+        info = e.select("__key", "id", F.explode("publications_info").alias("p", "i")).groupBy("__key", "p").agg(F.max_by("i", "id").alias("i"))
+        info = info.groupBy("__key").agg(F.map_from_entries(F.slice(F.array_sort(F.collect_list(F.struct("p", "i"))), 1, most_publications)).alias("publications_info"))
+        merged = merged.join(info, "__key", "left")
+    return merged.withColumnRenamed("__key", "id")
+
+
+def number_edges(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``number``, 1 and up in the order of their ids, by a global range sort."""
+    return ordered(edges, ["id"]).withColumn("number", F.col("__ix") + 1).drop("__ix")
 
 
 def remove_general(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexus.functions.text import simple_name
@@ -25,15 +25,12 @@ def merge_nodes(first: DataFrame, second: DataFrame) -> DataFrame:
 def name_edges(nodes: DataFrame, most: int = 250) -> DataFrame:
     """``(a, b)`` pairs with the same simple name, in groups of at most ``most`` nodes.
 
-    Larger groups name nothing in particular: they are linked to their least id only, so no group is
-    expanded to all its pairs.
+    A name that more nodes bear names nothing in particular: it gives no pairs.
     """
     named = nodes.select("id", simple_name(F.col("name")).alias("key")).where("key <> ''")
-    group = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
-    member = named.join(group, "key")
-    small = member.where(F.col("n") <= most)
-    pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    return pairs.union(member.where((F.col("n") > most) & (F.col("id") > F.col("first"))).select("first", "id"))
+    group = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= most))
+    member = named.join(group.select("key"), "key")
+    return member.select("key", F.col("id").alias("a")).join(member.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
 
 
 #: Edge weights by kind.
@@ -61,35 +58,42 @@ def without_conflicts(pairs: DataFrame, branch: DataFrame, trusted: DataFrame |
     return p.where(~clash).select(*pairs.columns)
 
 
-def label_propagation(nodes: DataFrame, pairs: DataFrame, fixed: DataFrame | None = None, rounds: int = 20) -> DataFrame:
-    """``(id, label)`` by synchronous weighted majority of neighbours, ties to the least label.
-
-    A node keeps its label unless another is strictly heavier, and only half of the nodes (by hash) move in a
-    round, so two-cycles die out.  ``fixed(id, label)`` never move.  Each round is a join and two combinable
-    aggregations, and is written to the shared folder to cut the lineage.
-    """
-    pairs = saved(pairs)
-    both = pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight")).toDF("id", "near", "weight")
-    label = nodes.select("id", F.col("id").alias("label"), F.lit(False).alias("pin"))
-    if fixed is not None:
-        f = fixed.select("id", F.col("label").alias("__f"))
-        label = label.join(f, "id", "left").select("id", F.coalesce("__f", "label").alias("label"), F.col("__f").isNotNull().alias("pin"))
-    still = 0
-    for i in range(rounds):
-        votes = both.join(label.select(F.col("id").alias("near"), "label"), "near").groupBy("id", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
+def _propagate(label: DataFrame, both: DataFrame, start: int, most_rounds: int) -> tuple[DataFrame, int]:
+    """``label(id, label, pin)`` once no node would move, and the rounds so far; a null label has no vote."""
+    for i in range(start, start + most_rounds):
+        near = label.where("label is not null").select(F.col("id").alias("near"), "label")
+        votes = both.join(near, "near").groupBy("id", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
         best = votes.groupBy("id").agg(F.max("w").alias("top"))
         lead = votes.join(best, "id").where("w = top").groupBy("id", "top").agg(F.min("label").alias("lead"))
         mine = votes.select("id", "label", F.col("w").alias("own"))
         step = label.join(lead, "id", "left").join(mine, ["id", "label"], "left")
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
-        move = ~F.col("pin") & turn & F.col("lead").isNotNull() & (F.col("top") > F.coalesce("own", F.lit(0.0)))
-        step = step.select("id", F.when(move, F.col("lead")).otherwise(F.col("label")).alias("label"), "pin", move.alias("moved"))
+        want = ~F.col("pin") & F.col("lead").isNotNull() & (F.col("top") > F.coalesce("own", F.lit(0.0)))
+        turn = F.md5(F.concat_ws(":", F.lit(i), "id").cast("binary")) < "8"  # another half each round
+        step = step.select("id", F.when(want & turn, F.col("lead")).otherwise(F.col("label")).alias("label"), "pin", want.alias("want"))
         step = saved(step)
-        still = 0 if step.where("moved").limit(1).count() else still + 1
         label = step.select("id", "label", "pin")
-        if still == 2:
-            break
-    return label.select("id", "label")
+        if not step.where("want").limit(1).count():
+            return label, i + 1
+    raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+
+
+def label_propagation(nodes: DataFrame, pairs: DataFrame, fixed: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
+    """``(id, label)`` by weighted majority of neighbours, ties to the least label, until no node would move.
+
+    The labels ``fixed(id, label)`` never move.  They spread first, among nodes that have no label of their own;
+    then nodes without one start with their id, so that strong groups may win members back.  A node keeps its
+    label unless another is strictly heavier; in each round a hashed half of the nodes may move, so neighbours do
+    not swap for ever.  Each round is a join and two combinable aggregations, written to cut the lineage.
+    """
+    pairs = saved(pairs)
+    both = pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight")).toDF("id", "near", "weight")
+    label, rounds = nodes.select("id", F.lit(None).cast("string").alias("label"), F.lit(False).alias("pin")), 0
+    if fixed is not None:
+        f = fixed.select("id", F.col("label").alias("__f"))
+        label = saved(label.join(f, "id", "left").select("id", F.col("__f").alias("label"), F.col("__f").isNotNull().alias("pin")))
+        label, rounds = _propagate(label, both, 0, most_rounds)
+    label = label.withColumn("label", F.coalesce("label", "id"))
+    return _propagate(label, both, rounds, most_rounds)[0].select("id", "label")
 
 
 def clusters(nodes: DataFrame, label: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -107,7 +111,3 @@ def size_histogram(built: DataFrame) -> DataFrame:
     """How many clusters have each size, with their mean density."""
     full = F.col("size") * (F.col("size") - 1) / 2
     return built.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(full > 0, F.col("n_edges") / full)).alias("density"))
-
-
-def first_per_group(df: DataFrame, key: str, order: list) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")

@@ -13,13 +13,15 @@ def ordered(df: DataFrame, cols: list[str], value: str | None = None) -> DataFra
 
     Adds ``__ix`` (0-based, gapless) and, for a long column ``value``, ``__cum`` (its total over all
     rows before).  Rows are range-partitioned and sorted, cut to a table, and per-partition totals
-    (one row per partition) give each partition its offset.  ``cols`` should tell rows apart: rows
-    equal on all of them share a partition.
+    (one row per partition) give each partition its offset.  A hash of the whole row orders rows that
+    are equal on ``cols``, so only equal rows must share a partition.
     """
     own = ["__pid", "__row"]
+    tie = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
     parts = saved(
-        df.repartitionByRange(*[F.col(c) for c in cols])
-        .sortWithinPartitions(*cols)
+        df.withColumn("__tie", tie).repartitionByRange(*[F.col(c) for c in cols], F.col("__tie"))
+        .sortWithinPartitions(*cols, "__tie")
+        .drop("__tie")
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     )

@@ -91,6 +91,13 @@ def merge_nodes(answers: DataFrame) -> DataFrame:
     )
 
 
+def merge_edges(answers: DataFrame, key: Sequence[str] = ("subject", "predicate", "object", "primary_source")) -> DataFrame:
+    """One row per edge key: the key of E7 as id, sources and query edges united, the first non-null evidence by least source."""
+    return answers.groupBy(edge_key(*key).alias("id"), *key).agg(
+        F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("qedge_key")).alias("qedge_keys"),
+        F.min(F.when(F.col("evidence").isNotNull(), F.struct("source", "evidence")))["evidence"].alias("evidence"))
+
+
 def edge_key(*parts: Column | str) -> Column:
     """The canonical key of an edge; null parts are empty."""
     return F.concat_ws("--", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
@@ -102,6 +109,13 @@ def bind_answers(edges: DataFrame, aux: DataFrame) -> DataFrame:
     return edges.where("qedge_key is not null").union(edges.where("qedge_key is null").join(needed, "id", "left_semi"))
 
 
+def bind_nodes(nodes: DataFrame, edges: DataFrame, aux: DataFrame) -> DataFrame:
+    """Bound nodes (``qnode_key`` set) and those unbound ones at an end of an edge that an aux graph needs."""
+    needed = edges.join(aux.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi")
+    ends = needed.select(F.explode(F.array("subject", "object")).alias("id")).distinct()
+    return nodes.where("qnode_key is not null").union(nodes.where("qnode_key is null").join(ends, "id", "left_semi").select(*nodes.columns))
+
+
 def pinned_guard(kg_nodes: DataFrame, pinned: DataFrame) -> DataFrame:
     """A pinned id ``(node_id, qnode_key)`` fulfils only the qnodes that pin it."""
     only = pinned.select("node_id").distinct()
@@ -186,18 +200,49 @@ def node_constraint(nodes: DataFrame, approved: DataFrame, negate: bool = False)
     return nodes.join(approved.select("id").distinct(), "id", "left_anti" if negate else "left_semi")
 
 
-def lump(edges: DataFrame, rules: dict[str, int], predicate: str = "treats") -> DataFrame:
-    """One lumped edge per (subject, object) from edges whose evidence meets their source's rule.
+#: Which edges may stand for "treats": predicate (None: any), sources, attribute (None: none is
+#: needed), least value, and whether the value must be above it.  The first rule that fits an edge decides.
+TREATS_RULES = (
+    ("in_clinical_trials_for", ("multiomics-clinicaltrials",), "elevate_to_prediction", 1.0, False),
+    ("applied_to_treat", ("multiomics-drugapprovals", "faers"), "number_of_cases", 24.0, True),
+    ("treats_or_applied_or_studied_to_treat", ("text-mining-provider-cooccurrence",), "evidence_count", 5.0, True),
+    (None, ("ctd",), None, 0.0, False),
+    (None, ("semmeddb",), "publications", 10.0, False),
+)
 
-    ``rules`` gives the least evidence for a source; sources without a rule need none.
+
+def elevated(edges: DataFrame, attrs: DataFrame, rules: Sequence[tuple] = TREATS_RULES) -> DataFrame:
+    """The edges ``(id, predicate, sources, ...)`` that a rule raises.
+
+    ``attrs(id, name, value)``.  A rule fits an edge of its predicate and one of its sources that has its
+    attribute; edges that no rule fits are not raised, nor are those whose value does not reach the rule's.
     """
-    need = F.lit(0)
-    for source, least in sorted(rules.items()):
-        need = F.when(F.col("source") == source, F.lit(least)).otherwise(need)
-    return edges.where(F.col("evidence") >= need).groupBy("subject", "object").agg(
-        F.lit(predicate).alias("predicate"), F.count(F.lit(1)).alias("n_edges"), F.sum("evidence").alias("evidence"),
-        F.array_sort(F.collect_set("id")).alias("support"),
-    )
+    names = sorted({r[2] for r in rules if r[2]})
+    wide = attrs.where(F.col("name").isin(names)).groupBy(F.col("id").alias("__id")).agg(
+        *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(f"__a{i}") for i, n in enumerate(names)])
+    verdict = F.lit(False)
+    for predicate, sources, attribute, least, above in reversed(rules):
+        fits = F.arrays_overlap("sources", F.array(*[F.lit(x) for x in sources]))
+        fits = fits & (F.col("predicate") == predicate) if predicate else fits
+        enough = F.lit(True)
+        if attribute:
+            value = F.col(f"__a{names.index(attribute)}")
+            fits, enough = fits & value.isNotNull(), value > least if above else value >= least
+        verdict = F.when(F.coalesce(fits, F.lit(False)), enough).otherwise(verdict)
+    return edges.join(wide, F.col("id") == F.col("__id"), "left").where(verdict).select(*edges.columns)
+
+
+def lump(edges: DataFrame, attrs: DataFrame, qedge_key: str, rules: Sequence[tuple] = TREATS_RULES, predicate: str = "treats") -> tuple[DataFrame, DataFrame]:
+    """``(lumped, support)``: one edge per ends for the query edge, and the raised edges under a query edge of their own.
+
+    The edges that are not raised keep the query edge; ``edges`` without ``support`` are those.
+    """
+    support = elevated(edges, attrs, rules)
+    lumped = support.groupBy("subject", "object").agg(F.count(F.lit(1)).alias("n_edges"), F.array_sort(F.collect_set("id")).alias("support"))
+    lumped = lumped.select(
+        F.concat_ws("--", F.lit("creative"), "subject", F.lit(predicate), "object").alias("id"), "subject", F.lit(predicate).alias("predicate"), "object",
+        F.lit(qedge_key).alias("qedge_key"), "n_edges", "support")
+    return lumped, support.withColumn("qedge_key", F.lit(f"creative_{qedge_key}"))
 
 
 def subclass_edges(answers: DataFrame) -> DataFrame:

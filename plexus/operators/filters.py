@@ -7,10 +7,12 @@ numbers as doubles.  A filter drops edges, and with ``connected`` their end node
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexus.functions.order import ordered
 from plexus.sources.lens import PropertyGraph
 
 #: Attributes for which small values are the good ones.
@@ -43,16 +45,43 @@ def by_predicate(edges: DataFrame, predicate: str) -> DataFrame:
     return edges.where(F.col("predicate") == predicate).select("id")
 
 
+#: Names of provenance that mean one another.
+PROVENANCE = (
+    "knowledge_source", "primary_knowledge_source", "original_knowledge_source", "aggregator_knowledge_source",
+    "supporting_data_source", "original_source", "provided_by",
+)
+
+
+def _named(attrs: DataFrame, name: str) -> DataFrame:
+    """Attributes by their name or, where there is one, by their type id."""
+    hit = F.col("name") == name
+    return attrs.where(hit | (F.col("type_id") == name) if "type_id" in attrs.columns else hit)
+
+
 def by_continuous(attrs: DataFrame, name: str, direction: str, threshold: float) -> DataFrame:
-    """ids with a value strictly above or below the threshold."""
+    """ids with a value strictly above or below the threshold; attributes count by name or type id."""
     value = F.col("value")
-    return attrs.where((F.col("name") == name) & ((value > threshold) if direction == "above" else (value < threshold))).select("id").distinct()
+    return _named(attrs, name).where((value > threshold) if direction == "above" else (value < threshold)).select("id").distinct()
 
 
-def by_discrete(edges: DataFrame, column: str, value: str) -> DataFrame:
-    """ids whose field equals the value, or whose list field contains it."""
-    listed = edges.schema[column].dataType.typeName() == "array"
-    return edges.where(F.array_contains(column, value) if listed else F.col(column) == value).select("id")
+def by_discrete(edges: DataFrame, column: str, value: str, attrs: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """ids whose field equals the value, or whose list field contains it.
+
+    The field may be a column of ``edges`` or the name or type id of a text attribute ``attrs(id, name, type_id, value)``.
+    The names in ``PROVENANCE`` stand for one another, and for the resource ids ``sources(id, resource_id)``.
+    """
+    found = []
+    if column in edges.columns:
+        listed = edges.schema[column].dataType.typeName() == "array"
+        found.append(edges.where(F.array_contains(column, value) if listed else F.col(column) == value).select("id"))
+    names = PROVENANCE if column in PROVENANCE else (column,)
+    if attrs is not None:
+        found.append(attrs.where((F.col("value") == value) & (F.col("name").isin(*names) | F.col("type_id").isin(*names))).select("id"))
+    if sources is not None and column in PROVENANCE:
+        found.append(sources.where(F.col("resource_id") == value).select("id"))
+    if not found:
+        return edges.select("id").limit(0)
+    return reduce(lambda a, b: a.union(b), found).distinct()
 
 
 def _beyond(attrs: DataFrame, name: str, limit: DataFrame, direction: str) -> DataFrame:
@@ -77,14 +106,19 @@ def by_std_dev(attrs: DataFrame, name: str, threshold: float = 1.0, direction: s
 def by_percentile(attrs: DataFrame, name: str, threshold: float | None = None, direction: str | None = None, top: bool | None = None) -> DataFrame:
     """ids beyond the exact, linearly interpolated percentile.
 
-    Default: 95, or 5 for attributes whose small values are good.  Exact percentiles count distinct values.
+    Default: 95, or 5 for attributes whose small values are good.  The two values around the percentile are
+    read off a global range sort.
     """
     base = defaults(name)
     direction, top = direction or base[0], base[1] if top is None else top
     if threshold is None:
         threshold = 95.0 if top else 5.0
-    limit = attrs.where(F.col("name") == name).agg(F.percentile("value", F.lit(threshold / 100.0)).alias("limit"))
-    return _beyond(attrs, name, limit, direction)
+    values = attrs.where((F.col("name") == name) & F.col("value").isNotNull()).select(F.col("value").cast("double").alias("value"))
+    at = ordered(values, ["value"])
+    place = at.agg(((F.count(F.lit(1)) - 1) * (threshold / 100.0)).alias("place"))
+    near = at.join(F.broadcast(place)).where("__ix in (floor(place), ceil(place))")  # one row
+    limit = near.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max(F.col("place") - F.floor("place")).alias("part"))
+    return _beyond(attrs, name, limit.select((F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("limit")), direction)
 
 
 def by_top_n(attrs: DataFrame, name: str, n: int = 50, top: bool | None = None) -> DataFrame:
@@ -128,13 +162,20 @@ def remove_orphans(graph: PropertyGraph, keep: DataFrame | None = None, category
 
 
 def general_concepts(nodes: DataFrame, ids: Sequence[str] = (), names: Sequence[str] = (), patterns: Sequence[str] = ()) -> DataFrame:
-    """ids blocked by equivalent id, by name, or by a pattern at the start of the name; case is ignored."""
-    hit = F.lower("id").isin([x.lower() for x in ids]) | F.lower("name").isin([x.lower() for x in names])
-    for p in patterns:
-        hit = hit | F.col("name").rlike(f"(?i)^(?:{p})")
-    return nodes.where(hit).select("id")
+    """ids of nodes with a blocked equivalent id, or a blocked name or synonym or one that a pattern fits at its start.
 
-
-def limit_per_key(rows: DataFrame, key: str, order, n: int) -> DataFrame:
-    """The first ``n`` rows of every key."""
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+    ``nodes(id, name, equivalent_ids, synonyms)``; case is ignored.  Nodes with neither list (null) are not judged.
+    """
+    low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower)
+    called = F.concat(low(F.col("synonyms")), F.filter(F.array(F.lower("name")), lambda x: x.isNotNull()))
+    blocked = lambda xs: F.array(*[F.lit(x.lower()) for x in xs]).cast("array<string>")
+    hit = F.arrays_overlap(low(F.col("equivalent_ids")), blocked(ids)) | F.arrays_overlap(called, blocked(names))
+    if patterns:
+        fits = "|".join(f"(?:{p})" for p in patterns)
+        hit = hit | F.exists(called, lambda x: x.rlike(f"(?i)^(?:{fits})"))
+    return nodes.where("equivalent_ids is not null or synonyms is not null").where(hit).select("id")
+
+
+def remove_general_concepts(graph: PropertyGraph, ids: Sequence[str] = (), names: Sequence[str] = (), patterns: Sequence[str] = ()) -> PropertyGraph:
+    """the graph without general concepts, their edges, and all nodes that are then without an edge."""
+    return remove_orphans(drop_nodes(graph, general_concepts(graph.nodes, ids, names, patterns)))

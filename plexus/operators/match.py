@@ -134,16 +134,39 @@ def collapse_subclasses(kg_edges: DataFrame, subclass: DataFrame) -> DataFrame:
     return out
 
 
-def integrity(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame) -> DataFrame:
-    """R2: counts of what is wrong: ``(error, n)``."""
+def match_collapsed(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, subclass: DataFrame, ignore_direction: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Matching on parents ``subclass(child, parent)``, bound back to the real ends: ``(results, bound)``.
+
+    ``results`` has a ``result_id`` and the parents; ``bound(result_id, qnode_key, node_id)`` the parents and those of
+    their children that an edge of the result really ends at.
+    """
+    edges = saved(collapse_subclasses(kg_edges, subclass))
+    parent = subclass.groupBy(F.col("child").alias("node_id")).agg(F.min("parent").alias("__p"))
+    nodes = kg_nodes.join(parent, "node_id", "left").select("qnode_key", F.coalesce("__p", "node_id").alias("node_id")).distinct()
+    results = saved(result_id(match(pattern, nodes, edges, ignore_direction), pattern))
+    bound = saved(bound_nodes(results, pattern))
+    hits = bound_edges(bound, pattern, edges, ignore_direction).withColumnRenamed("edge_id", "id").join(edges.drop("qedge_key"), "id")
+    ends = hits.select("result_id", F.explode(F.array(
+        F.struct(F.col("subject").alias("at"), F.col("real_subject").alias("real")), F.struct(F.col("object").alias("at"), F.col("real_object").alias("real")))).alias("x"))
+    real = ends.select("result_id", F.col("x.at").alias("node_id"), F.col("x.real").alias("real")).where("real <> node_id")
+    more = bound.join(real, ["result_id", "node_id"]).select("result_id", "qnode_key", F.col("real").alias("node_id"))
+    asked = kg_nodes.select("qnode_key", "node_id").distinct()
+    return results, bound.union(more.join(asked, ["qnode_key", "node_id"], "left_semi").select(*bound.columns)).distinct()
+
+
+def integrity(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """R2: counts of what is wrong: ``(error, n)``; ``nodes(id)``: the nodes of the graph, else those bound."""
     qn, qe = [n.key for n in pattern.nodes], [e.key for e in pattern.edges]
     checks = [
         ("MissingQNodeKeys", kg_nodes.where("qnode_key is null")), ("MissingQEdgeKeys", kg_edges.where("qedge_key is null")),
         ("UnknownQNodeKey", kg_nodes.where(~F.col("qnode_key").isin(qn))), ("UnknownQEdgeKey", kg_edges.where(~F.col("qedge_key").isin(qe))),
+        ("MissingIds", kg_edges.where("id is null")), ("MissingEnds", kg_edges.where("subject is null or object is null")),
     ]
-    ids = kg_nodes.select("node_id").distinct()
-    ends = kg_edges.select("id", F.explode(F.array("subject", "object")).alias("node_id"))
+    ids = kg_nodes.select("node_id").distinct() if nodes is None else nodes.select(F.col("id").alias("node_id")).distinct()
+    ends = kg_edges.select("id", F.explode(F.array("subject", "object")).alias("node_id")).where("node_id is not null")
     checks.append(("OrphanEdges", ends.join(ids, "node_id", "left_anti").select("id").distinct()))
+    checks.append(("RepeatedEdgeIds", kg_edges.groupBy("id", "qedge_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and id is not null")))
+    checks.append(("BoundNodesNotInGraph", kg_nodes.select("node_id").distinct().join(ids, "node_id", "left_anti")))
     rows = [df.agg(F.lit(name).alias("error"), F.count(F.lit(1)).alias("n")) for name, df in checks]
     return reduce(lambda a, b: a.union(b), rows)
 
@@ -168,9 +191,12 @@ def recompute_keys(bound: DataFrame) -> DataFrame:
 
 
 def essences(results: DataFrame, pattern: Pattern, nodes: DataFrame) -> DataFrame:
-    """Each result's name: that of its essence node."""
+    """Each result's name: that of its essence node, with its ``symbol`` in brackets where ``nodes`` has one."""
     key = pattern.essence_node()
-    return results.join(nodes.select(F.col("id").alias(key), F.col("name").alias("essence")), key, "left")
+    name = F.col("name")
+    if "symbol" in nodes.columns:
+        name = F.when(F.col("symbol").isNotNull() & (F.col("symbol") != F.col("name")), F.concat(name, F.lit(" ("), "symbol", F.lit(")"))).otherwise(name)
+    return results.join(nodes.select(F.col("id").alias(key), name.alias("essence")), key, "left")
 
 
 def query_ids(bound: DataFrame, asked: DataFrame) -> DataFrame:

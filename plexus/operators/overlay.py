@@ -7,9 +7,10 @@ documents or intermediates, never from all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plexus.functions.order import ordered
 from plexus.functions.scores import fisher_p
 
 #: Fixed value: size of the literature for the distance.
@@ -104,11 +105,11 @@ def fisher(links: DataFrame, degree: DataFrame, population: int, cutoff: float |
     t = links.groupBy("object").agg(F.count(F.lit(1)).alias("a")).join(degree, "object").join(F.broadcast(n))  # one row
     t = t.withColumn("b", F.col("degree") - F.col("a")).withColumn("c", F.col("n") - F.col("a"))
     t = t.withColumn("d", F.lit(population) - F.col("degree") - F.col("c")).where("b >= 0 and c >= 0 and d >= 0")
-    out = fisher_p(t.select("object", *[F.col(x).cast("long") for x in "abcd"]), population)
+    out = fisher_p(t.select("object", *[F.col(x).cast("long") for x in "abcd"]))
     if cutoff is not None:
         out = out.where(F.col("p") < cutoff)
     if top_n is not None:
-        out = out.orderBy("p", "object").limit(top_n)
+        out = out.orderBy(F.round("p", 9), "object").limit(top_n)
     return out
 
 
@@ -212,13 +213,53 @@ def clinical_p(pairs: DataFrame, mapping: DataFrame, table: DataFrame) -> DataFr
     return best.select("subject", "object", (-F.col("b.q")).alias("p_value"))
 
 
-def clinical_lookup(table: DataFrame, concept: str, order: str, other: str | None = None) -> DataFrame:
-    """Rows of a concept (with another, if named), either way round, ordered by ``order`` descending."""
+def clinical_lookup(table: DataFrame, concept: str, order: str, other: str | None = None, domain: str | None = None) -> DataFrame:
+    """Rows of a concept (with another, or with those of a domain), either way round, ordered by ``order`` descending.
+
+    A concept's domain is what stands before its colon.  Ranks come from a global range sort.
+    """
     swap = table.withColumns({"concept_1": F.col("concept_2"), "concept_2": F.col("concept_1"),
                               "relative_frequency_1": F.col("relative_frequency_2"), "relative_frequency_2": F.col("relative_frequency_1")})
     rows = table.unionByName(swap).where(F.col("concept_1") == concept)
     rows = rows.where(F.col("concept_2") == other) if other else rows
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(order), "concept_2")).cast("long"))
+    rows = rows.where(F.substring_index("concept_2", ":", 1) == domain) if domain else rows
+    at = ordered(rows.withColumn("__down", -F.col(order)), ["__down", "concept_2"])
+    return at.withColumn("rank", F.col("__ix") + 1).drop("__down", "__ix")
+
+
+def vocabularies(concepts: DataFrame) -> DataFrame:
+    """C4: ``(vocabulary, n)``: the domains of ``concepts(concept)`` and how many concepts each has."""
+    return concepts.distinct().groupBy(F.substring_index("concept", ":", 1).alias("vocabulary")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def get_concepts(concepts: DataFrame, ids: DataFrame) -> DataFrame:
+    """C4: ``(concept, vocabulary, code)`` of the concepts named in ``ids(concept)``; unknown ones have no row."""
+    known = concepts.select("concept").distinct().join(ids.select("concept").distinct(), "concept", "left_semi")
+    return known.select("concept", F.substring_index("concept", ":", 1).alias("vocabulary"), F.substring_index("concept", ":", -1).alias("code"))
+
+
+def map_ids(ids: DataFrame, mapping: DataFrame, distance: int | None = None) -> DataFrame:
+    """``(id, concept, distance)`` of each id's mapped concepts, nearest first; ``mapping(id, concept, distance)``."""
+    hit = mapping.join(ids.select("id").distinct(), "id", "left_semi")
+    hit = hit.where(F.col("distance") <= distance) if distance is not None else hit
+    return hit.groupBy("id", "concept").agg(F.min("distance").alias("distance"))
+
+
+def domain_counts(events: DataFrame) -> DataFrame:
+    """``(domain, patients, records)`` of ``events(patient, domain)``."""
+    return events.groupBy("domain").agg(F.countDistinct("patient").alias("patients"), F.count(F.lit(1)).alias("records"))
+
+
+def domain_pair_counts(events: DataFrame) -> DataFrame:
+    """``(domain_1, domain_2, patients)``: patients with both domains.  Domains are few; a patient has each once."""
+    e = events.select("patient", "domain").distinct()
+    both = e.toDF("patient", "domain_1").join(e.toDF("patient", "domain_2"), "patient").where("domain_1 < domain_2")
+    return both.groupBy("domain_1", "domain_2").agg(F.count(F.lit(1)).alias("patients"))
+
+
+def patient_count(events: DataFrame) -> DataFrame:
+    """``(patients, concepts, records)`` of the whole table."""
+    return events.agg(F.countDistinct("patient").alias("patients"), F.countDistinct("concept").alias("concepts"), F.count(F.lit(1)).alias("records"))
 
 
 def concept_frequency(events: DataFrame) -> DataFrame:

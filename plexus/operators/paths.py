@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexus.functions.components import components
+from plexus.functions.order import ordered
+from plexus.sources.scratch import saved
 
-def connect(edges: DataFrame, start: str, end: str, max_length: int = 4, blocked: DataFrame | None = None, degree_limit: int = 10_000) -> DataFrame:
+
+def connect(edges: DataFrame, start: str, end: str, max_length: int = 4, blocked: DataFrame | None = None,
+            degree_limit: int | None = None, through: DataFrame | None = None) -> DataFrame:
     """Simple paths ``(path, length)`` of at most ``max_length`` (1 to 5) edges, any direction.
 
     Walks from both ends meet in the middle, so no walk is longer than half the way; inner nodes with more
-    than ``degree_limit`` neighbours and ``blocked(id)`` nodes are not passed through.
+    than ``degree_limit`` neighbours (if given) and ``blocked(id)`` nodes are not passed through.  With
+    ``through(id)`` a path counts only if one of its inner nodes is among them.
     """
     if not 1 <= max_length <= 5:
         raise ValueError("max_path_length is 1 to 5")
     both = edges.select("subject", "object").union(edges.select("object", "subject")).toDF("a", "b").where("a <> b").distinct()
-    hubs = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > degree_limit).select(F.col("a").alias("id"))
-    closed = hubs if blocked is None else hubs.union(blocked.select("id"))
-    closed = closed.where(~F.col("id").isin(start, end)).distinct()
-    for side in ("a", "b"):
-        both = both.join(closed.select(F.col("id").alias(side)), side, "left_anti")
+    closed = [] if blocked is None else [blocked.select("id")]
+    if degree_limit is not None:
+        closed.append(both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > degree_limit).select("id"))
+    if closed:
+        shut = saved(reduce(lambda x, y: x.union(y), closed).where(~F.col("id").isin(start, end)).distinct())
+        for side in ("a", "b"):
+            both = both.join(shut.select(F.col("id").alias(side)), side, "left_anti")
+    both = saved(both)  # every step reads it
     spark = edges.sparkSession
 
     def walks(first: str, other: str, steps: int) -> list[DataFrame]:
@@ -39,7 +49,13 @@ def connect(edges: DataFrame, start: str, end: str, max_length: int = 4, blocked
         met = left.join(right, "last").select("path", F.slice(F.reverse("tail"), 2, 6).alias("tail"))
         met = met.where(~F.arrays_overlap("path", "tail"))
         found.append(met.select(F.concat("path", "tail").alias("path"), F.lit(n).cast("long").alias("length")))
-    return reduce(lambda a, b: a.union(b), found)
+    out = reduce(lambda a, b: a.union(b), found)
+    if through is not None:
+        out = out.withColumn("__p", F.array_join("path", ">"))
+        inner = out.select("__p", F.explode(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))).alias("id"))
+        met = inner.join(through.select("id").distinct(), "id", "left_semi").select("__p").distinct()
+        out = out.join(met, "__p", "left_semi").drop("__p")
+    return out
 
 
 def analyses(found: DataFrame, most: int = 500) -> DataFrame:
@@ -49,32 +65,67 @@ def analyses(found: DataFrame, most: int = 500) -> DataFrame:
     return top.withColumn("analysis", number).drop("__p").withColumn("length", F.col("length").cast("int"))
 
 
-def support_graphs(virtual: DataFrame) -> DataFrame:
-    """``virtual(result_id, option_group, edge_id)`` as one aux graph per result and group, named by its edges."""
+def support_graphs(virtual: DataFrame, most_named: int = 4) -> DataFrame:
+    """``virtual(result_id, option_group, edge_id)`` as one aux graph per result and group: ``(result_id, option_group, edge_ids, aux_id)``.
+
+    Graphs of up to ``most_named`` edges are named by them and shared by all results with the same; larger ones by
+    the number of graphs made before them, in the order of results and groups.  A group's name ends the graph's.
+    """
     rows = virtual.groupBy("result_id", "option_group").agg(F.array_sort(F.collect_set("edge_id")).alias("edge_ids"))
-    return rows.withColumn("aux_id", F.concat(F.lit("aux_"), F.array_join("edge_ids", ";")))
+    rows = rows.withColumn("__none", F.col("option_group").isNotNull())
+    short = F.concat(F.array_join("edge_ids", ";"), F.coalesce(F.concat(F.lit("_"), F.col("option_group")), F.lit("")))
+    at = ordered(rows.withColumn("__name", F.when(F.size("edge_ids") <= most_named, short)), ["result_id", "__none", "option_group"]).withColumnRenamed("__ix", "__place")
+    at = saved(at)
+    first = at.where("__name is not null").groupBy("__name").agg(F.min("__place").alias("__first"))
+    at = at.join(first, "__name", "left").withColumn("__new", (F.coalesce("__first", "__place") == F.col("__place")).cast("long"))
+    at = ordered(at, ["__place"], "__new")
+    large = F.concat_ws("_", F.col("__cum").cast("string"), "option_group")
+    return at.select("result_id", "option_group", "edge_ids", F.concat(F.lit("aux_"), F.coalesce("__name", large)).alias("aux_id"))
+
+
+def unbind_virtual(result_edges: DataFrame, result_nodes: DataFrame, edges: DataFrame, qedges: Sequence[str], qnodes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Bindings of the asked pattern only: ``result_edges(result_id, qedge_key, edge_id)``, ``result_nodes(result_id, qnode_key, node_id)``.
 
+    Virtual query edges and nodes lose their bindings, and so do nodes at no bound edge of their result.
+    """
+    kept = result_edges.where(F.col("qedge_key").isin(list(qedges)))
+    return kept, _touched(result_nodes.where(F.col("qnode_key").isin(list(qnodes))), kept, edges)
+
+
+def _touched(result_nodes: DataFrame, result_edges: DataFrame, edges: DataFrame) -> DataFrame:
+    ends = edges.select(F.col("id").alias("edge_id"), F.explode(F.array("subject", "object")).alias("node_id"))
+    used = result_edges.select("result_id", "edge_id").distinct().join(ends, "edge_id").select("result_id", "node_id").distinct()
+    return result_nodes.join(used, ["result_id", "node_id"], "left_semi").select(*result_nodes.columns)
 
-def supported(support: DataFrame, aux: DataFrame, max_length: int = 5) -> DataFrame:
-    """Inferred edges ``(edge_id, aux_id, from_id, to_id)`` all of whose aux graphs connect their ends by finite distances.
 
-    ``aux(aux_id, subject, object, ngd)``.  Reachability grows a frontier within each aux graph; an edge without
-    aux graphs is not supported.
+def supported(support: DataFrame, aux: DataFrame) -> DataFrame:
+    """Inferred edges ``(edge_id, aux_id, from_id, to_id)`` that no aux graph of theirs fails; one at least is there.
+
+    ``aux(aux_id, subject, object, ngd)``.  A graph fails an edge if its ends are not connected, over any number of
+    steps, without the edges of infinite distance.  Aux graphs that ``aux`` does not have are skipped, but an edge
+    without an aux_id is not supported.
+    """
+    node = lambda c: F.concat_ws("\u0001", "aux_id", c)
+    named = saved(support.where("aux_id is not null"))
+    there = aux.join(named.select("aux_id").distinct(), "aux_id", "left_semi")
+    finite = there.where(F.col("ngd").isNull() | (~F.isnan("ngd") & (F.abs("ngd") != float("inf"))))
+    part = saved(components(finite.select(node("subject").alias("a"), node("object").alias("b"))))
+    asked = named.join(there.select("aux_id").distinct(), "aux_id", "left_semi").where("from_id <> to_id")
+    for end in ("from_id", "to_id"):
+        asked = asked.withColumn("node", node(end)).join(part, "node", "left").withColumn(f"__{end}", F.coalesce("component", "node")).drop("node", "component")
+    failed = asked.where("__from_id <> __to_id").select("edge_id").distinct()
+    return named.select("edge_id").distinct().join(failed, "edge_id", "left_anti")
+
+
+def creative_filter(result_edges: DataFrame, result_nodes: DataFrame, edges: DataFrame, supported_edges: DataFrame, inferred: Sequence[str], qedges: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``result_edges(result_id, qedge_key, edge_id)`` and ``result_nodes(result_id, qnode_key, node_id)`` of covered results.
+
+    Edges bound to an ``inferred`` query edge that are not supported go from all bindings of their result; results
+    that then lack an edge for one of ``qedges`` go whole; of the others, nodes at no bound edge lose their binding.
     """
-    finite = aux.where(F.col("ngd").isNull() | (~F.isnan("ngd") & (F.abs("ngd") != float("inf"))))
-    both = finite.select("aux_id", "subject", "object").union(finite.select("aux_id", "object", "subject")).toDF("aux_id", "at", "next").distinct()
-    reach = support.select("edge_id", "aux_id", "to_id", F.col("from_id").alias("at"))
-    front = reach
-    for _ in range(max_length):
-        front = front.join(both, ["aux_id", "at"]).select("edge_id", "aux_id", "to_id", F.col("next").alias("at")).distinct()
-        reach = reach.union(front)
-    hit = reach.where("at = to_id").select("edge_id", "aux_id").distinct()
-    failed = support.select("edge_id", "aux_id").join(hit, ["edge_id", "aux_id"], "left_anti").select("edge_id")
-    return support.select("edge_id").distinct().join(failed, "edge_id", "left_anti")
-
-
-def creative_filter(results: DataFrame, supported_edges: DataFrame) -> DataFrame:
-    """Results ``(result_id, qedge_key, edge_id)`` all of whose inferred query edges keep a supported edge."""
-    kept = results.join(supported_edges, "edge_id", "left_semi")
-    lost = results.select("result_id", "qedge_key").distinct().join(kept.select("result_id", "qedge_key").distinct(), ["result_id", "qedge_key"], "left_anti")
-    return kept.join(lost.select("result_id").distinct(), "result_id", "left_anti")
+    bad = result_edges.where(F.col("qedge_key").isin(list(inferred))).join(supported_edges, "edge_id", "left_anti").select("result_id", "edge_id").distinct()
+    kept = result_edges.join(bad, ["result_id", "edge_id"], "left_anti").select(*result_edges.columns)
+    asked = kept.where(F.col("qedge_key").isin(list(qedges))).select("result_id", "qedge_key").distinct()
+    whole = asked.groupBy("result_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(set(qedges))).select("result_id")
+    kept = saved(kept.join(whole, "result_id", "left_semi").select(*result_edges.columns))
+    return kept, _touched(result_nodes, kept, edges)

@@ -136,17 +136,20 @@ def pattern_scores(weights: DataFrame, arcs: dict[str, tuple[str, str]]) -> Data
 
 
 def quantile_ranks(scores: DataFrame, names: Sequence[str] = ("max_flow", "longest_path", "frobenius")) -> DataFrame:
-    """The mean of each scorer's cumulative distribution, rounded, as ``score``.
+    """The mean of each scorer's cumulative distribution, rounded, as ``score``; ``scores(result_id, ...)``.
 
-    Counts per distinct score get running totals from a global range sort, so no window holds all results.
+    All scorers are one long table: counts per distinct score get running totals from one range sort, so no window
+    holds all results.
     """
-    out = scores = saved(scores)  # read once for each scorer
-    total = scores.agg(F.count(F.lit(1)).alias("__total"))
-    for name in names:
-        counts = scores.groupBy(F.col(name).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-        share = ordered(counts, ["__v"], "__n").join(F.broadcast(total))  # one row
-        share = share.select("__v", ((F.col("__cum") + F.col("__n")) / F.col("__total")).alias(f"{name}_rank"))
-        out = out.join(share, F.col(name) == F.col("__v")).drop("__v")
+    scores = saved(scores)
+    values = F.array(*[F.struct(F.lit(i).alias("__s"), F.col(n).cast("double").alias("__v")) for i, n in enumerate(names)])
+    long = scores.select(*[c for c in scores.columns if c not in names], F.explode(values).alias("x")).select("*", "x.*").drop("x")
+    counts = ordered(long.groupBy("__s", "__v").agg(F.count(F.lit(1)).alias("__n")), ["__s", "__v"], "__n")
+    total = F.broadcast(scores.agg(F.count(F.lit(1)).alias("__total")))  # one row
+    share = counts.join(total).select("__s", "__v", ((F.col("__cum") + F.col("__n") - F.col("__s") * F.col("__total")) / F.col("__total")).alias("__rank"))
+    ranked = long.join(share, (long["__s"] == share["__s"]) & long["__v"].eqNullSafe(share["__v"])).select("result_id", long["__s"], "__rank")
+    wide = ranked.groupBy("result_id").agg(*[F.max(F.when(F.col("__s") == i, F.col("__rank"))).alias(f"{n}_rank") for i, n in enumerate(names)])
+    out = scores.join(wide, "result_id")
     mean = sum((F.col(f"{n}_rank") for n in names), F.lit(0.0)) / len(names)
     return out.withColumn("score", F.round(F.when(mean < 0.001, mean + 0.001).otherwise(mean), 3))
 
@@ -166,8 +169,26 @@ def break_ties(scored: DataFrame, order: Sequence[Column], most: int = 1000) ->
     return top.union(rest)
 
 
-def attribute_sums(bound: DataFrame, attrs: DataFrame, name: str, element: str = "edge_id", relation: str | None = None) -> DataFrame:
-    """Per result, the sum of an attribute over its bound elements; results without any keep null."""
+def document_counts(bound: DataFrame, documents: DataFrame, category: str | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """``(result_id, key)``: distinct documents ``documents(id, doc)`` of a result's bound nodes, of one category if named.
+
+    Results without any keep null.
+    """
+    mine = bound.select("result_id", F.col("node_id").alias("id")).distinct()
+    if category is not None:
+        mine = mine.join(nodes.where(F.array_contains("categories", category)).select("id"), "id", "left_semi")
+    n = mine.join(documents.distinct(), "id").groupBy("result_id").agg(F.countDistinct("doc").alias("key"))
+    return bound.select("result_id").distinct().join(n, "result_id", "left")
+
+
+def attribute_sums(bound: DataFrame, attrs: DataFrame, name: str, element: str = "edge_id", relation: str | None = None,
+                   category: str | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Per result, the sum of an attribute over its bound elements; results without any keep null.
+
+    With a ``category`` only nodes of it count.
+    """
+    if category is not None:
+        attrs = attrs.join(nodes.where(F.array_contains("categories", category)).select("id"), "id", "left_semi")
     mine = attrs.where(F.col("name") == name)
     if relation is not None:
         mine = mine.where(F.col("relation") == relation)

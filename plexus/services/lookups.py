@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexus.functions.text import alnum, name_tokens
+from plexus.plans.pattern import Pattern
 from plexus.sources.lens import PropertyGraph
 
 
@@ -33,6 +34,17 @@ def canonical(terms: DataFrame, clusters: DataFrame) -> DataFrame:
     return out.select("term", *[F.coalesce(c, f"__{c}").alias(c) for c in ("cluster_id", "name", "category")])
 
 
+def all_categories(terms: DataFrame, clusters: DataFrame, of: DataFrame) -> DataFrame:
+    """V1: ``canonical`` with every category of the cluster's members and how many have it: ``of(member_id, category)``.
+
+    ``categories`` is a map from category to count; unknown terms have an empty one.
+    """
+    counts = clusters.select("cluster_id", "member_id").distinct().join(of.distinct(), "member_id").groupBy("cluster_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    maps = counts.groupBy("cluster_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
+    empty = F.map_from_entries(F.array().cast("array<struct<category:string,n:bigint>>"))
+    return canonical(terms, clusters).join(maps, "cluster_id", "left").withColumn("categories", F.coalesce("categories", empty))
+
+
 def equivalents(ids: DataFrame, clusters: DataFrame) -> DataFrame:
     """V2: ``(id, equivalents)``: all members of the id's cluster, sorted."""
     of = clusters.select(F.col("member_id").alias("id"), "cluster_id").join(ids, "id", "left_semi")
@@ -101,3 +113,31 @@ def expansive_categories(categories: DataFrame, ontology: DataFrame, conflated:
     base = up.select("category", F.col("ancestor").alias("expanded"))
     more = base.join(both.select(F.col("category").alias("expanded"), "other"), "expanded").select("category", F.col("other").alias("expanded"))
     return base.union(more).distinct()
+
+
+def untagged(kg_nodes: DataFrame, kg_edges: DataFrame) -> DataFrame:
+    """V9: ``(what, n)``: nodes and edges without a key of the pattern."""
+    empty = lambda c: F.col(c).isNull() | (F.size(c) == 0)
+    return kg_nodes.where(empty("qnode_keys")).agg(F.lit("nodes").alias("what"), F.count(F.lit(1)).alias("n")).union(
+        kg_edges.where(empty("qedge_keys")).agg(F.lit("edges").alias("what"), F.count(F.lit(1)).alias("n")))
+
+
+def infer_tags(pattern: Pattern, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """V9: ``kg_nodes(qnode_key, node_id)`` and ``kg_edges(qedge_key, id, subject, object)`` of a graph without tags.
+
+    A node fits a query node by its id, or else by a category; a query node that names neither takes every node.  An
+    edge fits a query edge by its predicate, if one is named, and by the tags of its ends, in either direction.
+    """
+    tags = []
+    for n in pattern.nodes:
+        fits = F.col("id").isin(list(n.ids)) if n.ids else F.arrays_overlap("categories", F.array(*[F.lit(c) for c in n.categories])) if n.categories else F.lit(True)
+        tags.append(F.when(fits, F.lit(n.key)))
+    kg_nodes = nodes.select(F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("qnode_key"), F.col("id").alias("node_id"))
+    keys = kg_nodes.groupBy("node_id").agg(F.collect_set("qnode_key").alias("keys"))
+    e = edges.join(keys.toDF("subject", "__s"), "subject").join(keys.toDF("object", "__o"), "object")
+    tags = []
+    for q in pattern.edges:
+        both = lambda a, b: F.array_contains("__s", a) & F.array_contains("__o", b)
+        fits = both(q.subject, q.object) | both(q.object, q.subject)
+        tags.append(F.when(fits & (F.col("predicate").isin(list(q.predicates)) if q.predicates else F.lit(True)), F.lit(q.key)))
+    return kg_nodes, e.select(F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("qedge_key"), "id", "subject", "object")

@@ -8,18 +8,26 @@ import pytest
 from pyspark.sql import functions as F
 
 from plexus.etl import synonyms
-from plexus.functions.scores import fisher_p
+from plexus.functions.components import components
+from plexus.functions.scores import fisher_p, log_factorial
 from plexus.operators import expand, filters, overlay, paths, rank
 from plexus.sources.lens import PropertyGraph
 
 
 def test_fisher_known_values(spark):
     t = spark.createDataFrame([(8, 2, 1, 5), (3, 1, 1, 3)], "a long, b long, c long, d long")
-    got = {r["a"]: r["p"] for r in fisher_p(t, 20).collect()}
+    got = {r["a"]: r["p"] for r in fisher_p(t).collect()}
     assert got[8] == pytest.approx(0.034965, abs=1e-6)
     assert got[3] == pytest.approx(0.485714, abs=1e-6)
 
 
+def test_log_factorials(spark):
+    n = [0, 1, 2, 15, 16, 17, 100, 10**6, 10**9]
+    df = spark.createDataFrame([(i,) for i in n], "n long")
+    for r in df.select("n", log_factorial(F.col("n")).alias("lf")).collect():
+        assert r["lf"] == pytest.approx(math.lgamma(r["n"] + 1), rel=1e-12, abs=1e-11)
+
+
 def test_confidence_combines_any_order(spark):
     df = spark.createDataFrame([(0.9,), (0.99,), (0.98,), (0.5,)], "w double")
     assert df.agg(rank.combined(df["w"]).alias("c")).first()["c"] == pytest.approx(1 - 0.1 * 0.01 * 0.02 * 0.5)
@@ -50,10 +58,60 @@ def test_label_propagation_keeps_islands_apart(spark):
     assert out["a3"] == "X"
 
 
-def test_large_name_groups_are_not_paired(spark):
-    df = spark.createDataFrame([(f"n{i:03d}", "same name") for i in range(300)], "id string, name string")
-    assert synonyms.name_edges(df, most=250).count() == 299
-    assert synonyms.name_edges(df.limit(10), most=250).count() == 45
+def propagated(nodes, pairs, fixed):
+    """The rule of label_propagation in plain Python."""
+    from collections import defaultdict
+    from hashlib import md5
+
+    near = defaultdict(dict)
+    for a, b, w in pairs:
+        near[a][b] = near[b][a] = w
+    label, rounds = {n: fixed.get(n) for n in nodes}, 0
+    for start in ("fixed", "own"):
+        if start == "fixed" and not fixed:
+            continue
+        if start == "own":
+            label = {n: x or n for n, x in label.items()}
+        while True:
+            want = {}
+            for n in nodes:
+                votes = defaultdict(float)
+                for other, w in near[n].items():
+                    if label[other] is not None:
+                        votes[label[other]] += w
+                votes = {x: round(w, 9) for x, w in votes.items()}
+                if votes and n not in fixed and max(votes.values()) > votes.get(label[n], 0.0):
+                    want[n] = min(x for x, w in votes.items() if w == max(votes.values()))
+            move = {n: x for n, x in want.items() if md5(f"{rounds}:{n}".encode()).hexdigest() < "8"}
+            label, rounds = label | move, rounds + 1
+            if not want:
+                break
+    return label
+
+
+def test_label_propagation_runs_until_it_is_stable(spark):
+    ids = [f"n{i:02d}" for i in range(45)]  # a chain takes many rounds
+    pairs = [(ids[i], ids[i + 1], 1.0 + (i * 7 % 5) / 10) for i in range(44)] + [("n03", "n30", 0.1)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    for fixed in ({}, {"n00": "A", "n20": "B", "n21": "B"}):
+        given = frame(list(fixed.items()), "id string, label string") if fixed else None
+        out = synonyms.label_propagation(frame([(i,) for i in ids], "id string"), frame(pairs, "a string, b string, weight double"), given)
+        assert {r["id"]: r["label"] for r in out.collect()} == propagated(ids, pairs, fixed)
+    with pytest.raises(RuntimeError):
+        synonyms.label_propagation(frame([(i,) for i in ids], "id string"), frame(pairs, "a string, b string, weight double"), None, most_rounds=1)
+
+
+def test_large_name_groups_give_no_pairs(spark):
+    df = spark.createDataFrame([(f"n{i:03d}", "same name") for i in range(300)] + [("x", "Other-Name"), ("y", "other name")], "id string, name string")
+    assert [tuple(r) for r in synonyms.name_edges(df, most=250).collect()] == [("x", "y")]
+    assert synonyms.name_edges(df.where("id < 'n010'"), most=250).count() == 45
+
+
+def test_components_of_hubs_chains_and_nulls(spark):
+    edges = [("hub", f"leaf{i}") for i in range(900)] + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(40)] + [("leaf5", "c40"), (None, "hub"), ("solo", "solo"), ("p", "q")]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    want = dict.fromkeys([f"leaf{i}" for i in range(900)] + [f"c{i:02d}" for i in range(41)] + ["hub"], "c00") | {"p": "p", "q": "p"}
+    assert got == want
 
 
 def test_paths_are_simple_and_bounded(spark):
@@ -68,12 +126,39 @@ def test_paths_are_simple_and_bounded(spark):
 
 
 def test_support_graphs_need_finite_connection(spark):
-    support = spark.createDataFrame([("e1", "g1", "x", "y"), ("e2", "g2", "x", "y")], "edge_id string, aux_id string, from_id string, to_id string")
-    aux = spark.createDataFrame([("g1", "x", "y", 0.5), ("g2", "x", "y", math.inf)], "aux_id string, subject string, object string, ngd double")
+    chain = [("g3", f"x{i}", f"x{i + 1}", 0.1) for i in range(9)]
+    rows = [("e1", "g1", "x", "y"), ("e2", "g2", "x", "y"), ("e3", "g3", "x0", "x9"), ("e4", None, "x", "y"), ("e5", "gone", "x", "y"), ("e6", "g1", "x", "y"), ("e6", "g2", "x", "y"), ("e7", "g2", "x", "x")]
+    support = spark.createDataFrame(rows, "edge_id string, aux_id string, from_id string, to_id string")
+    aux = spark.createDataFrame([("g1", "y", "x", None), ("g2", "x", "y", math.inf), ("g2", "x", "z", 1.0), *chain], "aux_id string, subject string, object string, ngd double")
     ok = paths.supported(support, aux)
-    assert [r["edge_id"] for r in ok.collect()] == ["e1"]
-    results = spark.createDataFrame([("r1", "q", "e1"), ("r2", "q", "e2"), ("r3", "q", "e3")], "result_id string, qedge_key string, edge_id string")
-    assert [r["result_id"] for r in paths.creative_filter(results, ok).collect()] == ["r1"]
+    assert sorted(r["edge_id"] for r in ok.collect()) == ["e1", "e3", "e5", "e7"]
+    results = spark.createDataFrame([("r1", "q", "e1"), ("r1", "q", "e2"), ("r1", "p", "k1"), ("r2", "q", "e2"), ("r2", "p", "k1"), ("r3", "q", "e3")], "result_id string, qedge_key string, edge_id string")
+    nodes = spark.createDataFrame([("r1", "n0", "x"), ("r1", "n1", "y"), ("r1", "n1", "lost"), ("r2", "n0", "x"), ("r3", "n0", "x0")], "result_id string, qnode_key string, node_id string")
+    edges = spark.createDataFrame([("e1", "x", "y"), ("e2", "x", "lost"), ("k1", "y", "x"), ("e3", "x0", "x9")], "id string, subject string, object string")
+    kept, bound = paths.creative_filter(results, nodes, edges, ok, ["q"], ["q", "p"])
+    assert sorted(map(tuple, kept.collect())) == [("r1", "p", "k1"), ("r1", "q", "e1")]
+    assert sorted(map(tuple, bound.collect())) == [("r1", "n0", "x"), ("r1", "n1", "y")]
+
+
+def test_support_graph_names(spark):
+    rows = [("r1", None, e) for e in "ab"] + [("r2", None, e) for e in "abcde"] + [("r2", "g", "a")] + [("r3", None, e) for e in "ba"] + [("r4", None, e) for e in "abcde"]
+    got = {(r["result_id"], r["option_group"]): r["aux_id"] for r in paths.support_graphs(spark.createDataFrame(rows, "result_id string, option_group string, edge_id string")).collect()}
+    assert got == {("r1", None): "aux_a;b", ("r2", None): "aux_1", ("r2", "g"): "aux_a_g", ("r3", None): "aux_a;b", ("r4", None): "aux_3"}
+
+
+def test_general_concepts_by_synonyms_and_equivalents(spark):
+    rows = [("1", "Disease", [], None), ("2", "x", ["MESH:1"], []), ("3", "x", [], ["General THING"]), ("4", "Disease", None, None), ("5", "fine", [], []), ("6", "y", [], ["z9 pattern"]), ("7", None, [], [])]
+    nodes = spark.createDataFrame(rows, "id string, name string, equivalent_ids array<string>, synonyms array<string>")
+    edges = spark.createDataFrame([("a", "1", "p", "5"), ("b", "2", "p", "7"), ("c", "4", "p", "5"), ("d", "3", "p", "6")], "id string, subject string, predicate string, object string")
+    out = filters.remove_general_concepts(PropertyGraph(nodes, edges), ["mesh:1"], ["disease", "general thing"], ["Z[0-9]"])
+    assert sorted(r["id"] for r in out.nodes.collect()) == ["4", "5"] and [r["id"] for r in out.edges.collect()] == ["c"]
+
+
+def test_treats_rules(spark):
+    rows = [("1", "applied_to_treat", ["faers"]), ("2", "applied_to_treat", ["faers"]), ("3", "applied_to_treat", ["unlisted"]), ("4", "studied", ["ctd"]), ("5", "studied", ["semmeddb"]), ("6", "studied", ["semmeddb", "ctd"]), ("7", "applied_to_treat", None)]
+    edges = spark.createDataFrame(rows, "id string, predicate string, sources array<string>")
+    attrs = spark.createDataFrame([("1", "number_of_cases", 25.0), ("2", "number_of_cases", 24.0), ("3", "number_of_cases", 99.0), ("5", "publications", 10.0), ("6", "publications", 1.0)], "id string, name string, value double")
+    assert sorted(r["id"] for r in expand.elevated(edges, attrs).collect()) == ["1", "4", "5", "6"]
 
 
 def test_empty_and_null_inputs(spark):
