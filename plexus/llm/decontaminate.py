@@ -10,9 +10,11 @@ document that contains an item holds at least one sketch shingle of it, and the
 nothing, however long the document is.  Documents are probed with the sketches only; the pairs found
 are verified by exact containment of the shingle strings.
 
-Defined cases: null or blank texts on either side match nothing; a null doc_id or item_id is never
-reported; rows that share a doc_id are searched together, rows that share an item_id are one item;
-empty tables give an empty result; other columns are ignored.
+Defined cases: null or blank texts on either side match nothing; an item of fewer words than a shingle
+matches only a text that is that item; a null item_id is never reported, nor a null doc_id by ``leaks``
+(``clean`` judges every row by its own text); for ``leaks`` rows that share a doc_id are one document with
+the shingles of all, and rows that share an item_id are one item; repeated rows count once; very long
+texts are searched whole; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexus.llm.common import saved, small, words
+from plexus.llm.common import keyed, saved, small, words
 
 NGRAM = 5
 PERCENT = 80
@@ -54,12 +56,9 @@ def shingle_texts(df: DataFrame, n: int = NGRAM) -> DataFrame:
     return df.select("id", F.explode(run).alias("g")).distinct()
 
 
-def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n: int = NGRAM) -> DataFrame:
-    """``(doc_id, item_id, n_shingles, shared, containment)`` for every item contained in a document.
-
-    ``docs(doc_id, text)``, ``items(item_id, text)``.
-    """
-    docs = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n: int = NGRAM) -> DataFrame:
+    """``(id, item_id, n_shingles, shared, containment)`` of ``docs(id, text)`` and ``items(item_id, text)``."""
+    docs = docs.select("id", F.col("text").cast("string").alias("text")).where("id is not null")
     items = items.select(F.col("item_id").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
 
     goal = saved(shingle_texts(items, n).withColumnRenamed("id", "item_id"))
@@ -71,11 +70,11 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n: int = NG
         hashed.join(sizes, "item_id")
         .withColumn("k", F.floor(largest * (100 - percent) / 100) + 1)
         .withColumn("at", F.row_number().over(by_hash))
-        .where("at <= k")
-        .groupBy("s").agg(F.collect_list("item_id").alias("items"))
+        .where("at <= k").select("s", "item_id")
     )
-    probes = shingle_hashes(docs, n).join(small(sketch), "s")
-    found = saved(probes.select("id", F.explode("items").alias("item_id")).distinct())
+    # one row of each shingle is what documents meet; its items, any number, join the few that hit
+    hit = saved(shingle_hashes(docs, n).join(small(saved(sketch.select("s").distinct())), "s").distinct())
+    found = saved(hit.join(sketch, "s").select("id", "item_id").distinct())
     held = saved(found.select("id").distinct())
     inside = shingle_texts(docs.join(small(held), "id", "left_semi"), n)
     shared = (
@@ -86,16 +85,27 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n: int = NG
         shared.join(small(saved(sizes)), "item_id")
         .where(F.col("shared") * 100 >= F.col("n_shingles") * percent)
         .select(
-            F.col("id").alias("doc_id"), "item_id", "n_shingles", "shared",
+            "id", "item_id", "n_shingles", "shared",
             F.round(F.col("shared") / F.col("n_shingles"), 6).alias("containment"),
         )
     )
 
 
+def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n: int = NGRAM) -> DataFrame:
+    """``(doc_id, item_id, n_shingles, shared, containment)`` for every item contained in a document.
+
+    ``docs(doc_id, text)``, ``items(item_id, text)``.
+    """
+    return contained(docs.select(F.col("doc_id").alias("id"), "text"), items, percent, n).withColumnRenamed("id", "doc_id")
+
+
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n: int = NGRAM) -> DataFrame:
-    """The rows of ``docs``, all columns, into which no item leaks; rows with a null doc_id stay."""
-    bad = saved(leaks(docs, items, percent, n).select(F.col("doc_id").alias("__leak")).distinct())
-    return docs.join(small(bad), docs["doc_id"] == F.col("__leak"), "left_anti")
+    """The rows of ``docs``, all columns, into whose text no item leaks; each row by itself, whatever its doc_id."""
+    name = F.concat_ws(":", F.coalesce(F.col("__id").cast("string"), F.lit("null")), F.col("__h").cast("string"))
+    rows = keyed(docs).withColumn("__row", name)
+    bad = contained(rows.select(F.col("__row").alias("id"), "text"), items, percent, n)
+    bad = saved(bad.select(F.col("id").alias("__leak")).distinct())
+    return rows.join(small(bad), rows["__row"] == F.col("__leak"), "left_anti").select(*docs.columns)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

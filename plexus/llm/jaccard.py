@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plexus.llm.common import components, keyed, once, ordered, saved, small, without
-from plexus.llm.kernel import U, Block, blocks, mix, windows
+from plexus.llm.kernel import U, Block, blocks, by_group, mix, windows
 
 #: Sets in one block; a task holds two blocks.
 BLOCK = 1024
@@ -102,7 +102,7 @@ def signatures(s: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: int) -
                     docs.append(np.full(len(empty), i))
             keep = poor[left_doc]
             left, left_doc = mix(left[keep] + U(turn + 1)), left_doc[keep]
-            order = np.lexsort((left, left_doc))
+            order = by_group(left, left_doc)
             left, left_doc = left[order], left_doc[order]
     if not out:
         return np.zeros(0, U), np.zeros(0, np.int64)
@@ -122,7 +122,7 @@ def doc_sets(b: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
             pick = short[b.wdoc]
             s2, at2 = windows(h[pick], b.wdoc[pick], k)
             s, doc = np.concatenate([s, s2]), np.concatenate([doc, b.wdoc[pick][at2]])
-    order = np.lexsort((s, doc))
+    order = by_group(s, doc)
     s, doc = s[order], doc[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])

@@ -77,6 +77,14 @@ class Block:
         return total[self.off[1:]] - total[self.off[:-1]]
 
 
+def by_group(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of ``values`` by group, then value; groups are small whole numbers."""
+    if len(group) and group.max() < 1 << 16:  # a radix sort
+        order = np.argsort(values)
+        return order[np.argsort(group[order].astype(np.uint16), kind="stable")]
+    return np.lexsort((values, group))
+
+
 def windows(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` items inside one document, with their first positions."""
     if len(h) < n:

@@ -1,8 +1,8 @@
 """Operator 2: mixing sources to target weights along a time-varying curriculum.
 
 1. Every source asks for ``target`` words: its weight's part of the budget, at most ``cap`` times its
-   size, the excess shared among the others by weight until none is above (water filling, solved in
-   closed form over the table of sources, one row each).
+   size, the excess shared among the others by weight until none is above (water filling: the level
+   rises until no source passes its cap).
 2. The documents of a source form one stream in hash order, repeated pass after pass, until the
    target is met; the document at the end gives only its first words, so the taken words meet the
    target exactly.  Offsets come from a global range sort: a source may be any part of the corpus.
@@ -11,15 +11,16 @@
    within a segment) at a document's offset gives the position.  Output is range-sorted by position.
 
 Defined cases: null or blank text has size 0 and is never taken; a null source is one source, sorted
-last; rows equal in all columns are told apart by nothing and may swap; an empty table gives an empty
-result; other columns are kept by ``mix`` and ignored by the query.
+last; a null doc_id is taken like others, and rows that share one are rows of their own; rows equal in
+all columns are told apart by nothing and may swap; an empty table gives an empty result; a very long
+text is one row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexus.llm.common import SPACES, ordered, saved
@@ -57,23 +58,25 @@ def targets(sizes: DataFrame, weights: Sequence[float], budget: float, cap: floa
     """``sizes(source, source_size)``, a row per source, with ``place``, ``weight`` and ``target``.
 
     ``target = floor * size + least((cap - floor) * size, level * weight)`` with the level at which the
-    targets sum to ``budget`` times all sizes.  Sources are few beside documents: their order and the
-    running sums of the water level are windows over this table alone.
+    targets sum to ``budget`` times all sizes.  Each step of the level is one combinable sum over the
+    sources; places come from a global range sort, so there may be any number of sources.
     """
-    all_rows = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    df = sizes.withColumn("place", F.row_number().over(by_name) - 1).withColumn("weight", w)
-    df = df.withColumn("room", F.col("source_size") * (cap - floor))
-    by_ratio = Window.orderBy(F.col("room") / F.col("weight"), "place")
-    before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumn(
-        "level",
-        (F.sum("source_size").over(all_rows) * (budget - floor) - F.coalesce(F.sum("room").over(before), F.lit(0.0)))
-        / F.sum("weight").over(after),
-    )
-    fits = F.max(F.when(F.col("room") / F.col("weight") > F.col("level"), F.col("level"))).over(all_rows)
-    share = F.least(F.col("room"), F.coalesce(fits * F.col("weight"), F.col("room")))
+    df = ordered(sizes.withColumn("__none", F.col("source").isNull()), ["__none", "source"]).withColumnRenamed("__ix", "place")
+    df = saved(df.withColumn("weight", w).withColumn("room", F.col("source_size") * (cap - floor)).drop("__none"))
+    full, level = F.col("room") <= F.lit(-1.0), None
+    while True:
+        sums = df.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("room")).otherwise(0.0)).alias("full"),
+            F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if not sums["open"]:  # every source is at its cap
+            share = F.col("room")
+            break
+        now = (sums["all"] * (budget - floor) - sums["full"]) / sums["open"]
+        share = F.least(F.col("room"), F.lit(now) * F.col("weight"))
+        if now == level:
+            break
+        level, full = now, F.col("room") / F.col("weight") <= F.lit(now)
     return df.withColumn("target", F.col("source_size") * floor + share).select(
         "source", "source_size", "place", "weight", "target"
     )
@@ -116,8 +119,8 @@ def mix(
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    first = F.round(F.get("passes", F.lit(0))["position"], 6)
-    out = mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"))
+    at = [F.round(F.get("passes", F.lit(k))["position"], 6).alias(name) for k, name in enumerate(("position", "position_2"))]
+    out = mixed.select("doc_id", "size", "source_size", "target", "taken", *at)
     return out.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
 
 
@@ -154,8 +157,12 @@ c as (select doc_id, size, source_size, target, place,
 k as (select *, greatest(least(floor(target + 0.5) - a, size), 0) as k0,
   greatest(least(floor(target + 0.5) - a - source_size, size), 0) as k1 from c)
 select doc_id, size, source_size, target, cast(k0 + k1 as bigint) as taken,
-  round(case when k0 > 0 then case place % 3 when 0 then {a} when 1 then {b} else {c} end end, 6) as position from k
+  round(case when k0 > 0 then case place % 3 when 0 then {a} when 1 then {b} else {c} end end, 6) as position,
+  round(case when k1 > 0 then case place % 3 when 0 then {d} when 1 then {e} else {f} end end, 6) as position_2 from k
 """.replace("{a}", _position_sql("(a / greatest(target, 1.0::double))", FLAT))
     .replace("{b}", _position_sql("(a / greatest(target, 1.0::double))", RISE))
     .replace("{c}", _position_sql("(a / greatest(target, 1.0::double))", PEAK))
+    .replace("{d}", _position_sql("((a + source_size) / greatest(target, 1.0::double))", FLAT))
+    .replace("{e}", _position_sql("((a + source_size) / greatest(target, 1.0::double))", RISE))
+    .replace("{f}", _position_sql("((a + source_size) / greatest(target, 1.0::double))", PEAK))
 }

@@ -1,11 +1,14 @@
 """Operator 8: chat formatting by quotation linking.
 
 A message's lines carry a quote level, the number of leading ``>`` marks.  Lines of level 0 are its own
-text (an attribution line such as ``On ... wrote:`` right before a quote goes).  Lines of level 1 and
-deeper are quoted passages; each is hashed in normal form (marks dropped, white space folded, lower
-case) and joined to the lines that messages wrote themselves, nested levels included: a line quoted at
-level 2 still names who wrote it.  A message answers the message with most of its quoted lines,
-outermost level first; within a conversation originals come before the same words elsewhere.
+text (an attribution line such as ``On ... wrote:`` right before a quote goes).  Neighbouring lines of one
+level, without a blank one between them, are a passage: its normal form (marks dropped, white space folded,
+lines joined, lower case) is hashed, so a quote that was wrapped anew still meets its original.  Quoted
+passages of any level are joined to the passages and lines that messages wrote themselves; the lines of a
+quoted passage that is nobody's are looked up one by one.  Within a conversation the first message before
+this one that wrote the words is the original, of any length; else the first other conversation with them,
+if they are ``LONG`` words or more.  A message answers the message with most of its quoted lines, those of
+its conversation first, then the outermost level, then the earlier message.
 
 A conversation is laid out thread by thread: a thread is a message that answers none in its
 conversation with all that answer it, directly or not; threads follow their first turns, messages
@@ -15,72 +18,113 @@ part of the table.
 
 Defined cases: null or blank text gives an empty message; a null conv_id is a conversation of its own
 and a null turn sorts first; rows that share conv_id and turn keep separate messages in text order and
-are one message for linking; quotes of unknown passages are dropped and counted; an empty table gives
-an empty result; other columns are ignored.
+are one message for linking; quotes of unknown passages are dropped and counted; very long texts are
+parsed whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexus.llm.common import ordered, saved
 
 SEGMENT = 256
+#: Words that a passage must have to be linked to another conversation.
+LONG = 4
 _MARKS = r"^[ \t]*(?:>[ \t]?)+"
-
-
-def _normal(line: Column) -> Column:
-    folded = F.btrim(F.regexp_replace(F.regexp_replace(line, _MARKS, ""), r"[\x20\x09-\x0D]+", " "))
-    return F.lower(folded)
-
-
-def parse(messages: DataFrame) -> DataFrame:
-    """``messages`` with ``lines``: an array of ``(level, hash, text)``, attribution lines marked level -1."""
-    raw = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 0), "[^>]", ""))
-
-    def line(x: Column) -> Column:
-        normal = _normal(x)
-        return F.struct(
-            level(x).cast("int").alias("level"),
-            F.when(normal != "", F.xxhash64(normal)).alias("hash"),
-            x.alias("text"),
-        )
-
-    messages = messages.withColumn("lines", F.transform(raw, line))
-
-    def mark(w: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            next_quote = F.get(w, i + 1)["level"] > 0
-            credit = (x["level"] == 0) & next_quote & x["text"].rlike(r"(?i)^\s*on\b.*\bwrote:\s*$")
-            return x.withField("level", F.when(credit, F.lit(-1)).otherwise(x["level"]))
-
-        return F.transform(w, one)
-
-    return messages.withColumn("lines", F.get(F.transform(F.array("lines"), mark), F.lit(0)))
+_QUOTES = r"(?:^|\n)[ \t]*>"
+_CREDIT = r"^\s*on\b.*\bwrote:\s*$"
+_marks, _credit, _space = re.compile(_MARKS), re.compile(_CREDIT, re.IGNORECASE | re.ASCII), re.compile(r"[\x20\x09-\x0D]+")
+
+
+def read_lines(text: str | None) -> list[tuple[int, str]]:
+    """``(level, normal form)`` of each line; attribution lines have level -1."""
+    out, raw = [], (text or "").split("\n")
+    for line in raw:
+        m = _marks.match(line)
+        out.append((m.group().count(">") if m else 0, _space.sub(" ", line[m.end() if m else 0 :]).strip(" ").lower()))
+    for i in range(len(raw) - 1):
+        if out[i][0] == 0 < out[i + 1][0] and _credit.match(raw[i]):
+            out[i] = (-1, out[i][1])
+    return out
+
+
+def passages(lines: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
+    """Runs of lines of one level with words: ``(level, lines)``."""
+    out, before = [], None
+    for level, normal in lines:
+        if normal and level >= 0:
+            if before == level:
+                out[-1][1].append(normal)
+            else:
+                out.append((level, [normal]))
+        before = level if normal else None
+    return out
+
+
+def _key(normal: str) -> int:
+    return int.from_bytes(blake2b(normal.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _quoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for conv, turn, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for level, lines in passages(read_lines(text)):
+                if level > 0:
+                    whole = " ".join(lines)
+                    passage = _key(whole)
+                    rows.append((conv, turn, passage, passage, True, level, len(lines), whole.count(" ") + 1))
+                    if len(lines) > 1:
+                        rows += [(conv, turn, passage, _key(x), False, level, 1, x.count(" ") + 1) for x in lines]
+        names = ["conv_id", "turn", "passage", "hash", "whole", "level", "k", "words"]
+        kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 3
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for conv, turn, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            own = [lines for level, lines in passages(read_lines(text)) if level == 0]
+            units = {" ".join(lines) for lines in own} | {x for lines in own for x in lines}
+            rows += [(conv, turn, _key(x)) for x in units]
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["conv_id", "turn", "hash"])
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, parent_conv, parent_turn, linked)`` for messages that quote known lines."""
-    lines = messages.select("conv_id", "turn", F.explode("lines").alias("l")).select("conv_id", "turn", "l.*")
-    lines = lines.where("hash is not null and conv_id is not null and turn is not null")
-    quoted = lines.where("level > 0").groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"))
+    """``(conv_id, turn, parent_conv, parent_turn, linked)`` for messages that quote known passages."""
+    rows = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text")
+    units = rows.where(F.col("text").rlike(_QUOTES)).mapInArrow(
+        _quoted, "conv_id long, turn long, passage long, hash long, whole boolean, level long, k long, words long")
+    quoted = units.groupBy("conv_id", "turn", "passage", "hash", "whole").agg(F.min("level").alias("level"), F.sum("k").alias("k"), F.max("words").alias("words"))
     quoted = saved(quoted)  # few beside the lines written
-    written = lines.where("level = 0").join(quoted.select("hash").distinct(), "hash", "left_semi")
-    # an original: the first turn of each conversation with the line, and the first conversation of all
-    near = written.groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn"))
+    written = rows.mapInArrow(_written, "conv_id long, turn long, hash long").join(quoted.select("hash").distinct(), "hash", "left_semi")
+    # an original: the first turn of each conversation with the words, and the first two conversations of all
+    near = saved(written.groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn")))
     far = near.groupBy("hash").agg(F.min(F.struct("conv_id", "near_turn")).alias("far"))
+    next_far = near.join(far, "hash").where("conv_id <> far.conv_id").groupBy("hash").agg(F.min(F.struct("conv_id", "near_turn")).alias("next"))
+    other = F.when(F.col("far.conv_id") != F.col("conv_id"), F.col("far")).otherwise(F.col("next"))
     found = (
-        quoted.join(near, ["conv_id", "hash"], "left").join(far, "hash", "left")
-        .withColumn("own", F.col("near_turn") < F.col("turn"))
-        .withColumn("parent_conv", F.when(F.col("own"), F.col("conv_id")).otherwise(F.col("far.conv_id")))
-        .withColumn("parent_turn", F.when(F.col("own"), F.col("near_turn")).otherwise(F.col("far.near_turn")))
-        .where("parent_conv is not null and not (parent_conv = conv_id and parent_turn >= turn)")
-    )
-    votes = found.groupBy("conv_id", "turn", "parent_conv", "parent_turn").agg(
-        F.count(F.lit(1)).alias("n"), F.min("level").alias("level")
+        quoted.join(near, ["conv_id", "hash"], "left").join(far, "hash", "left").join(next_far, "hash", "left")
+        .withColumn("own", F.coalesce(F.col("near_turn") < F.col("turn"), F.lit(False)))
+        .withColumn("other", F.when(F.col("words") >= LONG, other))
+        .withColumn("parent_conv", F.when(F.col("own"), F.col("conv_id")).otherwise(F.col("other.conv_id")))
+        .withColumn("parent_turn", F.when(F.col("own"), F.col("near_turn")).otherwise(F.col("other.near_turn")))
+        .where("parent_conv is not null").select("conv_id", "turn", "passage", "whole", "level", "k", "parent_conv", "parent_turn")
     )
+    found = saved(found)
+    entire = found.where("whole").select("conv_id", "turn", "passage")
+    found = found.where("whole").unionByName(found.where("not whole").join(entire, ["conv_id", "turn", "passage"], "left_anti").select(*found.columns))
+    votes = found.groupBy("conv_id", "turn", "parent_conv", "parent_turn").agg(F.sum("k").alias("n"), F.min("level").alias("level"))
     best = F.struct(
         (F.col("parent_conv") == F.col("conv_id")).cast("int"), -F.col("level"), "n", -F.col("parent_conv"), -F.col("parent_turn")
     )
@@ -104,20 +148,33 @@ def threads(links: DataFrame) -> DataFrame:
     return now
 
 
+def own_text(text: Column) -> tuple[Column, Column]:
+    """A message's own lines as text, and how many quoted lines with words it has."""
+    level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 0), "[^>]", ""))
+    raw = F.transform(F.split(text, "\n"), lambda x: F.struct(level(x).alias("level"), x.alias("text")))
+
+    def mine(w: Column) -> Column:
+        def credit(x: Column, i: Column) -> Column:
+            return (F.get(w, i + 1)["level"] > 0) & x["text"].rlike(f"(?i){_CREDIT}")
+
+        return F.array_join(F.transform(F.filter(w, lambda x, i: (x["level"] == 0) & ~F.coalesce(credit(x, i), F.lit(False))), lambda x: x["text"]), "\n")
+
+    has = F.coalesce(text.rlike(_QUOTES), F.lit(False))
+    own = F.when(has, F.get(F.transform(F.array(raw), mine), F.lit(0))).otherwise(F.coalesce(text, F.lit("")))
+    quoted = F.filter(raw, lambda x: (x["level"] > 0) & F.regexp_replace(x["text"], _MARKS, "").rlike(r"[^\x20\x09-\x0D]"))
+    return F.btrim(own, F.lit(" \t\n\r")), F.when(has, F.size(quoted)).otherwise(0).cast("long")
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """One row per message: ``conv_id, turn, role, content, n_quoted, linked, parent_conv, parent_turn, place``."""
     rows = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     )
-    rows = parse(rows)
     links = saved(link(rows))
     roots = threads(links)
-    own = F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["text"])
-    rows = rows.select(
-        "conv_id", "turn", "role", F.btrim(F.array_join(own, "\n"), F.lit(" \t\n\r")).alias("content"),
-        F.size(F.filter("lines", lambda x: (x["level"] > 0) & x["hash"].isNotNull())).cast("long").alias("n_quoted"),
-    )
+    content, n_quoted = own_text(F.col("text"))
+    rows = rows.select("conv_id", "turn", "role", content.alias("content"), n_quoted.alias("n_quoted"))
     rows = rows.join(links, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
     rows = rows.withColumn("linked", F.coalesce("linked", F.lit(0))).withColumn("root", F.coalesce("root", "turn"))
     key = ["conv_id", "root", "turn"]
@@ -129,12 +186,17 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 
 def formatted(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Reply-ordered chats: ``(conv_id, segment, n_messages, n_quoted, n_linked, chat)``; chat is JSON."""
+    """Reply-ordered chats: ``(conv_id, segment, n_messages, n_quoted, n_linked, chat, parents)``.
+
+    ``chat`` is JSON; so is ``parents``, which names for each message with a known original the message it answers.
+    """
     rows = conversations(messages).withColumn("segment", F.floor(F.col("place") / segment).cast("long"))
     turn = F.struct("place", F.struct("role", "content").alias("m"))
+    parent = F.when(F.col("parent_conv").isNotNull(), F.struct("place", F.struct("place", "parent_conv", "parent_turn").alias("m")))
+    as_json = lambda x: F.to_json(F.transform(F.array_sort(F.collect_list(x)), lambda y: y["m"]))
     return rows.groupBy("conv_id", "segment").agg(
         F.count(F.lit(1)).alias("n_messages"), F.sum("n_quoted").alias("n_quoted"), F.sum("linked").alias("n_linked"),
-        F.to_json(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["m"])).alias("chat"),
+        as_json(turn).alias("chat"), as_json(parent).alias("parents"),
     )
 
 
@@ -152,15 +214,21 @@ y as (select rid, conv_id, turn, role, i, ls[i] as t, length(regexp_replace(rege
   lower(trim(regexp_replace(regexp_replace(ls[i], '^[ \t]*(?:>[ \t]?)+', ''), '[\x20\x09-\x0D]+', ' ', 'g'))) as normal from x),
 l as (select *, case when level = 0 and lead(level) over (partition by rid order by i) > 0 and regexp_matches(t, '(?i)^\s*on\b.*\bwrote:\s*$')
   then -1 else level end as lv from y),
-k as (select * from l where normal <> '' and conv_id is not null and turn is not null),
-quoted as (select conv_id, turn, normal, min(lv) as lv from k where lv > 0 group by conv_id, turn, normal),
-near as (select conv_id, normal, min(turn) as near_turn from k where lv = 0 and normal in (select normal from quoted) group by conv_id, normal),
-far as (select normal, arg_min(conv_id, (conv_id, near_turn)) as far_conv, arg_min(near_turn, (conv_id, near_turn)) as far_turn from near group by normal),
-found as (select q.conv_id, q.turn, q.lv, case when n.near_turn < q.turn then q.conv_id else f.far_conv end as parent_conv,
-  case when n.near_turn < q.turn then n.near_turn else f.far_turn end as parent_turn
-  from quoted q left join near n on n.conv_id = q.conv_id and n.normal = q.normal left join far f on f.normal = q.normal),
-votes as (select conv_id, turn, parent_conv, parent_turn, count(*) as n, min(lv) as lv from found
-  where parent_conv is not null and not (parent_conv = conv_id and parent_turn >= turn) group by conv_id, turn, parent_conv, parent_turn),
+b as (select *, case when normal <> '' and lag(normal) over (partition by rid order by i) <> '' and lag(lv) over (partition by rid order by i) = lv then 0 else 1 end as fresh from l),
+r as (select *, sum(fresh) over (partition by rid order by i) as run from b),
+p as (select rid, conv_id, turn, run, lv, string_agg(normal, ' ' order by i) as normal, count(*) as k from r
+  where normal <> '' and lv >= 0 and conv_id is not null and turn is not null group by rid, conv_id, turn, run, lv),
+u as (select rid, conv_id, turn, lv, normal as passage, normal, true as whole, k from p
+  union all select p.rid, p.conv_id, p.turn, p.lv, p.normal, r.normal, false, 1 from p join r on r.rid = p.rid and r.run = p.run and r.normal <> '' where p.k > 1),
+quoted as (select conv_id, turn, passage, normal, whole, min(lv) as lv, sum(k) as k, length(normal) - length(replace(normal, ' ', '')) + 1 as words from u where lv > 0 group by conv_id, turn, passage, normal, whole),
+near as (select conv_id, normal, min(turn) as near_turn from u where lv = 0 and normal in (select normal from quoted) group by conv_id, normal),
+o as (select q.conv_id, q.normal, n.conv_id as c, n.near_turn as t, row_number() over (partition by q.conv_id, q.normal order by n.conv_id, n.near_turn) as place
+  from (select distinct conv_id, normal from quoted where words >= 4) q join near n on n.normal = q.normal and n.conv_id <> q.conv_id),
+found as (select q.*, case when n.near_turn < q.turn then q.conv_id else o.c end as parent_conv, case when n.near_turn < q.turn then n.near_turn else o.t end as parent_turn
+  from quoted q left join near n on n.conv_id = q.conv_id and n.normal = q.normal left join o on o.conv_id = q.conv_id and o.normal = q.normal and o.place = 1),
+kept as (select * from found f where parent_conv is not null and (whole or not exists (select 1 from found g
+  where g.whole and g.parent_conv is not null and g.conv_id = f.conv_id and g.turn = f.turn and g.passage = f.passage))),
+votes as (select conv_id, turn, parent_conv, parent_turn, sum(k) as n, min(lv) as lv from kept group by conv_id, turn, parent_conv, parent_turn),
 links as (select conv_id, turn, parent_conv, parent_turn, sum(n) over (partition by conv_id, turn) as linked, row_number() over (partition by conv_id, turn
   order by cast(parent_conv = conv_id as int) desc, lv, n desc, parent_conv, parent_turn) as r from votes),
 up as (select conv_id, turn, parent_turn from links where r = 1 and parent_conv = conv_id),
@@ -169,10 +237,11 @@ roots as (select conv_id, turn, min(root) as root from walk group by conv_id, tu
 msg as (select rid, any_value(conv_id) as conv_id, any_value(turn) as turn, any_value(role) as role,
   trim(coalesce(string_agg(t, chr(10) order by i) filter (where lv = 0), ''), ' ' || chr(9) || chr(10) || chr(13)) as content,
   count(*) filter (where lv > 0 and normal <> '') as n_quoted from l group by rid),
-placed as (select msg.*, coalesce(k.linked, 0) as linked, row_number() over (partition by msg.conv_id order by coalesce(r.root, msg.turn), msg.turn) - 1 as place
+placed as (select msg.*, coalesce(k.linked, 0) as linked, k.parent_conv, k.parent_turn, row_number() over (partition by msg.conv_id order by coalesce(r.root, msg.turn), msg.turn) - 1 as place
   from msg left join (select * from links where r = 1) k on k.conv_id = msg.conv_id and k.turn = msg.turn left join roots r on r.conv_id = msg.conv_id and r.turn = msg.turn)
 select conv_id, place // 256 as segment, count(*) as n_messages, cast(sum(n_quoted) as bigint) as n_quoted, cast(sum(linked) as bigint) as n_linked,
-  '[' || string_agg(cast(to_json(struct_pack(role := role, content := content)) as varchar), ',' order by place) || ']' as chat
+  '[' || string_agg(cast(to_json(struct_pack(role := role, content := content)) as varchar), ',' order by place) || ']' as chat,
+  '[' || coalesce(string_agg(cast(to_json(struct_pack(place := place, parent_conv := parent_conv, parent_turn := parent_turn)) as varchar), ',' order by place) filter (where parent_conv is not null), '') || ']' as parents
 from placed group by conv_id, place // 256
 """,
 }

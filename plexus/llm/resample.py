@@ -1,23 +1,26 @@
 """Operator 4: quality classification by importance resampling.
 
 Two generative models over hashed n-grams -- the target (documents labelled good) and the raw corpus
--- give each document its mean ``ln(target share / raw share)`` per n-gram.  Platt scaling on labelled
-documents that the target model has not seen turns the mean into log odds of being target-like: the
-log of the importance weight.  Documents are drawn without replacement by the Gumbel top-k trick: the
-k largest ``log weight + Gumbel noise`` are kept, the noise hashed from the doc_id so that reruns
-agree.  k is the expected number of target-like documents, the sum of ``1 / (1 + exp(-log weight))``
-over the whole corpus.
+-- give each document the log of its importance weight: ``ln(target share / raw share)`` of its
+n-grams, summed over ``SIZE`` n-grams at the document's own mean (the whole sum would let length
+decide; a smaller ``SIZE`` is a higher temperature).  Documents are drawn without replacement by the
+Gumbel top-k trick: the k largest ``log weight + Gumbel noise`` are kept, the noise hashed from doc_id
+and text so that reruns agree.  k is the expected number of documents like the target: the means of
+labelled documents that the target model has not seen give, by Platt scaling, the chance of every
+document of the corpus, and k is the sum.  The scaling sets how many are drawn, not their order.
 
 Raw counts cover every document.  The target model and the scaling are fitted on at most ``SAMPLE``
 labelled documents each (per class), chosen by hash.  Each task sums its own counts, so what is
-shuffled is bounded by tasks times buckets; the two models are ``2 * len(KINDS) << BITS`` numbers.
+shuffled is bounded by tasks times buckets; the two models are ``len(KINDS) << BITS`` numbers each.
 The k-th largest key comes from a global range sort, not from a sort in one task.
 
 Defined cases: null text and texts without n-grams are rejected (weight null); a word that repeats the
-word before it counts as one special bigram; without labels of both classes the mean itself is the
-log weight; labels that are null or disagree for a doc_id are left out; rows that share a doc_id share
-its noise; an empty table gives an empty result; the query ignores other columns and ``select`` keeps
-them.
+word before it counts as one special bigram with a bucket of its own; without labels of both classes
+the chance is ``1 / (1 + exp(-mean))``; labels that are null or disagree for a doc_id are left out; of
+rows that share a labelled doc_id the target takes all, the scaling the least mean; rows are judged each
+by its own text, and rows equal in doc_id and text share their noise (``select`` keeps all of these if
+it keeps one); a null doc_id is judged like others; an empty table gives an empty result; the query
+ignores other columns and ``select`` keeps them.
 """
 
 from __future__ import annotations
@@ -29,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexus.llm.common import ordered, saved, small
+from plexus.llm.common import keyed, ordered, saved, small, without
 from plexus.llm.kernel import Block, blocks
 from plexus.llm.ngrams import calibrate, grams, per_text
 
 SAMPLE = 5000
 BITS = 14
 KINDS = (("w", 1), ("w", 2), ("c", 4))
+#: n-grams whose log ratios make up a weight.
+SIZE = 64
 
 
 def _counted(b: Block):
@@ -44,6 +49,7 @@ def _counted(b: Block):
         if kind == ("w", 2) and len(bucket):  # the same word again, whatever it is
             h = b.word_hashes()
             at = np.flatnonzero(b.wdoc[:-1] == b.wdoc[1:])
+            bucket = np.maximum(bucket, 1)  # 0 is theirs alone
             bucket[h[at] == h[at + 1]] = 0
         yield k, bucket, count
 
@@ -66,14 +72,17 @@ def _weigh(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = model.value
         for batch in batches:
-            for lo, hi, b in blocks(batch.column(1)):
+            for lo, hi, b in blocks(batch.column(2)):
                 z, n = np.zeros(b.n), np.zeros(b.n, np.int64)
                 for k, bucket, count in _counted(b):
                     z += per_text(ratio[k << BITS : (k + 1) << BITS][bucket], count)
                     n += count
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(np.round(z / np.maximum(n, 1), 9), mask=n == 0)],
-                    names=["doc_id", "n_grams", "mean"],
+                    [
+                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n),
+                        pa.array(np.round(z / np.maximum(n, 1), 9), mask=n == 0),
+                    ],
+                    names=["__id", "__h", "n_grams", "mean"],
                 )
 
     return run
@@ -123,10 +132,13 @@ def scaling(weighed: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     if len(seen) < 2:
         return 1.0, 0.0
     chosen = _first(clear, "y = 1 and half = 1", sample).union(_first(clear, "y = 0", sample))
-    rows = weighed.where("mean is not null").join(F.broadcast(chosen), "doc_id").select("mean", "y").toArrow()
+    means = weighed.where("mean is not null").join(F.broadcast(chosen), F.col("__id") == F.col("doc_id"))
+    rows = means.groupBy("doc_id", "y").agg(F.min("mean").alias("mean")).toArrow()  # a row of each chosen document
     z, y = rows["mean"].to_numpy(), rows["y"].to_numpy().astype(np.int64)
     if len(np.unique(y)) < 2:
         return 1.0, 0.0
+    order = np.lexsort((z, y))
+    z, y = z[order], y[order]
     spread = max(float(z.std()), 1e-9)
     part = np.array([(y == 0).mean(), (y == 1).mean()])
     weight = np.array([seen[0], seen[1]]) / (seen[0] + seen[1]) / part
@@ -134,28 +146,32 @@ def scaling(weighed: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     return max(slope, 0.0) / spread, shift
 
 
-def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``(doc_id, n_grams, log_weight, gumbel_key, kept)`` for every row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, sample))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    weighed = saved(texts.mapInArrow(_weigh(model), "doc_id long, n_grams long, mean double"))
+def drawn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``(__id, __h, n_grams, log_weight, gumbel_key, kept)`` for every row of ``docs``."""
+    texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    model = docs.sparkSession.sparkContext.broadcast(log_ratios(texts, labels, sample))
+    weighed = saved(texts.select("__id", "__h", "text").mapInArrow(_weigh(model), "__id long, __h long, n_grams long, mean double"))
     slope, shift = scaling(weighed, labels, sample)
-    weighed = weighed.withColumn("log_weight", F.round(F.col("mean") * slope + shift, 6))
-    unit = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(44)), 11).cast("double") + 0.5) / float(1 << 53)
-    key = F.round(F.col("log_weight") - F.log(-F.log(unit)), 6)
-    ranked = ordered(
-        weighed.withColumn("gumbel_key", key).withColumn("__down", F.coalesce(-F.col("gumbel_key"), F.lit(float("inf")))),
-        ["__down", "doc_id"],
-    )
-    k = weighed.agg(F.round(F.sum(1 / (1 + F.exp(-F.col("log_weight"))))).alias("k")).first()["k"] or 0
+    k = weighed.agg(F.round(F.sum(1 / (1 + F.exp(-(F.col("mean") * slope + shift))))).alias("k")).first()["k"] or 0
+    unit = (F.shiftrightunsigned(F.xxhash64("__id", "__h", F.lit(44)), 11).cast("double") + 0.5) / float(1 << 53)
+    weighed = weighed.withColumn("log_weight", F.round(F.col("mean") * SIZE, 6))
+    weighed = weighed.withColumn("gumbel_key", F.round(F.col("log_weight") - F.log(-F.log(unit)), 6))
+    down = F.coalesce(-F.col("gumbel_key"), F.lit(float("inf")))
+    ranked = ordered(weighed.withColumn("__down", down), ["__down", "__id", "__h"])
     kept = (F.col("__ix") < int(k)) & F.col("log_weight").isNotNull()
-    return ranked.select("doc_id", "n_grams", "log_weight", "gumbel_key", kept.alias("kept"))
+    return ranked.select("__id", "__h", "n_grams", "log_weight", "gumbel_key", kept.alias("kept"))
+
+
+def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``(doc_id, n_grams, log_weight, gumbel_key, kept)`` for every row of ``docs``."""
+    return drawn(docs, labels, sample).drop("__h").withColumnRenamed("__id", "doc_id")
 
 
 def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that the resampling keeps (by doc_id; a null id is kept)."""
-    out = saved(resample(docs, labels, sample).where("not kept").select(F.col("doc_id").alias("__out")).distinct())
-    return docs.join(small(out), docs["doc_id"] == F.col("__out"), "left_anti")
+    """The rows of ``docs``, all columns, that the resampling keeps."""
+    verdict = drawn(docs, labels, sample).groupBy("__id", "__h").agg(F.max("kept").alias("kept"))
+    out = saved(verdict.where("not kept").select("__id", "__h"))
+    return without(keyed(docs), small(out)).select(*docs.columns)
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

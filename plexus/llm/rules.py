@@ -11,8 +11,9 @@ are made on the executors and the fit runs on the driver, bounded by ``SAMPLE``
 
 Defined cases: null text counts as empty; a text with fewer than 20 words fails the base rules; with
 labels of one class or none the base rules alone decide (probability null); labels that are null or
-disagree for a doc_id are left out; rows that share a doc_id are judged each by its own text; an empty
-table gives an empty result; other columns are ignored.
+disagree for a doc_id are left out; of rows that share a labelled doc_id the least text trains; rows that
+share a doc_id, or have none, are judged each by its own text; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexus.llm.kernel import _SPACE, Block, blocks, windows
+from plexus.llm.kernel import _SPACE, Block, blocks, by_group, windows
 from plexus.llm.ngrams import calibrate, features, fit, rows_of, scores, sigmoid
 
 SAMPLE = 1000
@@ -54,7 +55,7 @@ def base_counts(b: Block) -> dict[str, np.ndarray]:
     dup = np.bincount(doc[order][1:][again], minlength=b.n)
 
     s, at = windows(b.word_hashes(), b.wdoc, 8)
-    order = np.lexsort((s, b.wdoc[at]))
+    order = by_group(s, b.wdoc[at])
     same = (s[order][1:] == s[order][:-1]) & (b.wdoc[at][order][1:] == b.wdoc[at][order][:-1])
     twice = np.zeros(len(s), bool)
     twice[order[1:][same]] = True
@@ -99,9 +100,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     chosen = [clear.where(F.col("y") == y).orderBy(h, "doc_id").limit(sample).select("doc_id", "y") for y in (0, 1)]
     chosen = chosen[0].union(chosen[1])
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # one text of each, however often an id repeats
     found = (
         texts.select("doc_id", "text").mapInArrow(_sample_features, "doc_id long, index array<int>, value array<float>")
-        .join(F.broadcast(chosen), "doc_id").toArrow()
+        .join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()
     )
     rows = rows_of(found["index"], found["value"])
     y = found["y"].to_numpy().astype(np.int64)

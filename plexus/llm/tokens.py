@@ -1,8 +1,9 @@
 """Operator 7: token ids as Parquet list columns, read back selectively.
 
-Texts are encoded whole in Arrow batches by the tokenizers library; words are encoded once while a
-worker remembers them, about ``REMEMBERED`` at a time (the tokenizer drops white space and never joins across it, so a text's ids are the ids of
-its words in order).  Documents are range-partitioned and sorted by id, one file per partition.  A
+Texts are encoded whole in Arrow batches by the tokenizers library.  Where the tokenizer drops white space
+and never joins across it (``splits_words`` checks its settings and sample texts), a text's ids are the ids
+of its words in order, and words are encoded once while a worker remembers them, about ``REMEMBERED`` at a
+time; with other tokenizers each text is encoded by itself.  Documents are range-partitioned and sorted by id, one file per partition.  A
 file holds ``doc_id, part, local_start, n_tokens, ids``: dictionary encoding packs the ids (delta
 encoding on request), row groups and pages have set sizes, and the page index with the small columns
 beside the list lets a reader fetch lengths and offsets without touching any ids.
@@ -14,6 +15,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -41,11 +43,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def splits_words(tokenizer) -> bool:
+    """Whether a text's ids are the ids of its words in order, and of a word's ending marks, as ``encode`` takes it.
+
+    Known for lower-casing normalizers of NFC form without added spaces, and a model that ends words by ``</w>``;
+    then checked on sample texts.
+    """
+    plan = json.loads(tokenizer.to_str())
+    if (plan.get("model") or {}).get("end_of_word_suffix") != "</w>" or (plan.get("model") or {}).get("continuing_subword_prefix"):
+        return False
+    if '"add_prefix_space":true' in json.dumps(plan.get("pre_tokenizer"), separators=(",", ":")) or '"Prepend"' in json.dumps(plan.get("normalizer")):
+        return False
+    texts = ["The QUICK brown fox's 12 tails, 3.5 times!", "Über Äpfel, déjà-vu...  x\ty\nz", "a|b <c> d. e; f: g? h% i* j& k$ l#", "don't we're IT'S", "日本語 текст 123abc"]
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    for text in texts:
+        parts = [p for w in text.split() for p in (w.rstrip(".,;:!?|%*&$#"), w[len(w.rstrip(".,;:!?|%*&$#")) :]) if p]
+        if ids(text) != [i for p in parts for i in ids(p)] or ids(text.lower()) != ids(text):
+            return False
+    return True
+
+
 class WordIds:
     """Ids of the word parts met so far, by 64-bit hash; place 0 is the end id, place 1 is empty."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.whole = tokenizer, not splits_words(tokenizer)
         self.hash, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.first, self.size = np.array([END], np.int32), np.zeros(2, np.int64), np.array([1, 0])
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
@@ -126,6 +148,11 @@ def split_words(b: Block) -> np.ndarray:
 
 def encode(b: Block, known: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """``(ids, counts)`` of all texts of the block, each with the end id."""
+    if known.whole:
+        data = b.raw.tobytes()
+        texts = [data[x:y].decode("utf-8", "surrogatepass") for x, y in zip(b.off[:-1].tolist(), b.off[1:].tolist(), strict=True)]
+        ids = [np.array([*e.ids, END], np.int32) for e in known.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
     cut = split_words(b)
     marked = cut < b.we
     core = known.places(b.hashes(b.ws, cut), b, b.ws, cut)
@@ -186,7 +213,7 @@ def write_tokens(
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     order = ["doc_id", F.crc32(F.coalesce(text, F.lit("")).cast("binary"))]
-    rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(F.col("doc_id"), order[1]).sortWithinPartitions(*order)  # a doc_id may repeat over files
     done = rows.mapInArrow(
         _encoded(tokenizer_path or default_tokenizer()),
         "doc_id long, part int, local_start long, n_tokens long, ids array<int>",

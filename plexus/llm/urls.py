@@ -8,11 +8,13 @@ pages without a rule of their own get the verdict block.  A page's own rule come
 explicitly allowed alias stays allowed.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no rule and no aliases,
-and is allowed; null html has no links; attribute values are read with their character references
+and is allowed; null html has no links, and tags inside comments count as none; of several tags of a kind
+all count; attribute values are read with their character references
 (numeric ones, ``&amp;``, ``&lt;``, ``&gt;``, ``&quot;``, ``&apos;``); relative links resolve against the
 page's ``base`` or else its url, with dot segments removed; links of schemes without ``//`` are none;
-rows that share a page_id are judged each by its own url; empty tables give an empty result; other
-columns are ignored.
+rows that share a page_id are judged each by its own url, and repeated rows each; a null page_id is judged
+like others; very long urls and pages are read whole; empty tables give an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -133,20 +135,30 @@ def resolved(base: Column, link: Column) -> Column:
     return _let(base, lambda b: _let(clean, lambda x: full(b, x)))
 
 
+#: Tags that name a page's address, and the attribute that holds it.
+_TAGS = (
+    (r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", "href"),
+    (r"(?i)<meta\b[^>]*\bproperty\s*=\s*[\"']?og:url\b[^>]*>", "content"),
+    (r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", "content"),
+)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """``(url, link)``: canonical, og:url and refresh targets of each page, resolved."""
+    """``(url, link)``: all canonical, og:url and refresh targets of each page outside comments, resolved."""
     html = F.col("html")
     wanted = html.isNotNull() & (F.col("host") != "") & html.rlike(r"(?i)canonical|og:url|refresh")
-    read = pages.where(wanted).select(
+    read = pages.where(wanted).withColumn("html", F.regexp_replace(html, r"(?s)<!--.*?-->", ""))
+
+    def values(pattern: str, name: str, kind: int) -> Column:
+        found = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda tag: F.struct(F.lit(kind).alias("tag"), _attribute(tag, name).alias("link")))
+
+    read = read.select(
         "url",
         _attribute(F.regexp_extract(html, r"(?i)<base\b[^>]*\bhref\s*=[^>]*>", 0), "href").alias("base"),
-        F.array(
-            _attribute(F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), "href"),
-            _attribute(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bproperty\s*=\s*[\"']?og:url\b[^>]*>", 0), "content"),
-            _attribute(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), "content"),
-        ).alias("tags"),
+        F.concat(*[values(pattern, name, i) for i, (pattern, name) in enumerate(_TAGS)]).alias("tags"),
     )
-    links = read.select("url", "base", F.posexplode("tags").alias("tag", "link")).where("link <> ''")
+    links = read.select("url", "base", F.explode("tags").alias("t")).select("url", "base", "t.tag", "t.link").where("link <> ''")
     links = links.select("url", "tag", unescaped(F.col("base")).alias("base"), unescaped(F.col("link")).alias("link"))
     target = F.regexp_extract("link", r"(?i)url\s*=\s*['\"]?([^'\"]*)", 1)
     links = links.select("url", resolved(F.col("url"), F.col("base")).alias("base"), F.when(F.col("tag") == 2, target).otherwise(F.col("link")).alias("link"))
@@ -200,11 +212,12 @@ f as (select page_id, url, max_by(h || q, length(h || q)) as rule, max_by(verdic
   from p join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, q) group by page_id, url),
 j as (select p.*, f.rule, f.own, case when host <> '' then host || path || coalesce(regexp_extract(p.url, '^[^?#]*(\?[^#]*)', 1), '') end as node
   from p left join f on f.page_id = p.page_id and f.url = p.url),
-c as (select node as a, host, unnest([
-    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bproperty\s*=\s*["'']?og:url\b[^>]*>'), '(?i)\bcontent\s*=\s*["'']?([^"''\s>]*)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)url\s*=\s*["'']?([^"''>]*)', 1)
-  ]) as link from j where host <> ''),
+t as (select node as a, host, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') as html from j where host <> ''),
+c as (select a, host, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)),
+    list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bproperty\s*=\s*["'']?og:url\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\bcontent\s*=\s*["'']?([^"''\s>]*)', 1)),
+    list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?i)url\s*=\s*["'']?([^"''>]*)', 1))
+  )) as link from t),
 g as (select a, case when link like '%://%' then link when starts_with(link, '//') then 'http:' || link
     when starts_with(link, '/') then 'http://' || host || link end as link from c where link <> ''),
 h as (select a, lower(regexp_extract(link, '^(?s:.*?)://([^/?#]*)', 1)) as host, regexp_extract(link, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) as path,

@@ -370,19 +370,23 @@ def test_token_files_round_trip(spark, tmp_path):
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there\nhow are you?"), (1, 1, "assistant", "> Hello there\nFine, thanks"),
-        (1, 2, "user", "On Monday Bob wrote:\n> Fine,   thanks\n>> hello there\nGood\n> unknown"), (1, 3, "user", "new topic"),
-        (1, 4, "assistant", "> how are you?\nok"), (2, 0, "user", "> new topic\nyes"), (None, None, None, None), (1, 3, "user", "another at 3"), (5, 0, "user", ""),
+        (1, 2, "user", "On Monday Bob wrote:\n> Fine,   thanks\n>> hello there\nGood\n> unknown"), (1, 3, "user", "new topic with\nenough words in it"),
+        (1, 4, "assistant", "> how are you?\nok"), (2, 0, "user", "> New topic\n> with enough words in it\nyes"), (2, 1, "user", "> Fine, thanks\nshort ones stay at home"), (None, None, None, None), (1, 3, "user", "another at 3"), (5, 0, "user", ""),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", quotes.F.lit(9))
     got = {(r["conv_id"], r["turn"], r["content"]): r for r in quotes.conversations(df).collect()}
     assert len(got) == len(rows)
     r = got[1, 2, "Good"]
     assert (r["parent_conv"], r["parent_turn"], r["n_quoted"], r["linked"]) == (1, 1, 3, 2)
-    assert got[1, 4, "ok"]["parent_turn"] == 0 and got[2, 0, "yes"]["parent_conv"] == 1
+    assert got[1, 4, "ok"]["parent_turn"] == 0
+    r = got[2, 0, "yes"]  # wrapped anew
+    assert (r["parent_conv"], r["parent_turn"], r["linked"]) == (1, 3, 2)
+    assert got[2, 1, "short ones stay at home"]["parent_conv"] is None
     order = [k[1] for k in sorted((k for k in got if k[0] == 1), key=lambda k: got[k]["place"])]
     assert order == [0, 1, 2, 4, 3, 3]
     chats = {(r["conv_id"], r["segment"]): r for r in quotes.formatted(df, segment=4).collect()}
     assert chats[1, 0]["n_messages"] == 4 and chats[1, 1]["n_messages"] == 2
+    assert json.loads(chats[1, 0]["parents"])[0] == {"place": 1, "parent_conv": 1, "parent_turn": 0}
     assert [m.get("content") for m in json.loads(chats[1, 0]["chat"])] == ["Hello there\nhow are you?", "Fine, thanks", "Good", "ok"]
     assert quotes.formatted(df.limit(0)).count() == 0
 
@@ -512,13 +516,18 @@ def test_quotes_against_sql(spark):
 
     rng, rows = random.Random(8), []
     for conv in range(6):
-        said = []
+        said, paragraphs = [], [["nothing"]]
         for turn in range(7):
-            lines = [f"line {rng.randrange(30)} of {rng.randrange(3)}" for _ in range(rng.randint(0, 3))]
+            lines = [rng.choice([f"line {rng.randrange(30)} of {rng.randrange(3)}", f"yes {rng.randrange(4)}", ""]) for _ in range(rng.randint(0, 4))]
             if said and rng.random() < 0.7:
                 quoted = [f"{'>' * rng.randint(1, 2)} {rng.choice(said).upper()}" for _ in range(rng.randint(1, 3))]
+                w = " ".join(rng.choice(paragraphs)).split(" ")  # a paragraph, wrapped anew
+                cut = rng.randint(1, len(w))
+                quoted += [">", f"> {' '.join(w[:cut])}", f">  {' '.join(w[cut:])}"]
                 lines = ["On Friday someone wrote:", *quoted, *lines, "> nobody said this"]
-            said += [x for x in lines if not x.startswith((">", "On "))]
+            said += [x for x in lines if x and not x.startswith((">", "On "))]
+            own = [x for x in lines if not x.startswith((">", "On "))]
+            paragraphs += [p.split("\n") for p in "\n".join(own).split("\n\n") if p.strip("\n")]
             rows.append((conv, turn, "user" if turn % 2 else "assistant", "\n".join(lines)))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = quotes.formatted(df)
