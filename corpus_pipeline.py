@@ -10,29 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexus.llm import decontaminate, jaccard, mix, resample, shard
-from plexus.llm.common import saved, small
+from plexus.llm.common import keyed, once, saved
+
+#: Least target of a source in the mixture, as a part of its size.
+FLOOR = 1.0
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that importance resampling keeps; texts without n-grams go, rows with a null doc_id stay."""
+    """Rows that importance resampling keeps, each judged by its own text; texts without n-grams go."""
     return resample.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of texts whose 5-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-    The row with the smallest doc_id stays; of rows that share a doc_id, one.  Rows with a null doc_id stay.
+    The row with the smallest doc_id stays (null is last).  Unlike texts under one doc_id all stay.
     """
-    classes = jaccard.jaccard_classes(docs, n=5, percent=80).withColumnRenamed("doc_id", "__id")
-    classes = saved(classes.groupBy("__id").agg(F.count(F.lit(1)).alias("__n"), F.min("component_id").alias("__c")))
-    out = saved(classes.where("__id <> __c").select("__id"))
-    twice = saved(classes.where("__id = __c and __n > 1").select("__id"))
-    same = docs["doc_id"] == F.col("__id")
-    kept = docs.join(small(out), same, "left_anti")
-    if twice.limit(1).count():
-        once = kept.join(small(twice), same, "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(small(twice), same, "left_anti").unionByName(once)
-    return kept
+    return jaccard.distinct_rows(docs, n=5, percent=80)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +34,25 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and again as often as its source's target asks, in the order of the curriculum.
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, floor: float = FLOOR) -> DataFrame:
+    """Every row as often as its source's target asks, in the order of the curriculum.
 
-    Targets lie between one and two times a source's size.  A last pass that would take less than half
-    of a document's words leaves it out.  Texts without words are not taken.
+    With the ``floor`` of 1 targets lie between one and two times a source's size, so every row comes at least
+    once; with 0 a source of little weight gives only the first of its rows.  A last pass that would take
+    less than half of a row's words leaves it out.  Texts without words are not taken.  Rows equal in doc_id,
+    text and source come as copies of one of them.
     """
-    taken = mix.mix(docs, floor=1.0).select("doc_id", "size", "passes")
+    rows = keyed(docs).withColumn("__h", F.xxhash64(F.col("text").cast("string"), F.col("source").cast("string")))
+    taken = mix.mix(rows, floor=floor, keys=("__id", "__h"))
     whole = F.transform(F.filter("passes", lambda p: p["words"] * 2 >= F.col("size")), lambda p: p["position"])
-    places = taken.select(F.col("doc_id").alias("__id"), whole.alias("__at")).groupBy("__id").agg(F.max("__at").alias("__at"))
-    rows = docs.join(places, docs["doc_id"].eqNullSafe(F.col("__id")))
-    rows = rows.select(*[docs[c] for c in docs.columns], F.explode("__at").alias("__place"))
+    places = taken.select(F.col("__id").alias("__i"), F.col("__h").alias("__k"), F.explode(whole).alias("__place"))
+    twice = saved(rows.groupBy("__id", "__h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id", "__h"))
+    if twice.limit(1).count():
+        rows = once(rows, twice)
+    placed = rows.join(places, (rows["__h"] == F.col("__k")) & rows["__id"].eqNullSafe(F.col("__i")))
+    placed = placed.select(*[rows[c] for c in docs.columns], "__place")
     order = ["__place", "doc_id"]
-    return rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).drop("__place")
+    return placed.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).drop("__place")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
