@@ -94,8 +94,8 @@ def mix(
     share = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap, floor)
     share = saved(share)
     order = F.md5(F.coalesce(F.col(keys[0]).cast("string"), F.lit("")))
-    run = ordered(rows.withColumn("__h", order), ["source", "__h", *keys, "size"], "size")
-    run = saved(run.drop("__h"))
+    run = ordered(rows.withColumn("__md5", order), ["source", "__md5", *keys, "size"], "size")
+    run = saved(run.drop("__md5"))
     base = run.groupBy("source").agg(F.min("__cum").alias("__base"))
     share = saved(share.join(base, share["source"].eqNullSafe(base["source"])).drop(base["source"]))
     run = run.withColumnRenamed("source", "__src")
