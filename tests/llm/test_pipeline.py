@@ -72,8 +72,8 @@ def odd_rows():
 
 def test_stages_judge_rows_one_by_one(spark, tmp_path):
     rows, leak = odd_rows()
-    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, shard string, __place int")
-    where = folder(spark, tmp_path, docs.drop("shard", "__place"), [(1, 1, 0), (2, 0, 0)], [(0, leak), (1, None), (None, rows[0][1])])
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), "x") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, shard string")
+    where = folder(spark, tmp_path, docs.drop("shard"), [(1, 1, 0), (2, 0, 0)], [(0, leak), (1, None), (None, rows[0][1])])
     stages = dict(corpus_pipeline.STAGES)
     got = lambda df: Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
     all_rows = Counter(rows)
