@@ -10,7 +10,7 @@ are made on the executors and the fit runs on the driver, bounded by ``SAMPLE``
 ``len(KINDS) << BITS`` features.  All rows are counted and scored in Arrow batches.
 
 Defined cases: null text counts as empty; a text with fewer than 20 words fails the base rules; with
-labels of one class or none the base rules alone decide (probability null); labels that are null or
+labels of one class or none, or texts of one, the base rules alone decide (probability null); labels that are null or
 disagree for a doc_id are left out; of rows that share a labelled doc_id the least text trains; rows that
 share a doc_id, or have none, are judged each by its own text; an empty table gives an empty result;
 other columns are ignored.
@@ -105,8 +105,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         texts.select("doc_id", "text").mapInArrow(_sample_features, "doc_id long, index array<int>, value array<float>")
         .join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()
     )
-    rows = rows_of(found["index"], found["value"])
     y = found["y"].to_numpy().astype(np.int64)
+    if len(np.unique(y)) < 2:  # no text of one class
+        return None
+    found = found.combine_chunks()
+    rows = rows_of(found["index"], found["value"])
     held = np.array([(i * 2654435761 >> 7) % 5 == 0 for i in found["doc_id"].to_pylist()], bool)
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(len(y), bool)
