@@ -3,13 +3,14 @@
 Every line of every text is a paragraph, and so is every block of lines between blank ones (lines
 without a letter or digit); a block counts for the families that none of its lines has.  A multinomial
 logistic regression over sparse hashed word unigrams and bigrams (A-Z lower-cased, punctuation split
-off) names a licence family or ``unknown``.  It is trained on statements built from public licence
+off) gives the chance of each licence family and of ``unknown``.  It is trained on statements built from public licence
 names, short names, SPDX ids and grant phrases, and on the body paragraphs of the licences, against
 unknown paragraphs: hash-sampled lines of the corpus and sentences that mention licences without
-granting one.  The probability of each family is calibrated on held-out statements, and below
-``CERTAIN`` the verdict is unknown.  A prediction counts only when the nearest template of the family
-confirms it: at least ``CONFIRM`` of the words and word pairs of a full name, of a short name and the
-grant around it, or of a body paragraph occur in the paragraph.
+granting one.  One factor on all scores is calibrated on held-out statements and unknown lines; where
+the families together are less than ``CERTAIN`` the verdict is unknown.  A prediction counts only when
+the nearest template confirms it, and that template names the family: at least ``CONFIRM`` of the words
+and word pairs of a full name, of a short name and the grant around it, or of a body paragraph occur in
+the paragraph.
 
 Paragraphs are scored in Arrow batches; only those with a word of the licence vocabulary (``CUE``, of
 which every template has one) reach the model.  The training sample is bounded by ``SAMPLE`` corpus
@@ -31,8 +32,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexus.llm.ngrams import calibrate, fit, sigmoid
-
 SAMPLE = 2000
 BITS = 14
 CERTAIN = 0.6
@@ -183,20 +182,52 @@ def _grams(words: list[str]) -> tuple[set, set]:
     return set(words), set(zip(words, words[1:], strict=False))
 
 
+def fit_softmax(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, dim: int, rounds: int = 80, l2: float = 1e-6):
+    """``(weights, bias)`` of a multinomial logistic regression by AdaGrad over the full sample, classes balanced."""
+    index, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    share = (1 / np.maximum(np.bincount(y, minlength=classes), 1) / classes)[y]
+    truth = np.eye(classes)[y]
+    w, bias, seen, seen0 = np.zeros((classes, dim)), np.zeros(classes), np.full((classes, dim), 1e-12), np.full(classes, 1e-12)
+    for _ in range(rounds):
+        z = np.stack([np.bincount(row, w[k][index] * value, len(rows)) for k in range(classes)], 1) + bias
+        error = (_softmax(z) - truth) * share[:, None]
+        for k in range(classes):
+            grad = np.bincount(index, error[row, k] * value, dim) + l2 * w[k]
+            seen[k] += grad * grad
+            w[k] -= grad / np.sqrt(seen[k])
+        seen0 += error.sum(0) ** 2
+        bias -= error.sum(0) / np.sqrt(seen0)
+    return w.astype(np.float32), bias
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
+def sharpness(z: np.ndarray, y: np.ndarray) -> float:
+    """The factor on the scores under which held-out rows are likeliest: it calibrates all classes, unknown among them."""
+    grid = np.geomspace(0.05, 20, 60)
+    loss = [-np.log(_softmax(z * t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
+    return float(grid[int(np.argmin(loss))])
+
+
 class LicenseModel:
-    """One calibrated logistic regression per family against all else, and the family's templates."""
+    """One calibrated multinomial logistic regression over the families and ``unknown``, and the families' templates."""
 
-    def __init__(self, unknown_lines: list[str]):
+    def __init__(self, unknown_lines: list[str], families: list[str] | None = None):
+        self.families = list(NAMES) if families is None else families
         lines, family, held = [], [], []
 
         def learn(name: str, line: str, hold: bool) -> None:
             lines.append(line)
-            family.append(name)
+            family.append(self.families.index(name))
             held.append(hold)
 
-        self.templates = {name: [(*_grams(tokens(t)), set()) for t in titles] for name, titles in NAMES.items()}
-        for name, titles in NAMES.items():
-            for names, grants in ((titles, GRANTS), (SHORT[name], SHORT_GRANTS)):
+        self.templates = {name: [(*_grams(tokens(t)), set()) for t in NAMES[name]] for name in self.families}
+        for name in self.families:
+            for names, grants in ((NAMES[name], GRANTS), (SHORT[name], SHORT_GRANTS)):
                 for i, title in enumerate(names):
                     for j, grant in enumerate(grants):
                         learn(name, grant.format(title), (i + j) % 4 == 3)
@@ -211,19 +242,17 @@ class LicenseModel:
                     learn(name, " ".join(half), i % 4 == 3)
         other = [*OTHER, *(x for x in unknown_lines if not self.confirmed(x))]
         lines += other
-        family += ["unknown"] * len(other)
+        family += [len(self.families)] * len(other)
         held += [i % 4 == 3 for i in range(len(other))]
-        rows = [_hashed(tokens(x)) for x in lines]
-        held, self.families = np.array(held), list(NAMES)
-        self.weights = np.zeros((len(NAMES), 1 << BITS), np.float32)
-        self.bias, self.scale = np.zeros(len(NAMES)), np.zeros((len(NAMES), 2))
-        for k, name in enumerate(NAMES):
-            y = np.array([f == name for f in family], np.int64)
-            train = [r for r, h in zip(rows, held, strict=True) if not h]
-            w, b = fit(train, y[~held], 1 << BITS)
-            self.weights[k], self.bias[k] = w, b
-            z = np.array([w[i] @ v + b for (i, v), h in zip(rows, held, strict=True) if h])
-            self.scale[k] = calibrate(z, y[held])
+        rows, y, held = [_hashed(tokens(x)) for x in lines], np.array(family), np.array(held)
+        self.weights, self.bias = fit_softmax([r for r, h in zip(rows, held, strict=True) if not h], y[~held], len(self.families) + 1, 1 << BITS)
+        z = np.array([self.weights[:, i] @ v + self.bias for (i, v), h in zip(rows, held, strict=True) if h])
+        self.scale = sharpness(z, y[held])
+
+    def chances(self, words: list[str]) -> np.ndarray:
+        """Calibrated probability of each family and, last, of unknown."""
+        index, value = _hashed(words)
+        return _softmax((self.weights[:, index] @ value + self.bias) * self.scale)
 
     def similarity(self, name: str, words: list[str]) -> float:
         """The share of the nearest template's words and neighbouring word pairs that the paragraph has.
@@ -240,21 +269,22 @@ class LicenseModel:
         return any(self.similarity(name, words) >= CONFIRM for name in self.templates)
 
     def judge(self, line: str) -> tuple[str, float, float] | None:
-        """``(family, probability, similarity)``; None where unknown or not confirmed."""
+        """``(family, probability, similarity)``; None where unknown or not confirmed.
+
+        The probability is that of a licence of any family; templates tell close families apart.
+        """
         words = tokens(line)
-        index, value = _hashed(words)
-        if not len(index):
+        if not words:
+            return None
+        p = self.chances(words)
+        if (known := 1 - float(p[-1])) < CERTAIN:
+            return None
+        near = {f: self.similarity(f, words) for f in self.families}
+        best = max(near.values())
+        if best < CONFIRM:
             return None
-        z = self.weights[:, index] @ value + self.bias
-        p = sigmoid(self.scale[:, 0] * z + self.scale[:, 1])
-        for k in np.argsort(-p):  # the nearest family that a template confirms
-            if p[k] < CERTAIN:
-                return None
-            if (near := self.similarity(self.families[k], words)) >= CONFIRM:
-                best = max((f for f in self.families if self.similarity(f, words) > near), key=lambda f: self.similarity(f, words), default=None)
-                if best is None or p[self.families.index(best)] < CERTAIN:
-                    return self.families[k], float(p[k]), near
-        return None
+        family = max((f for f in self.families if near[f] == best), key=lambda f: p[self.families.index(f)])
+        return family, known, best
 
 
 def _scan(model):
