@@ -6,13 +6,13 @@ documents link when ``100 * |intersection| >= percent * |union|``.
 
 How it runs:
 
-1. One Arrow pass gives each row its set size, a 128-bit set fingerprint and signatures.  Equal sets
-   fold into one representative row.
-2. Sets of like size share a level, which cuts the hash space into more parts than two linked sets may
-   differ in (``levels``).  So linked sets have at least one part in common, whole: its hash is a
-   signature.  Sets with a common signature form candidate clusters.  A range sort of the signatures
-   makes them, so that a signature of any number of sets is many tasks and never a group in memory.
-   A signature stands for several shingles from all over a text: a shared passage makes no candidates.
+1. One Arrow pass gives each row its set size, a 128-bit set fingerprint and the part of its set that can
+   hold its prefix: the shingles in the lowest quarter of the hash space.  Equal sets fold into one
+   representative row.
+2. The global order is: shingles of that quarter by document frequency, then by hash.  Any such order
+   is exact; this one keeps shared passages out of the prefixes.  Two sets that link share one of their
+   first ``n - ceil(percent * n / 100) + 1`` shingles, so sets that share a prefix shingle form candidate
+   clusters (connected components).
 3. Inside a cluster sets sit in a radix trie, most frequent shingles first; a probe walks it carrying
    the overlap of the shared path, and leaves a subtree when the remaining lengths cannot reach the
    threshold or when all of it is in its own class already (the links left out join documents that are
@@ -30,11 +30,10 @@ very long texts are one set each; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexus.llm.common import components, keyed, once, ordered, saved, small, without
@@ -42,73 +41,11 @@ from plexus.llm.kernel import U, Block, blocks, by_group, mix, windows
 
 #: Sets in one block; a task holds two blocks.
 BLOCK = 1024
-#: Hash orders that a set tries until one leaves it enough parts that are not empty.
-TRIES = 8
+_BAND = U(1) << U(62)
 
 
-@cache
-def levels(percent: int, largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(least size, most differences, parts)`` of each level.
-
-    A set whose size is from ``least[i]`` to below ``least[i + 1]`` belongs to levels i and i - 1.  Of two linked
-    sets the larger is in the same level as the smaller or in the next, and they differ in at most
-    ``(a + b) * (100 - percent) / (100 + percent)`` shingles.
-    """
-    least = [1]
-    while least[-1] <= largest:
-        least.append(max(least[-1] + 1, 100 * (least[-1] - 1) // percent + 1))
-    least = np.array(least, np.int64)
-    differ = (least[1:-1] + least[2:] - 2) * (100 - percent) // (100 + percent)
-    return least, differ, differ + 1 + differ // 8 + (differ > 2)
-
-
-def _parts(s: np.ndarray, doc: np.ndarray, m: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all parts that are not empty, with their document: ``s`` sorted by document and value."""
-    part = ((s >> U(32)) * m[doc].astype(U)) >> U(32)
-    start = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]))
-    total = np.add.reduceat(mix(s ^ U(0x2545F4914F6CDD1D)), start)
-    doc, part = doc[start], part[start]
-    return mix(total + mix(tag[doc] + part)), doc
-
-
-def signatures(s: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(signature, document)`` of sets ``(s, doc)``, sorted by document and value; see the module text.
-
-    Two sets may agree only in parts that are empty; both then have no more filled parts than differences,
-    and both turn to the next hash order.  After the last one they give their empty parts.
-    """
-    least, differ, parts = levels(percent)
-    own = np.searchsorted(least, size, "right") - 1
-    out, docs = [], []
-    for level in (own, own - 1):
-        use = (level >= 0) & (size > 0)
-        level = np.where(use, level, 0)
-        keep = use[doc]
-        left, left_doc = s[keep], doc[keep]
-        for turn in range(TRIES):
-            if not len(left):
-                break
-            tag = mix((level * TRIES + turn).astype(U))
-            sig, at = _parts(left, left_doc, parts[level], tag)
-            out.append(sig)
-            docs.append(at)
-            filled = np.bincount(at, minlength=len(size))
-            poor = (filled > 0) & (filled <= differ[level])
-            if turn == TRIES - 1:
-                for i in np.flatnonzero(poor):
-                    have = np.unique(((left[left_doc == i] >> U(32)) * U(parts[level[i]])) >> U(32))
-                    empty = np.setdiff1d(np.arange(parts[level[i]], dtype=U), have)
-                    out.append(mix(mix(tag[i] + empty) + U(1)))
-                    docs.append(np.full(len(empty), i))
-            keep = poor[left_doc]
-            left, left_doc = mix(left[keep] + U(turn + 1)), left_doc[keep]
-            order = by_group(left, left_doc)
-            left, left_doc = left[order], left_doc[order]
-    if not out:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    sig, at = np.concatenate(out), np.concatenate(docs)
-    order = np.argsort(at, kind="stable")
-    return sig[order], at[order]
+def _least_overlap(n, percent: int):
+    return -(-percent * n // 100)
 
 
 def doc_sets(b: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +83,8 @@ def _heads(n: int, percent: int):
                 for seed in (U(0), U(0x5851F42D4C957F2D)):
                     total = np.concatenate([[U(0)], np.cumsum(mix(s ^ seed))])
                     sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-                sig, at = signatures(s, doc, size, percent)
+                rank = np.arange(len(s)) - first[doc]
+                keep = (s < _BAND) | (rank < (size - _least_overlap(size, percent) + 1)[doc])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
@@ -154,52 +92,14 @@ def _heads(n: int, percent: int):
                         pa.array(size.astype(np.int64)),
                         pa.array(sums[0]),
                         pa.array(sums[1]),
-                        _lists(sig, np.bincount(at, minlength=b.n)),
+                        _lists(s[keep], np.bincount(doc[keep], minlength=b.n)),
                     ],
-                    names=["__id", "__h", "n", "fa", "fb", "sigs"],
+                    names=["__id", "__h", "n", "fa", "fb", "head"],
                 )
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(a, b)`` for each row of sorted ``(sig, rep)`` and the first row of its signature in this partition.
-
-    The partition's first and last rows are given as well, as ``(pid, last, sig, a)``.
-    """
-    from pyspark import TaskContext
-
-    pid = TaskContext.get().partitionId()
-    now = first = ends = None
-
-    def rows(a, b, sig, last):
-        k = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.full(k, pid, np.int32)),
-             pa.array(np.asarray(sig, np.int64)), pa.array(np.asarray(last, np.int32))], names=["a", "b", "pid", "sig", "last"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        start = np.concatenate([[True], sig[1:] != sig[:-1]])
-        if now is None:
-            ends = (sig[0], rep[0])
-        elif sig[0] == now:
-            start[0] = False
-        run = np.cumsum(start)
-        heads = np.concatenate([[rep[0] if first is None else first], rep[start]])
-        of = heads[run]
-        now, first, tail = sig[-1], of[-1], rep[-1]
-        link = of != rep
-        if link.any():
-            pair = np.unique(np.stack([rep[link], of[link]]), axis=1)
-            zero = np.zeros(pair.shape[1], np.int64)
-            yield rows(pair[0], pair[1], zero, zero)
-    if ends is not None:
-        yield rows([ends[1], tail], [ends[1], tail], [ends[0], now], [1, 2])
-
-
 def _whole(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,15 +246,33 @@ def _verify(percent: int):
     return run
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """``(rep, cluster)`` of the sets ``reps(rep, sigs)`` that share a signature, directly or through others."""
-    sigs = reps.select(F.explode("sigs").alias("sig"), "rep")
-    order = [F.col("sig"), F.col("rep")]
-    found = saved(sigs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, "a long, b long, pid int, sig long, last int"))
-    ends = found.where("last > 0")  # two rows of each partition
-    before = Window.orderBy("pid", "last")
-    over = ends.select("a", F.lag("a").over(before).alias("b"), (F.lag("sig").over(before) == F.col("sig")).alias("same")).where("same")
-    return components(found.where("last = 0").select("a", "b").union(over.select("a", "b"))).toDF("rep", "cluster")
+def shared_prefixes(reps: DataFrame, percent: int) -> DataFrame:
+    """``(token, rep)``: the shingles of each set's prefix that other sets hold, from ``reps(rep, n, head)``.
+
+    Shingles of the band come in the order (document frequency, hash).  Those of one set only come first
+    and link nothing, so of a set with ``m`` shingles in the band, ``c`` of them shared, the prefix of
+    length p holds the first ``p - m + c`` shared ones; and of the shingles past the band, which are in
+    hash order, those before place p.
+    """
+    band = F.size(F.filter("head", lambda t: t.between(0, int(_BAND) - 1)))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    sized = reps.select("rep", "n", "head", band.alias("m")).withColumn("room", (length - F.col("m")).cast("int"))
+    tokens = sized.select("rep", "room", "m", F.posexplode("head").alias("pos", "token"))
+    tokens = tokens.where("pos < m or pos < m + room").select("rep", "token", F.when(F.col("pos") < F.col("m"), F.col("room")).alias("room"))
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    inside = F.col("room").isNotNull()
+    lists = tokens.join(counted, "token").groupBy("rep").agg(
+        F.max("room").alias("room"), F.sort_array(F.collect_list(F.when(inside, F.struct("df", "token")))).alias("inside"),
+        F.collect_list(F.when(~inside, F.col("token"))).alias("past"))
+    taken = F.slice("inside.token", F.lit(1), F.greatest(F.coalesce("room", F.lit(0)) + F.size("inside"), F.lit(0)))
+    return lists.select(F.explode(F.concat(taken, "past")).alias("token"), "rep").distinct()
+
+
+def candidates(reps: DataFrame, percent: int) -> DataFrame:
+    """``(rep, cluster)`` of the sets ``reps(rep, n, head)`` that share a prefix shingle, directly or through others."""
+    prefix = saved(shared_prefixes(reps, percent))
+    shared = saved(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("first")).where("c > 1").select("token", "first"))
+    return components(prefix.join(small(shared), "token").select("rep", "first")).toDF("rep", "cluster")
 
 
 def verified(texts: DataFrame, members: DataFrame, groups: DataFrame | None, n: int, percent: int) -> DataFrame:
@@ -421,7 +339,7 @@ def row_classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", t
     ``(none, id, h)`` of the class's first row: the smallest doc_id, null last.  ``shared``: another row has an equal set.
     """
     texts = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    heads = texts.select("__id", "__h", "text").mapInArrow(_heads(n, percent), "__id long, __h long, n long, fa long, fb long, sigs array<long>")
+    heads = texts.select("__id", "__h", "text").mapInArrow(_heads(n, percent), "__id long, __h long, n long, fa long, fb long, head array<long>")
     heads = saved(heads.withColumn("row", F.monotonically_increasing_id()))
     key = ["n", "fa", "fb"]
     sets = heads.select("row", "__id", "__h", *key, F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h")).alias("first"))
@@ -430,9 +348,9 @@ def row_classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", t
     member = saved(sets.join(folded, key, "left").select(
         "row", "__id", "__h", "n", F.coalesce("rep", "row").alias("rep"), F.coalesce("__f", "first").alias("first"), F.col("rep").isNotNull().alias("shared")))
     copies = saved(member.where("row <> rep").select("row"))
-    reps = heads.where("n > 0").select(F.col("row"), F.col("row").alias("rep"), "sigs").join(small(copies), "row", "left_anti")
+    reps = heads.where("n > 0").select("row", F.col("row").alias("rep"), "n", "head").join(small(copies), "row", "left_anti")
 
-    cluster = saved(candidates(reps))
+    cluster = saved(candidates(reps, percent))
     spot = cluster.join(member.where("row = rep").select("rep", "__id", "__h", "n"), "rep")
     spot = saved(spot.withColumns({"block": F.lit(0).cast("long"), "cls": F.col("rep")}).select("rep", "__id", "__h", "n", "cluster", "block", "cls"))
     large = saved(spot.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK).select("cluster"))

@@ -152,28 +152,6 @@ def test_repeated_ids_and_null_ids_in_jaccard(spark, n, percent):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, stay))
 
 
-def test_signatures_meet_for_every_link():
-    """Sets that link share a signature, also where nearly all parts are empty."""
-    rng = random.Random(10)
-    for percent in (60, 80, 85, 90):
-        for _ in range(60):
-            size = rng.choice([1, 2, 3, 5, 8, 13, 40, 150])
-            narrow = rng.random() < 0.3  # all shingles in few parts
-            draw = lambda: rng.randrange(1 << 40) if narrow else rng.randrange(1 << 64)  # noqa: E731, B023
-            a = {draw() for _ in range(size)}
-            b = set(a)
-            for _ in range(rng.randrange(0, 1 + size // 4)):
-                if rng.random() < 0.6 and len(b) > 1:
-                    b.discard(rng.choice(sorted(b)))
-                if rng.random() < 0.6:
-                    b.add(draw())
-            s = np.array(sorted(a) + sorted(b), np.uint64)
-            doc = np.array([0] * len(a) + [1] * len(b))
-            sig, at = jaccard.signatures(s, doc, np.array([len(a), len(b)]), percent)
-            if 100 * len(a & b) >= percent * len(a | b):
-                assert set(sig[at == 0].tolist()) & set(sig[at == 1].tolist()), (percent, size, narrow)
-
-
 def test_patterned_words_hash_apart():
     a, b = "a", "b"
     for _ in range(11):
