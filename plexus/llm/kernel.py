@@ -40,13 +40,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Some texts as one byte array: ``off`` (text bounds), ``ws``/``we`` (word bounds), ``wdoc``, ``wn``."""
+    """Some texts as one byte array: ``off`` (text bounds), ``ws``/``we`` (word bounds), ``wdoc``, ``wn``.
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False):
+    ``gaps`` marks the bytes between words.
+    """
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False, gaps: np.ndarray = _SPACE):
         self.raw, self.off, self.n = buf, off, len(off) - 1
         self.buf = _LOWER[buf] if lower else buf
         inside = np.zeros(len(buf) + 2, bool)
-        inside[1:-1] = ~_SPACE[buf]
+        inside[1:-1] = ~gaps[buf]
         cut = np.zeros(len(buf) + 1, bool)
         cut[off] = True
         self.ws = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
@@ -96,7 +99,7 @@ def windows(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return mix(out), at
 
 
-def blocks(texts: pa.Array, limit: int = 1 << 20, lower: bool = False) -> Iterator[tuple[int, int, Block]]:
+def blocks(texts: pa.Array, limit: int = 1 << 20, lower: bool = False, gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Block]]:
     """``(first, last, Block)`` over an Arrow string column, about ``limit`` bytes each; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -109,5 +112,5 @@ def blocks(texts: pa.Array, limit: int = 1 << 20, lower: bool = False) -> Iterat
     off, lo = off.astype(np.int64), 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
-        yield lo, hi, Block(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower)
+        yield lo, hi, Block(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower, gaps)
         lo = hi

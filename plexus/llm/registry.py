@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "mix", "rules", "resample", "jaccard", "shard", "tokens", "quotes", "licenses", "urls", "pieces", "trie")
+MODULES = ("decontaminate", "mix", "rules", "resample", "jaccard", "shard", "tokens", "quotes", "licenses", "urls", "divergence", "pieces", "trie")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
