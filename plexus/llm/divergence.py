@@ -208,7 +208,7 @@ def _count_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 key, terms, automaton, texts = (lang, shard), [], None, {}
             if text is None:
                 terms.append(term)
-            else:
+            elif terms:  # else the shard has no kept term
                 if automaton is None:
                     automaton = _automaton(terms)
                 texts.setdefault(source, []).append(text)
