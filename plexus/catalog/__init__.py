@@ -6,7 +6,7 @@ from importlib import import_module
 
 from plexus.catalog.base import ORACLES, QUERIES
 
-MODULES = ("expansion", "overlays", "filtering", "matching", "ranking", "batch", "lookup")
+MODULES = ("expansion", "overlays", "filtering", "matching", "cycles", "ranking", "batch", "lookup")
 
 for _name in MODULES:
     import_module(f"plexus.catalog.{_name}")

@@ -3,7 +3,8 @@
 ``kg_nodes(qnode_key, node_id)``, ``kg_edges(qedge_key, id, subject, object)``.  A match is a join over
 pair tables, one per linked pair of query nodes; Catalyst and AQE choose the strategies.  Set-valued
 nodes fold to sorted arrays: leaves before they are joined, others after, so independent sets never
-multiply.  For acyclic patterns this is exact; in cyclic patterns a set holds the nodes of joint matches.
+multiply.  Cyclic patterns take other ways: without sets the neighbour lists of each row (``multiway``), with
+sets the largest ones without dead ends (``fixpoint``).
 Inputs are read once for every query edge: hand in written tables (``sources.scratch.saved``), not long plans.
 """
 
@@ -14,6 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexus.operators import fixpoint, multiway
 from plexus.plans.pattern import Pattern
 from plexus.sources.scratch import saved
 
@@ -51,6 +53,11 @@ def match(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, ignore_dir
         links.setdefault(frozenset((e.subject, e.object)), (e.subject, e.object))
     degree = {n.key: sum(n.key in pair for pair in links) for n in pattern.nodes}
     loops = [p for p in links if len(p) == 1]
+    if len(links) - len(loops) >= len(pattern.nodes):
+        nodes, tables = _tables(pattern, kg_nodes, kg_edges, ignore_direction)
+        if sets:
+            return fixpoint.match_sets(pattern, nodes, tables)
+        return multiway.bind(_connected(pattern), tables).select(*[n.key for n in pattern.nodes])
     folded = {}
     for pair, (a, b) in links.items():
         if len(pair) == 2:
@@ -81,6 +88,44 @@ def match(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, ignore_dir
     return out.select(*[n.key for n in pattern.nodes])
 
 
+def _connected(pattern: Pattern) -> list[str]:
+    """The query nodes in an order in which each has a link to one before; those closing most cycles come early."""
+    near = {n.key: {k for e in pattern.edges if n.key in (e.subject, e.object) for k in (e.subject, e.object)} - {n.key} for n in pattern.nodes}
+    order = [pattern.nodes[0].key]
+    while len(order) < len(near):
+        order.append(max((k for k in near if k not in order), key=lambda k: len(near[k] & set(order))))
+    return order
+
+
+def _tables(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, ignore_direction: bool) -> tuple[dict[str, DataFrame], fixpoint.Links]:
+    """Written node and pair tables of a pattern, without nodes that lack an edge to themselves where the pattern has one."""
+    loops = {e.key: e.subject for e in pattern.edges if e.subject == e.object}
+    nodes = {}
+    for n in pattern.nodes:
+        own = kg_nodes.where(F.col("qnode_key") == n.key).select(F.col("node_id").alias(n.key)).distinct()
+        for key in [k for k, at in loops.items() if at == n.key]:
+            own = own.join(kg_edges.where((F.col("qedge_key") == key) & (F.col("subject") == F.col("object"))).select(F.col("subject").alias(n.key)), n.key, "left_semi")
+        nodes[n.key] = own
+    links: fixpoint.Links = {}
+    for e in pattern.edges:
+        if e.subject != e.object and (e.subject, e.object) not in links and (e.object, e.subject) not in links:
+            table = pair_table(pattern, kg_nodes, kg_edges, e.subject, e.object, ignore_direction)
+            for end in (e.subject, e.object):
+                table = table.join(nodes[end], end, "left_semi") if end in loops.values() else table
+            links[e.subject, e.object] = saved(table.select(e.subject, e.object))
+    return nodes, links
+
+
+def without_dead_ends(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, ignore_direction: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(kg_nodes, kg_edges)`` of a pattern of any form without dead ends."""
+    nodes, links = _tables(pattern, kg_nodes, kg_edges, ignore_direction)
+    alive = None
+    for q, rows in nodes.items():
+        part = rows.select(F.lit(q).alias("qnode_key"), F.col(q).alias("node_id"))
+        alive = part if alive is None else alive.union(part)
+    return fixpoint.without_dead_ends(pattern, alive, kg_edges, links)
+
+
 def with_options(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, ignore_direction: bool = True) -> DataFrame:
     """Required results, with the union of each option group's matches of the same non-set nodes, or null."""
     base = pattern.required()
@@ -171,18 +216,65 @@ def integrity(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, nodes:
     return reduce(lambda a, b: a.union(b), rows)
 
 
-def prune_graph(nodes: DataFrame, edges: DataFrame, bound: DataFrame, result_edges: DataFrame, aux: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """What the results refer to: bound nodes and edges, edges of aux graphs and their ends, induced edges."""
-    wanted = result_edges.select(F.col("edge_id").alias("id"))
-    if aux is not None:
-        wanted = wanted.union(aux.select(F.col("edge_id").alias("id")))
-    named = edges.join(wanted.distinct(), "id", "left_semi")
-    ids = bound.select(F.col("node_id").alias("id")).union(named.select(F.explode(F.array("subject", "object")).alias("id")))
-    ids = saved(ids.distinct())  # read three times
-    kept = edges
+def prune_graph(
+    nodes: DataFrame, edges: DataFrame, bound: DataFrame, result_edges: DataFrame,
+    aux: DataFrame | None = None, supports: DataFrame | None = None, seeds: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` that the results ``bound(node_id)``, ``result_edges(edge_id)`` refer to; see ``referenced``."""
+    ids, kept, _ = referenced(edges, bound, result_edges, aux, supports, seeds, nodes)
+    return nodes.join(ids, "id", "left_semi"), edges.join(kept, "id", "left_semi")
+
+
+def referenced(
+    edges: DataFrame, bound: DataFrame, result_edges: DataFrame, aux: DataFrame | None = None,
+    supports: DataFrame | None = None, seeds: DataFrame | None = None, nodes: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Ids of the nodes, edges and aux graphs that results refer to: the least sets closed under four rules.
+
+    The ends of a referenced edge are referenced; so is an edge whose ends both are; so are the aux graphs that a
+    referenced edge names, and all edges of a referenced aux graph.  ``aux(aux_id, edge_id)``; ``supports(edge_id, aux_id)``:
+    the aux graphs an edge names; ``seeds(aux_id)``: those that results name themselves.  An aux graph with an edge that
+    ``edges`` lacks, or whose end ``nodes`` lacks, is left out, and so is an edge without an end.  Every round adds what the
+    round before made reachable, so there are as many rounds as aux graphs lie inside each other.
+    """
+    ends = edges.select("id", "subject", "object").where("subject is not null and object is not null")
+    new_edges = ends.join(result_edges.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi")
+    of = lambda e: e.select(F.explode(F.array("subject", "object")).alias("id"))
+    ids = saved(bound.select(F.col("node_id").alias("id")).union(of(new_edges)).distinct())
+    if aux is None:
+        kept = ends
+        for end in ("subject", "object"):
+            kept = kept.join(ids.select(F.col("id").alias(end)), end, "left_semi")
+        return ids, kept.select("id"), None
+    ends = saved(ends)
+    content = aux.select("aux_id", "edge_id").distinct().join(ends.withColumnRenamed("id", "edge_id"), "edge_id", "left")
     for end in ("subject", "object"):
-        kept = kept.join(ids.select(F.col("id").alias(end)), end, "left_semi")
-    return nodes.join(ids, "id", "left_semi"), kept
+        if nodes is not None:
+            content = content.join(nodes.select(F.col("id").alias(end), F.lit(True).alias(f"__{end}")).distinct(), end, "left")
+    whole = [F.col("subject").isNotNull(), *([F.col("__subject").isNotNull() & F.col("__object").isNotNull()] if nodes is not None else [])]
+    broken = content.groupBy("aux_id").agg(F.min(F.expr("true") if not whole else whole[0] & whole[-1]).alias("ok")).where("not ok").select("aux_id")
+    content = saved(content.join(broken, "aux_id", "left_anti").select("aux_id", F.col("edge_id").alias("id"), "subject", "object"))
+    supports = (supports.select(F.col("edge_id").alias("id"), "aux_id") if supports is not None else content.select("id", "aux_id").limit(0)).distinct()
+    frontier, kept = ids, saved(new_edges.select("id").limit(0))
+    named = saved(seeds.select("aux_id").distinct() if seeds is not None else content.select("aux_id").limit(0))
+    graphs, named_edges = content.select("aux_id").limit(0), new_edges
+    while True:
+        # edges with an end among the new nodes and the other among all, and those the round before brought
+        touched = None
+        for end in ("subject", "object"):
+            part = ends.join(frontier.select(F.col("id").alias(end)), end, "left_semi").select("id", "subject", "object")
+            touched = part if touched is None else touched.union(part)
+        for end in ("subject", "object"):
+            touched = touched.join(ids.select(F.col("id").alias(end)), end, "left_semi")
+        fresh = saved(touched.select("id").union(named_edges.select("id")).distinct().join(kept, "id", "left_anti"))
+        kept = saved(kept.union(fresh))
+        named = saved(named.union(supports.join(fresh, "id", "left_semi").select("aux_id")).distinct().join(graphs, "aux_id", "left_anti"))
+        named_edges = saved(content.join(named, "aux_id", "left_semi").select("id", "subject", "object").distinct())
+        graphs = saved(graphs.union(named.join(content.select("aux_id").distinct(), "aux_id", "left_semi")))
+        frontier = saved(of(named_edges).distinct().join(ids, "id", "left_anti"))
+        if not named_edges.limit(1).count():
+            return ids, kept, graphs
+        ids, named = saved(ids.union(frontier)), named.limit(0)
 
 
 def recompute_keys(bound: DataFrame) -> DataFrame:
