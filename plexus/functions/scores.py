@@ -1,10 +1,8 @@
-"""Score normalizers and the two-sided Fisher test as column expressions."""
+"""Score normalizers as column expressions."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -47,32 +45,3 @@ def normalized(name: str, x: Column, maximum: Column | None = None) -> Column:
 def publications_score(n: Column) -> Column:
     """K3: a logistic of the log count of distinct publications."""
     return F.when(n > 0, logistic(F.log(n.cast("double")), 3.16993, 1.60943)).otherwise(0.0)
-
-
-#: ln(n!) for n below 16, where the series is not yet exact.
-_SMALL = [sum(math.log(i) for i in range(1, n + 1)) for n in range(16)]
-
-
-def log_factorial(n: Column) -> Column:
-    """ln(n!) of a whole number: a small table, then Stirling's series, whose error is below 1e-11 from there."""
-    x = n.cast("double")
-    series = x * F.log(x) - x + 0.5 * F.log(x * (2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(n < len(_SMALL), F.get(F.array(*[F.lit(v) for v in _SMALL]), n.cast("int"))).otherwise(series)
-
-
-def fisher_p(tables: DataFrame) -> DataFrame:
-    """``tables`` with columns a, b, c, d and two-sided p: the probability of all tables no likelier than this.
-
-    Distinct 2x2 tables are tested once.  The sum over the hypergeometric support is an expression, no explode.
-    """
-    f = log_factorial
-    once = tables.select("a", "b", "c", "d").distinct()
-    a, b, c, d = (F.col(x) for x in "abcd")
-    rows, cols, n = a + b, a + c, a + b + c + d
-    once = once.withColumn("__base", f(rows) + f(n - rows) + f(cols) + f(n - cols) - f(n))
-    point = lambda k: F.col("__base") - f(k) - f(rows - k) - f(cols - k) - f(n - rows - cols + k)
-    low = F.greatest(F.lit(0).cast("long"), rows + cols - n)
-    once = once.withColumn("__seen", point(a))
-    terms = F.transform(F.sequence(low, F.least(rows, cols)), point)
-    total = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(t <= F.col("__seen") + 1e-7, F.exp(t)).otherwise(0.0))
-    return tables.join(once.select("a", "b", "c", "d", F.least(total, F.lit(1.0)).alias("p")), ["a", "b", "c", "d"])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexus.functions.order import ordered
-from plexus.functions.scores import fisher_p
+from plexus.functions.hypergeometric import fisher_p
 
 #: Fixed value: size of the literature for the distance.
 NGD_N = 3.5e7 * 20

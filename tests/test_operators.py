@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
+from decimal import Decimal, getcontext
 
 import pytest
 from pyspark.sql import functions as F
 
 from plexus.etl import synonyms
 from plexus.functions.components import components
-from plexus.functions.scores import fisher_p, log_factorial
+from plexus.functions.hypergeometric import fisher_p, log_probability, two_sided
 from plexus.operators import expand, filters, overlay, paths, rank
 from plexus.sources.lens import PropertyGraph
 
@@ -21,11 +23,46 @@ def test_fisher_known_values(spark):
     assert got[3] == pytest.approx(0.485714, abs=1e-6)
 
 
-def test_log_factorials(spark):
-    n = [0, 1, 2, 15, 16, 17, 100, 10**6, 10**9]
-    df = spark.createDataFrame([(i,) for i in n], "n long")
-    for r in df.select("n", log_factorial(F.col("n")).alias("lf")).collect():
-        assert r["lf"] == pytest.approx(math.lgamma(r["n"] + 1), rel=1e-12, abs=1e-11)
+def exact_log(k, rows, cols, n):
+    """The logarithm of a table's probability by factorials of sixty digits."""
+    getcontext().prec = 60
+    two_pi = 2 * Decimal("3.14159265358979323846264338327950288419716939937510582097494")
+
+    def log_factorial(m):
+        if m < 60:
+            return Decimal(math.factorial(m)).ln() if m > 1 else Decimal(0)
+        x = Decimal(m + 1)
+        series = sum(Decimal(b) / c / (2 * i * (2 * i - 1) * x ** (2 * i - 1)) for i, (b, c) in enumerate([(1, 6), (-1, 30), (1, 42), (-1, 30), (5, 66), (-691, 2730)], 1))
+        return (x - Decimal("0.5")) * x.ln() - x + two_pi.ln() / 2 + series
+
+    f = log_factorial
+    return float(f(rows) + f(n - rows) + f(cols) + f(n - cols) - f(n) - f(k) - f(rows - k) - f(cols - k) - f(n - rows - cols + k))
+
+
+def test_table_probabilities_keep_their_digits():
+    rng = random.Random(1)
+    for _ in range(200):
+        most = 10 ** rng.randrange(1, 10)
+        a, b, c, d = (rng.randrange(most) for _ in range(4))
+        if a + b + c + d:
+            assert log_probability(a, a + b, a + c, a + b + c + d) == pytest.approx(exact_log(a, a + b, a + c, a + b + c + d), rel=1e-12, abs=1e-11)
+
+
+def test_exact_test_of_all_small_and_of_huge_tables():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b, c, d = (rng.randrange(rng.choice([3, 10, 60])) for _ in range(4))
+        rows, cols, n = a + b, a + c, a + b + c + d
+        logs = [exact_log(k, rows, cols, n) for k in range(max(0, rows + cols - n), min(rows, cols) + 1)]
+        seen = exact_log(a, rows, cols, n)
+        assert two_sided(a, b, c, d) == pytest.approx(min(1.0, sum(math.exp(x) for x in logs if x <= seen + 1e-7)), abs=1e-12)
+    big = 10**9
+    for t in ((big, big, big, big + 50_000), (big + 40_000, big, big, big + 40_000)):
+        rows, cols, n = t[0] + t[1], t[0] + t[2], sum(t)
+        spread = math.sqrt(rows * (n - rows) / n * cols * (n - cols) / n / n)
+        away = abs(t[0] - rows * cols / n) / spread  # so many steps, all nearly normal
+        assert two_sided(*t) == pytest.approx(math.erfc((away - 0.5 / spread) / math.sqrt(2)), rel=1e-4)
+    assert two_sided(big, big, big, big) == 1.0
 
 
 def test_confidence_combines_any_order(spark):
