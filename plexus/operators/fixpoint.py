@@ -6,7 +6,8 @@ On patterns without cycles they are the nodes of joint matches; on cycles they m
 may be no joint match at all.  Memberships are rows, so a result of any size stays spread out.
 
 Sweeps of semi-joins run over the pattern inwards and back out.  Without a cycle among sets one sweep settles all;
-else sweeps go on, each from a written table, until no row leaves.
+else sweeps go on, each from a written table, until no row leaves.  A join over a link starts from the end
+whose nodes have fewer partners.
 """
 
 from __future__ import annotations
@@ -23,13 +24,25 @@ from plexus.sources.scratch import saved
 Links = dict[tuple[str, str], DataFrame]
 
 
-def _supported(roles: dict[str, DataFrame], a: str, b: str, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of role ``a`` that have a partner in role ``b`` of their result."""
-    if not keys:
-        near = pairs.join(roles[b], b, "left_semi").select(a)
+def _light(links: Links) -> dict[frozenset[str], str]:
+    """The end of each link whose nodes have fewer partners: joins start from there."""
+    counts, names = None, list(links)
+    for i, (a, b) in enumerate(names):
+        one = links[a, b].agg(F.lit(i).alias("i"), F.approx_count_distinct(a).alias("m"), F.approx_count_distinct(b).alias("n"))
+        counts = one if counts is None else counts.union(one)
+    rows = counts.collect() if counts is not None else []  # one row per link
+    return {frozenset(names[r["i"]]): names[r["i"]][r["m"] < r["n"]] for r in rows}
+
+
+def _supported(rows: DataFrame, a: str, other: DataFrame, b: str, pairs: DataFrame, keys: Sequence[str], light: str) -> DataFrame:
+    """The ``rows`` of role ``a`` that have a partner in role ``b`` of their result."""
+    if light == a:
+        return rows.join(pairs, a).join(other, [*keys, b], "left_semi").select(*keys, a).distinct()
+    if keys:
+        near = other.join(pairs, b).select(*keys, a).distinct()
     else:
-        near = roles[b].join(pairs, b).select(*keys, a)
-    return roles[a].join(near.distinct(), [*keys, a], "left_semi").select(*keys, a)
+        near = pairs.join(other, b, "left_semi").select(a).distinct()
+    return rows.join(near, [*keys, a], "left_semi").select(*keys, a)
 
 
 def _written(roles: dict[str, DataFrame], keys: Sequence[str]) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -42,13 +55,13 @@ def _written(roles: dict[str, DataFrame], keys: Sequence[str]) -> tuple[dict[str
     return {q: rows.where(F.col("__role") == q).select(*keys, F.col("__node").alias(q)) for q in roles}, rows
 
 
-def _swept(roles: dict[str, DataFrame], links: Links, keys: Sequence[str]) -> tuple[dict[str, DataFrame], DataFrame]:
+def _swept(roles: dict[str, DataFrame], links: Links, keys: Sequence[str], light: dict[frozenset[str], str]) -> tuple[dict[str, DataFrame], DataFrame]:
     """One pass inwards and one back out.  A plan reads the role before it twice, so each pass is written."""
     order = _outwards(links, list(roles))
     for way in (order[::-1], [(b, a) for a, b in order]):
         roles = dict(roles)
         for a, b in way:
-            roles[a] = _supported(roles, a, b, _between(links, a, b), keys)
+            roles[a] = _supported(roles[a], a, roles[b], b, _between(links, a, b), keys, light[frozenset((a, b))])
         roles, rows = _written(roles, keys)
     return roles, rows
 
@@ -92,9 +105,9 @@ def consistent(roles: dict[str, DataFrame], links: Links, keys: Sequence[str] =
     """
     if not links:
         return roles
-    before = None
+    before, light = None, _light(links)
     while True:
-        roles, rows = _swept(roles, links, keys)
+        roles, rows = _swept(roles, links, keys, light)
         if not _cyclic(links):
             return roles
         now = {r["__role"]: r["n"] for r in rows.groupBy("__role").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per query node
@@ -116,7 +129,7 @@ def match_sets(pattern: Pattern, nodes: dict[str, DataFrame], links: Links) -> D
     """
     sets = {n.key for n in pattern.nodes if n.is_set}
     plain = [n.key for n in pattern.nodes if not n.is_set]
-    left = [n.key for n in pattern.nodes]
+    left, light = [n.key for n in pattern.nodes], _light(links)
     keys: list[str] = []
     roles: dict[str, DataFrame] = {}
     results: DataFrame | None = None
@@ -130,10 +143,13 @@ def match_sets(pattern: Pattern, nodes: dict[str, DataFrame], links: Links) -> D
         elif not plain:
             found = nodes[q].select(q).distinct()
         else:
-            found = None
-            for u in near[q]:
-                rows = (results if u in keys else roles[u]).join(_between(links, q, u), u).select(*keys, q).distinct()
-                found = rows if found is None else found.join(rows, [*keys, q], "left_semi")
+            first, *others = sorted(near[q], key=lambda u: (u in sets, light[frozenset((q, u))] != u))
+            found = (results if first in keys else roles[first]).join(_between(links, q, first), first).select(*keys, q).distinct()
+            for u in others:
+                if u in keys:
+                    found = found.join(_between(links, q, u), [u, q], "left_semi").select(*keys, q)
+                else:
+                    found = _supported(found, q, roles[u], u, _between(links, q, u), keys, light[frozenset((q, u))])
             found = found.join(nodes[q], q, "left_semi").select(*keys, q)
         if q in sets:
             roles[q] = found
