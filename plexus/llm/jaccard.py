@@ -7,16 +7,19 @@ documents link when ``100 * |intersection| >= percent * |union|``.
 How it runs:
 
 1. One Arrow pass gives each row its set size, a 128-bit set fingerprint and the part of its set that can
-   hold its prefix: the shingles in the lowest quarter of the hash space.  Equal sets fold into one
-   representative row.
-2. The global order is: shingles of that quarter by document frequency, then by hash.  Any such order
-   is exact; this one keeps shared passages out of the prefixes.  Two sets that link share one of their
-   first ``n - ceil(percent * n / 100) + 1`` shingles, so sets that share a prefix shingle form candidate
-   clusters (connected components).
-3. Inside a cluster sets sit in a radix trie, most frequent shingles first; a probe walks it carrying
+   hold its prefix: the shingles in the lowest quarter of the hash space, or all of a set of up to
+   ``SMALL``.  Equal sets fold into one representative row.
+2. The global order is: counted shingles by document frequency, then by hash, then the others.  Any such order
+   is exact; this one keeps shared passages out of the prefixes.  Sets up to ``SMALL`` are joined with
+   each other by counts of all their shingles, and larger ones (and those that can link with larger ones) by
+   counts of that quarter.  Two sets that link share one of their first
+   ``n - ceil(percent * n / 100) + 1`` shingles, so the sets of each prefix shingle are a group of candidates.
+   A group is left out if all its sets have one and the same shingle before this one in their prefixes: then
+   the group of that one has all of them.  Groups are not joined with each other; only verified links are.
+3. Inside a group sets sit in a radix trie, most frequent shingles first; a probe walks it carrying
    the overlap of the shared path, and leaves a subtree when the remaining lengths cannot reach the
    threshold or when all of it is in its own class already (the links left out join documents that are
-   connected, so classes stay exact).  Clusters over ``BLOCK`` sets are cut into blocks in size order:
+   connected, so classes stay exact).  Groups over ``BLOCK`` sets are cut into blocks in size order:
    first each block is joined in itself, then one set of each class of each block with the others, and
    last the pairs of blocks that may still hold a link between two classes.
 4. Links go through connected components; copies take the class of their representative.
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexus.llm.common import components, keyed, once, ordered, saved, small, without
@@ -41,6 +44,8 @@ from plexus.llm.kernel import U, Block, blocks, by_group, mix, windows
 
 #: Sets in one block; a task holds two blocks.
 BLOCK = 1024
+#: Sets of up to so many shingles are joined by counts of all of them.
+SMALL = 400
 _BAND = U(1) << U(62)
 
 
@@ -84,7 +89,7 @@ def _heads(n: int, percent: int):
                     total = np.concatenate([[U(0)], np.cumsum(mix(s ^ seed))])
                     sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
                 rank = np.arange(len(s)) - first[doc]
-                keep = (s < _BAND) | (rank < (size - _least_overlap(size, percent) + 1)[doc])
+                keep = (s < _BAND) | (rank < (size - _least_overlap(size, percent) + 1)[doc]) | (size <= SMALL)[doc]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
@@ -107,7 +112,7 @@ def _whole(n: int):
                 s, doc = doc_sets(b, n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(lo, hi - lo) for i in (1, 2, 3, 4)] + [_lists(s, np.bincount(doc, minlength=b.n))],
-                    names=["rep", "cluster", "block", "cls", "set"],
+                    names=["rep", "cls", "clusters", "blocks", "set"],
                 )
 
     return run
@@ -246,44 +251,53 @@ def _verify(percent: int):
     return run
 
 
-def shared_prefixes(reps: DataFrame, percent: int) -> DataFrame:
-    """``(token, rep)``: the shingles of each set's prefix that other sets hold, from ``reps(rep, n, head)``.
+def shared_prefixes(reps: DataFrame, percent: int, counted: Column) -> DataFrame:
+    """``(token, rep, before)``: the shingles of each set's prefix that other sets hold, from ``reps(rep, n, head)``.
 
-    Shingles of the band come in the order (document frequency, hash).  Those of one set only come first
-    and link nothing, so of a set with ``m`` shingles in the band, ``c`` of them shared, the prefix of
-    length p holds the first ``p - m + c`` shared ones; and of the shingles past the band, which are in
-    hash order, those before place p.
+    The first ``counted`` shingles of ``head`` come in the order (document frequency, hash).  Those of one set only
+    come first and link nothing, so of a set with ``m`` counted shingles, ``c`` of them shared, the prefix of
+    length p holds the first ``p - m + c`` shared ones; and of the shingles past them, which are in
+    hash order, those before place p.  ``before`` is the shingle before in the set's part of the prefix.
     """
-    band = F.size(F.filter("head", lambda t: t.between(0, int(_BAND) - 1)))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    sized = reps.select("rep", "n", "head", band.alias("m")).withColumn("room", (length - F.col("m")).cast("int"))
+    sized = reps.select("rep", "n", "head", counted.alias("m")).withColumn("room", (length - F.col("m")).cast("int"))
     tokens = sized.select("rep", "room", "m", F.posexplode("head").alias("pos", "token"))
     tokens = tokens.where("pos < m or pos < m + room").select("rep", "token", F.when(F.col("pos") < F.col("m"), F.col("room")).alias("room"))
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     inside = F.col("room").isNotNull()
-    lists = tokens.join(counted, "token").groupBy("rep").agg(
+    lists = tokens.join(frequent, "token").groupBy("rep").agg(
         F.max("room").alias("room"), F.sort_array(F.collect_list(F.when(inside, F.struct("df", "token")))).alias("inside"),
-        F.collect_list(F.when(~inside, F.col("token"))).alias("past"))
+        F.sort_array(F.collect_list(F.when(~inside, F.col("token")))).alias("past"))
     taken = F.slice("inside.token", F.lit(1), F.greatest(F.coalesce("room", F.lit(0)) + F.size("inside"), F.lit(0)))
-    return lists.select(F.explode(F.concat(taken, "past")).alias("token"), "rep").distinct()
+    prefix = lists.select("rep", F.concat(taken, "past").alias("prefix"))
+    return prefix.select("rep", "prefix", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", F.get("prefix", F.col("pos") - 1).alias("before"))
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """``(rep, cluster)`` of the sets ``reps(rep, n, head)`` that share a prefix shingle, directly or through others."""
-    prefix = saved(shared_prefixes(reps, percent))
-    shared = saved(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("first")).where("c > 1").select("token", "first"))
-    return components(prefix.join(small(shared), "token").select("rep", "first")).toDF("rep", "cluster")
+    """``(rep, cluster)``: the groups of the sets ``reps(rep, n, head)`` in which two that link are together."""
+    small_sets, large_sets = reps.where(F.col("n") <= SMALL), reps.where(F.col("n") * 100 >= SMALL * percent)
+    of_small = shared_prefixes(small_sets, percent, F.size("head"))
+    other = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))  # noqa: E731  tokens of the two joins are kept apart
+    of_small = of_small.select(other("token").alias("token"), "rep", other("before").alias("before"))
+    of_large = shared_prefixes(large_sets, percent, F.size(F.filter("head", lambda t: t.between(0, int(_BAND) - 1))))
+    prefix = saved(of_small.union(of_large))
+    groups = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.count("before").alias("k"), F.min("before").alias("lo"), F.max("before").alias("hi"))
+    groups = saved(groups.where("c > 1 and not (k = c and lo = hi)").select("token"))
+    return prefix.join(small(groups), "token").select("rep", F.col("token").alias("cluster"))
 
 
 def verified(texts: DataFrame, members: DataFrame, groups: DataFrame | None, n: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` inside groups: ``members(rep, __id, __h, cluster, block, cls)``, ``groups(cluster, b1, b2, block)``.
 
-    Without ``groups`` every block is one.
+    Without ``groups`` every block is one.  A text's set is made once, whatever the number of its groups.
     """
-    keys = members.select(F.col("__id").alias("__i"), F.col("__h").alias("__k"), "rep", "cluster", "block", "cls")
+    keys = members.groupBy(F.col("__id").alias("__i"), F.col("__h").alias("__k"), "rep", "cls").agg(F.collect_list(F.struct("cluster", "block")).alias("x"))
+    keys = saved(keys.select("__i", "__k", "rep", "cls", F.col("x.cluster").alias("clusters"), F.col("x.block").alias("blocks")))
     match = (texts["__h"] == F.col("__k")) & texts["__id"].eqNullSafe(F.col("__i"))
-    whole = texts.join(small(keys), match).select("text", "rep", "cluster", "block", "cls").mapInArrow(
-        _whole(n), "rep long, cluster long, block long, cls long, set array<long>")
+    whole = texts.join(small(keys), match).select("text", "rep", "cls", "clusters", "blocks").mapInArrow(
+        _whole(n), "rep long, cls long, clusters array<long>, blocks array<long>, set array<long>")
+    whole = whole.select("rep", "cls", "set", F.explode(F.arrays_zip("clusters", "blocks")).alias("x")).select(
+        "rep", "cls", "set", F.col("x.clusters").alias("cluster"), F.col("x.blocks").alias("block"))
     group = ["cluster", "b1", "b2"]
     if groups is None:
         dealt = whole.withColumns({"b1": F.col("block"), "b2": F.col("block")})
@@ -295,7 +309,7 @@ def verified(texts: DataFrame, members: DataFrame, groups: DataFrame | None, n:
 
 def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` with ``cls`` moved to the component of the links between its sets."""
-    classes = members.select(F.col("rep"), F.col("cls")).where("rep <> cls").union(links.toDF("rep", "cls"))
+    classes = members.select("rep", "cls").distinct().where("rep <> cls").union(links.toDF("rep", "cls"))
     found = components(classes).toDF("rep", "__c")
     return members.join(found, "rep", "left").withColumn("cls", F.coalesce("__c", "cls")).drop("__c").select(*members.columns)
 
@@ -313,8 +327,8 @@ def large_clusters(texts: DataFrame, members: DataFrame, n: int, percent: int) -
     members = saved(_blocks(members, ["n", "rep"]))
     members = saved(_relabelled(members, verified(texts, members, None, n, percent)))
     # one set of each class of each block meets those of other blocks
-    heads = members.groupBy("cluster", "block", "cls").agg(F.min("rep").alias("rep")).select("rep")
-    heads = saved(_blocks(members.join(heads, "rep", "left_semi"), ["n", "rep"]))
+    heads = members.groupBy("cluster", "block", "cls").agg(F.min("rep").alias("rep")).select("cluster", "rep")
+    heads = saved(_blocks(members.join(heads, ["cluster", "rep"], "left_semi").select(*members.columns), ["n", "rep"]))
     if heads.limit(2).count() > 1:
         links = saved(verified(texts, heads, None, n, percent))
         members = saved(_relabelled(members, links))
@@ -329,7 +343,7 @@ def large_clusters(texts: DataFrame, members: DataFrame, n: int, percent: int) -
     if groups.limit(1).count():
         asked = members.join(groups.select("cluster", "block").distinct(), ["cluster", "block"], "left_semi").select(*members.columns)
         members = saved(_relabelled(members, verified(texts, saved(asked), groups, n, percent)))
-    return members.select("rep", "cls")
+    return members.select("rep", "cls").where("rep <> cls").distinct()
 
 
 def row_classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,10 +373,11 @@ def row_classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", t
     if twice.limit(1).count():
         texts = once(texts, twice)
     few = spot.join(large, "cluster", "left_anti").select(*spot.columns)
-    links = components(verified(texts, saved(few), None, n, percent)).toDF("rep", "cls")
+    links = verified(texts, few, None, n, percent)
     if large.limit(1).count():
-        links = links.unionByName(large_clusters(texts, spot.join(large, "cluster", "left_semi").select(*spot.columns), n, percent))
-    classes = saved(links)
+        wide = large_clusters(texts, spot.join(large, "cluster", "left_semi").select(*spot.columns), n, percent)
+        links = links.union(wide.toDF("a", "b"))
+    classes = saved(components(links).toDF("rep", "cls"))
     named = classes.join(member.where("row = rep").select("rep", "first"), "rep")
     first = named.groupBy("cls").agg(F.min("first").alias("__f"))
     found = named.join(first, "cls").select("rep", "cls", "__f")
