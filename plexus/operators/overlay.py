@@ -7,11 +7,13 @@ documents or intermediates, never from all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexus.functions.order import ordered
+from plexus.functions.bitmaps import bitmaps, shared, shared_by_all
 from plexus.functions.hypergeometric import fisher_p
+from plexus.functions.order import ordered
+from plexus.sources.scratch import saved
 
 #: Fixed value: size of the literature for the distance.
 NGD_N = 3.5e7 * 20
@@ -27,29 +29,27 @@ def ngd_value(fx: Column, fy: Column, fxy: Column, n: float = NGD_N) -> Column:
 def ngd(index: DataFrame, pairs: DataFrame, default: float = float("inf"), n: float = NGD_N, keep_docs: int = 30) -> DataFrame:
     """O1: ``pairs(subject, object)`` with ngd and up to ``keep_docs`` shared documents.
 
-    ``index(concept, doc)``, distinct.  Documents of the asked concepts only are joined.
+    ``index(concept, doc)``.  The asked concepts' documents become chunked bitmaps, and pairs meet chunk by chunk.
     """
+    pairs = saved(pairs.select("subject", "object").distinct())
     asked = pairs.select(F.explode(F.array("subject", "object")).alias("concept")).distinct()
-    docs = index.join(asked, "concept", "left_semi").distinct()
-    count = docs.groupBy("concept").agg(F.count(F.lit(1)).alias("f"))
-    left = pairs.distinct().join(docs.select(F.col("concept").alias("subject"), "doc"), "subject")
-    both = left.join(docs.select(F.col("concept").alias("object"), "doc"), ["object", "doc"])
-    shared = both.groupBy("subject", "object").agg(
-        F.count(F.lit(1)).alias("fxy"), F.slice(F.array_sort(F.collect_list("doc")), 1, keep_docs).alias("docs"))
-    out = pairs.distinct().join(shared, ["subject", "object"], "left")
+    maps, names = bitmaps(index.join(asked, "concept", "left_semi").select("concept", "doc"))
+    count = maps.groupBy("concept").agg(F.sum("n").alias("f"))
+    both = saved(shared(maps, pairs, keep_docs))
+    docs = both.select("subject", "object", F.explode("firsts").alias("number")).join(names, "number")
+    docs = docs.groupBy("subject", "object").agg(F.array_sort(F.collect_list("doc")).alias("docs"))  # at most keep_docs
+    out = pairs.join(both.select("subject", "object", F.col("n").alias("fxy")), ["subject", "object"], "left").join(docs, ["subject", "object"], "left")
     out = out.join(count.toDF("subject", "fx"), "subject", "left").join(count.toDF("object", "fy"), "object", "left")
     return out.select("subject", "object", F.coalesce(ngd_value(F.col("fx"), F.col("fy"), F.col("fxy"), n), F.lit(default)).alias("ngd"), "docs")
 
 
 def multi_ngd(index: DataFrame, groups: DataFrame, n: float = NGD_N) -> DataFrame:
     """O1m: distance of any number of concepts: ``groups(group_id, concept)``."""
-    docs = index.distinct().join(groups, "concept")
-    size = groups.groupBy("group_id").agg(F.countDistinct("concept").alias("k"))
-    count = docs.groupBy("group_id", "concept").agg(F.count(F.lit(1)).alias("f"))
-    ends = count.groupBy("group_id").agg(F.max("f").alias("most"), F.min("f").alias("least"), F.count(F.lit(1)).alias("found"))
-    all_in = docs.groupBy("group_id", "doc").agg(F.count(F.lit(1)).alias("m")).join(size, "group_id").where("m = k")
-    shared = all_in.groupBy("group_id").agg(F.count(F.lit(1)).alias("shared"))
-    out = size.join(ends, "group_id", "left").join(shared, "group_id", "left")
+    groups = saved(groups.select("group_id", "concept").distinct())
+    maps, _ = bitmaps(index.join(groups.select("concept").distinct(), "concept", "left_semi").select("concept", "doc"))
+    count = groups.join(maps.groupBy("concept").agg(F.sum("n").alias("f")), "concept", "left")
+    ends = count.groupBy("group_id").agg(F.max("f").alias("most"), F.min("f").alias("least"), F.count("f").alias("found"), F.count(F.lit(1)).alias("k"))
+    out = ends.join(shared_by_all(maps, groups), "group_id", "left")
     log = lambda c: F.log(F.col(c).cast("double"))
     value = (log("most") - log("shared")) / (F.log(F.lit(n)) - log("least"))
     return out.select("group_id", F.when((F.col("found") == F.col("k")) & (F.col("shared") > 0), value).alias("ngd"))
@@ -162,9 +162,15 @@ def rebind(result_edges: DataFrame, result_nodes: DataFrame, virtual: DataFrame)
 
 
 def node_docs(index: DataFrame, ids: DataFrame, most: int | None = 100) -> DataFrame:
-    """``(concept, docs)``: the first documents of each concept."""
-    docs = F.array_sort(F.collect_set("doc"))
-    return index.join(ids, "concept", "left_semi").groupBy("concept").agg((F.slice(docs, 1, most) if most else docs).alias("docs"))
+    """``(concept, docs)``: the first documents of each concept, ``most`` at most (None: all).
+
+    Tasks keep ``most`` rows of a concept before the shuffle, and no list is longer.
+    """
+    docs = index.join(ids, "concept", "left_semi").select("concept", "doc").distinct()
+    if most:
+        place = F.row_number().over(Window.partitionBy("concept").orderBy("doc"))
+        docs = docs.withColumn("__at", place).where(F.col("__at") <= most)
+    return docs.groupBy("concept").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
 
 
 def pair_statistics(events: DataFrame) -> DataFrame:
