@@ -13,16 +13,19 @@ How it runs:
    is exact; this one keeps shared passages out of the prefixes.  Sets up to ``SMALL`` are joined with
    each other by counts of all their shingles, and larger ones (and those that can link with larger ones) by
    counts of that quarter.  Two sets that link share one of their first
-   ``n - ceil(percent * n / 100) + 1`` shingles, so the sets of each prefix shingle are a group of candidates.
-   A group is left out if all its sets have one and the same shingle before this one in their prefixes: then
-   the group of that one has all of them.  Groups are not joined with each other; only verified links are.
-3. Inside a group sets sit in a radix trie, most frequent shingles first; a probe walks it carrying
+   ``n - ceil(percent * n / 100) + 1`` shingles.  Sets that share none are out; those left, few, are ordered
+   again by counts of all their shingles among each other, and the sets of each prefix shingle are a
+   group.  A group is left out if all its sets have one and the same shingle before this one in their
+   prefixes: then the group of that one has all of them.
+3. A first wave takes every set once, in its largest group, and finds nearly all links.  Groups
+   whose sets all are in one class are done.  The others are joined to clusters, so that each set is sent once more.
+4. Inside a group or cluster sets sit in a radix trie, most frequent shingles first; a probe walks it carrying
    the overlap of the shared path, and leaves a subtree when the remaining lengths cannot reach the
    threshold or when all of it is in its own class already (the links left out join documents that are
-   connected, so classes stay exact).  Groups over ``BLOCK`` sets are cut into blocks in size order:
+   connected, so classes stay exact).  Clusters over ``BLOCK`` sets are cut into blocks in size order:
    first each block is joined in itself, then one set of each class of each block with the others, and
    last the pairs of blocks that may still hold a link between two classes.
-4. Links go through connected components; copies take the class of their representative.
+5. Links go through connected components; copies take the class of their representative.
 
 Defined cases: null or blank text has n_shingles 0 and links nothing by its text; rows that share a
 doc_id are one document, whatever their texts; a row with a null doc_id is a document of its own, whose
@@ -111,9 +114,7 @@ def _whole(n: int):
             for lo, hi, b in blocks(batch.column(0), lower=True):
                 s, doc = doc_sets(b, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(i).slice(lo, hi - lo) for i in (1, 2, 3, 4)] + [_lists(s, np.bincount(doc, minlength=b.n))],
-                    names=["rep", "cls", "clusters", "blocks", "set"],
-                )
+                    [batch.column(i).slice(lo, hi - lo) for i in (1, 2)] + [_lists(s, np.bincount(doc, minlength=b.n))], names=["rep", "n", "head"])
 
     return run
 
@@ -274,30 +275,30 @@ def shared_prefixes(reps: DataFrame, percent: int, counted: Column) -> DataFrame
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """``(rep, cluster)``: the groups of the sets ``reps(rep, n, head)`` in which two that link are together."""
+    """``(rep)``: the sets of ``reps(rep, n, head)`` that share a prefix shingle with another."""
     small_sets, large_sets = reps.where(F.col("n") <= SMALL), reps.where(F.col("n") * 100 >= SMALL * percent)
     of_small = shared_prefixes(small_sets, percent, F.size("head"))
-    other = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))  # noqa: E731  tokens of the two joins are kept apart
-    of_small = of_small.select(other("token").alias("token"), "rep", other("before").alias("before"))
+    of_small = of_small.select(F.xxhash64("token").alias("token"), "rep")  # kept apart from the tokens of the other join
     of_large = shared_prefixes(large_sets, percent, F.size(F.filter("head", lambda t: t.between(0, int(_BAND) - 1))))
-    prefix = saved(of_small.union(of_large))
+    prefix = saved(of_small.union(of_large.select("token", "rep")))
+    met = saved(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"))
+    return prefix.join(small(met), "token", "left_semi").select("rep").distinct()
+
+
+def prefix_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """``(rep, cluster)``: groups of whole sets ``sets(rep, n, head)`` in which two that link are together."""
+    prefix = saved(shared_prefixes(sets, percent, F.size("head")))
     groups = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.count("before").alias("k"), F.min("before").alias("lo"), F.max("before").alias("hi"))
     groups = saved(groups.where("c > 1 and not (k = c and lo = hi)").select("token"))
     return prefix.join(small(groups), "token").select("rep", F.col("token").alias("cluster"))
 
 
-def verified(texts: DataFrame, members: DataFrame, groups: DataFrame | None, n: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` inside groups: ``members(rep, __id, __h, cluster, block, cls)``, ``groups(cluster, b1, b2, block)``.
+def verified(sets: DataFrame, members: DataFrame, groups: DataFrame | None, percent: int) -> DataFrame:
+    """Links ``(a, b)`` inside groups of ``sets(rep, head)``: ``members(rep, cluster, block, cls)``, ``groups(cluster, b1, b2, block)``.
 
-    Without ``groups`` every block is one.  A text's set is made once, whatever the number of its groups.
+    Without ``groups`` every block is one.
     """
-    keys = members.groupBy(F.col("__id").alias("__i"), F.col("__h").alias("__k"), "rep", "cls").agg(F.collect_list(F.struct("cluster", "block")).alias("x"))
-    keys = saved(keys.select("__i", "__k", "rep", "cls", F.col("x.cluster").alias("clusters"), F.col("x.block").alias("blocks")))
-    match = (texts["__h"] == F.col("__k")) & texts["__id"].eqNullSafe(F.col("__i"))
-    whole = texts.join(small(keys), match).select("text", "rep", "cls", "clusters", "blocks").mapInArrow(
-        _whole(n), "rep long, cls long, clusters array<long>, blocks array<long>, set array<long>")
-    whole = whole.select("rep", "cls", "set", F.explode(F.arrays_zip("clusters", "blocks")).alias("x")).select(
-        "rep", "cls", "set", F.col("x.clusters").alias("cluster"), F.col("x.blocks").alias("block"))
+    whole = sets.select("rep", F.col("head").alias("set")).join(small(members.select("rep", "cluster", "block", "cls")), "rep")
     group = ["cluster", "b1", "b2"]
     if groups is None:
         dealt = whole.withColumns({"b1": F.col("block"), "b2": F.col("block")})
@@ -307,6 +308,20 @@ def verified(texts: DataFrame, members: DataFrame, groups: DataFrame | None, n:
     return dealt.sortWithinPartitions(*group).mapInArrow(_verify(percent), "a long, b long")
 
 
+def first_wave(sets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(links, open)`` of ``groups(rep, cluster)``: each set meets its largest group of up to ``BLOCK``.
+
+    ``open(rep, cluster, cls)`` has the groups whose sets are not all of one class after it.
+    """
+    size = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= BLOCK)
+    pick = groups.join(size, "cluster").groupBy("rep").agg(F.max_by("cluster", F.struct("c", "cluster")).alias("cluster"))
+    links = saved(verified(sets, saved(pick.withColumns({"block": F.lit(0).cast("long"), "cls": F.col("rep")})), None, percent))
+    classes = saved(components(links).toDF("rep", "__c"))
+    classed = saved(groups.join(classes, "rep", "left").select("rep", "cluster", F.coalesce("__c", "rep").alias("cls")))
+    several = classed.groupBy("cluster").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("cluster")
+    return links, saved(classed.join(several, "cluster", "left_semi"))
+
+
 def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` with ``cls`` moved to the component of the links between its sets."""
     classes = members.select("rep", "cls").distinct().where("rep <> cls").union(links.toDF("rep", "cls"))
@@ -322,15 +337,15 @@ def _blocks(members: DataFrame, order: list[str]) -> DataFrame:
     return at.join(start, "cluster").withColumn("block", block).select(*members.columns)
 
 
-def large_clusters(texts: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """``(rep, cls)`` of clusters over ``BLOCK`` sets: ``members(rep, __id, __h, n, cluster, block, cls)``."""
+def large_clusters(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``(rep, cls)`` of clusters over ``BLOCK`` sets: ``members(rep, n, cluster, block, cls)``."""
     members = saved(_blocks(members, ["n", "rep"]))
-    members = saved(_relabelled(members, verified(texts, members, None, n, percent)))
+    members = saved(_relabelled(members, verified(sets, members, None, percent)))
     # one set of each class of each block meets those of other blocks
-    heads = members.groupBy("cluster", "block", "cls").agg(F.min("rep").alias("rep")).select("cluster", "rep")
-    heads = saved(_blocks(members.join(heads, ["cluster", "rep"], "left_semi").select(*members.columns), ["n", "rep"]))
+    heads = members.groupBy("cluster", "block", "cls").agg(F.min("rep").alias("rep")).select("rep")
+    heads = saved(_blocks(members.join(heads, "rep", "left_semi").select(*members.columns), ["n", "rep"]))
     if heads.limit(2).count() > 1:
-        links = saved(verified(texts, heads, None, n, percent))
+        links = saved(verified(sets, heads, None, percent))
         members = saved(_relabelled(members, links))
     # pairs of blocks of like sizes, unless both are of one class
     span = members.groupBy("cluster", "block").agg(
@@ -342,7 +357,7 @@ def large_clusters(texts: DataFrame, members: DataFrame, n: int, percent: int) -
     groups = saved(pairs.select("cluster", F.col("block_1").alias("b1"), F.col("block_2").alias("b2")).withColumn("block", F.explode(F.array("b1", "b2"))))
     if groups.limit(1).count():
         asked = members.join(groups.select("cluster", "block").distinct(), ["cluster", "block"], "left_semi").select(*members.columns)
-        members = saved(_relabelled(members, verified(texts, saved(asked), groups, n, percent)))
+        members = saved(_relabelled(members, verified(sets, saved(asked), groups, percent)))
     return members.select("rep", "cls").where("rep <> cls").distinct()
 
 
@@ -364,18 +379,23 @@ def row_classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", t
     copies = saved(member.where("row <> rep").select("row"))
     reps = heads.where("n > 0").select("row", F.col("row").alias("rep"), "n", "head").join(small(copies), "row", "left_anti")
 
-    cluster = saved(candidates(reps, percent))
-    spot = cluster.join(member.where("row = rep").select("rep", "__id", "__h", "n"), "rep")
-    spot = saved(spot.withColumns({"block": F.lit(0).cast("long"), "cls": F.col("rep")}).select("rep", "__id", "__h", "n", "cluster", "block", "cls"))
-    large = saved(spot.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK).select("cluster"))
+    found = saved(candidates(reps, percent))
     twice = member.where("shared").groupBy("__id", "__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id", "__h")
     twice = saved(twice)
     if twice.limit(1).count():
         texts = once(texts, twice)
-    few = spot.join(large, "cluster", "left_anti").select(*spot.columns)
-    links = verified(texts, few, None, n, percent)
+    keys = member.where("row = rep").join(found, "rep", "left_semi").select(F.col("__id").alias("__i"), F.col("__h").alias("__k"), "rep", "n")
+    match = (texts["__h"] == F.col("__k")) & texts["__id"].eqNullSafe(F.col("__i"))
+    sets = saved(texts.join(small(saved(keys)), match).select("text", "rep", "n").mapInArrow(_whole(n), "rep long, n long, head array<long>"))
+    links, left = first_wave(sets, saved(prefix_groups(sets, percent)), percent)
+    hubs = left.groupBy("cluster").agg(F.min("rep").alias("first"))
+    cluster = components(left.join(hubs, "cluster").select("rep", "first")).toDF("rep", "cluster")
+    spot = left.select("rep", "cls").distinct().join(cluster, "rep").join(sets.select("rep", "n"), "rep")
+    spot = saved(spot.select("rep", "n", "cluster", F.lit(0).cast("long").alias("block"), "cls"))
+    large = saved(spot.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK).select("cluster"))
+    links = links.union(verified(sets, saved(spot.join(large, "cluster", "left_anti").select(*spot.columns)), None, percent))
     if large.limit(1).count():
-        wide = large_clusters(texts, spot.join(large, "cluster", "left_semi").select(*spot.columns), n, percent)
+        wide = large_clusters(sets, spot.join(large, "cluster", "left_semi").select(*spot.columns), percent)
         links = links.union(wide.toDF("a", "b"))
     classes = saved(components(links).toDF("rep", "cls"))
     named = classes.join(member.where("row = rep").select("rep", "first"), "rep")
