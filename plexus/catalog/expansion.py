@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plexus.catalog.base import query
 from plexus.operators import expand as X
+from plexus.plans.hierarchy import hierarchy
 from plexus.sources import lens
 from plexus.sources.lens import edges_of, nodes_of, ontology
 from plexus.sources.scratch import saved
@@ -26,6 +27,26 @@ def e1(spark, d):
     return X.one_hop(edges_of(spark, d, "placed"), start, end, ["placed"], directed=True).select("id", "from_id", "to_id")
 
 
+#: child, parent: predicates below others; one has two parents.
+PREDICATES = (
+    ("placed", "trades"), ("supplies", "trades"), ("contains", "has_part"), ("part_of", "has_part"), ("located_in", "placed_at"), ("part_of", "placed_at"),
+    ("trades", "related_to"), ("has_part", "related_to"), ("placed_at", "related_to"))
+
+
+@query("e1_parent_predicate", """
+select e.id, e.subject as from_id, e.object as to_id, e.predicate from edges e join nodes s on s.id = e.subject
+where e.predicate in ('placed', 'supplies') and s.prefix in ('C', 'S') union all
+select e.id, e.subject, e.object, e.predicate from edges e where e.predicate in ('located_in', 'part_of')""")
+def e1_parent(spark, d):
+    h = hierarchy(PREDICATES)
+    g = lens.graph(spark, d)
+    edges = saved(h.numbered(g.edges, "predicate", "predicate_no").repartitionByRange("predicate_no", "subject").sortWithinPartitions("predicate_no"))
+    agents = X.of_category(g.nodes, ontology(spark), ["Agent"])
+    trades = X.one_hop(edges, agents, g.nodes, ["trades"], directed=True, hierarchy=h)
+    places = X.one_hop(edges, g.nodes, g.nodes, ["placed_at"], directed=True, hierarchy=h)
+    return trades.select("id", "from_id", "to_id", "predicate").union(places.select("id", "from_id", "to_id", "predicate"))
+
+
 @query("e1_two_hop_bound_ids", """
 select distinct c.id, c.subject as from_id, c.object as to_id from edges c join edges p on p.object = c.subject
 where p.predicate = 'placed' and c.predicate = 'contains' and p.subject in ('C:1', 'C:2', 'C:4', 'C:7')""")

@@ -246,10 +246,11 @@ def v8(spark, d):
 
 
 @query("v10_expansive_categories", """
-select distinct category, expanded from (select child as category, ancestor as expanded from ontology where child in ('Customer', 'Part') and ancestor <> 'Thing'
-  union all select child, case ancestor when 'Customer' then 'Supplier' when 'Supplier' then 'Customer' when 'Item' then 'Place' end from ontology where child in ('Customer', 'Part') and ancestor in ('Customer', 'Item'))""")
+select distinct category, expanded from (select child as category, ancestor as expanded from ontology where child in (select unnest(categories) from nodes) and ancestor <> 'Thing'
+  union all select child, case ancestor when 'Customer' then 'Supplier' when 'Supplier' then 'Customer' when 'Item' then 'Place' when 'Place' then 'Item' end
+  from ontology where child in (select unnest(categories) from nodes) and ancestor in ('Customer', 'Supplier', 'Item', 'Place'))""")
 def v10(spark, d):
-    c = spark.createDataFrame([("Customer",), ("Part",)], "category string")
+    c = nodes_of(spark, d).select(F.explode("categories").alias("category")).distinct()
     same = spark.createDataFrame([("Supplier", "Customer"), ("Item", "Place")], "a string, b string")
     return V.expansive_categories(c, ontology(spark), same, "Thing")
 

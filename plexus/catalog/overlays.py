@@ -279,16 +279,16 @@ def o7(spark, d):
     return O.result_pairs(r.union(c), "n0", "n2")
 
 
-@query("o8_inherited_groups", "select * from (values ('', ''), ('a', 'a'), ('a,b', 'error')) t(groups, inherited)")
+@query("o8_inherited_groups", """
+select e.id, case when coalesce(u.g, p.g) = coalesce(p.g, u.g) then coalesce(u.g, p.g) end as option_group, coalesce(u.g <> p.g, false) as clash
+from edges e left join g u on u.id = e.subject left join g p on p.id = e.object where e.predicate = 'contains'""", """
+g as (select id, case when list_contains(categories, '1-URGENT') or list_contains(categories, 'Brand#12') then 'a'
+  when list_contains(categories, '5-LOW') or list_contains(categories, 'Brand#23') then 'b' end as g from nodes where prefix in ('O', 'P'))""")
 def o8(spark, d):
-    rows = []
-    for groups in (set(), {"a", None}, {"a", "b"}):
-        try:
-            found = O.inherited_group(groups) or ""
-        except ValueError:
-            found = "error"
-        rows.append((",".join(sorted(g for g in groups if g)), found))
-    return spark.createDataFrame(rows, "groups string, inherited string")
+    has = lambda *names: F.arrays_overlap("categories", F.array(*[F.lit(x) for x in names]))
+    group = F.when(has("1-URGENT", "Brand#12"), "a").when(has("5-LOW", "Brand#23"), "b")
+    groups = nodes_of(spark, d).where("prefix in ('O', 'P')").select(F.col("id").alias("node_id"), group.alias("option_group"))
+    return O.inherited_groups(edges_of(spark, d, "contains"), groups)
 
 
 @query("o9_rebind_virtual", """

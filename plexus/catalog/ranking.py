@@ -112,6 +112,27 @@ def k6p(spark, d):
     return out.select("result_id", *[F.round(c, 6).alias(c) for c in ("max_flow", "longest_path", "frobenius")])
 
 
+#: Two ways through an order: over its quantities and discounts, or over its lines and taxes; a third edge joins the ways.
+DIAMOND = {"e0": ("a", "b"), "e1": ("b", "d"), "e2": ("a", "c"), "e3": ("c", "d"), "e4": ("b", "c")}
+
+
+@query("k6_diamond_scores", """
+select result_id, round(least(e0 + e2, e1 + e3, e0 + e3, e1 + e4 + e2), 12) as max_flow, round(least((e0 * e1 + e2 * e3) / 2, 1), 12) as longest_path,
+  round(sqrt(e0 * e0 + e1 * e1 + e2 * e2 + e3 * e3 + e4 * e4), 12) as frobenius
+from (select result_id, e0, e1, e2, e3, e4 from x)""", """
+x as (select 'O:' || l_orderkey as result_id, least(avg(l_quantity) / 100, 1) as e0, avg(l_discount) * 4 as e1, count(*) / 20.0::double as e2, avg(l_tax) * 5 as e3,
+  min(l_quantity) / 200 as e4 from lineitem group by l_orderkey)""")
+def k6d(spark, d):
+    from plexus.sources.lens import table
+
+    x = table(spark, d, "lineitem").groupBy(F.concat(F.lit("O:"), F.col("l_orderkey").cast("string")).alias("result_id")).agg(
+        F.least(F.avg("l_quantity") / 100, F.lit(1.0)).alias("e0"), (F.avg("l_discount") * 4).alias("e1"), (F.count(F.lit(1)) / 20).alias("e2"),
+        (F.avg("l_tax") * 5).alias("e3"), (F.min("l_quantity") / 200).alias("e4"))
+    long = x.select("result_id", F.explode(F.array(*[F.struct(F.lit(k).alias("qedge_key"), F.col(k).alias("weight")) for k in DIAMOND])).alias("x")).select("result_id", "x.*")
+    out = R.pattern_scores(long, DIAMOND)
+    return out.select("result_id", *[F.round(c, 12).alias(c) for c in ("max_flow", "longest_path", "frobenius")])
+
+
 def scored(spark, d):
     s = chain(spark, d)
     return R.quantile_ranks(s.select("result_id", *[F.round(c, 9).alias(c) for c in ("max_flow", "longest_path", "frobenius")]))

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexus.plans.hierarchy import Hierarchy
+
 
 def descendants(ontology: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """``(child)``: every type at or below one of ``wanted``."""
@@ -33,12 +35,16 @@ def either_way(edges: DataFrame) -> DataFrame:
     return one.unionByName(two.where("from_id <> to_id"))
 
 
-def one_hop(edges: DataFrame, start: DataFrame, end: DataFrame, predicates: Sequence[str] | None = None, directed: bool = False) -> DataFrame:
+def one_hop(edges: DataFrame, start: DataFrame, end: DataFrame, predicates: Sequence[str] | None = None, directed: bool = False,
+            hierarchy: Hierarchy | None = None) -> DataFrame:
     """Edges between bound start ids and end ids, ``(id, from_id, to_id, predicate)``.
 
-    ``start(id)`` and ``end(id)`` may come from pinned ids, categories or the bindings of an earlier hop.
+    ``start(id)`` and ``end(id)`` may come from pinned ids, categories or the bindings of an earlier hop.  With a
+    ``hierarchy`` the predicates stand for all below them: ``edges`` have their numbers as ``predicate_no``.
     """
-    if predicates:
+    if predicates and hierarchy is not None:
+        edges = edges.where(hierarchy.below("predicate_no", predicates))
+    elif predicates:
         edges = edges.where(F.col("predicate").isin(list(predicates)))
     edges = edges.select("id", "subject", "object", "predicate")
     hops = edges.toDF("id", "from_id", "to_id", "predicate") if directed else either_way(edges)

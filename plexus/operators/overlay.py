@@ -150,6 +150,19 @@ def inherited_group(groups: set[str | None]) -> str | None:
     return next(iter(named), None)
 
 
+def inherited_groups(virtual: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(id, option_group, clash)``: the option group of each virtual edge ``(id, subject, object)``.
+
+    ``groups(node_id, option_group)``: those of the nodes' query nodes, null for none.  ``clash``: the ends name several groups, so
+    the edge gets none.
+    """
+    ends = virtual.select("id", F.explode(F.array("subject", "object")).alias("node_id"))
+    named = ends.join(groups.where("option_group is not null").distinct(), "node_id")
+    found = named.groupBy("id").agg(F.min("option_group").alias("lo"), F.max("option_group").alias("hi"))
+    clash = F.coalesce(F.col("lo") < F.col("hi"), F.lit(False))
+    return virtual.select("id").join(found, "id", "left").select("id", F.when(~clash, F.col("lo")).alias("option_group"), clash.alias("clash"))
+
+
 def rebind(result_edges: DataFrame, result_nodes: DataFrame, virtual: DataFrame) -> DataFrame:
     """Virtual edges join the bindings of every result that binds both of their ends.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,10 +90,37 @@ def max_flow(arcs: list[tuple[str, str, float]], source: str, sink: str) -> floa
         total += step
 
 
+def cuts(arcs: dict[str, tuple[str, str]], source: str, sink: str) -> list[set[str]]:
+    """The query edges of every cut between two query nodes that has all of its source side reachable from the source."""
+    onward: dict[str, set[str]] = {}
+    for a, b in arcs.values():
+        onward.setdefault(a, set()).add(b)
+    back: dict[str, set[str]] = {}
+    for a, b in arcs.values():
+        back.setdefault(b, set()).add(a)
+    useful, todo = {sink}, [sink]  # nodes from which the sink can be reached
+    while todo:
+        for n in back.get(todo.pop(), set()) - useful:
+            useful.add(n)
+            todo.append(n)
+    if source not in useful:
+        return [set()]
+    out, seen, todo = [], set(), [frozenset([source])]
+    while todo:
+        side = todo.pop()
+        if side not in seen:
+            seen.add(side)
+            out.append({k for k, (a, b) in arcs.items() if a in side and b not in side and b in useful})
+            todo += [side | {n} for at in side for n in onward.get(at, set()) - side if n in useful and n != sink]
+    return out
+
+
 def pattern_scores(weights: DataFrame, arcs: dict[str, tuple[str, str]]) -> DataFrame:
-    """K6-K8 for any pattern: ``arcs`` gives the ends of each query edge; results are scored in Arrow batches.
+    """K6-K8 for any pattern: ``arcs`` gives the ends of each query edge; plain expressions over a result's weights.
 
-    Only pairs of nodes at the greatest shortest-path distance count.  A result has one row per query edge.
+    The pattern is the same for all results, so the largest flow is the least of its cuts, each a sum of weights,
+    and the path score a sum over its walks, each a product.  Only pairs of nodes at the greatest shortest-path distance
+    count.  A result has one row per query edge; a missing one weighs 0.
     """
     near: dict[str, set[str]] = {}
     for a, b in arcs.values():
@@ -107,32 +135,38 @@ def pattern_scores(weights: DataFrame, arcs: dict[str, tuple[str, str]]) -> Data
             far.update({(start, o): depth for o in layer})
     longest = max(far.values(), default=0)
     pairs = sorted(p for p, n in far.items() if n == longest)
-    wide = weights.groupBy("result_id").pivot("qedge_key", sorted(arcs)).agg(F.first("weight"))
-
-    @F.pandas_udf("max_flow double, longest_path double, frobenius double")
-    def score(frame):
-        import math
-
-        import numpy as np
-        import pandas as pd
-
-        names, keys = sorted(near), sorted(arcs)
-        out = []
-        for row in frame[keys].fillna(0.0).itertuples(index=False):
-            a = np.zeros((len(names), len(names)))
-            listed = []
-            for k, w in zip(keys, row, strict=True):
-                i, j = (names.index(x) for x in arcs[k])
-                a[i, j] += w
-                listed.append((*arcs[k], w))
-            power = np.linalg.matrix_power(a, longest) / math.factorial(longest)
-            flows = [max_flow(listed, s, t) for s, t in pairs]
-            walks = [power[names.index(s), names.index(t)] for s, t in pairs]
-            mix = lambda xs: 1 - math.prod(1 - min(x, 1.0) for x in xs)
-            out.append((mix(flows) if pairs else 1.0, mix(walks) if pairs else 1.0, float(np.sqrt((a * a).sum()))))
-        return pd.DataFrame(out, columns=["max_flow", "longest_path", "frobenius"])
-
-    return wide.select("result_id", score(F.struct(*sorted(arcs))).alias("s")).select("result_id", "s.*")
+    wide = weights.groupBy("result_id").pivot("qedge_key", sorted(arcs)).agg(F.first("weight")).fillna(0.0, sorted(arcs))
+    entry = {(i, j): _sum([F.col(k) for k in sorted(arcs) if arcs[k] == (i, j)]) for i, j in set(arcs.values())}
+
+    def flow(s: str, t: str) -> Column:
+        sums = [_sum([F.col(k) for k in sorted(keys)]) for keys in cuts(arcs, s, t)]
+        return F.least(*sums) if len(sums) > 1 else sums[0]
+
+    def walk(s: str, t: str) -> Column:
+        at = {s: F.lit(1.0)}
+        for _ in range(longest):
+            to: dict[str, list[Column]] = {}
+            for (i, j), w in sorted(entry.items()):
+                if i in at:
+                    to.setdefault(j, []).append(at[i] * w)
+            at = {j: _sum(terms) for j, terms in to.items()}
+        return at.get(t, F.lit(0.0)) / math.factorial(longest)
+
+    def mixed(values: list[Column]) -> Column:
+        out = F.lit(1.0)
+        for v in values:
+            out = out * (1 - F.least(v, F.lit(1.0)))
+        return 1 - out if values else F.lit(1.0)
+
+    norm = F.sqrt(_sum([w * w for _, w in sorted(entry.items())]))
+    return wide.select("result_id", mixed([flow(*p) for p in pairs]).alias("max_flow"), mixed([walk(*p) for p in pairs]).alias("longest_path"), norm.alias("frobenius"))
+
+
+def _sum(terms: list[Column]) -> Column:
+    out = F.lit(0.0)
+    for t in terms:
+        out = out + t
+    return out
 
 
 def quantile_ranks(scores: DataFrame, names: Sequence[str] = ("max_flow", "longest_path", "frobenius")) -> DataFrame:
