@@ -117,8 +117,8 @@ DIAMOND = {"e0": ("a", "b"), "e1": ("b", "d"), "e2": ("a", "c"), "e3": ("c", "d"
 
 
 @query("k6_diamond_scores", """
-select result_id, round(least(e0 + e2, e1 + e3, e0 + e3, e1 + e4 + e2), 12) as max_flow, round(least((e0 * e1 + e2 * e3) / 2, 1), 12) as longest_path,
-  round(sqrt(e0 * e0 + e1 * e1 + e2 * e2 + e3 * e3 + e4 * e4), 12) as frobenius
+select result_id, round(least(e0 + e2, e1 + e3, e0 + e3, e1 + e4 + e2), 10) as max_flow, round(least((e0 * e1 + e2 * e3) / 2, 1), 10) as longest_path,
+  round(sqrt(e0 * e0 + e1 * e1 + e2 * e2 + e3 * e3 + e4 * e4), 10) as frobenius
 from (select result_id, e0, e1, e2, e3, e4 from x)""", """
 x as (select 'O:' || l_orderkey as result_id, least(avg(l_quantity) / 100, 1) as e0, avg(l_discount) * 4 as e1, count(*) / 20.0::double as e2, avg(l_tax) * 5 as e3,
   min(l_quantity) / 200 as e4 from lineitem group by l_orderkey)""")
@@ -130,7 +130,7 @@ def k6d(spark, d):
         (F.avg("l_tax") * 5).alias("e3"), (F.min("l_quantity") / 200).alias("e4"))
     long = x.select("result_id", F.explode(F.array(*[F.struct(F.lit(k).alias("qedge_key"), F.col(k).alias("weight")) for k in DIAMOND])).alias("x")).select("result_id", "x.*")
     out = R.pattern_scores(long, DIAMOND)
-    return out.select("result_id", *[F.round(c, 12).alias(c) for c in ("max_flow", "longest_path", "frobenius")])
+    return out.select("result_id", *[F.round(c, 10).alias(c) for c in ("max_flow", "longest_path", "frobenius")])
 
 
 def scored(spark, d):
