@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexus.functions.vectors import Index
 from plexus.sources.scratch import saved
 
 
@@ -88,28 +90,20 @@ def by_prediction(results: DataFrame, scores: DataFrame) -> DataFrame:
     return results.join(scores, "result_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).orderBy(F.desc("score"), "result_id")
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, threshold: float = 0.5, most: int = 30, block: int = 10_000) -> DataFrame:
-    """For each query vector ``(query_id, query)`` the candidates with the highest probability.
+def treat_probability(cosine: np.ndarray) -> np.ndarray:
+    """I5's scorer: a fixed logistic of the cosine, to six digits."""
+    return np.round(1 / (1 + np.exp(-5 * cosine)), 6)
 
-    The scorer is ``1 / (1 + exp(-5 cosine))`` in built-in array functions.  Up to ``block`` queries are broadcast;
-    more are dealt into blocks of that size, each of which meets all rows.  Tasks keep ``most`` rows of a query
-    before the shuffle.
+
+def nearest(embeddings: DataFrame, queries: DataFrame, threshold: float = 0.5, most: int = 30) -> DataFrame:
+    """``(query_id, vec_id, probability, place)``: for each query vector ``(query_id, query)`` the candidates
+    ``embeddings(vec_id, embedding)`` with the highest probability, at least ``threshold``; ties by id.
+
+    An index of cells with exact bounds (``functions.vectors``) finds them, not a comparison of all pairs.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    q = queries.withColumn("__nq", F.sqrt(dot(F.col("query"), F.col("query"))))
-    e = embeddings.withColumn("__ne", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    blocks = -(-queries.count() // block)
-    if blocks <= 1:
-        pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    else:
-        q = q.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        e = e.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = e.join(q, "__b").where("vec_id <> query_id")
-    cosine = dot(F.col("embedding"), F.col("query")) / (F.col("__ne") * F.col("__nq"))
-    p = F.round(1 / (1 + F.exp(-5 * cosine)), 6)
-    hits = pairs.select("query_id", "vec_id", p.alias("probability")).where(F.col("probability") >= threshold)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("probability"), "vec_id")).cast("long")
-    return hits.withColumn("place", place).where(F.col("place") <= most)
+    index = Index(embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    found = index.nearest(queries.select("query_id", "query"), most, threshold, treat_probability)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("score").alias("probability"), "place")
 
 
 def half_paths(ends: DataFrame, edges: DataFrame, hubs: DataFrame, depth: DataFrame, relevant: DataFrame) -> DataFrame:
