@@ -128,6 +128,7 @@ def without_dead_ends(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame
 
 def with_options(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, ignore_direction: bool = True) -> DataFrame:
     """Required results, with the union of each option group's matches of the same non-set nodes, or null."""
+    pattern.check()
     base = pattern.required()
     out = match(base, kg_nodes, kg_edges, ignore_direction)
     key = [n.key for n in base.nodes if not n.is_set]
@@ -199,6 +200,21 @@ def match_collapsed(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame,
     return results, bound.union(more.join(asked, ["qnode_key", "node_id"], "left_semi").select(*bound.columns)).distinct()
 
 
+def mismatched(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, ignore_direction: bool = True) -> DataFrame:
+    """R2: ``(id)`` of edges whose ends do not fulfil the ends of their query edge, in its direction or, if ignored, in either."""
+    out = None
+    for e in pattern.edges:
+        if e.subject == e.object:
+            continue
+        mine = kg_edges.where((F.col("qedge_key") == e.key) & F.col("subject").isNotNull() & F.col("object").isNotNull()).select("id", "subject", "object").distinct()
+        for s, o in [(e.subject, e.object), (e.object, e.subject)][: 1 + ignore_direction]:
+            role = lambda q, end: kg_nodes.where(F.col("qnode_key") == q).select(F.col("node_id").alias(end)).distinct()
+            fits = mine.join(role(s, "subject"), "subject", "left_semi").join(role(o, "object"), "object", "left_semi")
+            mine = mine.join(fits.select("subject", "object").distinct(), ["subject", "object"], "left_anti")
+        out = mine.select("id") if out is None else out.union(mine.select("id"))
+    return (kg_edges.select("id").limit(0) if out is None else out).distinct()
+
+
 def integrity(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """R2: counts of what is wrong: ``(error, n)``; ``nodes(id)``: the nodes of the graph, else those bound."""
     qn, qe = [n.key for n in pattern.nodes], [e.key for e in pattern.edges]
@@ -211,6 +227,7 @@ def integrity(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, nodes:
     ends = kg_edges.select("id", F.explode(F.array("subject", "object")).alias("node_id")).where("node_id is not null")
     checks.append(("OrphanEdges", ends.join(ids, "node_id", "left_anti").select("id").distinct()))
     checks.append(("RepeatedEdgeIds", kg_edges.groupBy("id", "qedge_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and id is not null")))
+    checks.append(("MismatchedNodes", mismatched(pattern, kg_nodes, kg_edges)))
     checks.append(("BoundNodesNotInGraph", kg_nodes.select("node_id").distinct().join(ids, "node_id", "left_anti")))
     rows = [df.agg(F.lit(name).alias("error"), F.count(F.lit(1)).alias("n")) for name, df in checks]
     return reduce(lambda a, b: a.union(b), rows)

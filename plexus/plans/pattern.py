@@ -72,7 +72,11 @@ class Pattern:
         return out
 
     def check(self) -> None:
-        """R2: a pattern with edges is connected."""
+        """R2: a pattern with edges is connected, and an edge at an optional node is optional itself."""
+        optional = {n.key for n in self.nodes if n.option_group is not None}
+        bare = [e.key for e in self.edges if e.option_group is None and optional & {e.subject, e.object}]
+        if bare:
+            raise ValueError(f"MissingOptionalLabel: {', '.join(bare)}")
         if self.edges and len(self.distances(self.nodes[0].key)) < len(self.nodes):
             raise ValueError("DisconnectedQG")
 

@@ -113,3 +113,19 @@ def test_chain_equals_brute_force(spark, first, second):
             if j == k:
                 want.setdefault((f"a{i}", f"c{m}"), set()).add(f"b{j}")
     assert rows(match.match(p, *kg)) == sorted((a, sorted(b), c) for (a, c), b in want.items())
+
+
+def test_edges_at_optional_nodes_must_be_optional(spark):
+    nodes = (QNode("a"), QNode("b", option_group="g"))
+    with pytest.raises(ValueError, match="MissingOptionalLabel"):
+        Pattern(nodes, (QEdge("e", "a", "b"),)).check()
+    Pattern(nodes, (QEdge("e", "a", "b", option_group="g"),)).check()
+
+
+def test_mismatched_nodes(spark):
+    pattern = Pattern((QNode("a"), QNode("b")), (QEdge("e", "a", "b"), QEdge("loop", "a", "a")))
+    kg_nodes = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "z")], "qnode_key string, node_id string")
+    rows = [("e", "1", "x", "y"), ("e", "2", "y", "x"), ("e", "3", "y", "z"), ("e", "4", "x", "q"), ("e", "5", None, "y"), ("loop", "6", "x", "x")]
+    kg_edges = spark.createDataFrame(rows, "qedge_key string, id string, subject string, object string")
+    assert sorted(r["id"] for r in match.mismatched(pattern, kg_nodes, kg_edges).collect()) == ["3", "4"]
+    assert sorted(r["id"] for r in match.mismatched(pattern, kg_nodes, kg_edges, ignore_direction=False).collect()) == ["2", "3", "4"]
