@@ -269,6 +269,39 @@ def e21(spark, d):
     return X.scrub(nodes_of(spark, d).where("prefix = 'C'"), "categories", ["FURNITURE", "None"]).select("id", F.array_join("categories", ",").alias("categories"))
 
 
+#: What is known of customers: a segment, and for some a description, which others of the tables repeat.
+ATTRIBUTES = """
+att as (select 'C:' || c_custkey as id, 'segment' as type, c_mktsegment as value, 'customer' as source from customer
+  union all select 'C:' || o_custkey, 'description', min(o_orderpriority), 'orders' from orders where o_totalprice > 400000 group by o_custkey),
+me as (select 'C:' || c_custkey as id, 'segment' as type, c_mktsegment as value, case when c_acctbal > 0 then 'customer' else 'accounts' end as source from customer
+  union all select 'C:' || o_custkey, 'description', min(o_orderpriority), 'orders' from orders group by o_custkey
+  union all select 'C:' || c_custkey, 'note', case when c_acctbal < 500 then '' else c_name end, 'customer' from customer)"""
+
+
+def attribute_tables(spark, d):
+    c, o = lens.table(spark, d, "customer"), lens.table(spark, d, "orders")
+    cid = lens.curie("C", "c_custkey").alias("id")
+    words = lambda df: df.groupBy("o_custkey").agg(F.min("o_orderpriority").alias("value")).select(
+        lens.curie("C", "o_custkey").alias("id"), F.lit("description").alias("type"), "value", F.lit("orders").alias("source"))
+    segment = lambda source: c.select(cid, F.lit("segment").alias("type"), F.col("c_mktsegment").alias("value"), source.alias("source"))
+    at = segment(F.lit("customer")).union(words(o.where("o_totalprice > 400000")))
+    me = segment(F.when(F.col("c_acctbal") > 0, "customer").otherwise("accounts")).union(words(o))
+    return at, me.union(c.select(cid, F.lit("note"), F.when(F.col("c_acctbal") < 500, "").otherwise(F.col("c_name")), F.lit("customer")))
+
+
+@query("e22_novel_attributes", "select * from att union all (select * from (select distinct * from me where value <> '') except select * from att)", ATTRIBUTES)
+def e22_novel(spark, d):
+    at, me = attribute_tables(spark, d)
+    return X.decorate_attributes(at, me, nodes_of(spark, d))
+
+
+@query("e22_bare_nodes_only", """
+select * from att union all (select * from (select distinct * from me where value <> '' and id not in (select id from att where type = 'description')) except select * from att)""", ATTRIBUTES)
+def e22_bare(spark, d):
+    at, me = attribute_tables(spark, d)
+    return X.decorate_attributes(at, me, nodes_of(spark, d), bare_only=True)
+
+
 @query("e22_node_decoration", "select n.id, n.name, p.p_size as size from nodes n left join part p on n.id = 'P:' || p.p_partkey where n.prefix in ('P', 'R')")
 def e22(spark, d):
     meta = lens.table(spark, d, "part").select(lens.curie("P", "p_partkey").alias("id"), F.lit("other").alias("name"), F.col("p_size").alias("size"))

@@ -296,6 +296,22 @@ def decorate_nodes(nodes: DataFrame, metadata: DataFrame) -> DataFrame:
     return out.select(*nodes.columns, *[c for c in fresh if c not in nodes.columns])
 
 
+def decorate_attributes(attributes: DataFrame, metadata: DataFrame, nodes: DataFrame, bare_only: bool = False, bare: str = "description") -> DataFrame:
+    """Node attributes ``(id, type, value, source)`` with those of ``metadata``, of the same columns, that are new.
+
+    An attribute is known by its type, value and source: nodes of ``nodes(id)`` get the metadata attributes they lack, without empty
+    values.  With ``bare_only`` nodes that have an attribute of type ``bare`` stay as they are.
+    """
+    asked = nodes.select("id").distinct()
+    if bare_only:
+        asked = asked.join(attributes.where(F.col("type") == bare).select("id"), "id", "left_anti")
+    fresh = metadata.select("id", "type", "value", "source").where(F.coalesce(F.col("value"), F.lit("")) != "").distinct().join(asked, "id", "left_semi")
+    same = fresh["id"].eqNullSafe(attributes["id"])
+    for c in ("type", "value", "source"):
+        same = same & fresh[c].eqNullSafe(attributes[c])
+    return attributes.select("id", "type", "value", "source").union(fresh.join(attributes, same, "left_anti"))
+
+
 def decorate_edges(edges: DataFrame, evidence: DataFrame, on: Sequence[str]) -> DataFrame:
     """Evidence texts ``(*on, text)`` by edge key or by node pair, merged to a sorted set per edge."""
     merged = evidence.groupBy(*on).agg(F.array_sort(F.collect_set("text")).alias("supporting_text"))
