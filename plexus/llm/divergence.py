@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from plexus.llm.common import ordered, saved, small
-from plexus.llm.kernel import _LOWER, U, Block, blocks
+from plexus.llm.kernel import _LOWER, U, Block, blocks, mix
 
 #: Terms of the automata that every task has, and the most bytes of one.
 HOT, HOT_BYTES = 100_000, 64
 #: Terms of the automaton of one shard.
 SHARD = 20_000
-#: Bytes of text taken at a time.
-TEXT = 2 << 20
+#: Bytes of text taken at a time, and matches that a task holds before it counts them.
+TEXT, HELD = 2 << 20, 4_000_000
 _GAPS = np.ones(256, bool)
 _GAPS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Terms of a language: any characters but the ASCII ones that are no letters.
@@ -68,20 +68,18 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         for lo, hi, b in blocks(batch.column(1), TEXT, lower=True, gaps=_GAPS):
             lang, langs = _coded(batch.column(0).slice(lo, hi - lo))
-            h = b.word_hashes()
-            order = np.lexsort((h, b.wdoc))
-            doc, h = b.wdoc[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])  # once in each document
-            order, h, at = order[new], h[new], lang[doc[new]]
-            by = np.lexsort((h, at))
-            order, h, at = order[by], h[by], at[by]
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
+            at = lang[b.wdoc]
+            key = b.word_hashes() ^ mix(np.arange(1, len(langs) + 1, dtype=U))[at]  # of term and language
+            order = np.argsort(key, kind="stable")  # documents stay in order
+            key, doc = key[order], b.wdoc[order]
+            first = np.append(True, key[1:] != key[:-1])[: len(key)]
+            new = first.copy()
+            new[1:] |= doc[1:] != doc[:-1]  # once in each document
             one = np.flatnonzero(first)
             word = order[one]
+            df = np.add.reduceat(new, one, dtype=np.int64) if len(one) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()).take(pa.array(at[one])), _strings(b.buf, b.ws[word], (b.we - b.ws)[word]), pa.array(np.diff(np.append(one, len(h))))],
+                [pa.array(langs, pa.string()).take(pa.array(at[word])), _strings(b.buf, b.ws[word], (b.we - b.ws)[word]), pa.array(df)],
                 names=["lang", "term", "df"])
 
 
@@ -135,11 +133,23 @@ def _count_hot(hot, key: str, shards: int):
         if key not in _workers:
             _workers.clear()
             _workers[key] = {lang: (_automaton(terms), pa.array(terms, pa.string())) for lang, terms in hot.value.items()}
-        automata = _workers[key]
+        automata, numbers, held = _workers[key], {}, {}
+
+        def counted():
+            names = pa.array(list(numbers), pa.string())
+            for name, codes in held.items():
+                terms = automata[name][1]
+                code, n = np.unique(np.concatenate(codes), return_counts=True)
+                for i in range(0, len(code), 1 << 18):
+                    c = code[i : i + (1 << 18)]
+                    yield _rows(name, names.take(pa.array(c // len(terms))), None, terms.take(pa.array(c % len(terms))), None, n[i : i + (1 << 18)])
+            held.clear()
+
         for batch in batches:
             for lo, hi, b in blocks(batch.column(2), TEXT, gaps=_GAPS):
                 lang, langs = _coded(batch.column(0).slice(lo, hi - lo))
                 source, sources = _coded(batch.column(1).slice(lo, hi - lo))
+                number = np.array([numbers.setdefault(x, len(numbers)) for x in sources], np.int64)
                 sources = pa.array(sources, pa.string())
                 plain, size = _PLAIN[b.raw], np.diff(b.off)
                 for k, name in enumerate(langs):
@@ -155,19 +165,23 @@ def _count_hot(hot, key: str, shards: int):
                         automaton, terms = automata[name]
                         end, term = _hits(automaton, text.tobytes())
                         marked[end] = True
-                        code, n = np.unique(of[np.searchsorted(cut, end, "right")] * len(terms) + term, return_counts=True)
-                        yield _rows(name, sources.take(pa.array(code // len(terms))), None, terms.take(pa.array(code % len(terms))), None, n)
+                        held.setdefault(name, []).append(number[of[np.searchsorted(cut, end, "right")]] * len(terms) + term)
+                        if sum(len(x) for codes in held.values() for x in codes) > HELD:
+                            yield from counted()
                     if shards:
-                        rest = Block(text, np.array([0, len(text)]), gaps=_GAPS)
-                        left = ~marked[rest.we]
-                        start, stop = rest.ws[left], rest.we[left] + 1  # with the delimiter after the term
-                        place = of[np.searchsorted(cut, start, "right")] * shards + _shards(rest.hashes(start, stop - 1), shards)
+                        term = text != 32
+                        start, stop = np.flatnonzero(term[1:] & ~term[:-1]) + 1, np.flatnonzero(term[:-1] & ~term[1:]) + 1
+                        left = ~marked[stop]
+                        start, stop = start[left], stop[left] + 1  # with the delimiter after the term
+                        rest = Block(_gathered(text, start, stop - start), np.array([0, int((stop - start).sum())]), gaps=_GAPS)
+                        place = of[np.searchsorted(cut, start, "right")] * shards + _shards(rest.word_hashes(), shards)
                         order = np.argsort(place, kind="stable")
                         start, stop, place = start[order], stop[order], place[order]
                         group, first = np.unique(place, return_index=True)
                         total = np.concatenate([[0], np.cumsum(stop - start)])
                         flat, first = _gathered(text, start, stop - start), np.append(first, len(place))
                         yield _rows(name, sources.take(pa.array(group // shards)), group % shards, None, _strings(flat, total[first[:-1]], np.diff(total[first])), None)
+        yield from counted()
 
     return run
 
@@ -293,16 +307,16 @@ def audit(docs: DataFrame, least: int = 3, ranks: int = 200, scale: int = 1_000_
     group = saved(ordered(group.withColumn("p0", _share("0", "total", "v", scale)), ["lang", "source"]).withColumnRenamed("__ix", "id"))
     own = small(group.select("lang", "source", "id", "total", "v", "p0"))
     shares = posts.join(own, ["lang", "source"]).withColumn("p", _share("n", "total", "v", scale))
-    shares = saved(shares.select("lang", "source", "term", "id", "p", "p0"))
-
-    whole = saved(posts.groupBy("lang", "term").agg(F.sum("n").alias("n")))
-    totals = whole.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("v"))
-    whole = whole.join(totals, "lang").select("lang", "term", _share("n", "total", "v", scale).alias("q"))
+    # one row of a term holds its sources: as many at most as the language has
+    total = group.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
+    terms = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("id", "p", "p0", "source")).alias("x"), F.sum("n").alias("n"))
+    terms = saved(terms.join(small(saved(total)), "lang").select("lang", "term", "x", _share("n", "total", "v", scale).alias("q")))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    term = shares.join(whole, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_gap("p", "q")).alias("value"))
+    out = terms.select("lang", "term", "q", F.explode("x").alias("x")).select("lang", "term", "q", "x.source", "x.p").where("p > q")
+    term = out.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_gap("p", "q")).alias("value"))
     term = term.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ranks)
 
-    lists = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("id", "p", "p0")).alias("x")).where(F.size("x") > 1)
+    lists = terms.where(F.size("x") > 1)
     fixes = lists.select("x.id", "x.p", "x.p0").mapInArrow(_corrections, "a long, b long, value long").groupBy("a", "b").agg(F.sum("value").alias("fix"))
     steps = shares.groupBy("id", "p").agg(F.count(F.lit(1)).alias("m")).groupBy("id").agg(F.collect_list(F.struct("p", "m")).alias("steps"))
     full = saved(group.join(steps, "id", "left"))
