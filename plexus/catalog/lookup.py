@@ -187,7 +187,7 @@ def v1a(spark, d):
 @query("v2_equivalents", "select a.member_id as id, string_agg(distinct b.member_id, ',' order by b.member_id) as equivalents from cu a join cu b on a.cluster_id = b.cluster_id group by a.member_id", CLUSTERS)
 def v2(spark, d):
     c = cluster_table(spark, d)
-    return V.equivalents(c.select(F.col("member_id").alias("id")), c).select("id", F.array_join("equivalents", ",").alias("equivalents"))
+    return V.equivalents(c.select(F.col("member_id").alias("id")), c, ",")
 
 
 @query("v2_deepest_category", "select id, categories[1] as category from nodes")

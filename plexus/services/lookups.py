@@ -45,11 +45,20 @@ def all_categories(terms: DataFrame, clusters: DataFrame, of: DataFrame) -> Data
     return canonical(terms, clusters).join(maps, "cluster_id", "left").withColumn("categories", F.coalesce("categories", empty))
 
 
-def equivalents(ids: DataFrame, clusters: DataFrame) -> DataFrame:
-    """V2: ``(id, equivalents)``: all members of the id's cluster, sorted."""
-    of = clusters.select(F.col("member_id").alias("id"), "cluster_id").join(ids, "id", "left_semi")
-    return of.join(clusters.select("cluster_id", "member_id"), "cluster_id").groupBy("id").agg(
-        F.array_sort(F.collect_set("member_id")).alias("equivalents"))
+def equivalents(ids: DataFrame, clusters: DataFrame, separator: str | None = None) -> DataFrame:
+    """V2: ``(id, equivalents)``: all members of the id's cluster, sorted; as one text with a ``separator``.
+
+    A member list is made once per cluster and joined to its ids.  Ids of several clusters get the union.
+    """
+    of = clusters.select(F.col("member_id").alias("id"), "cluster_id").distinct()
+    several = of.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    lists = of.groupBy("cluster_id").agg(F.array_sort(F.collect_set("id")).alias("equivalents"))
+    text = (lambda c: c) if separator is None else (lambda c: F.array_join(c, separator))
+    of = of.join(ids, "id", "left_semi")
+    once = of.join(several, "id", "left_anti").join(lists.withColumn("equivalents", text(F.col("equivalents"))), "cluster_id").select("id", "equivalents")
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_list("equivalents"))))
+    more = of.join(several, "id", "left_semi").join(lists, "cluster_id").groupBy("id").agg(text(union).alias("equivalents"))
+    return once.union(more)
 
 
 def deepest_category(categories: DataFrame, ontology: DataFrame) -> DataFrame:
