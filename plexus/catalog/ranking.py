@@ -195,7 +195,7 @@ order by key desc nulls last, result_id limit 300""")
 def s2d(spark, d):
     nodes = edges_of(spark, d, "contains").select(F.col("subject").alias("result_id"), F.col("object").alias("node_id"))
     docs = edges_of(spark, d, "supplies").select(F.col("object").alias("id"), F.col("subject").alias("doc"))
-    return R.sorted_by(R.document_counts(nodes, docs), True, 300)
+    return R.top_document_counts(nodes, docs, 300)
 
 
 @query("s3_sort_by_score", "select result_id, score as key, row_number() over (order by score, result_id) as place from q order by score, result_id limit 100", RES)

@@ -215,6 +215,26 @@ def document_counts(bound: DataFrame, documents: DataFrame, category: str | None
     return bound.select("result_id").distinct().join(n, "result_id", "left")
 
 
+def top_document_counts(bound: DataFrame, documents: DataFrame, most: int) -> DataFrame:
+    """``sorted_by(document_counts(bound, documents), True, most)``, counting only the results that may be among these.
+
+    The sum of its nodes' documents bounds a result's count.  The ``most`` results of the greatest sums are counted
+    first; others follow only if their sums reach the least of these counts, so the answer is exact.
+    """
+    mine = saved(bound.select("result_id", F.col("node_id").alias("id")).distinct())
+    docs = saved(documents.select("id", "doc").distinct())
+    size = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    upper = saved(mine.join(size, "id").groupBy("result_id").agg(F.sum("n").alias("upper")))
+
+    def counted(some: DataFrame) -> DataFrame:
+        return mine.join(some.select("result_id"), "result_id", "left_semi").join(docs, "id").groupBy("result_id").agg(F.countDistinct("doc").alias("key"))
+
+    first = counted(upper.orderBy(F.desc("upper"), "result_id").limit(most)).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).first()
+    if first["n"] < most:  # results without documents follow
+        return sorted_by(document_counts(bound, documents), True, most)
+    return sorted_by(counted(upper.where(F.col("upper") >= first["least"])), True, most)
+
+
 def attribute_sums(bound: DataFrame, attrs: DataFrame, name: str, element: str = "edge_id", relation: str | None = None,
                    category: str | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Per result, the sum of an attribute over its bound elements; results without any keep null.

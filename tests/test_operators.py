@@ -243,3 +243,15 @@ def test_equivalents_are_listed_once_per_cluster(spark):
     out = lookups.equivalents(ids, clusters)
     assert {r["id"]: r["equivalents"] for r in out.collect()} == {"1": ["1", "2"], "2": ["1", "2", "3"], "4": ["4"]}
     assert {r["id"]: r["equivalents"] for r in lookups.equivalents(ids, clusters, ",").collect()} == {"1": "1,2", "2": "1,2,3", "4": "4"}
+
+
+def test_top_document_counts_count_only_what_may_lead(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"r{i:02d}", f"n{rng.randrange(25)}") for i in range(60) for _ in range(rng.randrange(1, 6))] + [("none", "x")]
+    docs = [(f"n{i}", rng.randrange(40)) for i in range(25) for _ in range(rng.randrange(1, 12))]
+    bound, documents = spark.createDataFrame(rows, "result_id string, node_id string"), spark.createDataFrame(docs, "id string, doc long")
+    read = lambda df: [tuple(r) for r in df.orderBy("place").collect()]
+    want = {most: read(rank.sorted_by(rank.document_counts(bound, documents), True, most)) for most in (1, 10, 60, 61, 100)}
+    assert {most: read(rank.top_document_counts(bound, documents, most)) for most in want} == want
+    monkeypatch.setattr(rank, "document_counts", None)  # the full count is not needed
+    assert read(rank.top_document_counts(bound, documents, 10)) == want[10]
