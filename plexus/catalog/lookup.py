@@ -26,24 +26,35 @@ pa as (select drug, disease, one as path, score as path_score from ho union all
 sv as (select drug, disease, one as path, 1 as length, 1 as n_hops from ho where n = disease union all select drug, disease, loop, 2, 1 from ho where n < disease)"""
 
 
-def scores(spark, d):
-    e = edges_of(spark, d, "supplies").select("subject", "object", "amount")
+def supplies(spark, d):
+    """The supplies, cut to a table: every query of predictions reads them more than once."""
+    return saved(edges_of(spark, d, "supplies").select("subject", "predicate", "object", "amount"))
+
+
+def scores(spark, d, e):
+    """The best score of each drug and disease.
+
+    A part lists the diseases of its suppliers, with the supplier where there is only one; so pairs of suppliers are
+    never made, and lists are opened where all rows of a drug meet.
+    """
+    home = edges_of(spark, d, "located_in").select("subject", F.col("object").alias("disease"))
+    reach = e.join(home, "subject").groupBy("object", "disease").agg(F.min("subject").alias("one"), F.max("subject").alias("last"))
+    only = F.when(F.col("one") == F.col("last"), F.col("one")).alias("only")
+    lists = reach.groupBy("object").agg(F.collect_list(F.struct("disease", only)).alias("to"))
     s = e.where("amount >= 40").select(F.col("subject").alias("drug"), "object", "amount")
-    other = e.select(F.col("subject").alias("other"), "object")
-    home = edges_of(spark, d, "located_in").select(F.col("subject").alias("other"), F.col("object").alias("disease"))
-    best = s.groupBy("drug", "object").agg(F.max("amount").alias("amount")).join(other, "object").where("other <> drug").groupBy("drug", "other").agg(F.max("amount").alias("amount"))
-    return best.join(home, "other").groupBy("drug", "disease").agg(F.round(F.max("amount") / 200, 6).alias("score"))
+    met = s.join(lists, "object").select("drug", "amount", "to").repartition("drug")
+    met = met.select("drug", "amount", F.explode("to").alias("t")).where("t.only is null or t.only <> drug")
+    return met.groupBy("drug", F.col("t.disease").alias("disease")).agg(F.round(F.max("amount") / 200, 6).alias("score"))
 
 
-def top(spark, d):
-    s = saved(scores(spark, d))
-    return I.top_scored(s, "drug", s.select(F.col("drug").alias("id")).distinct(), 20)
+def top(spark, d, e=None):
+    s = saved(scores(spark, d, supplies(spark, d) if e is None else e))
+    return saved(I.top_scored(s, "drug", s.select(F.col("drug").alias("id")).distinct(), 20))
 
 
-def paths(spark, d):
-    t = saved(top(spark, d))
+def paths(spark, d, e, t):
     n = edges_of(spark, d, "located_in").where("source = 'supplier'").select(F.col("subject").alias("drug"), F.col("object").alias("n"))
-    p = edges_of(spark, d, "supplies").groupBy(F.col("subject").alias("drug")).agg(F.min("object").alias("p"))
+    p = e.groupBy(F.col("subject").alias("drug")).agg(F.min("object").alias("p"))
     t = saved(t.join(n, "drug").join(p, "drug"))
     join = lambda *xs: F.concat_ws("->", *xs).alias("path")
     one = t.select("drug", "disease", join("drug", F.lit("located_in"), "disease"), F.col("score").alias("path_score"))
@@ -52,6 +63,18 @@ def paths(spark, d):
     return one.union(loop).union(two)
 
 
+def predictions(spark, d):
+    """``(supplies, top pairs, their paths)``."""
+    e = supplies(spark, d)
+    t = top(spark, d, e)
+    return e, t, paths(spark, d, e, t)
+
+
+def hops_of(spark, d, e):
+    columns = ("subject", "predicate", "object")
+    return e.select(*columns).union(edges_of(spark, d, "located_in").select(*columns))
+
+
 @query("i1_top_predictions", "select drug, disease, score from tp", SCORES)
 def i1(spark, d):
     return top(spark, d)
@@ -59,19 +82,20 @@ def i1(spark, d):
 
 @query("i1_surviving_paths", "select drug, disease, path, cast(length as bigint) as length, 'paths_of_' || length as option_group, cast(n_hops as bigint) as n_hops from sv", SCORES)
 def i1p(spark, d):
-    return I.surviving_paths(paths(spark, d), lens.graph(spark, d, ("supplies", "located_in")).edges)
+    e, _, ways = predictions(spark, d)
+    return I.surviving_paths(ways, hops_of(spark, d, e))
 
 
 @query("i1_predicted_edges", "select drug || '--predicted_treats--' || disease as id, score, n_paths from tp join (select drug as a, disease as b, count(*) as n_paths from sv group by 1, 2) on a = drug and b = disease", SCORES)
 def i1e(spark, d):
-    found = I.surviving_paths(paths(spark, d), lens.graph(spark, d, ("supplies", "located_in")).edges)
-    return I.predicted_edges(top(spark, d), found).select("id", "score", "n_paths")
+    e, t, ways = predictions(spark, d)
+    return I.predicted_edges(t, I.surviving_paths(ways, hops_of(spark, d, e))).select("id", "score", "n_paths")
 
 
 @query("i1_no_pair_has_a_path", "select drug || '--predicted_treats--' || disease as id, score, cast(0 as bigint) as n_paths from tp", SCORES)
 def i1n(spark, d):
-    found = I.surviving_paths(paths(spark, d), edges_of(spark, d, "part_of"))
-    return I.predicted_edges(top(spark, d), found).select("id", "score", "n_paths")
+    _, t, ways = predictions(spark, d)
+    return I.predicted_edges(t, I.surviving_paths(ways, edges_of(spark, d, "part_of"))).select("id", "score", "n_paths")
 
 
 @query("i4_regulation", """
@@ -93,7 +117,7 @@ def i9(spark, d):
 
 @query("i2_path_length", "select path, cast(len(string_split(path, '->')) // 2 as bigint) as length from pa", SCORES)
 def i2(spark, d):
-    return paths(spark, d).select("path", I.path_length("path").alias("length"))
+    return predictions(spark, d)[2].select("path", I.path_length("path").alias("length"))
 
 
 @query("i3_sort_by_prediction", "select id as result_id, coalesce(score, 0) as score from nodes left join (select disease, max(score) as score from tp group by disease) on disease = id where prefix in ('N', 'R')", SCORES)

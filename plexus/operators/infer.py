@@ -43,7 +43,7 @@ def surviving_paths(paths: DataFrame, edges: DataFrame, most: int = 25) -> DataF
     hops = top.withColumn("parts", parts).where(F.size("parts") > 2).withColumn("hops", all_hops).withColumn("bound", bound)
     hops = hops.select("drug", "disease", "path", F.floor(F.size("parts") / 2).alias("n"), F.size("bound").alias("n_hops"), F.explode("bound").alias("h"))
     hops = hops.select("drug", "disease", "path", "n", "n_hops", "h.*")
-    found = hops.join(edges.select("subject", "predicate", "object").distinct(), ["subject", "predicate", "object"])
+    found = hops.join(edges.select("subject", "predicate", "object"), ["subject", "predicate", "object"], "left_semi")
     whole = found.groupBy("drug", "disease", "path", "n", "n_hops").agg(F.count(F.lit(1)).alias("m")).where("m = n_hops")
     length = F.col("n").cast("long")
     return whole.select("drug", "disease", "path", length.alias("length"), F.concat(F.lit("paths_of_"), length.cast("string")).alias("option_group"), F.col("n_hops").cast("long").alias("n_hops"))

@@ -255,3 +255,24 @@ def test_top_document_counts_count_only_what_may_lead(spark, monkeypatch):
     assert {most: read(rank.top_document_counts(bound, documents, most)) for most in want} == want
     monkeypatch.setattr(rank, "document_counts", None)  # the full count is not needed
     assert read(rank.top_document_counts(bound, documents, 10)) == want[10]
+
+
+def test_predictions_score_pairs_once_and_make_no_pairs_of_suppliers(spark, sf_dir, monkeypatch):
+    from plexus.catalog import lookup
+
+    calls = []
+    monkeypatch.setattr(lookup, "scores", lambda *a, old=lookup.scores: calls.append(1) or old(*a))
+    lookup.i1e(spark, sf_dir)
+    assert len(calls) == 1
+
+
+def test_a_supplier_alone_in_its_nation_does_not_reach_it(spark, tmp_path):
+    from plexus.catalog import lookup
+
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put([(1, 1, 1.0), (2, 1, 1.0), (3, 2, 1.0)], "s_suppkey long, s_nationkey int, s_acctbal double", "supplier")
+    put([], "c_custkey long, c_nationkey int, c_acctbal double", "customer")
+    put([(1, 7, s, 50.0 + s) for s in (1, 3)] + [(2, 8, s, 60.0) for s in (1, 2)] + [(3, 9, 3, 90.0)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double", "lineitem")
+    out = lookup.scores(spark, str(tmp_path), lookup.supplies(spark, str(tmp_path)))
+    assert sorted(map(tuple, out.collect())) == [("S:1", "N:1", 0.3), ("S:1", "N:2", 0.255), ("S:2", "N:1", 0.3), ("S:3", "N:1", 0.265)]
