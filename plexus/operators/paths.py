@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,25 +100,63 @@ def _touched(result_nodes: DataFrame, result_edges: DataFrame, edges: DataFrame)
     return result_nodes.join(used, ["result_id", "node_id"], "left_semi").select(*result_nodes.columns)
 
 
+#: Links that one task looks through; an aux graph of more is taken apart by joins.
+LOCAL = 250_000
+
+
+def _apart(rows: pd.DataFrame) -> pd.DataFrame:
+    """The asked edges of ``rows(aux_id, a, b, edge_id, asked)`` whose ends the other rows of their aux graph do not connect."""
+    graph = pd.factorize(rows["aux_id"])[0]
+    ends = pd.factorize(np.concatenate([rows["a"].to_numpy(object), rows["b"].to_numpy(object)]), use_na_sentinel=False)[0]
+    nodes, at = np.unique(np.concatenate([graph, graph]) * (ends.max() + 1) + ends, return_inverse=True)
+    a, b = at[: len(rows)], at[len(rows):]
+    asked = rows["asked"].to_numpy(bool)
+    x, y, root = a[~asked], b[~asked], np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        old = root.copy()
+        np.minimum.at(root, old[x], low)
+        np.minimum.at(root, old[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+    return pd.DataFrame({"edge_id": rows["edge_id"].to_numpy(object)[asked & (root[a] != root[b])]})
+
+
 def supported(support: DataFrame, aux: DataFrame) -> DataFrame:
     """Inferred edges ``(edge_id, aux_id, from_id, to_id)`` that no aux graph of theirs fails; one at least is there.
 
     ``aux(aux_id, subject, object, ngd)``.  A graph fails an edge if its ends are not connected, over any number of
     steps, without the edges of infinite distance.  Aux graphs that ``aux`` does not have are skipped, but an edge
-    without an aux_id is not supported.
+    without an aux_id is not supported.  Aux graphs of at most ``LOCAL`` links are looked through in one task each, many
+    to a task, so their links are shuffled once; larger ones go through the component search.
     """
-    node = lambda c: F.concat_ws("\u0001", "aux_id", c)
     named = saved(support.where("aux_id is not null"))
-    there = aux.join(named.select("aux_id").distinct(), "aux_id", "left_semi")
+    there = aux.join(named.select("aux_id"), "aux_id", "left_semi")
+    asked = named.join(aux.select("aux_id"), "aux_id", "left_semi").where("from_id <> to_id")
     finite = there.where(F.col("ngd").isNull() | (~F.isnan("ngd") & (F.abs("ngd") != float("inf"))))
-    part = saved(components(finite.select(node("subject").alias("a"), node("object").alias("b"))))
-    asked = named.join(there.select("aux_id").distinct(), "aux_id", "left_semi").where("from_id <> to_id")
-    for end in ("from_id", "to_id"):
-        asked = asked.withColumn("node", node(end)).join(part, "node", "left").withColumn(f"__{end}", F.coalesce("component", "node")).drop("node", "component")
-    failed = asked.where("__from_id <> __to_id").select("edge_id").distinct()
+    links = finite.select("aux_id", F.col("subject").alias("a"), F.col("object").alias("b"), F.lit(None).cast(named.schema["edge_id"].dataType).alias("edge_id"), F.lit(False).alias("asked"))
+    rows = saved(links.union(asked.select("aux_id", "from_id", "to_id", "edge_id", F.lit(True))))
+    heavy = saved(rows.groupBy("aux_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL).select("aux_id"))
+    some = heavy.limit(1).count() > 0
+    light = rows.join(heavy, "aux_id", "left_anti") if some else rows
+    bins = rows.count() // LOCAL * 4 + 8
+    kind = named.select("edge_id").schema
+    failed = light.groupBy(F.pmod(F.xxhash64("aux_id"), F.lit(bins)).alias("bin")).applyInPandas(_apart, kind)
+    if some:
+        failed = failed.union(_apart_by_joins(rows.join(heavy, "aux_id", "left_semi")))
     return named.select("edge_id").distinct().join(failed, "edge_id", "left_anti")
 
 
+def _apart_by_joins(rows: DataFrame) -> DataFrame:
+    """As ``_apart``, over tables."""
+    node = lambda c: F.concat_ws("\u0001", "aux_id", c)
+    part = saved(components(rows.where("not asked").select(node("a").alias("a"), node("b").alias("b"))))
+    asked = rows.where("asked")
+    for end in ("a", "b"):
+        asked = asked.withColumn("node", node(end)).join(part, "node", "left").withColumn(f"__{end}", F.coalesce("component", "node")).drop("node", "component")
+    return asked.where("__a <> __b").select("edge_id")
+
+
 def creative_filter(result_edges: DataFrame, result_nodes: DataFrame, edges: DataFrame, supported_edges: DataFrame, inferred: Sequence[str], qedges: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """``result_edges(result_id, qedge_key, edge_id)`` and ``result_nodes(result_id, qnode_key, node_id)`` of covered results.
 
