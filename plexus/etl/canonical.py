@@ -81,9 +81,17 @@ def remove_general(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> tu
     return kept, edges
 
 
+#: Nodes whose labels one task holds.
+HELD = 100_000
+
+
 def labels(nodes: DataFrame, ontology: DataFrame) -> DataFrame:
-    """``(id, label)``: each node's categories with all their ancestors."""
-    c = nodes.select("id", F.explode("categories").alias("child")).join(ontology.select("child", "ancestor"), "child")
+    """``(id, label)``: each node's categories with all their ancestors.
+
+    All rows of a node meet before they are opened, in partitions of about ``HELD`` nodes, so what a task holds does not grow.
+    """
+    rows = nodes.select("id", "categories").repartition(nodes.count() // HELD + 1, "id")
+    c = rows.select("id", F.explode("categories").alias("child")).join(F.broadcast(ontology.select("child", "ancestor")), "child")  # a literal list
     return c.select("id", F.col("ancestor").alias("label")).distinct()
 
 

@@ -276,3 +276,39 @@ def test_a_supplier_alone_in_its_nation_does_not_reach_it(spark, tmp_path):
         "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double", "lineitem")
     out = lookup.scores(spark, str(tmp_path), lookup.supplies(spark, str(tmp_path)))
     assert sorted(map(tuple, out.collect())) == [("S:1", "N:1", 0.3), ("S:1", "N:2", 0.255), ("S:2", "N:1", 0.3), ("S:3", "N:1", 0.265)]
+
+
+def test_supported_edges_look_through_small_graphs_in_one_task(spark, monkeypatch):
+    rng = random.Random(11)
+    links = [(f"x{g}", f"n{rng.randrange(9)}", f"n{rng.randrange(9)}", rng.choice([None, 0.5, float("inf")])) for g in range(30) for _ in range(rng.randrange(1, 14))]
+    asked = [(f"e{i}", f"x{rng.randrange(34)}", f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for i in range(80)] + [("lone", None, "n1", "n2")]
+    aux, support = spark.createDataFrame(links, "aux_id string, subject string, object string, ngd double"), spark.createDataFrame(asked, "edge_id string, aux_id string, from_id string, to_id string")
+    near = {}
+    for g, a, b, w in links:
+        group = near.setdefault(g, {})
+        if w != float("inf"):
+            one = group.get(a, {a}) | group.get(b, {b})
+            for x in one:
+                group[x] = one
+    want = {e for e, g, a, b in asked if g and (g not in near or a == b or b in near[g].get(a, {a}))}
+    assert 0 < len(want) < 80
+    monkeypatch.setattr(paths, "LOCAL", 6)  # some graphs by joins
+    assert {r["edge_id"] for r in paths.supported(support, aux).collect()} == want
+    monkeypatch.setattr(paths, "LOCAL", 250_000)
+    monkeypatch.setattr(paths, "components", None)  # no search over tables
+    assert {r["edge_id"] for r in paths.supported(support, aux).collect()} == want
+
+
+def test_labels_and_orphans_hold_bounded_rows(spark, monkeypatch):
+    from plexus.etl import canonical
+
+    nodes = spark.createDataFrame([(f"n{i % 90}", [("a", "b")[i % 2], "c"]) for i in range(100)], "id string, categories array<string>")
+    tree = spark.createDataFrame([("a", "top"), ("b", "top"), ("a", "a"), ("c", "c")], "child string, ancestor string")
+    monkeypatch.setattr(canonical, "HELD", 10, raising=False)
+    out = canonical.labels(nodes, tree)
+    assert out.rdd.getNumPartitions() == 11
+    assert {(r["label"], r["n"]) for r in canonical.category_counts(nodes, tree).collect()} == {("top", 90), ("c", 90), ("a", 45)}
+    edges = spark.createDataFrame([("n1", "n2"), ("n1", "n3")], "subject string, object string")
+    kept = filters.remove_orphans(PropertyGraph(nodes, edges), keep=nodes.where("id = 'n89'")).nodes
+    assert sorted(r["id"] for r in kept.collect()) == ["n1", "n1", "n2", "n2", "n3", "n3", "n89"]
+    assert "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()
