@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexus.functions.order import ordered
+from plexus.sources.scratch import saved
 
 
 def union_sets(column: str) -> Column:
@@ -96,10 +97,16 @@ def labels(nodes: DataFrame, ontology: DataFrame) -> DataFrame:
 
 
 def neighbour_counts(nodes: DataFrame, edges: DataFrame, ontology: DataFrame) -> DataFrame:
-    """``(id, label, n)``: distinct neighbours by ancestor label, both directions."""
-    both = edges.select("subject", "object").union(edges.select("object", "subject")).toDF("id", "near").distinct()
-    near = labels(nodes, ontology).withColumnRenamed("id", "near")
-    return both.join(near, "near").groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
+    """``(id, label, n)``: distinct neighbours by ancestor label, both directions.
+
+    Pairs are told apart, and labels counted, in partitions of about ``HELD`` rows, without a table before the shuffle.
+    """
+    edges = saved(edges.select("subject", "object"))
+    parts = 2 * edges.count() // HELD + 1
+    both = edges.union(edges.select("object", "subject")).toDF("id", "near").repartition(parts, "near").distinct()
+    near = labels(nodes, ontology).groupBy("id").agg(F.collect_list("label").alias("labels")).withColumnRenamed("id", "near")
+    met = both.join(near, "near").select("id", "labels").repartition(parts, "id")
+    return met.select("id", F.explode("labels").alias("label")).groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_by_degree(edges: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -312,3 +312,15 @@ def test_labels_and_orphans_hold_bounded_rows(spark, monkeypatch):
     kept = filters.remove_orphans(PropertyGraph(nodes, edges), keep=nodes.where("id = 'n89'")).nodes
     assert sorted(r["id"] for r in kept.collect()) == ["n1", "n1", "n2", "n2", "n3", "n3", "n89"]
     assert "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbour_counts_hold_bounded_rows(spark, monkeypatch):
+    from plexus.etl import canonical
+
+    monkeypatch.setattr(canonical, "HELD", 10, raising=False)
+    nodes = spark.createDataFrame([(f"n{i}", ["a"]) for i in range(40)], "id string, categories array<string>")
+    tree = spark.createDataFrame([("a", "top"), ("a", "a")], "child string, ancestor string")
+    edges = spark.createDataFrame([("n0", f"n{i}") for i in range(1, 40)] + [("n1", "n0")], "subject string, object string")
+    out = canonical.neighbour_counts(nodes, edges, tree)
+    assert {tuple(r) for r in out.collect()} == {("n0", k, 39) for k in ("a", "top")} | {(f"n{i}", k, 1) for i in range(1, 40) for k in ("a", "top")}
+    assert out.rdd.getNumPartitions() == 9
