@@ -249,49 +249,73 @@ def referenced(
     """Ids of the nodes, edges and aux graphs that results refer to: the least sets closed under four rules.
 
     The ends of a referenced edge are referenced; so is an edge whose ends both are; so are the aux graphs that a
-    referenced edge names, and all edges of a referenced aux graph.  ``aux(aux_id, edge_id)``; ``supports(edge_id, aux_id)``:
-    the aux graphs an edge names; ``seeds(aux_id)``: those that results name themselves.  An aux graph with an edge that
-    ``edges`` lacks, or whose end ``nodes`` lacks, is left out, and so is an edge without an end.  Every round adds what the
-    round before made reachable, so there are as many rounds as aux graphs lie inside each other.
+referenced edge names, and all edges of a referenced aux graph.  ``aux(aux_id, edge_id)``; ``supports(edge_id, aux_id)``:
+    the aux graphs an edge names, or None and a column ``aux_id`` of ``edges``; ``seeds(aux_id)``: those that results name
+    themselves.  An aux graph with an edge that ``edges`` lacks, or whose end ``nodes`` lacks, is left out, and so is an edge
+    without an end.  Every round adds what the round before made reachable, so there are as many rounds as aux graphs lie inside
+    each other.
+
+    A referenced edge has both ends referenced, so nodes are all that rounds carry.  An edge moves twice in all: to its
+    subject, and to its object once the subject is referenced.
     """
     ends = edges.select("id", "subject", "object").where("subject is not null and object is not null")
-    new_edges = ends.join(result_edges.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi")
     of = lambda e: e.select(F.explode(F.array("subject", "object")).alias("id"))
-    ids = saved(bound.select(F.col("node_id").alias("id")).union(of(new_edges)).distinct())
     if aux is None:
+        new_edges = ends.join(result_edges.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi")
+        ids = saved(bound.select(F.col("node_id").alias("id")).union(of(new_edges)).distinct())
         kept = ends
         for end in ("subject", "object"):
             kept = kept.join(ids.select(F.col("id").alias(end)), end, "left_semi")
         return ids, kept.select("id"), None
-    ends = saved(ends)
-    content = aux.select("aux_id", "edge_id").distinct().join(ends.withColumnRenamed("id", "edge_id"), "edge_id", "left")
-    for end in ("subject", "object"):
-        if nodes is not None:
-            content = content.join(nodes.select(F.col("id").alias(end), F.lit(True).alias(f"__{end}")).distinct(), end, "left")
-    whole = [F.col("subject").isNotNull(), *([F.col("__subject").isNotNull() & F.col("__object").isNotNull()] if nodes is not None else [])]
-    broken = content.groupBy("aux_id").agg(F.min(F.expr("true") if not whole else whole[0] & whole[-1]).alias("ok")).where("not ok").select("aux_id")
-    content = saved(content.join(broken, "aux_id", "left_anti").select("aux_id", F.col("edge_id").alias("id"), "subject", "object"))
-    supports = (supports.select(F.col("edge_id").alias("id"), "aux_id") if supports is not None else content.select("id", "aux_id").limit(0)).distinct()
-    frontier, kept = ids, saved(new_edges.select("id").limit(0))
-    named = saved(seeds.select("aux_id").distinct() if seeds is not None else content.select("aux_id").limit(0))
-    graphs, named_edges = content.select("aux_id").limit(0), new_edges
-    while True:
-        # edges with an end among the new nodes and the other among all, and those the round before brought
-        touched = None
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = []
+
+    def by(df: DataFrame, key: str) -> DataFrame:
+        held.append(df.repartition(n, key).persist())  # joins on the key move only the other side
+        return held[-1]
+
+    # one look at the edges by id, for aux graphs and results
+    asked = aux.select(F.lit(True).alias("of_aux"), "aux_id", F.col("edge_id").alias("id"))
+    asked = asked.union(result_edges.select(F.lit(False), F.lit(None).cast("string"), "edge_id"))
+    asked = saved(asked.join(ends, "id", "left").select("of_aux", "aux_id", "subject", "object"))
+    content = asked.where("of_aux").select("aux_id", "subject", "object")
+    broken = content.where("subject is null").select("aux_id")
+    if nodes is not None:
+        missing = saved(of(content).where("id is not null").distinct().join(nodes.select("id"), "id", "left_anti"))
         for end in ("subject", "object"):
-            part = ends.join(frontier.select(F.col("id").alias(end)), end, "left_semi").select("id", "subject", "object")
-            touched = part if touched is None else touched.union(part)
-        for end in ("subject", "object"):
-            touched = touched.join(ids.select(F.col("id").alias(end)), end, "left_semi")
-        fresh = saved(touched.select("id").union(named_edges.select("id")).distinct().join(kept, "id", "left_anti"))
-        kept = saved(kept.union(fresh))
-        named = saved(named.union(supports.join(fresh, "id", "left_semi").select("aux_id")).distinct().join(graphs, "aux_id", "left_anti"))
-        named_edges = saved(content.join(named, "aux_id", "left_semi").select("id", "subject", "object").distinct())
-        graphs = saved(graphs.union(named.join(content.select("aux_id").distinct(), "aux_id", "left_semi")))
-        frontier = saved(of(named_edges).distinct().join(ids, "id", "left_anti"))
-        if not named_edges.limit(1).count():
-            return ids, kept, graphs
-        ids, named = saved(ids.union(frontier)), named.limit(0)
+            broken = broken.union(content.join(missing.select(F.col("id").alias(end)), end, "left_semi").select("aux_id"))
+    content = by(content.where("subject is not null"), "aux_id").join(saved(broken.distinct()), "aux_id", "left_anti")
+    if supports is not None:
+        rows = ends.join(supports.select(F.col("edge_id").alias("id"), "aux_id"), "id", "left")
+    elif "aux_id" in edges.columns:
+        rows = edges.where("subject is not null and object is not null").select("id", "subject", "object", "aux_id")
+    else:
+        rows = ends.withColumn("aux_id", F.lit(None).cast("string"))
+    rows = by(rows, "subject")
+    ids = saved(bound.select(F.col("node_id").alias("id")).union(of(asked.where("not of_aux"))).where("id is not null").distinct())
+    graphs = content.select("aux_id").limit(0)
+    frontier, half = ids, []
+    named = seeds.select("aux_id") if seeds is not None else graphs
+    while True:
+        reached = frontier.select(F.col("id").alias("object"))
+        fired = [h.join(reached, "object", "left_semi") for h in half]
+        half.append(by(rows.join(frontier.select(F.col("id").alias("subject")), "subject", "left_semi"), "object"))
+        fired.append(half[-1].join(ids.select(F.col("id").alias("object")), "object", "left_semi"))
+        for f in fired:
+            named = named.union(f.select("aux_id").where("aux_id is not null"))
+        named = saved(named.distinct().join(graphs, "aux_id", "left_anti"))
+        found = content.join(named, "aux_id", "left_semi")
+        frontier = saved(of(found).distinct().join(ids, "id", "left_anti"))
+        graphs, named = saved(graphs.union(named)), named.limit(0)
+        if frontier.isEmpty():
+            break
+        ids = saved(ids.union(frontier))
+    kept = reduce(lambda a, b: a.union(b), [h.join(ids.select(F.col("id").alias("object")), "object", "left_semi").select("id") for h in half])
+    kept = saved(kept if supports is None else kept.distinct())  # an edge may name several aux graphs
+    graphs = saved(content.select("aux_id").distinct().join(graphs, "aux_id", "left_semi"))
+    for df in held:
+        df.unpersist()
+    return ids, kept, graphs
 
 
 def recompute_keys(bound: DataFrame) -> DataFrame:
