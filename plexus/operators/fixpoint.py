@@ -17,12 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexus.operators.multiway import Links, _between, bind
 from plexus.plans.pattern import Pattern
 from plexus.sources.scratch import saved
 
-#: Linked node pairs of two query nodes: ``links[a, b]`` has the columns a and b.
-Links = dict[tuple[str, str], DataFrame]
-
 
 def _light(links: Links) -> dict[frozenset[str], str]:
     """The end of each link whose nodes have fewer partners: joins start from there."""
@@ -105,6 +103,8 @@ def consistent(roles: dict[str, DataFrame], links: Links, keys: Sequence[str] =
     """
     if not links:
         return roles
+    if keys:
+        return _consistent_within(roles, links, keys)
     before, light = None, _light(links)
     while True:
         roles, rows = _swept(roles, links, keys, light)
@@ -116,8 +116,42 @@ def consistent(roles: dict[str, DataFrame], links: Links, keys: Sequence[str] =
         before = now
 
 
-def _between(links: Links, a: str, b: str) -> DataFrame | None:
-    return links.get((a, b), links.get((b, a)))
+def _consistent_within(roles: dict[str, DataFrame], links: Links, keys: Sequence[str]) -> dict[str, DataFrame]:
+    """``consistent`` of many results: their own links are found once, and only those whose ends live go on.
+
+    A link of two members of one result closes a triangle with the result, so ``multiway.bind`` finds it without
+    all pairs of members and without all links of a member.
+    """
+    result = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    of = {q: saved(rows.select(result.alias("__r"), q)) for q, rows in roles.items()}
+    names = list(links)
+
+    def written(tables: Links) -> Links:
+        """The tables, read from one."""
+        rows = None
+        for i, (a, b) in enumerate(names):
+            one = tables[a, b].select(F.lit(i).alias("__i"), "__r", F.col(a).alias("__a"), F.col(b).alias("__b"))
+            rows = one if rows is None else rows.union(one)
+        rows = saved(rows)
+        counts.append({r["__i"]: r["n"] for r in rows.groupBy("__i").agg(F.count(F.lit(1)).alias("n")).collect()})  # one row per link
+        return {(a, b): rows.where(F.col("__i") == i).select("__r", F.col("__a").alias(a), F.col("__b").alias(b)) for i, (a, b) in enumerate(names)}
+
+    counts: list[dict[int, int]] = []
+    own = written({(a, b): bind(["__r", a, b], {("__r", a): of[a], ("__r", b): of[b], (a, b): _between(links, a, b)}) for a, b in names})
+    while True:
+        live = {}
+        for q in of:
+            rows = None
+            for a, b in names:
+                if q in (a, b):
+                    near = own[a, b].select("__r", q).distinct()
+                    rows = near if rows is None else rows.join(near, ["__r", q], "left_semi")
+            live[q] = of[q] if rows is None else rows
+        if len(counts) > 1 and counts[-1] == counts[-2]:
+            break
+        own = written({(a, b): own[a, b].join(live[a], ["__r", a], "left_semi").join(live[b], ["__r", b], "left_semi") for a, b in names})
+    values = [F.col("__r").alias(keys[0])] if len(keys) == 1 else [F.col(f"__r.{k}").alias(k) for k in keys]
+    return {q: rows.select(*values, q) for q, rows in live.items()}
 
 
 def match_sets(pattern: Pattern, nodes: dict[str, DataFrame], links: Links) -> DataFrame:

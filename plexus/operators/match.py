@@ -20,8 +20,10 @@ from plexus.plans.pattern import Pattern
 from plexus.sources.scratch import saved
 
 
-def pair_table(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, a: str, b: str, ignore_direction: bool = True) -> DataFrame:
-    """Node pairs ``(a, b)`` adjacent by every query edge between two query nodes."""
+def pair_table(pattern: Pattern, kg_nodes: DataFrame | None, kg_edges: DataFrame, a: str, b: str, ignore_direction: bool = True) -> DataFrame:
+    """Node pairs ``(a, b)`` adjacent by every query edge between two query nodes.
+
+    Without ``kg_nodes`` the ends of a query edge's edges are its nodes, in the direction of the edges."""
     tables = []
     for e in pattern.edges:
         if {e.subject, e.object} != {a, b}:
@@ -29,11 +31,11 @@ def pair_table(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, a: st
         mine = kg_edges.where(F.col("qedge_key") == e.key)
         left, right = ("subject", "object") if e.subject == a else ("object", "subject")
         pairs = mine.select(F.col(left).alias(a), F.col(right).alias(b))
-        if ignore_direction:
+        if ignore_direction and kg_nodes is not None:
             pairs = pairs.union(mine.select(F.col(right).alias(a), F.col(left).alias(b)))
-        tables.append(pairs.distinct())
+        tables.append(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct())
     out = reduce(lambda x, y: x.intersect(y), tables)
-    for key in (a, b):
+    for key in (a, b) if kg_nodes is not None else ():
         ids = kg_nodes.where(F.col("qnode_key") == key).select(F.col("node_id").alias(key)).distinct()
         out = out.join(ids, key, "left_semi")
     return out
@@ -102,7 +104,11 @@ def _tables(pattern: Pattern, kg_nodes: DataFrame, kg_edges: DataFrame, ignore_d
     loops = {e.key: e.subject for e in pattern.edges if e.subject == e.object}
     nodes = {}
     for n in pattern.nodes:
-        own = kg_nodes.where(F.col("qnode_key") == n.key).select(F.col("node_id").alias(n.key)).distinct()
+        if kg_nodes is None:
+            ends = [kg_edges.where(F.col("qedge_key") == e.key).select(F.col(end).alias(n.key)) for e in pattern.edges for k, end in ((e.subject, "subject"), (e.object, "object")) if k == n.key]
+            own = reduce(lambda x, y: x.union(y), ends).where(F.col(n.key).isNotNull()).distinct()
+        else:
+            own = kg_nodes.where(F.col("qnode_key") == n.key).select(F.col("node_id").alias(n.key)).distinct()
         for key in [k for k, at in loops.items() if at == n.key]:
             own = own.join(kg_edges.where((F.col("qedge_key") == key) & (F.col("subject") == F.col("object"))).select(F.col("subject").alias(n.key)), n.key, "left_semi")
         nodes[n.key] = own

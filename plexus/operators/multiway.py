@@ -4,7 +4,8 @@ Joining a cycle pair by pair makes all open paths first, far more than there are
 links meet.  Here a row takes the candidates for the next query node from that one of its bound neighbours
 that has fewest, and checks them against the others with semi-joins.  So light and heavy nodes are
 told apart for every row, no step makes more rows than the product bound of the pattern, and
-nothing is made from a heavy node where a light one is beside it.
+nothing is made from a heavy node where a light one is beside it.  Where no node of a bound neighbour has more than ``FEW``
+links, all rows grow from there and none are counted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexus.operators.fixpoint import Links, _between
+#: Linked node pairs of two query nodes: ``links[a, b]`` has the columns a and b.
+Links = dict[tuple[str, str], DataFrame]
+#: A node of so many links is light without a look at its other end.
+FEW = 32
+
+
+def _between(links: Links, a: str, b: str) -> DataFrame | None:
+    return links.get((a, b), links.get((b, a)))
+
+
+def _most(links: Links, q: str, near: list[str]) -> dict[str, int]:
+    """The most nodes of ``q`` that one node of each of ``near`` is linked with."""
+    rows = None
+    for u in near:
+        one = _between(links, q, u).groupBy(u).agg(F.count(F.lit(1)).alias("n")).agg(F.lit(u).alias("u"), F.max("n").alias("n"))
+        rows = one if rows is None else rows.union(one)
+    return {r["u"]: r["n"] or 0 for r in rows.collect()}  # one row per link
 
 
 def bind(order: list[str], links: Links) -> DataFrame:
@@ -27,6 +44,12 @@ def bind(order: list[str], links: Links) -> DataFrame:
             rows = _between(links, q, near[0]).select(near[0], q)
         elif len(near) == 1:
             rows = rows.join(_between(links, q, near[0]), near[0]).select(*bound, q)
+        elif min((most := _most(links, q, near)).values()) <= FEW:
+            u = min(near, key=lambda u: most[u])
+            rows = rows.join(_between(links, q, u), u).select(*bound, q)
+            for other in near:
+                if other != u:
+                    rows = rows.join(_between(links, q, other), [other, q], "left_semi").select(*bound, q)
         else:
             counted = rows
             for u in near:
