@@ -82,9 +82,12 @@ left join (select m.c, q.p, count(*) as m from m join q on q.o = m.o group by m.
 def o2z(spark, d):
     nodes = nodes_of(spark, d)
     placed = edges_of(spark, d, "placed")
-    e = placed.union(edges_of(spark, d, "contains")).select(F.col("subject").alias("a"), F.col("object").alias("b"))
     start = nodes.where(F.array_contains("categories", "BUILDING")).select("id")
-    end = nodes.where("id in ('P:1', 'P:2', 'P:3')").select("id")
+    few = "id in ('P:1', 'P:2', 'P:3')"
+    end = nodes.where(few).select("id")
+    # lines of other parts lead to no end: they go before anything is joined
+    e = placed.select("subject", "object").union(edges_of(spark, d, "contains").select("subject", "object").where(few.replace("id", "object")))
+    e = e.toDF("a", "b")
     found = O.jaccard(e, start, nodes.where("prefix = 'O'").select("id"), end)
     starts = placed.join(start.toDF("subject"), "subject", "left_semi").select(F.col("subject").alias("start")).distinct()
     return O.with_zeros(found, starts, end.toDF("end")).withColumn("jaccard_index", F.round("jaccard_index", 6))

@@ -61,10 +61,10 @@ def jaccard(edges: DataFrame, start: DataFrame, middle: DataFrame, end: DataFram
     ``edges(a, b)`` in any direction.  Pairs without a shared intermediate have the value 0 and are left out;
     ``with_zeros`` adds them for a bounded number of ends.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("id", "mid").distinct()
-    both = both.join(middle.select(F.col("id").alias("mid")), "mid", "left_semi")
-    ends = both.join(end, "id", "left_semi").select(F.col("id").alias("end"), "mid")
-    starts = both.join(start.join(end, "id", "left_anti"), "id", "left_semi").select(F.col("id").alias("start"), "mid")
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("id", "mid")
+    near = lambda ids: both.join(ids, "id", "left_semi").join(middle.select(F.col("id").alias("mid")), "mid", "left_semi")
+    ends = near(end).select(F.col("id").alias("end"), "mid").distinct()
+    starts = near(start.join(end, "id", "left_anti")).select(F.col("id").alias("start"), "mid").distinct()
     size = starts.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
     shared = starts.join(ends, "mid").groupBy("start", "end").agg(F.count(F.lit(1)).alias("shared"))
     return shared.join(size, "start").select("start", "end", (F.col("shared") / F.col("n")).alias("jaccard_index"))
