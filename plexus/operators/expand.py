@@ -81,10 +81,12 @@ def convert_ids(ids: DataFrame, equivalents: DataFrame, supported: Sequence[str]
     ``equivalents(id, other)``; the order of ``supported`` decides, then the id.
     """
     rank = F.array_position(F.array(*[F.lit(p) for p in supported]), F.substring_index("other", ":", 1))
-    options = ids.join(equivalents, "id").union(ids.select("id", F.col("id").alias("other")))
-    options = options.withColumn("rank", F.when(F.col("other") == F.col("id"), F.when(rank > 0, 0)).otherwise(F.when(rank > 0, rank)))
-    best = options.where("rank is not null").groupBy("id").agg(F.min(F.struct("rank", "other")).alias("b"))
-    return ids.join(best.select("id", F.col("b.other").alias("converted")), "id", "left")
+    # the least supported equivalent of each id comes first, in fixed memory: one number and one string
+    known = equivalents.where((rank > 0) & (F.col("other") != F.col("id"))).select("id", "other", rank.alias("rank"))
+    best = known.groupBy("id", "rank").agg(F.min("other").alias("other")).groupBy("id").agg(F.min(F.struct("rank", "other")).alias("b"))
+    own = F.array_position(F.array(*[F.lit(p) for p in supported]), F.substring_index("id", ":", 1)) > 0
+    out = ids.join(best, "id", "left")
+    return out.select(*ids.columns, F.when(own, F.col("id")).otherwise(F.col("b.other")).alias("converted"))
 
 
 def merge_nodes(answers: DataFrame) -> DataFrame:
