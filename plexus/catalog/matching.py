@@ -21,13 +21,12 @@ def chain_kg(spark, d, segment="BUILDING"):
     e0 = edges_of(spark, d, "placed").join(some, "subject", "left_semi")
     e1 = edges_of(spark, d, "contains").join(e0.select(F.col("object").alias("subject")), "subject", "left_semi")
     cols = ("id", "subject", "object", "amount")
-    kg_edges = e0.select(F.lit("e0").alias("qedge_key"), *cols).union(e1.select(F.lit("e1").alias("qedge_key"), *cols))
-    ids = [(e0, "subject", "c"), (e0, "object", "o"), (e1, "object", "p")]
+    kg_edges = saved(e0.select(F.lit("e0").alias("qedge_key"), *cols).union(e1.select(F.lit("e1").alias("qedge_key"), *cols)))  # read many times
     kg_nodes = None
-    for df, col, key in ids:
-        part = df.select(F.lit(key).alias("qnode_key"), F.col(col).alias("node_id")).distinct()
+    for edge, col, key in (("e0", "subject", "c"), ("e0", "object", "o"), ("e1", "object", "p")):
+        part = kg_edges.where(F.col("qedge_key") == edge).select(F.lit(key).alias("qnode_key"), F.col(col).alias("node_id")).distinct()
         kg_nodes = part if kg_nodes is None else kg_nodes.union(part)
-    return saved(kg_nodes), saved(kg_edges)  # the answer graph is read many times
+    return saved(kg_nodes), kg_edges
 
 
 KG = """
