@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plexus.llm import divergence, pieces, trie
+from plexus.functions import components as graph
+from plexus.llm import divergence, jaccard, pieces, trie
 
 
 def test_divergence_equals_sql_with_and_without_shards(spark, sf_dir):
@@ -219,3 +220,51 @@ def test_trie_of_long_conversations(spark):
     for nodes in by_depth.values():
         total += sum((n - 1) * size for (_, size), n in nodes.items())
     assert len(out) == 1 + sum(map(len, by_depth.values())) and top[6] == total and top[5] == 4
+
+
+def written(monkeypatch, *modules):
+    """A list that gets an entry for every table that ``modules`` write."""
+    tables = []
+    for module in modules:
+        monkeypatch.setattr(module, "saved", lambda df, save=module.saved: (tables.append(1), save(df))[1])
+    return tables
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_small_link_tables_settle_without_rounds(spark, monkeypatch, kind):
+    """One table is written for a chain, whose rounds grow with its length; the rounds give the same."""
+    links = [(i, i + 1) for i in range(-20, 40)] + [(100 + i % 7, 100 + i) for i in range(30)] + [(7, 7), (None, 3), (500, 499), (499, 500)]
+    name = (lambda i: i) if kind == "long" else (lambda i: None if i is None else chr(0xFFFF - 300 + i) * 2 if i < 450 else chr(0x10000 + i))
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in links], f"a {kind}, b {kind}").repartition(3)
+    if kind == "string":  # bytes that are no UTF-8 are names too
+        odd = spark.sql("select cast(x'ff61' as string) a, cast(x'ff62' as string) b union all select cast(x'ff62' as string), 'z'")
+        df = df.union(odd)
+    tables, seen = written(monkeypatch, graph), []
+    for local, most in ((graph.LOCAL, graph.LOCAL_BYTES), (graph.LOCAL, 0), (0, 0)):
+        monkeypatch.setattr(graph, "LOCAL", local)
+        monkeypatch.setattr(graph, "LOCAL_BYTES", most)
+        tables.clear()
+        found = graph.components(df)
+        assert [t for _, t in found.dtypes] == [{"long": "bigint"}.get(kind, kind)] * 2
+        as_bytes = found.select(*[F.col(c).cast("string").cast("binary") for c in ("node", "component")])
+        seen.append((sorted(tuple(map(bytes, r)) for r in as_bytes.collect()), len(tables)))
+    text = [str(name(i)).encode() for i in (*range(-20, 41), *range(100, 130), 499, 500)]
+    assert {n for n, _ in seen[0][0]} == {*text, *([b"\xffa", b"\xffb", b"z"] if kind == "string" else [])}
+    assert seen[0][0] == seen[1][0] == seen[2][0]
+    assert seen[0][1] == 1 and seen[2][1] > 8 and (kind == "long") == (seen[1][1] == 1)
+    assert graph.components(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_write_few_tables(spark, monkeypatch):
+    """Groups of near copies in clusters of several blocks: no rounds of tables for few links."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng, texts = random.Random(4), []
+    pool = [" ".join(f"p{i}w{k}" for k in range(12)) for i in range(6)]
+    for i in range(60):
+        words = " ".join(rng.sample(pool, 3)).split()
+        words[rng.randrange(len(words))] = f"edit{i % 9}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    tables = written(monkeypatch, graph)
+    assert jaccard.jaccard_classes(docs, 2, 70).count() == 60
+    assert 1 <= len(tables) <= 7  # one for each search
