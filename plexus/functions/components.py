@@ -54,19 +54,20 @@ def _fits(links: DataFrame, kind: str) -> bool:
     return kind != "binary" or (links.agg(F.sum(F.octet_length("a") + F.octet_length("b")).alias("n")).first()["n"] or 0) <= LOCAL_BYTES
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, native: bool = False) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as ``(node, component)``.
 
     The component is its smallest node.  A written table of at most ``LOCAL`` links of whole numbers or strings
     settles in a task.  Else large-star and small-star steps alternate until the edge set
     is a forest of stars; each round is a few combinable minimum aggregations and equi-joins, cut to
     a table.  Nodes without an edge to another node are not returned; null ends are ignored.
+    ``native``: DataFrame operations alone, so tables of any size take the rounds.
     """
     kind = edges.schema[edges.columns[0]].dataType
     edges = edges.toDF("a", "b").where("a <> b")
     now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     plain = {"bigint": "bigint", "int": "int", "string": "binary"}.get(now.schema["a"].dataType.simpleString())
-    if plain and _fits(now, plain):
+    if plain and not native and _fits(now, plain):
         ends = now.select(F.col("a").cast(plain), F.col("b").cast(plain)).coalesce(1)
         found = ends.mapInArrow(_settled, f"node {plain}, component {plain}")
         return found.select(F.col("node").cast(kind), F.col("component").cast(kind))
