@@ -158,6 +158,16 @@ def syn_pairs(spark, d):
     return S.weighted(n.union(n.where(k % 4 == 0).select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("same_as").alias("kind"))))
 
 
+def syn_groups(n):
+    """The pairs of ``syn_pairs`` as groups: a name's bearers, and those whose numbers' sum is a multiple of four."""
+    named = S.name_groups(n).withColumn("r", F.substring("id", 3, 9).cast("int") % 4)
+    same = lambda r: F.concat_ws(" ", "key", r)
+    here, there = F.col("r"), (4 - F.col("r")) % 4
+    spoken = named.select(same(here).alias("group"), "id", F.lit(S.WEIGHTS["same_as"]).alias("weight"), (here == there).alias("hears"), F.lit(True).alias("speaks"))
+    heard = named.where(here != there).select(same(there), "id", F.lit(S.WEIGHTS["same_as"]), F.lit(True), F.lit(False))
+    return named.select(F.col("key").alias("group"), "id", F.lit(S.WEIGHTS["similar_name"]).alias("weight"), F.lit(True).alias("hears"), F.lit(True).alias("speaks")).union(spoken).union(heard)
+
+
 PAIRS = ", wp as (select a, b, 0.1::double + case when (cast(substr(a, 3) as int) + cast(substr(b, 3) as int)) % 4 = 0 then 1.0::double else 0 end as weight from ne)"
 
 
@@ -175,7 +185,8 @@ def b14(spark, d):
 
 @query("b15_label_propagation")
 def b15(spark, d):
-    return S.label_propagation(syn_nodes(spark, d).select("id"), syn_pairs(spark, d))
+    n = syn_nodes(spark, d)
+    return S.label_propagation(n.select("id"), None, groups=syn_groups(n))
 
 
 CLUSTER = SYN + PAIRS + """,
@@ -187,7 +198,7 @@ ce as (select x.label as cluster_id, count(*) as n_edges from wp join lab x on x
 def built_clusters(spark, d):
     n = syn_nodes(spark, d)
     first = n.groupBy("name").agg(F.concat(F.lit("P:"), F.min(F.substring("id", 3, 9).cast("int")).cast("string")).alias("label"))
-    return S.clusters(n, n.join(first, "name").select("id", "label"), syn_pairs(spark, d))
+    return S.clusters(n, n.join(first, "name").select("id", "label"), None, S.name_groups(n))  # each pair of a name is one edge
 
 
 @query("b16_clusters_table", "select cl.cluster_id, cl.size, cl.name, cl.member_ids, coalesce(n_edges, 0) as n_edges from cl left join ce on ce.cluster_id = cl.cluster_id", CLUSTER)
