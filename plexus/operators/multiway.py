@@ -5,7 +5,8 @@ links meet.  Here a row takes the candidates for the next query node from that o
 that has fewest, and checks them against the others with semi-joins.  So light and heavy nodes are
 told apart for every row, no step makes more rows than the product bound of the pattern, and
 nothing is made from a heavy node where a light one is beside it.  Where no node of a bound neighbour has more than ``FEW``
-links, all rows grow from there and none are counted.
+links, all rows grow from there and none are counted.  A query node beside two bound ones closes a cycle through
+others: where fewer nodes lie between its neighbours than the rows would grow to, these pairs are made first and the rows meet them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,18 @@ def _most(links: Links, q: str, near: list[str]) -> dict[str, int]:
     return {r["u"]: r["n"] or 0 for r in rows.collect()}  # one row per link
 
 
+def _closed(rows: DataFrame, links: Links, q: str, near: list[str]) -> DataFrame | None:
+    """``(u, v, q)`` of two neighbours with the nodes between them, if those are fewer than rows grown from the lighter one."""
+    u, v = near
+    sides = [_between(links, q, x) for x in near]
+    degree = [side.groupBy(q).agg(F.count(F.lit(1)).alias(f"n_{x}")) for x, side in zip(near, sides)]
+    between = degree[0].join(degree[1], q).agg(F.sum(F.col(f"n_{u}") * F.col(f"n_{v}")).alias("n")).first()["n"] or 0
+    mean = min(side.count() / max(side.select(x).distinct().count(), 1) for x, side in zip(near, sides))
+    if between >= rows.count() * mean:
+        return None
+    return sides[0].join(sides[1], q).select(u, v, q)
+
+
 def bind(order: list[str], links: Links) -> DataFrame:
     """All rows of nodes, a column per query node of ``order``, that are linked by every pair table of ``links``.
 
@@ -44,6 +57,8 @@ def bind(order: list[str], links: Links) -> DataFrame:
             rows = _between(links, q, near[0]).select(near[0], q)
         elif len(near) == 1:
             rows = rows.join(_between(links, q, near[0]), near[0]).select(*bound, q)
+        elif len(near) == 2 < len(bound) and (pairs := _closed(rows, links, q, near)) is not None:
+            rows = rows.join(pairs, near).select(*bound, q)
         elif min((most := _most(links, q, near)).values()) <= FEW:
             u = min(near, key=lambda u: most[u])
             rows = rows.join(_between(links, q, u), u).select(*bound, q)
