@@ -113,10 +113,13 @@ def half_paths(ends: DataFrame, edges: DataFrame, hubs: DataFrame, depth: DataFr
     ``relevant(id)`` -- then deep, then short ones, then those with the least edge ids.
     """
     both = edges.select("subject", "object", "predicate", "id").union(edges.select("object", "subject", "predicate", "id")).toDF("a", "b", "predicate", "id")
-    both = both.where("a <> b").join(depth, "predicate")
-    best = saved(both.groupBy("a", "b").agg(F.max(F.struct("depth", "id")).alias("e")).select("a", "b", "e.depth", "e.id"))
-    to_hub = best.join(hubs.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("near"), F.col("b").alias("hub"), F.col("depth").alias("d2"), F.col("id").alias("e2"))
-    start = best.join(ends.select(F.col("node").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("node"), F.col("b").alias("near"), F.col("depth").alias("d1"), F.col("id").alias("e1"))
+    both = both.where("a <> b").join(F.broadcast(depth), "predicate").select("a", "b", "depth", "id")  # a row per predicate
+    best = lambda rows: rows.groupBy("a", "b").agg(F.max(F.struct("depth", "id")).alias("e")).select("a", "b", "e.depth", "e.id")
+    # only edges at a hub or an end are compared, and those of an end where it is
+    at_hub = both.join(hubs.select(F.col("id").alias("b")), "b", "left_semi").select(*both.columns)
+    to_hub = best(at_hub).select(F.col("a").alias("near"), F.col("b").alias("hub"), F.col("depth").alias("d2"), F.col("id").alias("e2"))
+    at_end = both.join(ends.select(F.col("node").alias("a")).distinct(), "a", "left_semi").select(*both.columns)
+    start = best(at_end).select(F.col("a").alias("node"), F.col("b").alias("near"), F.col("depth").alias("d1"), F.col("id").alias("e1"))
     one = to_hub.withColumnRenamed("near", "node").join(ends.select("node").distinct(), "node", "left_semi").select(
         "node", "hub", F.lit(True).alias("relevant"), F.col("d2").alias("depth"), F.array("e2").alias("way"), F.lit(None).cast("string").alias("mid"))
     flagged = start.join(relevant.select(F.col("id").alias("near"), F.lit(True).alias("ok")).distinct(), "near", "left")
@@ -133,7 +136,7 @@ def via_hubs(answers: DataFrame, edges: DataFrame, hubs: DataFrame, depth: DataF
     with a relevant way on both sides first, then by id.  Answers, targets and edges between them are no hubs.
     """
     ends = answers.select(F.col("answer").alias("node")).union(answers.select("target")).distinct()
-    best = saved(half_paths(ends, edges, hubs, depth, relevant))
+    best = half_paths(ends, edges, hubs, depth, relevant)
     left = best.toDF("answer", "hub", "way_1", "mid_1", "r1")
     right = best.toDF("target", "hub", "way_2", "mid_2", "r2")
     out = answers.join(left, "answer").join(right, ["target", "hub"]).where("hub <> answer and hub <> target")
