@@ -245,36 +245,44 @@ def x4u(spark, d):
     return paths.unbind_virtual(match.bound_edges(bound, CHAIN, kg_edges), bound.union(lost), kg_edges, ["e0"], ["c", "o"])[1]
 
 
-def support(spark, d):
+def order_lines(spark, d):
+    """``(c, o, p, amount)`` of the orders that were placed, with their parts, written once: edges get their ids where they are needed."""
+    placed = edges_of(spark, d, "placed").select(F.col("subject").alias("c"), F.col("object").alias("o"))
+    contains = edges_of(spark, d, "contains").select(F.col("subject").alias("o"), F.col("object").alias("p"), "amount")
+    return saved(placed.join(contains, "o").select("c", "o", "p", "amount"))
+
+
+def support(spark, d, lines):
     """Each order's aux graph joins customer and order through its parts; the edges of parts of little quantity are infinite."""
-    placed = edges_of(spark, d, "placed").select("id", "subject", "object")
-    asked = saved(placed.select(F.col("id").alias("edge_id"), F.col("object").alias("aux_id"), F.col("subject").alias("from_id"), F.col("object").alias("to_id")))
-    c = edges_of(spark, d, "contains").select(F.col("subject").alias("aux_id"), F.col("object").alias("part"), "amount")
-    hop = saved(asked.join(c, "aux_id"))
+    asked = edges_of(spark, d, "placed").select(F.col("id").alias("edge_id"), F.col("object").alias("aux_id"), F.col("subject").alias("from_id"), F.col("object").alias("to_id"))
     value = F.when(F.col("amount") >= 30, 0.5).otherwise(float("inf"))
-    aux = hop.select("aux_id", F.col("from_id").alias("subject"), F.col("part").alias("object"), value.alias("ngd"))
-    return asked, aux.union(hop.select("aux_id", "part", "to_id", F.lit(0.1)))
+    hop = lambda a, b, ngd: F.struct(F.col(a).alias("subject"), F.col(b).alias("object"), ngd.alias("ngd"))
+    aux = lines.select(F.col("o").alias("aux_id"), F.explode(F.array(hop("c", "p", value), hop("p", "o", F.lit(0.1)))).alias("x"))
+    return asked, aux.select("aux_id", "x.*")
 
 
 @query("x5_supported_edges", """
 select e.id from edges e where e.predicate = 'placed' and (e.object in (select subject from edges where predicate = 'contains' and amount >= 30)
   or e.object not in (select subject from edges where predicate = 'contains'))""")
 def x5(spark, d):
-    return paths.supported(*support(spark, d)).select(F.col("edge_id").alias("id"))
+    return paths.supported(*support(spark, d, order_lines(spark, d))).select(F.col("edge_id").alias("id"))
 
 
 @query("x5_creative_filter", """
 select e.subject || '|' || e.object as result_id, case x when 1 then 'c' else 'o' end as qnode_key, case x when 1 then e.subject else e.object end as node_id
 from edges e, (values (1), (2)) v(x) where e.predicate = 'placed' and e.object in (select subject from edges where predicate = 'contains' and amount >= 30)""")
 def x5c(spark, d):
-    placed, contains = saved(edges_of(spark, d, "placed").select("id", "subject", "object")), saved(edges_of(spark, d, "contains").select("id", "subject", "object"))
+    lines = order_lines(spark, d)
+    placed = edges_of(spark, d, "placed").select("id", "subject", "object")
     name = placed.select(F.concat_ws("|", "subject", "object").alias("result_id"), "id", "subject", "object")
-    e1 = contains.join(name.select("result_id", F.col("object").alias("subject")), "subject")
-    bound = name.select("result_id", F.lit("e0").alias("qedge_key"), F.col("id").alias("edge_id")).union(e1.select("result_id", F.lit("e1"), "id"))
+    edge = F.concat_ws("--", "o", F.lit("contains"), "p").alias("id")  # as the lens names it
+    e1 = lines.select(F.concat_ws("|", "c", "o").alias("result_id"), F.lit("e1"), edge)
+    bound = name.select("result_id", F.lit("e0").alias("qedge_key"), F.col("id").alias("edge_id")).union(e1)
     nodes = name.select("result_id", F.lit("c").alias("qnode_key"), F.col("subject").alias("node_id")).union(name.select("result_id", F.lit("o"), "object"))
     nodes = nodes.union(name.select("result_id", F.lit("o"), F.lit("O:orphan")))
-    ok = saved(paths.supported(*support(spark, d)))
-    return paths.creative_filter(saved(bound), nodes, placed.union(contains), ok, ["e0"], ["e0", "e1"])[1]
+    ok = saved(paths.supported(*support(spark, d, lines)))
+    edges = placed.union(lines.select(edge, "o", "p"))
+    return paths.creative_filter(bound, nodes, edges, ok, ["e0"], ["e0", "e1"])[1]
 
 
 @query("e11_kryptonite_pattern", """

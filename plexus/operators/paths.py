@@ -100,17 +100,23 @@ def _touched(result_nodes: DataFrame, result_edges: DataFrame, edges: DataFrame)
     return result_nodes.join(used, ["result_id", "node_id"], "left_semi").select(*result_nodes.columns)
 
 
+#: What a row of ``_apart`` is: a link, a sign that its aux graph is there, or an asked pair.
+LINK, THERE, ASKED = 0, 1, 2
 #: Links that one task looks through; an aux graph of more is taken apart by joins.
 LOCAL = 250_000
 
 
 def _apart(rows: pd.DataFrame) -> pd.DataFrame:
-    """The asked edges of ``rows(aux_id, a, b, edge_id, asked)`` whose ends the other rows of their aux graph do not connect."""
+    """The asked edges of ``rows(aux_id, a, b, edge_id, kind)`` whose ends the links of their aux graph, which is there, do not connect."""
+    there = rows.loc[rows["kind"] != ASKED, "aux_id"].unique()
+    rows = rows[(rows["kind"] != THERE) & rows["aux_id"].isin(there)]
+    if not len(rows):
+        return pd.DataFrame({"edge_id": rows["edge_id"]})
     graph = pd.factorize(rows["aux_id"])[0]
     ends = pd.factorize(np.concatenate([rows["a"].to_numpy(object), rows["b"].to_numpy(object)]), use_na_sentinel=False)[0]
     nodes, at = np.unique(np.concatenate([graph, graph]) * (ends.max() + 1) + ends, return_inverse=True)
     a, b = at[: len(rows)], at[len(rows):]
-    asked = rows["asked"].to_numpy(bool)
+    asked = (rows["kind"] == ASKED).to_numpy()
     x, y, root = a[~asked], b[~asked], np.arange(len(nodes))
     while (root[x] != root[y]).any():
         low = np.minimum(root[x], root[y])
@@ -128,30 +134,32 @@ def supported(support: DataFrame, aux: DataFrame) -> DataFrame:
     ``aux(aux_id, subject, object, ngd)``.  A graph fails an edge if its ends are not connected, over any number of
     steps, without the edges of infinite distance.  Aux graphs that ``aux`` does not have are skipped, but an edge
     without an aux_id is not supported.  Aux graphs of at most ``LOCAL`` links are looked through in one task each, many
-    to a task, so their links are shuffled once; larger ones go through the component search.
+    to a task, so their links are shuffled once and written nowhere; larger ones go through the component search.
     """
     named = saved(support.where("aux_id is not null"))
-    there = aux.join(named.select("aux_id"), "aux_id", "left_semi")
-    asked = named.join(aux.select("aux_id"), "aux_id", "left_semi").where("from_id <> to_id")
-    finite = there.where(F.col("ngd").isNull() | (~F.isnan("ngd") & (F.abs("ngd") != float("inf"))))
-    links = finite.select("aux_id", F.col("subject").alias("a"), F.col("object").alias("b"), F.lit(None).cast(named.schema["edge_id"].dataType).alias("edge_id"), F.lit(False).alias("asked"))
-    rows = saved(links.union(asked.select("aux_id", "from_id", "to_id", "edge_id", F.lit(True))))
-    heavy = saved(rows.groupBy("aux_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL).select("aux_id"))
-    some = heavy.limit(1).count() > 0
-    light = rows.join(heavy, "aux_id", "left_anti") if some else rows
-    bins = rows.count() // LOCAL * 4 + 8
+    finite = F.col("ngd").isNull() | (~F.isnan("ngd") & (F.abs("ngd") != float("inf")))
     kind = named.select("edge_id").schema
+    none = F.lit(None).cast(kind["edge_id"].dataType).alias("edge_id")
+    links = aux.where("aux_id is not null").select("aux_id", F.when(finite, F.col("subject")).alias("a"), F.when(finite, F.col("object")).alias("b"), none, F.when(finite, LINK).otherwise(THERE).alias("kind"))
+    rows = links.union(named.where("from_id <> to_id").select("aux_id", "from_id", "to_id", "edge_id", F.lit(ASKED)))
+    size = rows.groupBy("aux_id").agg(F.count(F.lit(1)).alias("n"))
+    total = size.agg(F.sum("n").alias("n"), F.max("n").alias("top")).first()
+    bins = (total["n"] or 0) // LOCAL * 4 + 8
+    light = rows
+    if some := (total["top"] or 0) > LOCAL:
+        heavy = saved(size.where(F.col("n") > LOCAL).select("aux_id"))
+        light = rows.join(heavy, "aux_id", "left_anti")
     failed = light.groupBy(F.pmod(F.xxhash64("aux_id"), F.lit(bins)).alias("bin")).applyInPandas(_apart, kind)
     if some:
-        failed = failed.union(_apart_by_joins(rows.join(heavy, "aux_id", "left_semi")))
+        failed = failed.union(_apart_by_joins(saved(rows.join(heavy, "aux_id", "left_semi"))))
     return named.select("edge_id").distinct().join(failed, "edge_id", "left_anti")
 
 
 def _apart_by_joins(rows: DataFrame) -> DataFrame:
     """As ``_apart``, over tables."""
     node = lambda c: F.concat_ws("\u0001", "aux_id", c)
-    part = saved(components(rows.where("not asked").select(node("a").alias("a"), node("b").alias("b"))))
-    asked = rows.where("asked")
+    part = saved(components(rows.where(F.col("kind") == LINK).select(node("a").alias("a"), node("b").alias("b"))))
+    asked = rows.where(F.col("kind") == ASKED).join(rows.where(F.col("kind") != ASKED).select("aux_id"), "aux_id", "left_semi")
     for end in ("a", "b"):
         asked = asked.withColumn("node", node(end)).join(part, "node", "left").withColumn(f"__{end}", F.coalesce("component", "node")).drop("node", "component")
     return asked.where("__a <> __b").select("edge_id")
@@ -163,9 +171,19 @@ def creative_filter(result_edges: DataFrame, result_nodes: DataFrame, edges: Dat
     Edges bound to an ``inferred`` query edge that are not supported go from all bindings of their result; results
     that then lack an edge for one of ``qedges`` go whole; of the others, nodes at no bound edge lose their binding.
     """
-    bad = result_edges.where(F.col("qedge_key").isin(list(inferred))).join(supported_edges, "edge_id", "left_anti").select("result_id", "edge_id").distinct()
-    kept = result_edges.join(bad, ["result_id", "edge_id"], "left_anti").select(*result_edges.columns)
-    asked = kept.where(F.col("qedge_key").isin(list(qedges))).select("result_id", "qedge_key").distinct()
-    whole = asked.groupBy("result_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(set(qedges))).select("result_id")
-    kept = saved(kept.join(whole, "result_id", "left_semi").select(*result_edges.columns))
-    return kept, _touched(result_nodes, kept, edges)
+    bad = result_edges.where(F.col("qedge_key").isin(list(inferred)) & F.col("edge_id").isNotNull()).join(supported_edges, "edge_id", "left_anti").select("result_id", "edge_id").distinct()
+    bound = result_edges.join(edges.select(F.col("id").alias("edge_id"), "subject", "object"), "edge_id", "left")
+    of = lambda df: F.struct(*[df[c] for c in df.columns])
+    # one shuffle: edges with their ends, bad edges and nodes meet by result
+    rows = bound.select("result_id", "edge_id", F.col("qedge_key").alias("key"), F.array("subject", "object").alias("at"), F.struct(*result_edges.columns).alias("edge"), F.lit(False).alias("bad"))
+    rows = rows.unionByName(bad.select("result_id", "edge_id", F.lit(True).alias("bad")), allowMissingColumns=True)
+    rows = rows.unionByName(result_nodes.where("node_id is not null").select("result_id", F.array("node_id").alias("at"), of(result_nodes).alias("node")), allowMissingColumns=True)
+    rows = rows.where("result_id is not null").repartition("result_id")
+    gone = F.max(F.coalesce("bad", F.lit(False))).over(Window.partitionBy("result_id", "edge_id"))
+    rows = rows.withColumn("gone", gone).where("not gone")
+    asked = F.collect_set(F.when(F.col("key").isin(list(qedges)), F.col("key"))).over(Window.partitionBy("result_id"))
+    rows = rows.withColumn("asked", F.size(asked)).where(F.col("asked") == len(set(qedges)))
+    ends = rows.select("result_id", "node", F.explode("at").alias("at")).where("at is not null")
+    touched = F.max(F.col("node").isNull()).over(Window.partitionBy("result_id", "at"))
+    nodes = ends.withColumn("touched", touched).where("touched and node is not null")
+    return rows.where("edge is not null").select("edge.*"), nodes.select("node.*")
