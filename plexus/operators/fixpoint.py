@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,11 +118,36 @@ def consistent(roles: dict[str, DataFrame], links: Links, keys: Sequence[str] =
         before = now
 
 
+#: Links that one task looks through; a result of more is swept by joins.
+LOCAL = 250_000
+
+
+def _alive(rows: pd.DataFrame, ends: list[tuple[int, int]]) -> pd.DataFrame:
+    """The members of whole results, linked by ``rows(__i, __r, __a, __b)``, that no sweep removes; link i is between the roles ``ends[i]``."""
+    result, names = pd.factorize(rows["__r"])
+    nodes, many = pd.factorize(np.concatenate([rows["__a"].to_numpy(object), rows["__b"].to_numpy(object)]))
+    link, n, roles = rows["__i"].to_numpy(), len(rows), max(max(e) for e in ends) + 1
+    role = np.concatenate([np.array([e[side] for e in ends])[link] for side in (0, 1)])
+    member, at = np.unique((np.concatenate([result, result]).astype(np.int64) * roles + role) * len(many) + nodes, return_inverse=True)
+    a, b, kind = at[:n], at[n:], member // len(many) % roles
+    alive, left = np.ones(len(member), bool), len(member) + 1
+    while alive.sum() < left:
+        left = alive.sum()
+        for i, e in enumerate(ends):
+            on = (link == i) & alive[a] & alive[b]
+            has = np.zeros(len(member), bool)
+            has[a[on]] = has[b[on]] = True
+            alive &= has | ~np.isin(kind, e)
+    member = member[alive]
+    return pd.DataFrame({"__q": member // len(many) % roles, "__r": names[member // len(many) // roles], "__node": many[member % len(many)]})
+
+
 def _consistent_within(roles: dict[str, DataFrame], links: Links, keys: Sequence[str]) -> dict[str, DataFrame]:
     """``consistent`` of many results: their own links are found once, and only those whose ends live go on.
 
     A link of two members of one result closes a triangle with the result, so ``multiway.bind`` finds it without
-    all pairs of members and without all links of a member.
+    all pairs of members and without all links of a member.  Results of at most ``LOCAL`` links are swept in one task each, many
+    to a task, so their links are moved once; larger ones by joins.
     """
     result = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
     of = {q: saved(rows.select(result.alias("__r"), q)) for q, rows in roles.items()}
@@ -138,6 +165,12 @@ def _consistent_within(roles: dict[str, DataFrame], links: Links, keys: Sequence
 
     counts: list[dict[int, int]] = []
     own = written({(a, b): bind(["__r", a, b], {("__r", a): of[a], ("__r", b): of[b], (a, b): _between(links, a, b)}) for a, b in names})
+    settled, kinds = {}, {rows.schema[c].dataType for rows in own.values() for c in rows.columns if c != "__r"}
+    if len(keys) == 1 and len(kinds) == 1:
+        settled, own = _settled(own, names, list(of))
+    values = [F.col("__r").alias(keys[0])] if len(keys) == 1 else [F.col(f"__r.{k}").alias(k) for k in keys]
+    if settled and own is None:
+        return {q: settled.get(q, of[q]).select(*values, q) for q in of}
     while True:
         live = {}
         for q in of:
@@ -150,14 +183,38 @@ def _consistent_within(roles: dict[str, DataFrame], links: Links, keys: Sequence
         if len(counts) > 1 and counts[-1] == counts[-2]:
             break
         own = written({(a, b): own[a, b].join(live[a], ["__r", a], "left_semi").join(live[b], ["__r", b], "left_semi") for a, b in names})
-    values = [F.col("__r").alias(keys[0])] if len(keys) == 1 else [F.col(f"__r.{k}").alias(k) for k in keys]
+    live = {q: rows.union(settled[q]) if q in settled else rows for q, rows in live.items()}
     return {q: rows.select(*values, q) for q, rows in live.items()}
 
 
+def _settled(own: Links, names: list[tuple[str, str]], roles: list[str]) -> tuple[dict[str, DataFrame], Links | None]:
+    """The members ``(__r, q)`` of results of at most ``LOCAL`` links by role, and the links of the others, if any."""
+    ends, rows = [(roles.index(a), roles.index(b)) for a, b in names], None
+    for i, (a, b) in enumerate(names):
+        one = own[a, b].select(F.lit(i).alias("__i"), "__r", F.col(a).alias("__a"), F.col(b).alias("__b"))
+        rows = one if rows is None else rows.union(one)
+    size = rows.groupBy("__r").agg(F.count(F.lit(1)).alias("n"))
+    total = size.agg(F.sum("n").alias("n"), F.max("n").alias("top")).first()
+    rest, light = None, rows
+    if (total["top"] or 0) > LOCAL:
+        heavy = saved(size.where(F.col("n") > LOCAL).select("__r"))
+        light = rows.join(heavy, "__r", "left_anti").select(*rows.columns)
+        rest = {pair: table.join(heavy, "__r", "left_semi").select(*table.columns) for pair, table in own.items()}
+    kind = rows.select(F.lit(0).cast("long").alias("__q"), "__r", F.col("__a").alias("__node")).schema
+
+    def alive(part: pd.DataFrame) -> pd.DataFrame:
+        return _alive(part, ends)
+
+    bins = (total["n"] or 0) // LOCAL * 4 + 8
+    done = saved(light.groupBy(F.pmod(F.xxhash64("__r"), F.lit(bins)).alias("bin")).applyInPandas(alive, kind))
+    linked = {q for pair in names for q in pair}
+    return {q: done.where(F.col("__q") == i).select("__r", F.col("__node").alias(q)) for i, q in enumerate(roles) if q in linked}, rest
+
+
 def match_sets(pattern: Pattern, nodes: dict[str, DataFrame], links: Links) -> DataFrame:
     """One row per result, set-valued query nodes as sorted arrays; a result is named by its other nodes.
 
-    ``nodes[q]`` has the column q; ``links`` the pairs of linked query nodes, kept apart from their order.  The
+    ``nodes[q]`` has the column q; ``links`` the pairs of linked query nodes, all of them among ``nodes``, kept apart from their order.  The
     pattern is taken query node by query node, plain ones first where they are linked: a plain node makes new results of
     those it meets, a set takes the nodes that all linked query nodes reach.  Then dead ends leave.
     """
@@ -182,9 +239,8 @@ def match_sets(pattern: Pattern, nodes: dict[str, DataFrame], links: Links) -> D
             for u in others:
                 if u in keys:
                     found = found.join(_between(links, q, u), [u, q], "left_semi").select(*keys, q)
-                else:
+                elif q not in sets:  # of two sets, those without a partner leave with the dead ends
                     found = _supported(found, q, roles[u], u, _between(links, q, u), keys, light[frozenset((q, u))])
-            found = found.join(nodes[q], q, "left_semi").select(*keys, q)
         if q in sets:
             roles[q] = found
         else:
